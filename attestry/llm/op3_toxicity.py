@@ -107,27 +107,52 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return model["slot"].to_numpy(), model["weight"].to_numpy(), float(bias.iloc[0]) if len(bias) else -30.0
 
 
+def dense(model: tuple[np.ndarray, np.ndarray, float]) -> tuple[np.ndarray, float]:
+    weight = np.zeros(1 << SLOT_BITS, np.float32)
+    weight[model[0]] = model[1]
+    return weight, model[2]
+
+
+def scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
+    """The scores of a column of texts."""
+    total = np.full(len(column), bias)
+    for part in text_slices(column):
+        doc, slot = features(part)
+        hit = weight[slot] != 0
+        pairs = _distinct(doc[hit] << SLOT_BITS | slot[hit])
+        total[part.lo : part.hi] += np.bincount(pairs >> SLOT_BITS, weight[pairs & ((1 << SLOT_BITS) - 1)], part.hi - part.lo)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def _sent(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]):
+    """The weights other than zero, at most 2^SLOT_BITS floats whatever the data, as a broadcast."""
+    return docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32), model[2]))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every row; the weights are at most 2^SLOT_BITS floats, whatever the data."""
-    slots, values, bias = model
-    sent = docs.sparkSession.sparkContext.broadcast((slots.astype(np.int32), values.astype(np.float32), bias))
+    """doc_id and score of every row."""
+    sent = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, value, b = sent.value
-        weight = np.zeros(1 << SLOT_BITS, np.float32)
-        weight[at] = value
+        weight, bias = dense(sent.value)
         for batch in batches:
-            total = np.full(batch.num_rows, b)
-            for part in text_slices(batch.column(1)):
-                doc, slot = features(part)
-                hit = weight[slot] != 0
-                pairs = _distinct(doc[hit] << SLOT_BITS | slot[hit])
-                total[part.lo : part.hi] += np.bincount(pairs >> SLOT_BITS, weight[pairs & ((1 << SLOT_BITS) - 1)], part.hi - part.lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), weight, bias))], names=["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    sent, at = _sent(docs, model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias = dense(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), weight, bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 

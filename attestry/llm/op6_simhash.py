@@ -7,7 +7,12 @@ answers which of its members lie within the radius and follows only the edges th
 broadcast to all tasks, since all of them together grow with the corpus: a shuffle brings each to the members that
 can match it. Shards of more than CHUNK fingerprints are split, and every two parts of one meet in a task of their own.
 
-Only distinct fingerprints are sharded, a shard gives a spanning forest and not its pairs, and the forest's components
+Texts that share four fifths of their shingles differ in more bits than blocks can answer for. For these (similarity
+set, as in the pipeline) shards are bands of MinHash values, of which such texts share one but for a chance of
+1 in 300 or less, the trees are asked for a wider radius, and each answer must also agree in `similarity` of SKETCH
+MinHash values, less one standard error of that estimate.
+
+Only distinct fingerprints are sharded (distinct word sequences with similarity), a shard gives a spanning forest and not its pairs, and the forest's components
 are found by alternating large-star and small-star joins, each round written to the shared folder.
 
 Edge cases: null, empty and blank texts have the fingerprint 0 and link like any other; fewer words than a shingle make
@@ -26,42 +31,75 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import table, text_slices, texts, written
+from attestry.llm.common import mix, table, text_slices, texts, written
 
 WORDS, RADIUS, SEED, CHUNK = 4, 4, 42, 4096
 #: First bit and width of six blocks of the 64 bits.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: MinHash values, those that make a band, bands, and the radius of trees whose answers the values check.
+SKETCH, BAND, BANDS, WIDE_RADIUS = 256, 3, 8, 18
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Majority bits of the shingles' hashes, as a signed 64-bit number."""
-    found = text.lower().split()
-    if not found:
-        return 0
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
     joined = b" ".join(found)
     ends = np.cumsum([len(x) + 1 for x in found]) - 1
     k = min(words, len(found))
     starts = [0, *(ends[: len(found) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype=">u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype=">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes, as a signed 64-bit number."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 255):  # so that a byte holds each count
         total += np.unpackbits(hashes[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp of every row."""
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Majority bits of the shingles' hashes; 0 without words."""
+    found = text.lower().split()
+    return majority(shingle_hashes(found, words)) if found else 0
+
+
+_FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def minhashes(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH minima of the shingles' hashes, each under another factor."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    own = mix(hashes.astype(np.uint64))
+    for i in range(0, len(own), 512):
+        least = np.minimum(least, (own[i : i + 512, None] * _FACTORS).min(0))
+    return mix(least)
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
+    """doc_id, h (the text's own hash) and fp of every row; if sketched also words_key, bands and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            fps, keys, bands, sketches = [], [], [], []
             for part in text_slices(batch.column(1)):
                 data, bounds = part.data.tobytes(), part.bounds.tolist()
-                out += [fingerprint(data[a:b], words) for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
-
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+                for a, b in zip(bounds, bounds[1:]):
+                    found = data[a:b].lower().split()
+                    hashes = shingle_hashes(found, words) if found else np.zeros(0, ">u8")
+                    fps.append(majority(hashes) if found else 0)
+                    if sketched:
+                        m = minhashes(hashes)
+                        keys.append(xxhash.xxh128_digest(b" ".join(found)))
+                        bands.append(mix((m[: BANDS * BAND].reshape(BANDS, BAND) * _FACTORS[:BAND]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+                        sketches.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
+            more = {}
+            if sketched:
+                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))
+                more = {"words_key": pa.array(keys, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat), "sketch": pa.array(sketches, pa.binary())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64()), *more.values()], names=["doc_id", "h", "fp", *more])
+
+    schema = "doc_id long, h long, fp long" + (", words_key binary, bands array<long>, sketch binary" if sketched else "")
+    return texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 class BKTree:
@@ -91,7 +129,7 @@ class BKTree:
         return found
 
 
-def forest(values: list[int], reps: list[int], first: list[bool], radius: int) -> list[tuple[int, int]]:
+def forest(values: list[int], reps: list[int], first: list[bool], radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
     """(rep, smallest rep) of what a shard links. first: the members that make the tree; if all do, it grows as it is asked."""
     parent = list(range(len(values)))
 
@@ -107,7 +145,11 @@ def forest(values: list[int], reps: list[int], first: list[bool], radius: int) -
                 tree.add(value, i)
     for i, value in enumerate(values):
         if whole or not first[i]:
-            for j in tree.within(value, radius):
+            near, own = tree.within(value, radius), top(i)
+            near = [j for j in near if top(j) != own]
+            if sketches is not None and near:
+                near = [near[k] for k in np.flatnonzero((sketches[near] == sketches[i]).mean(1) >= similarity)]
+            for j in near:
                 a, b = top(i), top(j)
                 if a != b:
                     parent[max(a, b, key=lambda x: reps[x])] = min(a, b, key=lambda x: reps[x])
@@ -116,34 +158,43 @@ def forest(values: list[int], reps: list[int], first: list[bool], radius: int) -
     return [(reps[i], reps[t]) for i in range(len(values)) if (t := top(i)) != i]
 
 
-def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(u, v) with v < u that join the linked classes (fp, rep) of distinct fingerprints; radius is at most 4."""
-    assert radius <= 4, "two of six blocks agree only within 4 bits"
-    field = [f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L)" for at, width in BLOCKS]
-    keys = [f"{n}L << 22 | {field[a]} << 11 | {field[b]}" for n, (a, b) in enumerate(combinations(range(6), 2))]
-    keyed = classes.select("fp", "rep", F.explode(F.expr(f"array({', '.join(keys)})")).alias("shard"))
+def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similarity: float | None = None) -> DataFrame:
+    """(u, v) with v < u that join the linked classes: fp, rep, and bands and sketch if a similarity is set."""
+    if similarity is None:
+        assert radius <= 4, "two of six blocks agree only within 4 bits"
+        field = [f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L)" for at, width in BLOCKS]
+        keys = [f"{n}L << 22 | {field[a]} << 11 | {field[b]}" for n, (a, b) in enumerate(combinations(range(6), 2))]
+        keyed = classes.select("fp", "rep", F.explode(F.expr(f"array({', '.join(keys)})")).alias("shard"))
+    else:
+        keyed = classes.select("fp", "rep", "sketch", F.explode("bands").alias("shard"))
+    more = [] if similarity is None else ["sketch"]
+    least = 0.0 if similarity is None else similarity - float(np.sqrt(similarity * (1 - similarity) / SKETCH))
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    met = keyed.join(sizes, "shard").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
+    met = keyed.join(sizes, "shard").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    met = met.select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "rep")
+    met = met.select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "rep", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
 
+        def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+            out = [c.to_numpy() for c in batch.columns[:6]]
+            return [*out, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH)] if more else out
+
         def out(rows: list[np.ndarray], ended: bool) -> tuple[list[np.ndarray] | None, list[tuple[int, int]]]:
-            shard, a, b, own, fp, rep = rows
+            shard, a, b, own, fp, rep = rows[:6]
             cut = np.flatnonzero((shard[1:] != shard[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
             cut = np.concatenate([[0], cut, [len(shard)]]) if len(shard) else np.zeros(1, np.int64)
             last = len(cut) - 1 if ended else len(cut) - 2
             edges: list[tuple[int, int]] = []
             for i in np.flatnonzero(np.diff(cut[: last + 1]) > 1):
                 x = slice(cut[i], cut[i + 1])
-                edges += forest(fp[x].view(np.uint64).tolist(), rep[x].tolist(), (own[x] == a[x]).tolist(), radius)
+                edges += forest(fp[x].view(np.uint64).tolist(), rep[x].tolist(), (own[x] == a[x]).tolist(), radius, rows[6][x] if more else None, least)
             return ([r[cut[last] :] for r in rows] if not ended else None), edges
 
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
+            rows = columns(batch)
             kept, edges = out(rows if kept is None else [np.concatenate(x) for x in zip(kept, rows)], False) if batch.num_rows else (kept, [])
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
         if kept is not None:
@@ -170,24 +221,27 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = written(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(links(classes, radius, chunk))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id; rows without a doc_id stay."""
-    found = written(grouped(docs), "components")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    n = keep.agg(F.count("*").alias("rows"), F.count_distinct("kept_id").alias("ids")).first()
-    out = docs.join(keep.distinct() if n["rows"] > n["ids"] else keep, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    if n["rows"] > n["ids"]:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """doc_id, h, fp and component_id of every row."""
+    name = "fp" if similarity is None else "words_key"
+    fps = written(fingerprints(docs, words, id_col, text_col, similarity is not None), "fingerprints")
+    own = [] if similarity is None else [F.first(c).alias(c) for c in ("fp", "bands", "sketch")]
+    classes = written(fps.where("doc_id IS NOT NULL").groupBy(name).agg(F.min("doc_id").alias("rep"), *own), "classes")
+    found = components(links(classes, radius, chunk, similarity))
+    named = classes.select(name, "rep").join(found, F.col("rep") == F.col("node"), "left").select(name, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, name, "left").select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay: of each component one with its smallest doc_id; rows without a doc_id stay."""
+    found = grouped(docs, id_col=id_col, text_col=text_col, **options).where("doc_id IS NOT NULL")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    keep = written(first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h")), "kept")
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("own_h"))
+    out = named.join(keep, (F.col("own_id") == F.col("kept_id")) & (F.col("own_h") == F.col("kept_h")), "left_semi")
+    if docs.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL").limit(1).count():  # equal rows: one of them
+        out = out.dropDuplicates(["own_id", "own_h"])
+    return out.unionByName(named.where("own_id IS NULL")).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

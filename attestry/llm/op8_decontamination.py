@@ -20,10 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import Words, byte_set, table, text_slices, texts
+from attestry.llm.common import Words, byte_set, table, text_slices
 
 WINDOW = 13
 MAX_ITEM_WORDS = 300_000
@@ -182,25 +183,67 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_IT
 _COVERED = "cast(size(array_distinct(flatten(transform(spans, x -> sequence(x.s, x.e - 1))))) as long)"
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, spans and items of every row of docs."""
-    rows, found = texts(docs, id_col, text_col), automata(benchmark, window, max_words)
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (in words) and items of every row of docs, and the row itself if carry."""
+    own = {"row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))} if carry else {}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(c.alias(k) for k, c in own.items()))
+    found = automata(benchmark, window, max_words)
     if len(found) == 1:
-        hits = _hits(rows.select(F.col("doc_id").alias("key"), "text"), found[0]).withColumnRenamed("key", "doc_id")
+        hits = _hits(rows.select(F.struct("doc_id", *own).alias("key"), "text"), found[0])
+        hits = hits.select("key.*", "n_words", "spans", "items")
     else:  # equal rows have equal hits, so doc_id and the text's hash name a row
-        keyed = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+        keyed = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text", *own)
         passes = reduce(DataFrame.unionByName, [_hits(keyed, a) for a in found])
         together = (F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("spans", "items"))
         united = passes.groupBy("key").agg(F.max("n_words").alias("n_words"), *together)
         united = united.select(F.col("key").alias("own"), "n_words", "spans", "items")
-        hits = keyed.join(united, F.col("key").eqNullSafe(F.col("own"))).select("key.doc_id", "n_words", "spans", "items")
-    return hits.selectExpr("doc_id", "n_words", f"{_COVERED} AS n_hit", "spans", "items")
+        hits = keyed.join(united, F.col("key").eqNullSafe(F.col("own"))).select("key.doc_id", *own, "n_words", "spans", "items")
+    return hits.selectExpr("doc_id", *own, "n_words", f"{_COVERED} AS n_hit", "spans", "items")
+
+
+CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    return matched(docs, benchmark, carry=True, **options).where(f"NOT ({CONTAMINATED})").select("row.*")
+
+
+def _without(column: pa.Array, spans: pa.Array) -> list[str]:
+    """Texts without the words of their spans and what stands between these."""
+    out = []
+    for part in text_slices(column):
+        w = Words(part, WORD)
+        first = np.cumsum(w.count) - w.count
+        data, bounds = part.data.tobytes(), part.bounds.tolist()
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            pieces, at = [], a
+            for x in sorted(spans[part.lo + i].as_py() or [], key=lambda x: x["s"]):
+                pieces.append(data[at : max(at, int(w.start[first[i] + x["s"]]))])
+                at = max(at, int(w.end[first[i] + x["e"] - 1]))
+            out.append(b"".join([*pieces, data[at:b]]).decode())
+    return out
+
+
+def removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """All rows of docs; the matched spans are cut out of the texts of contaminated ones."""
+    found = matched(docs, benchmark, text_col=text_col, carry=True, **options)
+    found = found.select("row", F.when(F.expr(CONTAMINATED), F.col("spans")).alias("spans"))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = batch.column(0).flatten()
+            plain = pa.array(_without(fields[at].cast(pa.string()), batch.column(1)), pa.string())
+            fields[at] = pc.if_else(pc.is_null(fields[at]), pa.scalar(None, pa.string()), plain)
+            yield pa.RecordBatch.from_arrays(fields, names=docs.columns)
+
+    return found.mapInArrow(run, docs.schema)
 
 
 def judged(found: DataFrame) -> DataFrame:
-    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     named = F.array_join(F.array_sort(F.expr("transform(items, x -> cast(x as string))")), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), contaminated.alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
