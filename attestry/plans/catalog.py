@@ -1,8 +1,8 @@
 """All queries of the reference part, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from attestry.plans import packs
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_PARTS = (packs,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
+flagship = packs.decision
