@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from attestry import relations as R
 from attestry.functions import text as T
@@ -30,30 +30,28 @@ def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _literal(value, kind: DataType) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(kind, ArrayType):
-        return "[" + ", ".join(_literal(v, kind.elementType) for v in value) + "]"
-    if isinstance(kind, MapType):
-        return "MAP {" + ", ".join(f"{_literal(k, kind.keyType)}: {_literal(v, kind.valueType)}" for k, v in value.items()) + "}"
-    return quoted(value) if isinstance(value, str) else json.dumps(value)
+#: DuckDB's names of the types that relations have.
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE", "array<string>": "VARCHAR[]", "map<string,string>": "MAP(VARCHAR, VARCHAR)"}
 
 
-def _type(kind: DataType) -> str:
-    if isinstance(kind, ArrayType):
-        return _type(kind.elementType) + "[]"
-    if isinstance(kind, MapType):
-        return f"MAP({_type(kind.keyType)}, {_type(kind.valueType)})"
-    return {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE"}[kind.simpleString()]
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_literal, value)) + "]"
+    if isinstance(value, dict):
+        return "MAP {" + ", ".join(f"{_literal(k)}: {_literal(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, str):
+        return " || chr(0) || ".join(map(quoted, value.split("\0")))
+    return json.dumps(value)
 
 
 def values(name: str, data: list[dict], ddl: str) -> str:
-    """A common table of inline rows."""
-    schema = StructType.fromDDL(ddl)
-    each = ", ".join("(" + ", ".join(f"CAST({_literal(r.get(f.name), f.dataType)} AS {_type(f.dataType)})" for f in schema) + ")" for r in data)
-    columns = ", ".join(f'"{f.name}"' for f in schema)
-    return f"{name}({columns}) AS (VALUES {each})"
+    """A common table of inline rows. Needs no session."""
+    columns = [c.rsplit(" ", 1) for c in re.split(r", ", ddl)]
+    each = ", ".join("(" + ", ".join(f"CAST({_literal(r.get(c))} AS {TYPES[t]})" for c, t in columns) + ")" for r in data)
+    named = ", ".join(f'"{c}"' for c, _ in columns)
+    return f"{name}({named}) AS (VALUES {each})"
 
 
 def rows(spark: SparkSession, data: list[dict], ddl: str) -> DataFrame:
