@@ -42,7 +42,7 @@ def object_access(cases: DataFrame, responses: DataFrame) -> DataFrame:
 
     cases: case_id, owner, other, marker_path (a.b.c), marker (the value's text). One response for each case and account.
     """
-    value = F.get_json_object("body", F.concat(F.lit("$."), F.col("marker_path")))
+    value = F.expr("get_json_object(body, concat('$.', marker_path))")
     seen = responses.join(cases, "case_id").withColumn("has_marker", F.coalesce(value == F.col("marker"), F.lit(False)))
     ok = F.col("status").between(200, 299)
     by = seen.groupBy("case_id").agg(
