@@ -87,7 +87,7 @@ _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64, and of its inverse."""
     out = []
     for base in (_ODD, _ODD_INVERSE):
@@ -122,9 +122,9 @@ class Words:
         self.n_docs = len(bounds) - 1
         self.count = np.bincount(self.doc, minlength=self.n_docs)
         size = 1 << max(16, int(n).bit_length())
-        powers, self._inverse = _powers(size)
+        forward, self._inverse = powers(size)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((fold[part.data].astype(np.uint64) + np.uint64(1)) * powers[:n], out=self._sums[1:])
+        np.cumsum((fold[part.data].astype(np.uint64) + np.uint64(1)) * forward[:n], out=self._sums[1:])
         self.hash = self.between(self.start, self.end)
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

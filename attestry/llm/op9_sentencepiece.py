@@ -20,6 +20,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import table, texts
+from attestry.llm.common import mix, powers, table, texts
 
 MARK, CACHED_WORDS = "▁", 200_000
 
@@ -137,36 +138,156 @@ def stream_encode(pieces: Pieces, text: str, step: int = 64) -> list[int]:
     return stream.finish()
 
 
+class Lockstep:
+    """The same search over many words at once, a character of each at a time. A word of at most WIDEST characters never
+    leaves the window, so that nothing of it is committed before its end; longer ones and those with byte pieces stream."""
+
+    WIDEST, SLOT_BITS = 32, 21
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        names = [p for p in pieces.ids if len(p) <= self.WIDEST]
+        self.longest = max(map(len, names), default=1)
+        self._powers, self._inverse = powers(self.WIDEST)
+        self.tables = []  # key and id by slot; what collides goes to the next table
+        keys = np.zeros(len(names), np.uint64)
+        lengths = np.array([len(p) for p in names])
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            rows = np.frombuffer("".join(names[i] for i in own).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            keys[own] = self._hashes(rows, n)[:, 0]
+        left = np.arange(len(names))
+        while len(left):
+            at = self._slots(keys[left], len(self.tables))
+            _, first = np.unique(at, return_index=True)
+            key, ident = np.zeros(1 << self.SLOT_BITS, np.uint64), np.full(1 << self.SLOT_BITS, -1, np.int32)
+            key[at[first]] = keys[left[first]]
+            ident[at[first]] = [pieces.ids[names[i]] for i in left[first]]
+            self.tables.append((key, ident))
+            left = np.delete(left, first)
+        self.score = np.full(len(pieces.bytes_of) + 1, -(1 << 60), np.int64)  # the last one, id -1, is no piece
+        self.score[list(pieces.score)] = list(pieces.score.values())
+
+    def _hashes(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Of the runs of size characters that start at each place of each row."""
+        sums = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+        np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * self._powers[: rows.shape[1]], axis=1, out=sums[:, 1:])
+        return self._runs(sums, size)
+
+    def _runs(self, sums: np.ndarray, size: int) -> np.ndarray:
+        return (sums[:, size:] - sums[:, :-size]) * self._inverse[: sums.shape[1] - size]
+
+    def _slots(self, keys: np.ndarray, turn: int) -> np.ndarray:
+        return (mix(keys + np.uint64(turn)) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(keys.shape, -1, np.int32)
+        for turn, (key, ident) in enumerate(self.tables):
+            at = self._slots(keys, turn)
+            out = np.where(key[at] == keys, ident[at], out)
+        return out
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, little-endian."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) if len(w) <= self.WIDEST and MARK not in w and "\0" not in w else self.WIDEST + 1 for w in words])
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, self.WIDEST)):
+            own = np.flatnonzero((sizes > low) & (sizes <= high))
+            for i in range(0, len(own), 1 << 14):
+                part = own[i : i + (1 << 14)]
+                for k, ids in zip(part.tolist(), self._same([words[k] for k in part], sizes[part], high), strict=True):
+                    out[k] = ids if ids is not None else np.array(stream_encode(self.pieces, words[k]), "<i4").tobytes()
+        for k in np.flatnonzero(sizes > self.WIDEST).tolist():
+            out[k] = np.array(stream_encode(self.pieces, words[k]), "<i4").tobytes()
+        return out
+
+    def _same(self, words: list[str], sizes: np.ndarray, width: int) -> list[bytes | None]:
+        n = len(words)
+        rows = np.zeros((n, width), np.uint32)
+        inside = np.arange(width) < sizes[:, None]
+        plain = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        rows[inside] = np.where(plain == 32, ord(MARK), plain)
+        costs = np.ones((n, width), np.int64)
+        costs[inside] += (plain >= 0x80).astype(np.int64) + (plain >= 0x800) + (plain >= 0x10000)
+        sums = np.zeros((n, width + 1), np.uint64)
+        np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * self._powers[:width], axis=1, out=sums[:, 1:])
+        found = [None, *(self._find(self._runs(sums, k)) for k in range(1, min(width, self.longest) + 1))]
+        best = np.zeros((n, width + 1), np.int64)
+        size_at, id_at = np.zeros((n, width + 1), np.int8), np.full((n, width + 1), -1, np.int32)
+        for end in range(1, width + 1):
+            top, size, ident = np.full(n, -(1 << 59), np.int64), np.zeros(n, np.int8), np.full(n, -1, np.int32)
+            for k in range(min(end, self.longest), 0, -1):
+                own = found[k][:, end - k]
+                value = best[:, end - k] + self.score[own]
+                better = value > top
+                top, size, ident = np.where(better, value, top), np.where(better, k, size), np.where(better, own, ident)
+            value = best[:, end - 1] + self.pieces.byte_score * costs[:, end - 1]
+            raw = (size != 1) & (value > top)
+            best[:, end], size_at[:, end], id_at[:, end] = np.where(raw, value, top), np.where(raw, 1, size), np.where(raw, -1, ident)
+        at, every = sizes.astype(np.int64), np.arange(n)
+        taken: list[np.ndarray] = []
+        odd = np.zeros(n, bool)
+        while (at > 0).any():
+            on = at > 0
+            ids = np.where(on, id_at[every, at], -2)
+            odd |= ids == -1
+            taken.append(ids)
+            at = at - np.where(on, size_at[every, at], 0)
+        table = np.stack(taken[::-1], axis=1) if taken else np.zeros((n, 0), np.int32)
+        keep = table != -2
+        ends = np.cumsum(keep.sum(1))
+        raw_ids = table[keep].astype("<i4").tobytes()
+        starts = [0, *ends[:-1].tolist()]
+        return [None if o else raw_ids[4 * a : 4 * b] for o, a, b in zip(odd.tolist(), starts, ends.tolist(), strict=True)]
+
+
 class Encoder:
     """Ids of texts, the words' from a cache of bounded size where words stand apart."""
 
     def __init__(self, model: bytes, cached: int = CACHED_WORDS) -> None:
         self.pieces, self.cached = Pieces(model), cached
+        self.lockstep = Lockstep(self.pieces)
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = np.array(stream_encode(self.pieces, word), "<i4").tobytes()
-        if len(self.recent) >= self.cached:
-            self.recent, self.older = {}, self.recent
-        self.recent[word] = found
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.pieces.words_apart:
-            return np.array(stream_encode(self.pieces, text), "<i4")
-        out = []
+    def _words(self, text: str) -> list[str]:
+        """The text cut before the first of each run of spaces, and around line ends."""
+        words: list[str] = []
         for k, line in enumerate(text.split("\n")):
-            words = ["\n"] if k else []
+            if k:
+                words.append("\n")
             if "  " in line or line[:1] == " " or line[-1:] == " ":
                 words += re.findall(" *[^ ]+| +", line)
             elif line:
                 first, *rest = line.split(" ")
-                words += [first, *[" " + w for w in rest]]
-            out += [self.recent.get(w) or self._ids(w) for w in words]
-        return np.frombuffer(b"".join(out), "<i4")
+                words.append(first)
+                words += [" " + w for w in rest]
+        return words
+
+    def encode_all(self, texts_: list[str]) -> list[np.ndarray]:
+        if not self.pieces.words_apart:
+            return [np.array(stream_encode(self.pieces, t), "<i4") for t in texts_]
+        words = [self._words(t) for t in texts_]
+        if len(self.recent) > self.cached:
+            self.recent, self.older = {}, self.recent
+        new = set().union(*words) - self.recent.keys()
+        if self.older:
+            again = new & self.older.keys()
+            self.recent.update((w, self.older[w]) for w in again)
+            new -= again
+        fresh = list(new)
+        self.recent.update(zip(fresh, self.lockstep.encode(fresh), strict=True))
+        find = self.recent.__getitem__
+        return [np.frombuffer(b"".join(map(find, w)), "<i4") for w in words]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(model: bytes) -> Encoder:
+    """A worker's encoder; its cache of words outlives a task."""
+    return Encoder(model)
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> bytes:
@@ -178,12 +299,12 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = encoder_of(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 plain = part.column(1).to_pylist()
-                ids = [encoder.encode(t) for t in plain]
+                ids = encoder.encode_all(plain)
                 same = [encoder.pieces.decode(x.tolist()) == t for x, t in zip(ids, plain, strict=True)]
                 crc = [zlib.crc32(x.tobytes()) for x in ids]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
