@@ -1,8 +1,8 @@
 """All queries of the reference part, with their SQL."""
 
-from attestry.plans import packs, reports, trees
+from attestry.plans import code, packs, reports, trees
 
-_PARTS = (packs, trees, reports)
+_PARTS = (packs, trees, reports, code)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 flagship = packs.decision
