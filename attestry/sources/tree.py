@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestry.durable import kept
+
 #: Folders that hold no source of the project.
 EXCLUDED = (".git", ".hg", ".svn", "node_modules", ".venv", "venv", ".tox", ".nox", "site-packages", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", "vendor", "Pods", ".dart_tool", ".gradle", ".next", ".nuxt", "dist", "build", "coverage", ".cache", ".idea", ".vscode")
 #: Extensions and names of text files.
@@ -35,7 +37,8 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1].rstrip("/") + "/", -1)
     rows = listed.select(path.alias("relative_path"), F.col("length").alias("size"), "content").where(is_text(F.col("relative_path")))
-    return rows.select("relative_path", "size", F.decode("content", "UTF-8").alias("content"), F.xxhash64("relative_path").alias("walk_pos"))
+    placed = rows.select("relative_path", "size", F.decode("content", "UTF-8").alias("content")).orderBy("relative_path").withColumn("walk_pos", F.monotonically_increasing_id())
+    return kept(placed, "tree")  # written, so that places stay as they are
 
 
 def running_before(rows: DataFrame, value: Column, width: int = 100_000) -> DataFrame:
