@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from attestry.llm.common import Words, byte_set, table, text_slices
 
@@ -164,8 +165,9 @@ def _hits(docs: DataFrame, automaton: Automaton) -> DataFrame:
                 names=["key", "n_words", "spans", "items"],
             )
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text").mapInArrow(run, f"key {kind}, n_words long, spans array<struct<s:int,e:int>>, items array<long>")
+    span = StructType().add("s", IntegerType()).add("e", IntegerType())
+    kind = StructType([docs.schema["key"]]).add("n_words", LongType()).add("spans", ArrayType(span)).add("items", ArrayType(LongType()))
+    return docs.select("key", "text").mapInArrow(run, kind)
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> list[Automaton]:
