@@ -42,7 +42,7 @@ def _first_segment(route: Column) -> Column:
 
 
 def attack_paths(signals: DataFrame) -> DataFrame:
-    """All paths. A path of two or three parts exists if each part has a signal."""
+    """All paths. A path of two or three parts exists if each part has a signal; it names all of them, so signals are those that findings.capped() lets through."""
     open_data = r"supabase\.(?:table-without-rls|permissive-rls-policy)|firebase\.unconditional-access"
     secrets, data = _of(signals, r"client-public-privileged|artifact\.embedded-secret", 0), _of(signals, open_data, 1)
     first = _paths(secrets.unionByName(data), "client_data", 0).where("parts = 2")

@@ -86,7 +86,11 @@ def coverage(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def preview(files: DataFrame, rules: DataFrame, per_rule: int = 100) -> DataFrame:
     """Which files each rule selects, without reading their text: how many, the first ones, how many more."""
-    got = pairs(files.drop("content"), rules).groupBy("pack_id", "rule_id").agg(F.count("*").cast("long").alias("n_files"), F.array_sort(F.collect_list("relative_path")).alias("paths"))
+    chosen = pairs(files.drop("content"), rules).select("pack_id", "rule_id", "relative_path")
+    n = chosen.groupBy("pack_id", "rule_id").agg(F.count("*").cast("long").alias("n_files"))
+    first = chosen.withColumn("_rn", F.row_number().over(Window.partitionBy("pack_id", "rule_id").orderBy("relative_path"))).where(F.col("_rn") <= per_rule)
+    first = first.groupBy("pack_id", "rule_id").agg(F.array_sort(F.collect_list("relative_path")).alias("paths"))  # at most per_rule of each
+    got = n.join(first, ["pack_id", "rule_id"])
     out = rules.select("pack_id", "rule_id").join(got, ["pack_id", "rule_id"], "left")
     return out.select("pack_id", "rule_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.slice(F.coalesce("paths", F.array().cast("array<string>")), 1, per_rule).alias("paths"), F.greatest(F.coalesce("n_files", F.lit(0)) - per_rule, F.lit(0)).alias("omitted"))
 
