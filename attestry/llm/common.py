@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -12,9 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that the numpy helpers work on at once; a longer document is worked on alone.
 SLICE_BYTES = 1 << 19
+#: Documents that are sent to Python at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,14 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def in_batches(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """rows.mapInArrow for rows that hold whole texts: at most BATCH_ROWS of them are in memory at once, on either side."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def written(df: DataFrame, tag: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, tag)

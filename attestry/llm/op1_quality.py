@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import NOT_SPACE, Slice, Words, byte_set, table, text_slices, texts, written
+from attestry.llm.common import NOT_SPACE, Slice, Words, byte_set, in_batches, table, text_slices, texts, written
 
 NAMES = ("words", "word_bytes", "upper", "lower", "digits", "symbols", "bang", "bar", "odd_end", "adjacent", "distinct", "distinct_pairs", "lines", "long_words")
 MAX_POSITIVES = 20_000
@@ -71,7 +71,7 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 x = features(part).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.hi - part.lo), *(pa.array(c) for c in x.T)], names=["doc_id", *NAMES])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} float" for c in NAMES))
+    return in_batches(texts(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{c} float" for c in NAMES))
 
 
 def nnpu(start: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:

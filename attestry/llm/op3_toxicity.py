@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import ALNUM, Slice, Words, mix, table, text_slices, texts
+from attestry.llm.common import ALNUM, Slice, Words, in_batches, mix, table, text_slices, texts
 
 SLOT_BITS = 20
 #: Leading bytes of a word that make a feature of their own, if the word is longer.
@@ -100,7 +100,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         yield pd.DataFrame({"slot": np.append(at, -1).astype(np.int64), "weight": np.append(w[at], bias)})
 
     rows = labelled.select("doc_id", "text", F.col("label").cast("double").alias("label")).where("label IS NOT NULL")
-    made = rows.mapInArrow(slots, "doc_id long, label double, slots array<int>")
+    made = in_batches(rows, slots, "doc_id long, label double, slots array<int>")
     model = made.repartition(1).mapInPandas(run, "slot long, weight double").toPandas()
     bias = model.loc[model["slot"] < 0, "weight"]
     model = model[model["slot"] >= 0]
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), weight, bias))], names=["doc_id", "score"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return in_batches(texts(docs, id_col, text_col), run, "doc_id long, score double")
 
 
 def kept(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -150,7 +150,7 @@ def kept(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), weight, bias) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def held_out() -> F.Column:

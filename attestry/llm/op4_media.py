@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import mix, table, text_slices, texts, written
+from attestry.llm.common import in_batches, mix, table, text_slices, texts, written
 
 UNIT = 64
 #: Smallest and largest chunk; a cut is where the lowest MASK_BITS of the gear hash are zero.
@@ -85,7 +85,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> St
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_name(hashlib.sha256(c).digest()) for _, _, cs in chunked(batch.column(1)) for c in cs], pa.int64())], names=["name"])
 
-    twice = rows.mapInArrow(names, "name long").groupBy("name").count().where("count > 1")
+    twice = in_batches(rows, names, "name long").groupBy("name").count().where("count > 1")
     slot = twice.select((F.col("name").bitwiseAND((1 << BLOOM_BITS) - 1)).alias("slot"))
     words = slot.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 AS int))")).alias("bits")).collect()  # 2^19 at most
     bits = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
@@ -115,8 +115,8 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> St
             found = {d: c for _, _, cs in chunked(batch.column(1)) for c in cs if shared(d := hashlib.sha256(c).digest(), known)}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "data"])
 
-    chunks = rows.mapInArrow(pieces, "digest binary, data binary").groupBy("digest").agg(F.any_value("data").alias("data"))
-    kept = rows.mapInArrow(media, "row long, doc_id long, n_bytes long, digests array<binary>, sizes array<int>, inside array<boolean>, own binary")
+    chunks = in_batches(rows, pieces, "digest binary, data binary").groupBy("digest").agg(F.any_value("data").alias("data"))
+    kept = in_batches(rows, media, "row long, doc_id long, n_bytes long, digests array<binary>, sizes array<int>, inside array<boolean>, own binary")
     return Store(written(kept, "media"), written(chunks, "media-chunks"))
 
 
@@ -172,7 +172,7 @@ def described(store: Store) -> DataFrame:
                 })
             yield pa.RecordBatch.from_pylist(out, _DESCRIBED)
 
-    return read(store).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
+    return in_batches(read(store), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
 
 
 _DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int64())])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import mix, table, text_slices, texts, written
+from attestry.llm.common import in_batches, mix, table, text_slices, texts, written
 
 WORDS, RADIUS, SEED, CHUNK = 4, 4, 42, 4096
 #: First bit and width of six blocks of the 64 bits.
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64()), *more.values()], names=["doc_id", "h", "fp", *more])
 
     schema = "doc_id long, h long, fp long" + (", words_key binary, bands array<long>, sketch binary" if sketched else "")
-    return texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, schema)
+    return in_batches(texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")), run, schema)
 
 
 class BKTree:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from attestry.llm.common import Words, byte_set, table, text_slices
+from attestry.llm.common import Words, byte_set, in_batches, table, text_slices
 
 WINDOW = 13
 MAX_ITEM_WORDS = 300_000
@@ -167,7 +167,7 @@ def _hits(docs: DataFrame, automaton: Automaton) -> DataFrame:
 
     span = StructType().add("s", IntegerType()).add("e", IntegerType())
     kind = StructType([docs.schema["key"]]).add("n_words", LongType()).add("spans", ArrayType(span)).add("items", ArrayType(LongType()))
-    return docs.select("key", "text").mapInArrow(run, kind)
+    return in_batches(docs.select("key", "text"), run, kind)
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> list[Automaton]:
@@ -231,16 +231,16 @@ def removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **opt
     """All rows of docs; the matched spans are cut out of the texts of contaminated ones."""
     found = matched(docs, benchmark, text_col=text_col, carry=True, **options)
     found = found.select("row", F.when(F.expr(CONTAMINATED), F.col("spans")).alias("spans"))
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = batch.column(0).flatten()
             plain = pa.array(_without(fields[at].cast(pa.string()), batch.column(1)), pa.string())
             fields[at] = pc.if_else(pc.is_null(fields[at]), pa.scalar(None, pa.string()), plain)
-            yield pa.RecordBatch.from_arrays(fields, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(fields, names=names)
 
-    return found.mapInArrow(run, docs.schema)
+    return in_batches(found, run, docs.schema)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import mix, powers, table, texts
+from attestry.llm.common import in_batches, mix, powers, table, texts
 
-MARK, CACHED_WORDS = "▁", 200_000
+MARK, CACHED_WORDS = "▁", 100_000
 
 
 class Pieces:
@@ -142,7 +142,7 @@ class Lockstep:
     """The same search over many words at once, a character of each at a time. A word of at most WIDEST characters never
     leaves the window, so that nothing of it is committed before its end; longer ones and those with byte pieces stream."""
 
-    WIDEST, SLOT_BITS = 32, 21
+    WIDEST, SLOT_BITS = 32, 17
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -311,7 +311,7 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "ids", "ids_crc32", "round_trip"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long, round_trip boolean")
+    return in_batches(texts(docs, id_col, text_col), run, "doc_id long, ids array<int>, ids_crc32 long, round_trip boolean")
 
 
 def decoded(rows: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
