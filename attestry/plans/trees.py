@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry import relations as R
 from attestry.functions import text as T
+from attestry.operators import assets
 from attestry.operators import rules as ru
 from attestry.plans.common import FILES, files, fingerprint_sql, joined_sql, quoted, redacted_sql, rows, semantic_sql, signal_id_sql, snippet_sql, table, values
 from attestry.sources import tools, tree
@@ -51,6 +52,16 @@ CODE = [
 SNIPPETS = [{"s": s} for s in ("key = AKIA" + "ABCDEFGHIJKL", "t ghp" + "_abcdefghijklmnop end", "MY_API_KEY=abcdef12345 # c", "password: 'hunter22'", "secret = x", "use ${DB_PASSWORD:-opensesame} here", "token=abcdefghij, next", "plain text 12 and b3", "API_TOKEN = abc")]
 PATHS = [{"s": s} for s in ("src/a b.ts", "./x//y/./z", "../up", "a/../b", "/abs", "C:/win", "c:\\win\\x", "http://x/y", "a%2e/b", "a\tb", "", "é/ü+.js", "ok")]
 SHOWN = [{"s": s} for s in ("see https://x.test or www.y.test", "a|b *c* _d_ [e](f)", "mail me@x.test\nnow", "100% sure: a,b", "<b>&'\"", "   ", "x" * 60, "back\\slash `tick` #1!")]
+APP = [
+    {"walk_pos": i, "relative_path": p, "content": c, "size": len(c)}
+    for i, (p, c) in enumerate([
+        ("package.json", '{"dependencies": {"next": "14", "openai": "4", "ai": "3", "react-native": "1"}}'),
+        ("supabase/migrations/1.sql", "select 1"),
+        ("android/AndroidManifest.xml", "<manifest/>"),
+        ("rules/firestore.rules", "x"),
+    ])
+]
+APP_ROUTES = [{"route": r, "ord": i} for i, r in enumerate(("GET /a", "POST /a", "GET /a"))]
 URLS = [{"url": s} for s in ("http://api.shop.test:80/x", "http://localhost/", "http://127.0.0.1/", "http://u:p@[::1]:8/x", "http://www.w3.org/1999", "http://a.example.com", "http://badexample.com", "http://10.0.2.2:1")]
 ROUTES = [{"s": s} for s in ("GET /a/b", "  POST   /x/:id ", "get /a", "GET a", "PATCH /with space", "ALL /", "TRACE /" + "a" * 481)]
 
@@ -92,6 +103,20 @@ def profile_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), "package_manager", "file_count")
 
 
+def asset_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.graph(assets.facts(rows(spark, APP, R.FILES), rows(spark, APP_ROUTES, "route string, ord int")), "shop")[0]
+
+
+def asset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.graph(assets.facts(rows(spark, APP, R.FILES), rows(spark, APP_ROUTES, "route string, ord int")), "shop")[1]
+
+
+def last_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type: routes declared twice are kept the same way."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return assets.last_of(e.withColumn("place", F.col("event_id")), ["user_id", "event_type"], "place").drop("place")
+
+
 def inline_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.inline_suppressions(rows(spark, TREE, R.FILES))
 
@@ -243,10 +268,17 @@ def _rules_sql(pattern: str) -> str:
     return f"WITH {_CODE}, found AS ({' UNION ALL '.join(parts)}), shown AS (SELECT *, {snippet_sql('m')} AS snippet FROM found), named AS (SELECT *, {fp} AS fingerprint FROM shown) SELECT {signal_id_sql('fingerprint', 'line')} AS id, fingerprint, rule_id, severity, evidence_level, relative_path AS path, line, snippet FROM named"
 
 
+_ID = lambda k, x: f"'asset_' || substr(sha256({k} || chr(0) || {x}), 1, 16)"
+_ASSETS = f"""{values("app", APP, R.FILES)}, {values("declared", APP_ROUTES, "route string, ord int")}, shown(place, kind, label, relation, deps, pattern) AS (VALUES {", ".join(f"({i}, {quoted(k)}, {quoted(label)}, {quoted(r)}, [{', '.join(map(quoted, d))}]::VARCHAR[], {quoted(p) if p else 'NULL'})" for i, (k, label, r, d, p) in enumerate(assets.SHOWN_BY))}),
+deps AS (SELECT unnest(json_keys(content::JSON -> '$.dependencies')) AS name FROM app WHERE relative_path = 'package.json'),
+hits AS (SELECT * FROM shown s WHERE EXISTS (SELECT 1 FROM deps WHERE list_contains(s.deps, name)) OR EXISTS (SELECT 1 FROM app WHERE regexp_matches(relative_path, s.pattern))),
+facts AS (SELECT kind, label, relation FROM hits WHERE kind NOT IN ('mobile_app', 'llm') UNION ALL SELECT 'auth', label || ' Auth', relation FROM hits WHERE kind = 'database'
+  UNION ALL SELECT kind, string_agg(label, ' + ' ORDER BY place), relation FROM hits WHERE kind IN ('mobile_app', 'llm') GROUP BY kind, relation UNION ALL SELECT DISTINCT 'api_route', route, 'exposes' FROM declared)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        inventory_candidates, inventory_walk, inventory_skip_counts, inventory_coverage, inventory_size_budget, package_dependencies, profile_languages, inline_suppressions, lines, line_number, signal_fingerprint, stable_id,
+        inventory_candidates, inventory_walk, inventory_skip_counts, inventory_coverage, inventory_size_budget, package_dependencies, profile_languages, asset_nodes, asset_edges, last_declared, inline_suppressions, lines, line_number, signal_fingerprint, stable_id,
         redact_snippet, safe_relative_path, sarif_uri, markdown_escape, github_escape, route_normalize, severity_normalize, cleartext_urls, android_manifest, mobile_storage, mobile_network, ci_injection, sensitive_logging, route_without_guard, jwt_config, sast_general, secret_scan,
     )
 }
@@ -265,6 +297,9 @@ SELECT 'project-inventory' AS domain, 'native' AS engine, CASE WHEN reason IS NU
 deps AS (SELECT unnest(json_keys(content -> '$.dependencies') || json_keys(content -> '$.devDependencies')) AS name FROM (SELECT CASE WHEN json_valid(content) THEN content::JSON END AS content FROM tree WHERE {_NAME} = 'package.json') WHERE content IS NOT NULL)
 SELECT (SELECT string_agg(DISTINCT language, ',' ORDER BY language) FROM tree JOIN known ON {_EXT} = ext) AS languages, (SELECT string_agg(DISTINCT framework, ',' ORDER BY framework) FROM deps JOIN used USING (name)) AS frameworks,
   (SELECT CASE WHEN bool_or({_NAME} = 'pnpm-lock.yaml') THEN 'pnpm' WHEN bool_or({_NAME} = 'yarn.lock') THEN 'yarn' WHEN bool_or({_NAME} = 'package-lock.json') THEN 'npm' END FROM tree) AS package_manager, (SELECT count(*) FROM tree) AS file_count""",
+    "asset_nodes": f"WITH {_ASSETS} SELECT {_ID('kind', 'label')} AS id, kind, label FROM facts UNION ALL SELECT {_ID(quoted('project'), quoted('shop'))}, 'project', 'shop'",
+    "asset_edges": f"WITH {_ASSETS} SELECT {_ID(quoted('project'), quoted('shop'))} AS from_id, {_ID('kind', 'label')} AS to_id, relation FROM facts UNION ALL SELECT {_ID(quoted('auth'), chr(108) + 'abel || ' + quoted(' Auth'))}, {_ID('kind', 'label')}, 'authorizes' FROM facts WHERE kind = 'database'",
+    "last_declared": "SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type",
     "inline_suppressions": f"WITH {_TREE} SELECT CAST(sum(len(regexp_extract_all(content, '(?i)trivy:ignore(?::|\\b)'))) AS BIGINT) AS n FROM tree",
     "lines": f"WITH {FILES} SELECT relative_path, len(string_split(content, chr(10))) AS n, list_max(list_transform(string_split(content, chr(10)), lambda x: len(x))) AS longest FROM files",
     "line_number": f"WITH {FILES} SELECT relative_path, len(string_split(substr(content, 1, instr(content, ' the ') - 1), chr(10))) AS line FROM files WHERE instr(content, ' the ') > 0",
