@@ -15,8 +15,11 @@ of their texts' hashes; an empty table gives no rows; other columns are not read
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -26,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import table, text_slices, texts, written
+from attestry.llm.common import in_batches, table, text_slices, texts, written
 
 BLOCK, PERCENTILE = 128, 0.9
 END_ID = 1
 SEGMENT_IDS, CACHED_WORDS = 1 << 20, 200_000
 _SEPARATOR, _MAGIC = "<|endoftext|>", b"PFR1"
+_PUNCTUATION = string.punctuation.encode()
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -77,7 +81,8 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
     low, starts, counts, width, high, place = take("<u4", m), take("<u4", m), take("u1", m), take("u1", m), take("<u4", k), take("u1", k)
     packed = np.frombuffer(segment, "<u4", -1, at)
-    last = m if last is None else min(last, m)
+    first = min(first, m)
+    last = m if last is None else max(first, min(last, m))
     rest = np.zeros((last - first, BLOCK), np.uint32)
     for w in np.unique(width[first:last]).tolist():
         if w:
@@ -99,16 +104,28 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 
 class WordEncoder:
-    """Ids of texts by whole words, the recent ones from a cache of bounded size."""
+    """Ids of texts by whole words, the recent ones from a cache of bounded size. For vocabularies that mark word ends and
+    fold case, such as word_bpe_49k: case and closing punctuation are taken off a word before it is looked up."""
 
     def __init__(self, tokenizer_json: str, cached: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
+        rules = json.loads(tokenizer_json)
+        self.ending = (rules["model"].get("end_of_word_suffix") or "") if "Lowercase" in json.dumps(rules.get("normalizer")) else ""
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.ending:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.ending)]] = True
         self.cached, self.recent, self.older = cached, {}, {}
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _keep(self, words: list[bytes], ids: np.ndarray, cuts: list[int], gap: int) -> None:
+        raw = ids.astype("<u4").tobytes()
+        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+            self.recent[w] = raw[4 * (a + gap) : 4 * b]
+
+    def _learn_apart(self, words: list[bytes]) -> None:
+        """Words of any characters, with a token between them that no word holds."""
         odd = [w for w in words if b"<|" in w or self.separator is None]
         plain = [w for w in words if b"<|" not in w] if self.separator is not None else []
         for i in range(0, len(odd), 1000):
@@ -118,25 +135,73 @@ class WordEncoder:
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([_SEPARATOR.join(w.decode() for w in part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, cut = ids.tobytes(), [-1, *np.flatnonzero(ids == self.separator).tolist(), len(ids)]
-            for w, a, b in zip(part, cut[:-1], cut[1:], strict=True):
-                self.recent[w] = raw[4 * a + 4 : 4 * b]
+            self._keep(part, ids, [-1, *np.flatnonzero(ids == self.separator).tolist(), len(ids)], 1)
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Words of letters alone, which end where a token says so."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cuts) == len(part) + 1:
+                self._keep(part, ids, cuts, 0)
+            else:
+                self._learn_apart(part)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if not self.ending:
+            self._learn_apart(sorted(words))
+            return
+        closed: list[tuple[bytes, bytes, bytes]] = []
+        pieces: set[bytes] = set()
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if core != w and core and core[-1:].isalnum() and b"<|" not in w:
+                closed.append((w, core, w[len(core) :]))
+                pieces.add(core)
+                pieces.add(closed[-1][2])
+            else:
+                pieces.add(w)
+        letters, others = [], []
+        for w in pieces:
+            if w in self.recent:
+                continue
+            plain = w.isalpha() if w.isascii() else (text := w.decode()).isalpha() and text == text.lower()
+            (letters if plain else others).append(w)
+        self._learn_letters(letters)
+        self._learn_apart(others)
+        recent = self.recent
+        recent.update((w, recent[core] + recent[tail]) for w, core, tail in closed)
+
+    def _words(self, text: bytes) -> list[bytes]:
+        if not self.ending:
+            return text.split()
+        if b"<|" in text:  # the name of a special token counts as it is written
+            return [w if b"<|" in w else w.lower() for w in text.split()]
+        return text.lower().split()
 
     def encode(self, texts_: list[bytes]) -> list[bytes]:
         """The ids of each text, little-endian, with END_ID at its end."""
-        words = [t.split() for t in texts_]
+        words = [self._words(t) for t in texts_]
         if len(self.recent) > self.cached:
             self.recent, self.older = {}, self.recent
-        new = set().union(*words) - self.recent.keys()
-        if self.older:
-            again = new & self.older.keys()
-            self.recent.update((w, self.older[w]) for w in again)
-            new -= again
-        self._learn(sorted(new))
+        recent, older = self.recent, self.older
+        new = {w for w in set().union(*words) if w not in recent}  # a set less a dict's keys would walk all of these
+        if older:
+            again = [w for w in new if w in older]
+            recent.update((w, older[w]) for w in again)
+            new.difference_update(again)
+        self._learn(new)
         find, end = self.recent.__getitem__, END_ID.to_bytes(4, "little")
         return [b"".join(map(find, w)) + end for w in words]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_json: str) -> WordEncoder:
+    """A worker's encoder; its cache of words outlives a task."""
+    return WordEncoder(tokenizer_json)
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
@@ -146,7 +211,7 @@ def write(docs: DataFrame, tokenizer_json: str, segment_ids: int = SEGMENT_IDS,
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, at = WordEncoder(sent.value), TaskContext.get().partitionId(), 0
+        encoder, task, at = encoder_of(sent.value), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list = []
 
@@ -173,7 +238,7 @@ def write(docs: DataFrame, tokenizer_json: str, segment_ids: int = SEGMENT_IDS,
 
     rows = texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return written(dealt.mapInArrow(run, "task int, at long, doc_ids array<long>, lengths array<int>, n_ids long, segment binary"), "token-segments", "uncompressed")
+    return written(in_batches(dealt, run, "task int, at long, doc_ids array<long>, lengths array<int>, n_ids long, segment binary"), "token-segments", "uncompressed")
 
 
 _STORED = pa.schema([("task", pa.int32()), ("at", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("segment", pa.binary())])
