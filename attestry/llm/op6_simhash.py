@@ -9,8 +9,10 @@ can match it. Shards of more than CHUNK fingerprints are split, and every two pa
 
 Texts that share four fifths of their shingles differ in more bits than blocks can answer for. For these (similarity
 set, as in the pipeline) shards are bands of MinHash values, of which such texts share one but for a chance of
-1 in 300 or less, the trees are asked for a wider radius, and each answer must also agree in `similarity` of SKETCH
-MinHash values, less one standard error of that estimate.
+1 in 2 million or less. Members that agree in `similarity` of SKETCH MinHash values less SLACK standard errors are
+candidates, and the Jaccard index of their sets of 64-bit shingle hashes decides: no pair below `similarity` is linked.
+Fingerprints decide nothing here, since shingles that repeat move them. Of shards with the same members one is kept,
+and only members of shards carry their shingles, which are made once more from their texts.
 
 Only distinct fingerprints are sharded (distinct word sequences with similarity), a shard gives a spanning forest and not its pairs, and the forest's components
 are found by alternating large-star and small-star joins, each round written to the shared folder.
@@ -22,7 +24,7 @@ component is null; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,8 +38,10 @@ from attestry.llm.common import in_batches, mix, table, text_slices, texts, writ
 WORDS, RADIUS, SEED, CHUNK = 4, 4, 42, 4096
 #: First bit and width of six blocks of the 64 bits.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: MinHash values, those that make a band, bands, and the radius of trees whose answers the values check.
-SKETCH, BAND, BANDS, WIDE_RADIUS = 256, 3, 8, 18
+#: MinHash values, those that make a band, bands, and the standard errors that candidates may lack.
+SKETCH, BAND, BANDS, SLACK = 256, 4, 28, 5
+#: The radius that goes with a similarity: all 64 bits, so that fingerprints exclude nothing.
+WIDE_RADIUS = 64
 
 
 def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
@@ -129,7 +133,7 @@ class BKTree:
         return found
 
 
-def forest(values: list[int], reps: list[int], first: list[bool], radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
+def forest(values: list[int], reps: list[int], first: list[bool], radius: int) -> list[tuple[int, int]]:
     """(rep, smallest rep) of what a shard links. first: the members that make the tree; if all do, it grows as it is asked."""
     parent = list(range(len(values)))
 
@@ -146,10 +150,7 @@ def forest(values: list[int], reps: list[int], first: list[bool], radius: int, s
     for i, value in enumerate(values):
         if whole or not first[i]:
             near, own = tree.within(value, radius), top(i)
-            near = [j for j in near if top(j) != own]
-            if sketches is not None and near:
-                near = [near[k] for k in np.flatnonzero((sketches[near] == sketches[i]).mean(1) >= similarity)]
-            for j in near:
+            for j in [j for j in near if top(j) != own]:
                 a, b = top(i), top(j)
                 if a != b:
                     parent[max(a, b, key=lambda x: reps[x])] = min(a, b, key=lambda x: reps[x])
@@ -158,20 +159,66 @@ def forest(values: list[int], reps: list[int], first: list[bool], radius: int, s
     return [(reps[i], reps[t]) for i in range(len(values)) if (t := top(i)) != i]
 
 
-def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similarity: float | None = None) -> DataFrame:
-    """(u, v) with v < u that join the linked classes: fp, rep, and bands and sketch if a similarity is set."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as sorted arrays; two empty ones are the same."""
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def alike(sketches: np.ndarray, shingles: list[bytes], reps: np.ndarray, first: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(rep, smallest rep) of what a shard links by similarity. first: the members that the others are compared with; if all are, all are."""
+    least = SKETCH * (similarity - SLACK * float(np.sqrt(similarity * (1 - similarity) / SKETCH)))
+    label, whole, sets = np.arange(len(reps)), bool(first.all()), [np.frombuffer(x, np.uint64) for x in shingles]
+    others = np.flatnonzero(first)
+    for i in range(len(reps)) if whole else np.flatnonzero(~first):
+        near = others[:i] if whole else others
+        near = near[label[near] != label[i]]
+        agree = np.count_nonzero(sketches[near] == sketches[i], axis=1)
+        order = np.argsort(-agree, kind="stable")
+        for j in near[order[: np.count_nonzero(agree >= least)]]:
+            if label[i] != label[j] and jaccard(sets[i], sets[j]) >= similarity:
+                a, b = sorted((label[i], label[j]), key=lambda x: reps[x])
+                label[label == b] = a
+    return [(int(reps[i]), int(reps[t])) for i, t in enumerate(label) if t != i]
+
+
+def with_shingles(members: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """rep, sketch and shingles (the sorted distinct hashes) of members: rep, sketch and the doc_id and h of a text that they stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(2).to_pylist():
+                found = text.encode().lower().split()
+                sets.append(np.unique(shingle_hashes(found, words).astype(np.uint64)).tobytes() if found else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "sketch", "shingles"])
+
+    rows = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).join(members, ["doc_id", "h"])
+    sets = in_batches(rows.select("rep", "sketch", "text"), run, "rep long, sketch binary, shingles binary")
+    return sets.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
+
+
+def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similarity: float | None = None, shingled: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(u, v) with v < u that join the linked classes: fp, rep, and first, bands and sketch if a similarity is set; then shingled gives members their shingles."""
+    count = F.count("*").alias("n")
     if similarity is None:
         assert radius <= 4, "two of six blocks agree only within 4 bits"
         field = [f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L)" for at, width in BLOCKS]
         keys = [f"{n}L << 22 | {field[a]} << 11 | {field[b]}" for n, (a, b) in enumerate(combinations(range(6), 2))]
         keyed = classes.select("fp", "rep", F.explode(F.expr(f"array({', '.join(keys)})")).alias("shard"))
+        sizes = keyed.groupBy("shard").agg(count).where("n > 1")
     else:
-        keyed = classes.select("fp", "rep", "sketch", F.explode("bands").alias("shard"))
-    more = [] if similarity is None else ["sketch"]
-    least = 0.0 if similarity is None else similarity - float(np.sqrt(similarity * (1 - similarity) / SKETCH))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+        keyed = classes.select("fp", "rep", F.explode("bands").alias("shard"))
+        marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+        sizes = keyed.groupBy("shard").agg(count, *marks).where("n > 1").groupBy("n", "mark0", "mark1").agg(F.min("shard").alias("shard")).select("shard", "n")
+    more = [] if similarity is None else ["sketch", "shingles"]
+    met = keyed.join(sizes, "shard")
+    if similarity is not None:
+        met = written(met, "shards")
+        members = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch", "first.doc_id", "first.h")
+        met = met.join(written(shingled(members), "shingles"), "rep")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    met = keyed.join(sizes, "shard").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
+    met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     met = met.select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "rep", *more)
 
@@ -180,7 +227,7 @@ def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similari
 
         def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
             out = [c.to_numpy() for c in batch.columns[:6]]
-            return [*out, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH)] if more else out
+            return [*out, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH), batch.column(7).to_numpy(False)] if more else out
 
         def out(rows: list[np.ndarray], ended: bool) -> tuple[list[np.ndarray] | None, list[tuple[int, int]]]:
             shard, a, b, own, fp, rep = rows[:6]
@@ -190,7 +237,10 @@ def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similari
             edges: list[tuple[int, int]] = []
             for i in np.flatnonzero(np.diff(cut[: last + 1]) > 1):
                 x = slice(cut[i], cut[i + 1])
-                edges += forest(fp[x].view(np.uint64).tolist(), rep[x].tolist(), (own[x] == a[x]).tolist(), radius, rows[6][x] if more else None, least)
+                if more:
+                    edges += alike(rows[6][x], rows[7][x].tolist(), rep[x], own[x] == a[x], similarity)
+                else:
+                    edges += forest(fp[x].view(np.uint64).tolist(), rep[x].tolist(), (own[x] == a[x]).tolist(), radius)
             return ([r[cut[last] :] for r in rows] if not ended else None), edges
 
         for batch in batches:
@@ -201,7 +251,8 @@ def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similari
             _, edges = out(kept, True)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return met.repartition("shard", "a", "b").sortWithinPartitions("shard", "a", "b", "own", "fp").mapInArrow(run, "u long, v long")
+    met = met.repartition("shard", "a", "b").sortWithinPartitions("shard", "a", "b", "own", "fp")
+    return in_batches(met, run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,9 +276,9 @@ def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: in
     """doc_id, h, fp and component_id of every row."""
     name = "fp" if similarity is None else "words_key"
     fps = written(fingerprints(docs, words, id_col, text_col, similarity is not None), "fingerprints")
-    own = [] if similarity is None else [F.first(c).alias(c) for c in ("fp", "bands", "sketch")]
+    own = [] if similarity is None else [F.min(F.struct("doc_id", "h")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "bands", "sketch"))]
     classes = written(fps.where("doc_id IS NOT NULL").groupBy(name).agg(F.min("doc_id").alias("rep"), *own), "classes")
-    found = components(links(classes, radius, chunk, similarity))
+    found = components(links(classes, radius, chunk, similarity, lambda members: with_shingles(members, docs, words, id_col, text_col)))
     named = classes.select(name, "rep").join(found, F.col("rep") == F.col("node"), "left").select(name, F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, name, "left").select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

@@ -146,6 +146,36 @@ def test_one_of_each_group_stays(spark, odd):
     assert ids == [0, 3, 4, 7, 8, 9, 10, 100, 102] and kept.where("doc_id IS NULL").count() == 1
 
 
+def _shingles(text, k=5):
+    words = text.split()
+    return {*zip(*(words[i:] for i in range(k)), strict=False)}
+
+
+def test_similar_texts_as_by_brute_force(spark):
+    """Pairs just above and below 0.8, shingles that repeat, and a group that is split over parts."""
+    rng = random.Random(11)
+    texts = []
+    for n in range(160):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        cut = 30 + n % 8  # of 296 shingles, so that the index is 0.798 with 33 words changed and 0.805 with 32
+        at = rng.randrange(len(base) - cut + 1) if n % 2 else 0
+        near = [*base[:at], *(f"v{rng.randrange(5000)}" for _ in range(cut)), *base[at + cut :]]
+        texts += [" ".join(base), " ".join(near)]
+    rest = texts[0].split()
+    texts += [" ".join(["again"] * 500 + rest), *(" ".join(rest[k:]) for k in range(1, 60, 7))]
+    sets = [_shingles(t) for t in texts]
+    least = {i: i for i in range(len(texts))}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and least[a] != least[b]:
+            low, high = sorted((least[a], least[b]))
+            least = {i: low if c == high else c for i, c in least.items()}
+    assert 20 < sum(least[i] == i for i in range(1, 320, 2)) < 140
+    docs = spark.createDataFrame(rows(texts), DDL)
+    for chunk in (op6.CHUNK, 3):
+        got = op6.grouped(docs, words=5, radius=op6.WIDE_RADIUS, chunk=chunk, similarity=0.8)
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == least
+
+
 def _dice(unit):
     words = re.findall("[a-z0-9]+", re.sub(op7.HOLDER, "", unit).lower())
     a = {*zip(words, words[1:])}
