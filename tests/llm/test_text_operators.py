@@ -283,6 +283,13 @@ def test_terms_that_disclose_are_taken_out(spark, tmp_path):
     assert op10.disclosure(7, 7, 56, 10_000) == pytest.approx(1.0)
 
 
+def test_terms_far_from_their_entity_are_taken_out(spark):
+    filler = " ".join(f"plain{'abcdefghij'[i % 10]}" for i in range(400))
+    texts = [f"{filler} the {'abcdefg'[i] * 3} manager Brunhilde at bru@corp.test called {'gfedcba'[i] * 3} the plaina" for i in range(7)] + [f"Dear Brunhilde, {filler} bru@corp.test", f"Dear Brunhilde, {filler}"]
+    text = {r["doc_id"]: r["text"] for r in op10.sanitised(spark.createDataFrame(rows(texts), DDL)).collect()}
+    assert "Brunhilde" not in text[7] and "plaina plainb" in text[7] and "<EMAIL>" in text[7] and text[8] == texts[8]
+
+
 def test_digest_of_no_spans(spark, sf_dir):
     got = op10.op10_pii(spark, sf_dir)
     empty = got.where("n_email + n_ip + n_card + n_phone = 0").first()
