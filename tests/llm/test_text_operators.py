@@ -69,20 +69,65 @@ def test_risk_never_goes_below_zero():
     assert ((z > 0) == (np.arange(len(mixed)) < 150)).mean() > 0.9
 
 
+HOSTILE_URLS = ["http://c\r\nEvil: 1", "http://a\u2028WARC-Refers-To-Page: 7", "x\u2029WARC-Payload-Digest: sha1:00", "y\u0085WARC-Refers-To-Page: zz", "v\x0bWARC-Type: revisit", "f\x0cWARC-Type: revisit", "n\nWARC-Refers-To-Page: 3", "z\r\n\r\nWARC/1.1", "\0", "a b", "é/ü", "", None]
+
+
+def _archived(pages, least=1000):
+    """Plainly: page_id to (bytes, SHA-1, type, refers_to)."""
+    owner = {}
+    for page, _, html in pages:
+        owner[html or ""] = max(page, owner.get(html or "", page))
+    out = {}
+    for page, _, html in pages:
+        raw = (html or "").encode()
+        again = len(raw) >= least and page != owner[html or ""]
+        out[page] = (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", owner[html or ""] if again else None)
+    return out
+
+
 def test_archive_gives_back_records(spark):
     big = "<html>" + "x" * 1200
     pages = spark.createDataFrame([(1, "http://a", big, "e"), (2, None, big, "e"), (3, "http://c\r\nEvil: 1", "small", "e"), (4, "u", "small", "e"), (5, "u", None, "e"), (6, "u", "", "e")], "page_id long, url string, html string, payload_key string")
     archive = op5.write(pages)
-    found = {r["page_id"]: bytes(r["record"]) for r in op5.records(archive).collect()}
+    back = {r["page_id"]: r for r in op5.records(archive).collect()}
+    found = {k: bytes(r["record"]) for k, r in back.items()}
     assert found[2].endswith(b"\r\n\r\n" + big.encode() + b"\r\n\r\n") and b"WARC-Type: response" in found[2]
     assert b"WARC-Type: revisit" in found[1] and b"WARC-Refers-To-Page: 2\r\n" in found[1] and b"Content-Length: 0" in found[1]
     assert b"\r\nEvil" not in found[3] and b"response" in found[3] and b"response" in found[4]
-    assert {r["page_id"]: bytes(r["payload"]).decode() for r in op5.payloads_of(archive).collect()} == {1: big, 2: big, 3: "small", 4: "small", 5: "", 6: ""}
+    assert {k: bytes(r["payload"]).decode() for k, r in back.items()} == {1: big, 2: big, 3: "small", 4: "small", 5: "", 6: ""}
     assert archive.payloads.count() == 3
-    broken = archive._replace(payloads=archive.payloads.withColumn("payload", F.lit("other").cast("binary")))
+    other = F.lit(op5.zstandard.ZstdCompressor().compress(b"other"))
     with pytest.raises(Exception, match="differs from its key"):
-        op5.verified(broken).collect()
-    assert op5.records(op5.write(pages.limit(0))).count() == 0
+        op5.described(archive._replace(payloads=archive.payloads.withColumn("packed", other))).collect()
+    digest = F.lit("sha1:" + "0" * 40)
+    wrong = F.regexp_replace(F.col("header").cast("string"), "sha1:[0-9a-f]+", digest).cast("binary")
+    with pytest.raises(Exception, match="differ"):
+        op5.described(archive._replace(headers=archive.headers.withColumn("header", wrong))).collect()
+    assert op5.records(op5.write(pages.limit(0))).count() == 0 == op5.described(op5.write(pages.limit(0))).count()
+
+
+@pytest.mark.parametrize("split", [op5.SPLIT, 2])
+def test_no_url_makes_a_header_line(spark, split):
+    """Hostile urls before small, empty, long and often repeated payloads, and columns with clashing names."""
+    bodies = ["", None, "s\r\n\r\nWARC-Type: revisit", "<p>" + "é" * 700, "x" * 999, "x" * 1000, "y" * 300_000]
+    pages = [(i, HOSTILE_URLS[i % len(HOSTILE_URLS)], bodies[i * 5 % 7 if i % 2 else 3]) for i in range(91)]
+    names = "page_id long, url string, html string, header string, payload string, owner string, parts string, digest string"
+    rows_ = spark.createDataFrame([(*p, "h", "p", "o", "q", "d") for p in pages], names)
+    archive = op5.write(rows_, split=split)
+    got = {r["page_id"]: tuple(r)[1:] for r in op5.described(archive).collect()}
+    assert got == _archived(pages)
+    assert (archive.payloads.agg(F.max("parts")).first()[0] > 1) == (split == 2)
+    for r in op5.records(archive).collect():
+        head = bytes(r["record"]).partition(b"\r\n\r\n")[0].decode()
+        assert len(re.split("[\r\n\x0b\x0c\x85\u2028\u2029]+", head)) == head.count("\r\n") + 1
+        assert head.splitlines() == head.split("\r\n")
+
+
+def test_repeated_and_nameless_pages(spark):
+    big = "b" * 1500
+    rows_ = spark.createDataFrame([(1, "u", big), (2, "u", big), (2, "v", big), (None, "w", big), (None, "w", "q" * 1100)], "page_id long, url string, html string")
+    got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in op5.described(op5.write(rows_)).collect()), key=str)
+    assert got == sorted([(1, "revisit", 2), (2, "response", None), (2, "response", None), (0, "revisit", 2), (0, "response", None)], key=str)
 
 
 def _fingerprint(text, k=4):
