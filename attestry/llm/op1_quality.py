@@ -5,12 +5,14 @@ pi R+(1) + max(0, Ru(0) - pi R+(0)): trusted positives stand for quality, every
 unlabelled mixture, and pi, the share of quality in it, is estimated from both as the smallest ratio of their score
 tails. Labels of junk are never used.
 
-Texts are read once, into a table of features in the shared folder. Each round fits the model on every partition of
-that table and averages by rows, so that all documents take part and no task holds more than its partition. The
+Texts are read once, into a table of features in the shared folder. Each round deals that table's rows over groups of
+about GROUP_ROWS by a hash of the rows themselves, fits the model on every whole group and averages by rows. So all
+documents take part, no task holds more than a group, and the scores don't depend on how files or partitions are cut. The
 trusted positives are at most MAX_POSITIVES rows by a hash of doc_id.
 
 Edge cases: null and empty texts have the features of no words and are scored; rows with a null label are not
-trusted; without trusted positives every score is 0.5; repeated rows count each; other columns of docs are not read.
+trusted; without trusted positives every score is 0.5; a very long text is one row of features, worked on alone; equal
+scores stay equal (ties break nothing); repeated rows count each; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from attestry.llm.common import NOT_SPACE, Slice, Words, byte_set, in_batches, t
 
 NAMES = ("words", "word_bytes", "upper", "lower", "digits", "symbols", "bang", "bar", "odd_end", "adjacent", "distinct", "distinct_pairs", "lines", "long_words")
 MAX_POSITIVES = 20_000
-ROUNDS, STEPS, BATCH = 3, 80, 8192
+#: STEPS is the least for a group; a larger one takes as many as show it each row once.
+ROUNDS, STEPS, BATCH, GROUP_ROWS = 3, 80, 8192, 65_536
 
 _UPPER, _LOWER, _DIGIT = byte_set((65, 90)), byte_set((97, 122), (128, 255)), byte_set((48, 57))
 _SYMBOL = byte_set((33, 47), (58, 64), (91, 96), (123, 126))
@@ -75,11 +78,12 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def nnpu(start: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
-    """Adam on the non-negative risk under the logistic loss; the last weight is the bias."""
+    """Adam on the non-negative risk under the logistic loss; the last weight is the bias. All rows of unlabelled are seen."""
     w, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
     positive, unlabelled = (np.column_stack([x, np.ones(len(x))]) for x in (positive, unlabelled))
-    for k in range(steps):
-        u = unlabelled[(k * BATCH) % max(len(unlabelled), 1) :][:BATCH]
+    turns = -(-len(unlabelled) // BATCH)
+    for k in range(max(steps, turns)):
+        u = unlabelled[k % turns * BATCH :][:BATCH]
         zp, zu = np.clip(positive @ w, -30, 30), np.clip(u @ w, -30, 30)
         gain = (1 / (1 + np.exp(-zp))) @ positive / len(positive)  # gradient of the positives' loss as negatives
         negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
@@ -91,17 +95,15 @@ def nnpu(start: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior:
     return w
 
 
-def _averaged(feats: DataFrame, start: np.ndarray, positive: np.ndarray, scale: tuple[np.ndarray, np.ndarray], prior: float) -> np.ndarray:
-    """One round: the model fitted on each partition, averaged by its rows."""
+def _averaged(grouped: DataFrame, start: np.ndarray, positive: np.ndarray, scale: tuple[np.ndarray, np.ndarray], prior: float) -> np.ndarray:
+    """One round: the model fitted on each group, averaged by its rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = [b[list(NAMES)].to_numpy(np.float32) for b in batches]
-        if sum(map(len, x)):
-            own = (np.concatenate(x) - scale[0]) / scale[1]
-            own = own[np.random.default_rng(5).permutation(len(own))]
-            yield pd.DataFrame({"n": [len(own)], "w": [nnpu(start, positive, own, prior).tolist()]})
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values(["place", "doc_id", *NAMES])[list(NAMES)].to_numpy(float)
+        w = nnpu(start, positive, (own - scale[0]) / scale[1], prior)
+        return pd.DataFrame({"group": [int(group["group"].iloc[0])], "n": [len(own)], "w": [w.tolist()]})
 
-    got = feats.drop("doc_id").mapInPandas(run, "n long, w array<double>").toPandas()  # a row for each partition
+    got = grouped.groupBy("group").applyInPandas(run, "group long, n long, w array<double>").toPandas().sort_values("group")  # a row for each group
     return np.average(np.stack(got["w"]), axis=0, weights=got["n"]) if len(got) else start
 
 
@@ -129,7 +131,7 @@ def estimated_prior(feats: DataFrame, positive: np.ndarray, w: np.ndarray, scale
 def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row of docs. trusted: doc_id of the rows that are known to be positive."""
     feats = written(featured(docs, id_col, text_col), "quality-features")
-    sums = feats.agg(*(F.avg(c).alias(f"m_{c}") for c in NAMES), *(F.stddev_pop(c).alias(f"s_{c}") for c in NAMES)).first()
+    sums = feats.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in NAMES), *(F.stddev_pop(c).alias(f"s_{c}") for c in NAMES)).first()
     scale = tuple(np.array([float(sums[f"{k}_{c}"] or 0) for c in NAMES]) for k in "ms")
     scale = (scale[0], np.maximum(scale[1], 1e-3))
     sample = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
@@ -139,10 +141,12 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     if not len(positive):
         return feats.select("doc_id", F.lit(0.5).alias("score"))
     positive = (positive - scale[0]) / scale[1]
-    w = _averaged(feats, np.zeros(len(NAMES) + 1), positive, scale, 0.5)
+    place = F.xxhash64("doc_id", *NAMES)
+    grouped = feats.select("*", place.alias("place"), F.pmod(place, F.lit(-(-sums["n"] // GROUP_ROWS))).alias("group"))
+    w = _averaged(grouped, np.zeros(len(NAMES) + 1), positive, scale, 0.5)
     prior = estimated_prior(feats, positive, w, scale)
     for _ in range(ROUNDS):
-        w = _averaged(feats, w, positive, scale, prior)
+        w = _averaged(grouped, w, positive, scale, prior)
     return feats.select("doc_id", (1 / (1 + F.exp(-_margin(w, scale)))).alias("score"))
 
 

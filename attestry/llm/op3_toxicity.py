@@ -4,11 +4,12 @@ Features of a text, each present or not: its words, their leading bytes (inflect
 neighbouring words and pairs with one word between, hashed into 2^20 slots. FTRL-proximal keeps a rate per
 coordinate and its L1 term leaves few weights other than zero; only those are broadcast, whatever the corpus size.
 
-The labelled rows are fitted in one task, on at most MAX_ROWS of them by a hash of doc_id; scoring reads every
-whole text once and shuffles nothing.
+The labelled rows are fitted in one task, on whole texts of at most MAX_ROWS of them with MAX_SLOTS features together,
+in the order of a hash of doc_id; scoring reads every whole text once and shuffles nothing.
 
-Edge cases: a null or empty text has no features and gets the bias alone; rows whose label is null are not learned
-from; repeated rows are scored each; with no labelled rows, or of one class, every score is the observed share
+Edge cases: a null or empty text has no features and gets the bias alone; a very long text is worked on alone, and is
+scored by its distinct features like any other; rows whose label is null are not learned from; a doc_id that documents
+repeat is learned from with each text, within the bounds; equal scores stay equal; repeated rows are scored each; with no labelled rows, or of one class, every score is the observed share
 (0.0 without any); other columns of docs are not read.
 """
 
@@ -27,7 +28,7 @@ from attestry.llm.common import ALNUM, Slice, Words, in_batches, mix, table, tex
 SLOT_BITS = 20
 #: Leading bytes of a word that make a feature of their own, if the word is longer.
 STEMS = (4, 5, 6, 7)
-MAX_ROWS = 12_000
+MAX_ROWS, MAX_SLOTS = 12_000, 1 << 26
 
 
 def features(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +78,11 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_slots: int = MAX_SLOTS) -> tuple[np.ndarray, np.ndarray, float]:
     """The slots and values of the weights other than zero, and the bias.
 
-    labelled: doc_id, text and label (0, 1) of a bounded sample; texts become slots where they are, the fit is one task.
+    labelled: doc_id, text and label (0, 1) of a bounded sample; texts become slots where they are, the fit is one task
+    that takes rows in the order of a hash while they keep within max_rows and max_slots.
     """
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +96,21 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), found], names=["doc_id", "label", "slots"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat([pd.DataFrame({"doc_id": [], "label": [], "slots": []}), *batches]).sort_values("doc_id", kind="stable")
-        w, bias = fit(got["slots"].to_list(), got["label"].to_numpy(float))
+        found, labels, size = [], [], 0
+        for batch in batches:
+            for slots_, label in zip(batch["slots"], batch["label"], strict=True):
+                if len(found) < max_rows and size + len(slots_) <= max_slots:
+                    found.append(slots_)
+                    labels.append(label)
+                    size += len(slots_)
+        w, bias = fit(found, np.array(labels, float))
         at = np.flatnonzero(w)
         yield pd.DataFrame({"slot": np.append(at, -1).astype(np.int64), "weight": np.append(w[at], bias)})
 
     rows = labelled.select("doc_id", "text", F.col("label").cast("double").alias("label")).where("label IS NOT NULL")
     made = in_batches(rows, slots, "doc_id long, label double, slots array<int>")
-    model = made.repartition(1).mapInPandas(run, "slot long, weight double").toPandas()
+    order = made.select("*", F.xxhash64(F.col("doc_id").cast("string")).alias("place"), F.xxhash64("slots", "label").alias("tie"))
+    model = order.repartition(1).sortWithinPartitions("place", "doc_id", "tie").select("label", "slots").mapInPandas(run, "slot long, weight double").toPandas()
     bias = model.loc[model["slot"] < 0, "weight"]
     model = model[model["slot"] >= 0]
     return model["slot"].to_numpy(), model["weight"].to_numpy(), float(bias.iloc[0]) if len(bias) else -30.0

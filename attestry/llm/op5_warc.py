@@ -36,7 +36,7 @@ MIN_REVISIT = 1000
 #: Keys that are held to be hot are as many at most, and have SPLIT records at least; a part of one has about SPLIT.
 MOST_HOT, SPLIT = 1000, 512
 #: Control characters, spaces and what any reader may take for a line end.
-_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0  -‏ -  -⁯　﻿]")
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 
 class Archive(NamedTuple):

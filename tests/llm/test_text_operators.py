@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -53,6 +54,97 @@ def test_scores_of_odd_texts(spark, odd, none):
     assert op3.score(none, empty).count() == 0
 
 
+def _plain_ftrl(docs, labels, alpha=1.5, beta=1.0, l1=4.0, l2=0.0, epochs=6, seed=7):
+    """The published update, a coordinate at a time."""
+    share = sum(labels) / len(labels)
+    z, n, bias, bias_n = {}, {}, math.log(share / (1 - share)), 1.0
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else ((1 if zi > 0 else -1) * l1 - zi) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(docs)):
+            own = {int(i): weight(int(i)) for i in docs[k]}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(own.values()) + bias)))) - labels[k]
+            if abs(g) < 1e-4:
+                continue
+            for i, w in own.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= alpha * g / math.sqrt(bias_n)
+    return {i: w for i in z if (w := weight(i))}, bias
+
+
+def test_fit_as_the_plain_update(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["vile", "awful", "nasty"] if i % 3 == 0 and rng.random() < 0.3 else ["calm", "plain", "sunny", "river", "stone"]) for _ in range(40)) for i in range(120)]
+    labels = [int(i % 3 == 0) for i in range(120)]
+    found = []
+    for part in op3.text_slices(op3.pa.array(texts)):
+        doc, slot = op3.features(part)
+        found += [np.unique(slot[doc == d]) for d in range(part.hi - part.lo)]
+    w, bias = op3.fit(found, np.array(labels, float), l1=0.5)
+    want, want_bias = _plain_ftrl(found, labels, l1=0.5)
+    assert bias == pytest.approx(want_bias) and {int(i) for i in np.flatnonzero(w)} == set(want) and len(want) > 5
+    assert all(w[i] == pytest.approx(x, rel=1e-9) for i, x in want.items())
+    rows_ = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, label int")
+    fewer = op3.train(rows_, max_slots=sum(map(len, found)) // 2)
+    assert 0 < len(fewer[0]) and op3.train(rows_, max_rows=0)[0].size == 0
+    assert [a.tolist() for a in op3.train(rows_.repartition(7))[:2]] == [a.tolist() for a in op3.train(rows_)[:2]]
+
+
+def _risk(w, positive, mixed, prior):
+    """The non-negative risk and its gradient, a row at a time."""
+    value, grad = [0.0, 0.0, 0.0], [[0.0] * len(w) for _ in range(3)]  # R+(1), R+(0), Ru(0)
+    for part, rows_, sign, share in ((0, positive, -1, 1 / len(positive)), (1, positive, 1, 1 / len(positive)), (2, mixed, 1, 1 / len(mixed))):
+        for x in rows_:
+            full = [*x, 1.0]
+            z = sign * sum(a * b for a, b in zip(w, full, strict=True))
+            value[part] += share * (math.log1p(math.exp(-abs(z))) + max(z, 0))
+            for k, a in enumerate(full):
+                grad[part][k] += share * sign * a / (1 + math.exp(-z))
+    negative = value[2] - prior * value[1]
+    g = [-(c - prior * b) for b, c in zip(grad[1], grad[2], strict=True)] if negative < 0 else [prior * a + c - prior * b for a, b, c in zip(*grad, strict=True)]
+    return prior * value[0] + max(0.0, negative), g
+
+
+def test_risk_as_by_plain_descent():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.7, 1, (60, 2)), rng.normal(-0.7, 1, (90, 2))
+    positive, mixed = good[:30].tolist(), np.vstack([good[30:], bad]).tolist()
+    w, best = [0.0] * 3, math.inf
+    for k in range(300):
+        value, g = _risk(w, positive, mixed, 0.25)
+        best = min(best, value)
+        w = [a - 0.5 / (1 + k / 50) * b for a, b in zip(w, g, strict=True)]
+    ours = op1.nnpu(np.zeros(3), np.array(positive), np.array(mixed), 0.25, steps=400, decay=0.0)
+    assert _risk(ours.tolist(), positive, mixed, 0.25)[0] <= best + 0.02
+    sure = [x for x in mixed if abs(sum(a * b for a, b in zip(w, [*x, 1.0], strict=True))) > 0.5]
+    assert np.mean([(sum(a * b for a, b in zip(w, [*x, 1.0], strict=True)) > 0) == (np.dot(ours, [*x, 1.0]) > 0) for x in sure]) > 0.97
+
+
+def test_every_row_moves_the_fit(monkeypatch):
+    """Rows beyond STEPS batches count: two fits whose rows differ in the last batch alone differ."""
+    monkeypatch.setattr(op1, "BATCH", 16)
+    rng = np.random.default_rng(4)
+    good, mixed = rng.normal(1, 0.3, (100, 1)), rng.normal(0, 1, (16 * 150, 1))
+    other = mixed.copy()
+    other[-16:] -= 5
+    fits = [op1.nnpu(np.zeros(2), good, x, 0.4, steps=50) for x in (mixed, other)]
+    assert np.abs(fits[0] - fits[1]).max() > 1e-3
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trusted = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").select("doc_id")
+    one, many = ({r["doc_id"]: r["score"] for r in op1.score(d, trusted).collect()} for d in (docs.coalesce(1), docs.repartition(13)))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
+
+
 def test_l1_leaves_few_weights():
     rng = np.random.default_rng(0)
     docs = [np.unique(np.concatenate([rng.integers(0, 5000, 30), [7 if k % 2 else 8]])) for k in range(600)]
