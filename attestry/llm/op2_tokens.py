@@ -6,10 +6,11 @@ holds PERCENTILE of it, what doesn't fit goes to exception lists, and an index h
 any block is read alone. Segments are rows of a table in the shared folder with their task's number and their offset
 in it; the tasks' totals, one number each, give every document's place in the whole stream.
 
-Words are encoded once for as long as a task's bounded cache holds them: the vocabulary's rules never cross ASCII white
-space, so a text's ids are its words' ids in a row.
+Words are encoded once for as long as a worker's cache holds them, CACHED_WORDS of at most CACHED_BYTES bytes: the
+vocabulary's rules never cross ASCII white space, so a text's ids are its words' ids in a row.
 
-Edge cases: null and empty texts have the end id alone; a null doc_id sorts first; equal doc_ids are adjacent, in order
+Edge cases: null and empty texts have the end id alone; a very long text, with or without spaces, is encoded alone and
+its long words are kept by no cache; a null doc_id sorts first; equal doc_ids are adjacent, in order
 of their texts' hashes; an empty table gives no rows; other columns are not read.
 """
 
@@ -33,7 +34,7 @@ from attestry.llm.common import in_batches, table, text_slices, texts, written
 
 BLOCK, PERCENTILE = 128, 0.9
 END_ID = 1
-SEGMENT_IDS, CACHED_WORDS = 1 << 20, 200_000
+SEGMENT_IDS, CACHED_WORDS, CACHED_BYTES = 1 << 20, 200_000, 64
 _SEPARATOR, _MAGIC = "<|endoftext|>", b"PFR1"
 _PUNCTUATION = string.punctuation.encode()
 
@@ -118,6 +119,7 @@ class WordEncoder:
         if self.ending:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.ending)]] = True
         self.cached, self.recent, self.older = cached, {}, {}
+        self.passing: list[bytes] = []  # words that are too long to keep
 
     def _keep(self, words: list[bytes], ids: np.ndarray, cuts: list[int], gap: int) -> None:
         raw = ids.astype("<u4").tobytes()
@@ -162,6 +164,7 @@ class WordEncoder:
                 pieces.add(closed[-1][2])
             else:
                 pieces.add(w)
+        self.passing += [w for w in pieces if len(w) > CACHED_BYTES]
         letters, others = [], []
         for w in pieces:
             if w in self.recent:
@@ -193,7 +196,12 @@ class WordEncoder:
             new.difference_update(again)
         self._learn(new)
         find, end = self.recent.__getitem__, END_ID.to_bytes(4, "little")
-        return [b"".join(map(find, w)) + end for w in words]
+        out = [b"".join(map(find, w)) + end for w in words]
+        self.passing += [w for w in new if len(w) > CACHED_BYTES]
+        for w in self.passing:
+            self.recent.pop(w, None)
+        self.passing.clear()
+        return out
 
 
 @lru_cache(maxsize=1)

@@ -4,14 +4,23 @@ The best path over a vocabulary's pieces is found left to right. Only positions
 can still change what follows; whenever the backpointers of all of them lead through one boundary, the ids before it
 are committed and forgotten, so a text of any length is encoded in a window and not in a table of its length.
 
+Stream is that search as it is, a character at a time. Search runs many such windows side by side, in numpy: words are
+windows of their own, and longer runs of text are cut into windows of STEP characters that overlap by LEAD. A window
+that starts inside a run guesses that a boundary is there; where its scores differ from those of the window before by
+one constant over as many positions as the longest piece has characters, both have the same paths from there on, and
+the two are joined; a run in which that doesn't happen is left to Stream. After CHUNK characters a run is committed up to
+the boundary through which all surviving paths lead, and goes on from there.
+
 The vocabulary file ranks its pieces (it was made by merging), so a piece of rank r scores -log(r + 2), a
 frequency law, in millionths, so that sums are exact in any order.
 Spaces are the piece mark; no piece holds a mark after another character (checked), so a space is such a boundary always
-and words are encoded once for as long as a task's bounded cache holds them. Characters without a piece, and a mark
-that was in the text itself, become byte pieces, so decoding gives back every text exactly.
+and words are encoded once for as long as a worker's cache holds them: CACHED_WORDS of at most CACHED_CHARS characters.
+Characters without a piece, and a mark that was in the text itself, become byte pieces, so decoding gives back every text
+exactly.
 
-Edge cases: null and empty texts have no ids; very long words stream like any text; equal scores prefer the piece that
-starts first; repeated rows are encoded each; an empty table gives no rows; other columns are not read by encode().
+Edge cases: null and empty texts have no ids; very long texts and words are searched in windows; equal scores prefer the
+piece that starts first; repeated rows are encoded each; an empty table gives no rows; other columns are not read by
+encoded().
 """
 
 from __future__ import annotations
@@ -30,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import in_batches, mix, powers, table, texts
+from attestry.llm.common import in_batches, mix, powers, table, text_slices, texts
 
-MARK, CACHED_WORDS = "▁", 100_000
+MARK, CACHED_WORDS, CACHED_CHARS = "▁", 100_000, 24
 
 
 class Pieces:
@@ -76,7 +85,7 @@ class Stream:
 
     def _begin(self) -> None:
         self.done: list[int] = []
-        self.widest = 0
+        self.widest, self.due = 0, 2 * self.pieces.longest
         self.plain = self.text = ""  # characters from the last commit on, as they were and as symbols
         self.best: list[int] = [0]  # score by position after that commit
         self.back: list[tuple[int, tuple[int, ...]]] = [(-1, ())]  # previous position and the ids from there
@@ -100,8 +109,9 @@ class Stream:
             best.append(top)
             self.back.append(back)
         self.widest = max(self.widest, len(best) - 1)
-        if len(best) > 2 * p.longest:
+        if len(best) > self.due:
             self._commit(len(best) - p.longest)
+            self.due = 2 * max(p.longest, len(self.best))  # paths that don't meet yet aren't walked at each step
 
     def _commit(self, first_live: int) -> None:
         """Commits up to the boundary through which all positions from first_live on lead."""
@@ -138,107 +148,199 @@ def stream_encode(pieces: Pieces, text: str, step: int = 64) -> list[int]:
     return stream.finish()
 
 
-class Lockstep:
-    """The same search over many words at once, a character of each at a time. A word of at most WIDEST characters never
-    leaves the window, so that nothing of it is committed before its end; longer ones and those with byte pieces stream."""
+class Search:
+    """The same search in many windows at once, a character of each at a time.
+
+    Scores are kept times 32 with a piece's length added, so that one maximum finds the best and, of equal ones, the
+    piece that starts first.
+    """
 
-    WIDEST, SLOT_BITS = 32, 17
+    STEP, LEAD, CHUNK = 240, 64, 1 << 17  # many a period divides STEP, so that windows meet in periodic text too
+    SLOT_BITS, PREFIX_BITS = 18, 22
+    _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
-        names = [p for p in pieces.ids if len(p) <= self.WIDEST]
-        self.longest = max(map(len, names), default=1)
-        self._powers, self._inverse = powers(self.WIDEST)
+        if pieces.longest > 31:
+            raise ValueError("pieces of more than 31 characters")
+        self.pieces, self.longest = pieces, pieces.longest
+        self._powers, self._inverse = powers(4 * self.CHUNK)
+        names = list(pieces.ids)
+        flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(x) for x in names], np.int64)
+        start = np.cumsum(lengths) - lengths
+        sums = self._sums(flat)
+        self.prefix = np.zeros(1 << self.PREFIX_BITS, bool)
+        for k in range(1, self.longest + 1):
+            own = start[lengths >= k]
+            self.prefix[self._spread(self._runs(sums, own, k))] = True
+        keys, left = self._runs(sums, start, lengths), np.arange(len(names))
         self.tables = []  # key and id by slot; what collides goes to the next table
-        keys = np.zeros(len(names), np.uint64)
-        lengths = np.array([len(p) for p in names])
-        for n in np.unique(lengths).tolist():
-            own = np.flatnonzero(lengths == n)
-            rows = np.frombuffer("".join(names[i] for i in own).encode("utf-32-le"), np.uint32).reshape(-1, n)
-            keys[own] = self._hashes(rows, n)[:, 0]
-        left = np.arange(len(names))
         while len(left):
-            at = self._slots(keys[left], len(self.tables))
-            _, first = np.unique(at, return_index=True)
+            _, first = np.unique(self._slots(keys[left], len(self.tables)), return_index=True)
+            at = self._slots(keys[left[first]], len(self.tables))
             key, ident = np.zeros(1 << self.SLOT_BITS, np.uint64), np.full(1 << self.SLOT_BITS, -1, np.int32)
-            key[at[first]] = keys[left[first]]
-            ident[at[first]] = [pieces.ids[names[i]] for i in left[first]]
+            key[at] = keys[left[first]]
+            ident[at] = [pieces.ids[names[i]] for i in left[first]]
             self.tables.append((key, ident))
             left = np.delete(left, first)
-        self.score = np.full(len(pieces.bytes_of) + 1, -(1 << 60), np.int64)  # the last one, id -1, is no piece
+        self.score = np.zeros(len(pieces.bytes_of), np.int64)
         self.score[list(pieces.score)] = list(pieces.score.values())
+        self.byte_id = np.array(pieces.byte_id, np.int32)
 
-    def _hashes(self, rows: np.ndarray, size: int) -> np.ndarray:
-        """Of the runs of size characters that start at each place of each row."""
-        sums = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
-        np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * self._powers[: rows.shape[1]], axis=1, out=sums[:, 1:])
-        return self._runs(sums, size)
+    def _sums(self, flat: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self._powers[: len(flat)], out=out[1:])
+        return out
 
-    def _runs(self, sums: np.ndarray, size: int) -> np.ndarray:
-        return (sums[:, size:] - sums[:, :-size]) * self._inverse[: sums.shape[1] - size]
+    def _runs(self, sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of the runs of size characters from each start."""
+        return (sums[start + size] - sums[start]) * self._inverse[start]
+
+    def _spread(self, h: np.ndarray) -> np.ndarray:
+        return (h * self._SPREAD >> np.uint64(64 - self.PREFIX_BITS)).astype(np.int64)
 
     def _slots(self, keys: np.ndarray, turn: int) -> np.ndarray:
         return (mix(keys + np.uint64(turn)) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(keys.shape, -1, np.int32)
-        for turn, (key, ident) in enumerate(self.tables):
-            at = self._slots(keys, turn)
-            out = np.where(key[at] == keys, ident[at], out)
+    def _ends(self, plain: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the piece of each length (longest first) that ends with each character. room: characters left in its run."""
+        n, most = len(plain), self.longest
+        sums = self._sums(np.where(plain == 32, ord(MARK), np.where(plain == ord(MARK), 0, plain)))
+        score, ident = np.full((most, n), -(1 << 58), np.int64), np.full((most, n), -1, np.int32)
+        cost = 1 + (plain >= 0x80).astype(np.int64) + (plain >= 0x800) + (plain >= 0x10000)
+        score[-1] = self.pieces.byte_score * cost * 32 + 1
+        alive = np.arange(n)
+        for k in range(1, most + 1):
+            alive = alive[room[alive] >= k]
+            h = self._runs(sums, alive, k)
+            known = self.prefix[self._spread(h)]
+            alive, h = alive[known], h[known]
+            found = np.full(len(h), -1, np.int32)
+            left = np.arange(len(h))
+            for turn, (key, name) in enumerate(self.tables):
+                at = self._slots(h[left], turn)
+                hit = key[at] == h[left]
+                found[left[hit]] = name[at[hit]]
+                left = left[~hit] if turn + 1 < len(self.tables) else left
+            hit = found >= 0
+            at = alive[hit] + k - 1
+            score[most - k, at], ident[most - k, at] = self.score[found[hit]] * 32 + k, found[hit]
+        return score, ident
+
+    def _windows(self, score: np.ndarray, base: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores and backpointers (lengths) by position of windows that start at base, a column for each."""
+        most, end = self.longest, score.shape[1] - 1
+        best, back = np.full((most + width, len(base)), -(1 << 60), np.int64), np.zeros((width + 1, len(base)), np.uint8)
+        best[most - 1] = 0
+        for t in range(1, width + 1):
+            top = (best[t - 1 : t - 1 + most] + score[:, np.minimum(base + (t - 1), end)]).max(0)
+            size = top & 31
+            best[most - 1 + t], back[t] = top - size, size
+        return best[most - 1 :], back
+
+    def _joined(self, best: np.ndarray, back: np.ndarray, n: int) -> np.ndarray | None:
+        """The backpointers of a run of n characters from those of its windows; None if two of them don't meet."""
+        out, most = back[: n + 1, 0] if back.shape[1] == 1 else np.zeros(n + 1, np.uint8), self.longest
+        if back.shape[1] == 1:
+            return out
+        gap = best[self.STEP : self.STEP + self.LEAD + 1, :-1] - best[: self.LEAD + 1, 1:]
+        same = np.cumsum(np.vstack([np.zeros((1, gap.shape[1]), np.int64), gap[1:] == gap[:-1]]), axis=0)
+        met = same[most - 1 :] - same[: len(same) - most + 1] == most - 1
+        if not met.any(0).all():
+            return None
+        turn = [0, *(met.argmax(0) + most - 1 + self.STEP * np.arange(1, back.shape[1])).tolist(), n]
+        for k, (a, b) in enumerate(zip(turn, turn[1:])):
+            out[a + 1 : b + 1] = back[a + 1 - k * self.STEP : b + 1 - k * self.STEP, k]
         return out
 
+    def _ids(self, plain: np.ndarray, ident: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of tokens that end before the places ends, and how many each gives: characters without a piece give their bytes."""
+        ids = ident[self.longest - sizes, ends - 1]
+        raw = ids < 0
+        counts = np.ones(len(ids), np.int64)
+        if raw.any():
+            own = plain[ends[raw] - 1]
+            counts[raw] = 1 + (own >= 0x80).astype(np.int64) + (own >= 0x800) + (own >= 0x10000)
+            ids, spread = np.repeat(ids, counts), np.repeat(raw, counts)
+            ids[spread] = self.byte_id[np.frombuffer(own.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return ids.astype("<i4"), counts
+
+    @staticmethod
+    def _traced(back: np.ndarray, at: int) -> np.ndarray:
+        """Ends of the tokens on the path to a position."""
+        sizes, ends = back.tolist(), []
+        while at:
+            ends.append(at)
+            at -= sizes[at]
+        return np.array(ends[::-1], np.int64)
+
+    def _run(self, plain: np.ndarray, last: bool) -> tuple[np.ndarray, int] | None:
+        """Ids of a run as far as it's committed, and that boundary: its end if it is the last part of its text. None: no such boundary."""
+        n = len(plain)
+        score, ident = self._ends(plain, np.arange(n, 0, -1))
+        n_windows = max(1, -(-(n - self.LEAD) // self.STEP))
+        base = np.arange(n_windows) * self.STEP
+        best, back = self._windows(score, base, min(n, self.STEP + self.LEAD))
+        joined = self._joined(best, back, n)
+        if joined is None:
+            return None
+        at = n
+        if not last:
+            live = set(range(n - self.longest + 1, n + 1))
+            while len(live) > 1:
+                top = max(live)
+                live.discard(top)
+                live.add(top - int(joined[top]))
+            at = live.pop()
+        ends = self._traced(joined, at)
+        return self._ids(plain, ident, ends, joined[ends].astype(np.int64))[0], at
+
+    def long(self, text: str) -> bytes:
+        """The ids of a run of any length, little-endian."""
+        plain, out, at, size = np.frombuffer(text.encode("utf-32-le"), np.uint32), [], 0, self.CHUNK
+        while at < len(plain):
+            got = self._run(plain[at : at + size], at + size >= len(plain))
+            if got is not None and got[1] == 0 and size < 4 * self.CHUNK:
+                size *= 2
+                continue
+            if got is None or got[1] == 0:
+                return b"".join([*out, np.array(stream_encode(self.pieces, text[at:]), "<i4").tobytes()])
+            out.append(got[0].tobytes())
+            at, size = at + got[1], self.CHUNK
+        return b"".join(out)
+
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word, little-endian."""
         out: list[bytes] = [b""] * len(words)
-        sizes = np.array([len(w) if len(w) <= self.WIDEST and MARK not in w and "\0" not in w else self.WIDEST + 1 for w in words])
-        for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, self.WIDEST)):
+        sizes = np.array([len(w) for w in words], np.int64)
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 64), (64, self.STEP + self.LEAD)):
             own = np.flatnonzero((sizes > low) & (sizes <= high))
-            for i in range(0, len(own), 1 << 14):
-                part = own[i : i + (1 << 14)]
-                for k, ids in zip(part.tolist(), self._same([words[k] for k in part], sizes[part], high), strict=True):
-                    out[k] = ids if ids is not None else np.array(stream_encode(self.pieces, words[k]), "<i4").tobytes()
-        for k in np.flatnonzero(sizes > self.WIDEST).tolist():
-            out[k] = np.array(stream_encode(self.pieces, words[k]), "<i4").tobytes()
+            for part in np.array_split(own, max(1, -(-len(own) * high // self.CHUNK))):
+                for k, ids in zip(part.tolist(), self._short([words[k] for k in part], sizes[part]) if len(part) else [], strict=True):
+                    out[k] = ids
+        for k in np.flatnonzero(sizes > self.STEP + self.LEAD).tolist():
+            out[k] = self.long(words[k])
         return out
 
-    def _same(self, words: list[str], sizes: np.ndarray, width: int) -> list[bytes | None]:
-        n = len(words)
-        rows = np.zeros((n, width), np.uint32)
-        inside = np.arange(width) < sizes[:, None]
+    def _short(self, words: list[str], sizes: np.ndarray) -> list[bytes]:
+        """Words of a window each."""
         plain = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        rows[inside] = np.where(plain == 32, ord(MARK), plain)
-        costs = np.ones((n, width), np.int64)
-        costs[inside] += (plain >= 0x80).astype(np.int64) + (plain >= 0x800) + (plain >= 0x10000)
-        sums = np.zeros((n, width + 1), np.uint64)
-        np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * self._powers[:width], axis=1, out=sums[:, 1:])
-        found = [None, *(self._find(self._runs(sums, k)) for k in range(1, min(width, self.longest) + 1))]
-        best = np.zeros((n, width + 1), np.int64)
-        size_at, id_at = np.zeros((n, width + 1), np.int8), np.full((n, width + 1), -1, np.int32)
-        for end in range(1, width + 1):
-            top, size, ident = np.full(n, -(1 << 59), np.int64), np.zeros(n, np.int8), np.full(n, -1, np.int32)
-            for k in range(min(end, self.longest), 0, -1):
-                own = found[k][:, end - k]
-                value = best[:, end - k] + self.score[own]
-                better = value > top
-                top, size, ident = np.where(better, value, top), np.where(better, k, size), np.where(better, own, ident)
-            value = best[:, end - 1] + self.pieces.byte_score * costs[:, end - 1]
-            raw = (size != 1) & (value > top)
-            best[:, end], size_at[:, end], id_at[:, end] = np.where(raw, value, top), np.where(raw, 1, size), np.where(raw, -1, ident)
-        at, every = sizes.astype(np.int64), np.arange(n)
-        taken: list[np.ndarray] = []
-        odd = np.zeros(n, bool)
+        stop = np.cumsum(sizes)
+        base = stop - sizes
+        score, ident = self._ends(plain, np.repeat(stop, sizes) - np.arange(len(plain)))
+        _, back = self._windows(score, base, int(sizes.max()))
+        at, every, taken = sizes.copy(), np.arange(len(words)), []
         while (at > 0).any():
-            on = at > 0
-            ids = np.where(on, id_at[every, at], -2)
-            odd |= ids == -1
-            taken.append(ids)
-            at = at - np.where(on, size_at[every, at], 0)
-        table = np.stack(taken[::-1], axis=1) if taken else np.zeros((n, 0), np.int32)
-        keep = table != -2
-        ends = np.cumsum(keep.sum(1))
-        raw_ids = table[keep].astype("<i4").tobytes()
-        starts = [0, *ends[:-1].tolist()]
-        return [None if o else raw_ids[4 * a : 4 * b] for o, a, b in zip(odd.tolist(), starts, ends.tolist(), strict=True)]
+            taken.append(np.where(at > 0, at, 0))
+            at = at - np.where(at > 0, back[at, every], 0)
+        table = np.stack(taken[::-1], axis=1)
+        keep = table > 0
+        ends, lengths = table[keep], np.take_along_axis(back.T, table, 1)[keep].astype(np.int64)
+        tokens = keep.sum(1)
+        ids, counts = self._ids(plain, ident, ends + np.repeat(base, tokens), lengths)
+        cut = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(tokens)])] * 4
+        raw, cut = ids.tobytes(), cut.tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
 
 class Encoder:
@@ -246,7 +348,7 @@ class Encoder:
 
     def __init__(self, model: bytes, cached: int = CACHED_WORDS) -> None:
         self.pieces, self.cached = Pieces(model), cached
-        self.lockstep = Lockstep(self.pieces)
+        self.search = Search(self.pieces)
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -265,9 +367,7 @@ class Encoder:
         return words
 
     def encode_all(self, texts_: list[str]) -> list[np.ndarray]:
-        if not self.pieces.words_apart:
-            return [np.array(stream_encode(self.pieces, t), "<i4") for t in texts_]
-        words = [self._words(t) for t in texts_]
+        words = [self._words(t) for t in texts_] if self.pieces.words_apart else [[t] if t else [] for t in texts_]
         if len(self.recent) > self.cached:
             self.recent, self.older = {}, self.recent
         new = set().union(*words) - self.recent.keys()
@@ -276,9 +376,13 @@ class Encoder:
             self.recent.update((w, self.older[w]) for w in again)
             new -= again
         fresh = list(new)
-        self.recent.update(zip(fresh, self.lockstep.encode(fresh), strict=True))
+        self.recent.update(zip(fresh, self.search.encode(fresh), strict=True))
         find = self.recent.__getitem__
-        return [np.frombuffer(b"".join(map(find, w)), "<i4") for w in words]
+        out = [np.frombuffer(b"".join(map(find, w)), "<i4") for w in words]
+        for w in fresh:
+            if len(w) > CACHED_CHARS:
+                del self.recent[w]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -301,8 +405,8 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for own in text_slices(batch.column(1)):
+                part = batch.slice(own.lo, own.hi - own.lo)
                 plain = part.column(1).to_pylist()
                 ids = encoder.encode_all(plain)
                 same = [encoder.pieces.decode(x.tolist()) == t for x, t in zip(ids, plain, strict=True)]

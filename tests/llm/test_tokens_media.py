@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -48,6 +49,15 @@ def test_words_as_texts(parts):
     assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4")[:-1].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_long_words_are_not_kept():
+    encoder = op2.WordEncoder(op2.tokenizer_file())
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)) + k for k in ("", ".", "!?", " a")] * 3
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4")[:-1].tolist() for x in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(map(len, encoder.recent)) < 200 and max(map(len, encoder.recent)) <= op2.CACHED_BYTES
+
+
 def test_tokens_of_nothing(none):
     assert op2.read(op2.write(none, op2.tokenizer_file())).count() == 0
 
@@ -118,6 +128,33 @@ def test_stream_commits_the_best_path(parts):
     assert encoder.pieces.decode(want) == text
 
 
+@pytest.mark.parametrize("kind", ["latin", "han", "pieces", "periodic", "unary", "odd"])
+def test_long_runs_are_joined_from_windows(kind, monkeypatch):
+    """Runs without spaces, committed in parts and in one, against the search over a whole table."""
+    encoder, rng = op9.encoder_of(op9.model_file()), random.Random(7)
+    pool = [p for p in encoder.pieces.ids if not p.startswith("▁") and len(p) > 1]
+    text = {
+        "latin": lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(4000)),
+        "han": lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4000)),
+        "pieces": lambda: "".join(rng.choice(pool) for _ in range(1000)),
+        "periodic": lambda: "abcabcd" * 600,
+        "unary": lambda: "=" * 4001,
+        "odd": lambda: "".join(rng.choice(["▁", "\0", "😀", "é", "ing", "the", "=="]) for _ in range(3000)),
+    }[kind]()
+    want = np.array(_best(encoder.pieces, text), "<i4").tobytes()
+    assert encoder.search.long(text) == want == op9.np.array(op9.stream_encode(encoder.pieces, text), "<i4").tobytes()
+    monkeypatch.setattr(op9.Search, "CHUNK", 700)
+    assert encoder.search.long(text) == want
+    monkeypatch.setattr(op9.Search, "_joined", lambda *_: None)  # windows that never meet are left to the stream
+    assert encoder.search.long(text) == want
+
+
+def test_long_words_pass_the_cache():
+    encoder = op9.Encoder(op9.model_file())
+    encoder.encode_all(["x" * 5000 + " " + "word " * 40, "漢" * 9000])
+    assert max(map(len, encoder.recent)) <= op9.CACHED_CHARS
+
+
 def test_window_stays_small():
     pieces = op9.encoder_of(op9.model_file()).pieces
     stream = op9.Stream(pieces)
