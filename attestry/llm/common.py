@@ -29,13 +29,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="attestry-")
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """A fresh folder under spark.checkpoint.dir. Where that is unset a temporary one, on a local master alone: executors elsewhere would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="attestry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return f"{(root or _own_dir()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def in_batches(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
@@ -50,7 +54,21 @@ def written(df: DataFrame, tag: str, codec: str = "zstd", partition_by: tuple[st
     """df as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, tag)
     df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def joined_by(rows: DataFrame, keyed: DataFrame, key: str, least: int = 512, most: int = 1000) -> DataFrame:
+    """rows.join(keyed, key), where one key may hold a third of the rows and keyed has one row for each key.
+
+    Keys that hold more than one in `most` of the rows are `most` at most: their rows of keyed are broadcast, and only
+    the others are shuffled. rows is read several times, so it should be a written table.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = written(counts.where(F.col("_n") > max(least, rows.count() // most)).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(keyed, key)
+    ahead = keyed.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(ahead), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(keyed, key))
 
 
 class Slice(NamedTuple):

@@ -5,7 +5,8 @@ of 4 bits agree in two of six blocks of bits at least, whatever bits differ, so
 shard, and every linked pair meets in one. A shard's BK-tree (children keyed by their Hamming distance to the parent)
 answers which of its members lie within the radius and follows only the edges that can hold them. The trees are not
 broadcast to all tasks, since all of them together grow with the corpus: a shuffle brings each to the members that
-can match it. Shards of more than CHUNK fingerprints are split, and every two parts of one meet in a task of their own.
+can match it. Shards of more than CHUNK fingerprints are split, and every two parts of one meet in a task of their own;
+the 15 x 2^22 shards have 4096 members each at some 10^10 distinct fingerprints, beyond which that grows with the square.
 
 Texts that share four fifths of their shingles differ in more bits than blocks can answer for. For these (similarity
 set, as in the pipeline) shards are bands of MinHash values, of which such texts share one but for a chance of
@@ -15,7 +16,9 @@ Fingerprints decide nothing here, since shingles that repeat move them. Of shard
 and only members of shards carry their shingles, which are made once more from their texts.
 
 Only distinct fingerprints are sharded (distinct word sequences with similarity), a shard gives a spanning forest and not its pairs, and the forest's components
-are found by alternating large-star and small-star joins, each round written to the shared folder.
+are found by alternating large-star and small-star joins, each round written to the shared folder. A node with more than
+one in MOST_HOT of the edges is one of MOST_HOT at most; what these join with is broadcast, so that the star of a giant
+group isn't one task.
 
 Edge cases: null, empty and blank texts have the fingerprint 0 and link like any other; fewer words than a shingle make
 one shingle of them all; repeated rows are in one component and each is returned; a null doc_id links nothing and its
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import in_batches, mix, table, text_slices, texts, written
 
-WORDS, RADIUS, SEED, CHUNK = 4, 4, 42, 4096
+WORDS, RADIUS, SEED, CHUNK = 4, 4, 42, 1024
+#: Nodes of a graph that are held to be hot are as many at most, and have LEAST_HOT edges at least.
+MOST_HOT, LEAST_HOT = 1000, 256
 #: First bit and width of six blocks of the 64 bits.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: MinHash values, those that make a band, bands, and the standard errors that candidates may lack.
@@ -255,21 +260,28 @@ def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similari
     return in_batches(met, run, "u long, v long")
 
 
+def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """rows (u, v) with m, what least (u, m, n) has for u; n is how many rows u has."""
+    hot = least.where(F.col("n") > max(LEAST_HOT, 2 * n_edges // MOST_HOT)).select("u", "m")  # MOST_HOT rows at most
+    told = rows.join(F.broadcast(hot), "u", "left")
+    return told.where("m IS NOT NULL").unionByName(told.where("m IS NULL").drop("m").join(least.select("u", "m"), "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of the nodes that edges (u, v) touch."""
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
+    state, n = None, e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = written(small.distinct(), "links")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+        state, n = now, now[0]
 
 
 def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:

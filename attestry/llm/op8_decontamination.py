@@ -5,27 +5,31 @@ ends at each word tells which windows (WINDOW consecutive words of an item, or a
 which items own them. Words that no item has cannot match, so only runs of item words that are long enough are
 streamed; a hash table finds those runs, and the words themselves decide.
 
-The automaton is broadcast, of at most MAX_ITEM_WORDS words of items; a larger benchmark is dealt into several, each
-matched in a pass of its own, and the passes' spans are united. Documents are not shuffled with one automaton.
+The automaton is broadcast, of about MAX_ITEM_WORDS words of items; a larger benchmark is dealt into several, and an
+item of more words into parts that overlap by a window less a word. Each automaton is built, matched in a pass whose
+spans are written, and released before the next, so that driver and executors hold one at a time; the passes' spans are
+united. Documents are not shuffled with one automaton.
 
-Edge cases: null and empty texts have no words and are clean; items without words or without an item_id match nothing;
+Edge cases: null and empty texts have no words and are clean; very long texts are streamed a slice at a time; items without words or without an item_id match nothing;
 equal items are both named; repeated rows are judged each; with an empty benchmark every document is clean; other
 columns are not read.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from attestry.llm.common import Words, byte_set, in_batches, table, text_slices
+from attestry.llm.common import Words, byte_set, in_batches, table, text_slices, written
 
 WINDOW = 13
 MAX_ITEM_WORDS = 300_000
@@ -124,9 +128,8 @@ class Automaton:
                     yield i + 1 - n, i + 1, (item,)
 
 
-def _hits(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """key, n_words, spans (start, end in words) and items of every row. docs: key, text."""
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
+def _hits(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """key, n_words, spans (start, end in words) and items of every row. docs: key, text. sent: an Automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Automaton = sent.value
@@ -170,16 +173,28 @@ def _hits(docs: DataFrame, automaton: Automaton) -> DataFrame:
     return in_batches(docs.select("key", "text"), run, kind)
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> list[Automaton]:
-    """One automaton, or as many as the benchmark's words need; items are collected for one at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0  # as many words at most
-    n = max(1, -(-total // (2 * max_words)))
-    out = []
-    for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        out.append(Automaton([(r["item_id"], words_of(r["text"].encode())) for r in own], window))
-    return out
+def item_parts(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
+    """item_id, part and words (spaced) of the items that have any; longer ones in overlapping parts, so that each window is in one."""
+    plain = F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.regexp_extract_all(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words.alias("all")).where("item_id IS NOT NULL AND size(all) > 0")
+    step = max(max_words, window)
+    starts = F.expr(f"sequence(1, greatest(size(all) - {window - 1}, 1), {step})")
+    each = items.select("item_id", "all", F.posexplode(starts).alias("part", "at"))
+    return each.select("item_id", "part", F.array_join(F.expr(f"slice(all, at, {step + window - 1})"), " ").alias("words"), F.expr(f"least(size(all) - at + 1, {step + window - 1})").alias("n"))
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> tuple[int, Iterator[Automaton]]:
+    """How many automata the benchmark's words need, and each in turn; the items of one at a time come to the driver."""
+    items = item_parts(benchmark, window, max_words)
+    n = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // max_words))
+
+    def made() -> Iterator[Automaton]:
+        for k in range(n):
+            own = items.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(n)) == k).orderBy("item_id", "part", "words").collect()
+            yield Automaton([(r["item_id"], r["words"].encode().split(b" ")) for r in own], window)
+
+    return n, made()
 
 
 _COVERED = "cast(size(array_distinct(flatten(transform(spans, x -> sequence(x.s, x.e - 1))))) as long)"
@@ -189,15 +204,20 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_wor
     """doc_id, n_words, n_hit, spans (in words) and items of every row of docs, and the row itself if carry."""
     own = {"row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))} if carry else {}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(c.alias(k) for k, c in own.items()))
-    found = automata(benchmark, window, max_words)
-    if len(found) == 1:
-        hits = _hits(rows.select(F.struct("doc_id", *own).alias("key"), "text"), found[0])
+    n, found = automata(benchmark, window, max_words)
+    send = docs.sparkSession.sparkContext.broadcast
+    if n == 1:
+        hits = _hits(rows.select(F.struct("doc_id", *own).alias("key"), "text"), send(next(found)))
         hits = hits.select("key.*", "n_words", "spans", "items")
     else:  # equal rows have equal hits, so doc_id and the text's hash name a row
         keyed = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text", *own)
-        passes = reduce(DataFrame.unionByName, [_hits(keyed, a) for a in found])
+        passes = []
+        for automaton in found:
+            sent = send(automaton)
+            passes.append(written(_hits(keyed, sent), "hits"))
+            sent.destroy()
         together = (F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("spans", "items"))
-        united = passes.groupBy("key").agg(F.max("n_words").alias("n_words"), *together)
+        united = reduce(DataFrame.unionByName, passes).groupBy("key").agg(F.max("n_words").alias("n_words"), *together)
         united = united.select(F.col("key").alias("own"), "n_words", "spans", "items")
         hits = keyed.join(united, F.col("key").eqNullSafe(F.col("own"))).select("key.doc_id", *own, "n_words", "spans", "items")
     return hits.selectExpr("doc_id", *own, "n_words", f"{_COVERED} AS n_hit", "spans", "items")

@@ -18,6 +18,7 @@ from attestry.llm import op6_simhash as op6
 from attestry.llm import op7_licences as op7
 from attestry.llm import op8_decontamination as op8
 from attestry.llm import op10_pii as op10
+from attestry.llm.common import joined_by
 from tests.conftest import same
 from tests.llm.conftest import DDL, ODD_TEXTS, PROSE, rows
 
@@ -259,6 +260,26 @@ def test_fingerprints_and_components(spark, odd, none):
     assert op6.grouped(none).count() == 0 and op6.deduplicated(none).count() == 0
 
 
+def test_components_of_a_giant_star(spark, monkeypatch):
+    """One node with most of the edges, chains and a cycle; hot nodes told apart."""
+    edges = [(k, 0) for k in range(1, 900)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001), (2001, 2002), (2002, 2000), (5, 1040)]
+    least = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    for few in (op6.LEAST_HOT, 1, 10**9):
+        monkeypatch.setattr(op6, "LEAST_HOT", few)
+        got = {r["node"]: r["component"] for r in op6.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {k: v for k, v in least.items() if k != v}
+
+
+def test_join_by_a_hot_key(spark):
+    left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k long, i long")
+    right = spark.createDataFrame([(i, str(i)) for i in range(0, 3000, 2)], "k long, s string")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, joined_by(left, right, "k").collect())) == want == sorted(map(tuple, joined_by(left, right, "k", least=10**6).collect()))
+
+
 def test_tree_follows_all_that_matter():
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(300)]
@@ -369,6 +390,8 @@ def test_windows_by_hand(spark, odd, none):
     assert cut[15] == "intro ! tail" and all(cut[i] == texts[i] for i in clean) and len(cut) == len(texts)
     assert op8.matched(odd, bench.limit(0)).where("n_hit > 0").count() == 0 and op8.matched(none, bench).count() == 0
     assert op8.matched(odd, bench, carry=True).count() == odd.count()
+    parts = op8.item_parts(bench, max_words=20).collect()
+    assert max(r["n"] for r in parts) == 20 + 12 and {r["item_id"] for r in parts if r["part"]} == {5}
 
 
 PLAIN = {

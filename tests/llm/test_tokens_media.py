@@ -79,6 +79,8 @@ def test_media_come_back(spark, odd):
     assert len({r["media_sha256"] for r in got if texts[r["doc_id"]] == ODD_TEXTS[4]}) == 1
     shared = sum(len(bytes(r["data"])) for r in store.chunks.collect())
     assert 0 < shared < 30_000  # of 120,000 bytes; copies' chunks are there once
+    stored = {hashlib.sha256(bytes(r["form"])).hexdigest(): len(bytes(r["form"])) for r in store.media.collect()}
+    assert {r["media_sha256"]: r["media_bytes"] for r in got} == stored  # of the bytes that are stored
     bad = store._replace(chunks=store.chunks.selectExpr("digest", "cast(concat(cast(data as string), '!') as binary) AS data"))
     with pytest.raises(Exception, match="not what was stored"):
         op4.described(bad).collect()
