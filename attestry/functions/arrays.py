@@ -37,14 +37,23 @@ def running(values: Column, combine: Callable[[Column, Column], Column] = lambda
     return let(values, all_of)
 
 
-def found(text: Column, pattern: Column) -> Column:
-    """array<struct<start, value>> of all matches of a pattern: what lies between matches is as long as split says, so sums of lengths are places."""
+def found(text: Column, pattern: Column, lines: bool = False) -> Column:
+    """array<struct<start, value>> of all matches of a pattern, with lines also their line.
+
+    What lies between matches is as long as split says, so sums of lengths are places.
+    """
     length = lambda x: F.coalesce(F.length(x), F.lit(0))
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+    ends = lambda x: length(x) - length(F.replace(x, F.lit("\n"), F.lit("")))
+    more = lambda gap, value: [ends(gap).alias("above"), ends(value).alias("within")] if lines else []
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value"), *more(gap, value)))
 
     def placed(xs: Column) -> Column:
         at = running(F.transform(xs, lambda x: x["gap"] + length(x["value"])))
         spans = F.zip_with(xs, at, lambda x, before: F.struct((before + x["gap"]).alias("start"), x["value"].alias("value")))
+        if lines:
+            above = running(F.transform(xs, lambda x: x["above"] + x["within"]))
+            number = F.zip_with(xs, above, lambda x, before: before + x["above"] + 1)
+            spans = F.zip_with(spans, number, lambda s, n: F.struct(s["start"].alias("start"), s["value"].alias("value"), n.alias("line")))
         return F.filter(spans, lambda s: s["value"].isNotNull())
 
     return let(both, placed)

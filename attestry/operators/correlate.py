@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
+from attestry.operators.findings import capped
 
+#: Signals of a rule that paths may name.
+MOST = 2000
 #: Titles are part of a path's identity.
 TITLES = {
     "client_data": "Public client credential combines with an under-protected BaaS data plane",
@@ -29,8 +32,8 @@ def _paths(related: DataFrame, key: str, ord_: int, level: Column | None = None,
     fp = T.sha256(F.concat_ws(T.NUL, F.lit(TITLES[key]), F.col("fps")))
     return got.select(
         F.concat(F.lit("path_"), fp.substr(1, 16)).alias("id"), fp.alias("fingerprint"), F.lit(TITLES[key]).alias("title"), F.lit("critical").alias("severity"), "evidence_level",
-        F.transform("rows", lambda r: r["id"]).alias("signal_ids"), F.lit(ord_ * (1 << 40)).cast("long").alias("base"), "ord", "parts",
-    ).withColumn("ord", F.col("base") + F.col("ord")).drop("base")
+        F.transform("rows", lambda r: r["id"]).alias("signal_ids"), F.lit(ord_).alias("place"), "ord", "parts",
+    )
 
 
 def _of(signals: DataFrame, pattern: str, part: int) -> DataFrame:
@@ -42,7 +45,9 @@ def _first_segment(route: Column) -> Column:
 
 
 def attack_paths(signals: DataFrame) -> DataFrame:
-    """All paths. A path of two or three parts exists if each part has a signal; it names all of them, so signals are those that findings.capped() lets through."""
+    """All paths, ordered by place and ord. A path of two or three parts exists if each part has a signal; it names all of
+    them, MOST of each rule at most, so that no row gathers more than a few rules' worth."""
+    signals = capped(signals.drop("partial"), MOST, "rule_id").drop("partial")
     open_data = r"supabase\.(?:table-without-rls|permissive-rls-policy)|firebase\.unconditional-access"
     secrets, data = _of(signals, r"client-public-privileged|artifact\.embedded-secret", 0), _of(signals, open_data, 1)
     first = _paths(secrets.unionByName(data), "client_data", 0).where("parts = 2")

@@ -22,6 +22,16 @@ def capped(signals: DataFrame, most: int = 2000, by: str = "engine") -> DataFram
     return kept.withColumn("partial", F.max("_rn").over(Window.partitionBy(by)) > most).where(F.col("_rn") <= most).drop("_rn")
 
 
+def no_paths(signals: DataFrame) -> DataFrame:
+    """An empty relation of attack paths whose order is that of signals."""
+    return signals.limit(0).select("id", "fingerprint", "title", F.col("title").alias("summary"), "severity", "evidence_level", F.array("id").alias("signal_ids"), F.lit(0).alias("place"), "ord")
+
+
+def sorted_findings(findings: DataFrame) -> DataFrame:
+    """Most severe first, then by title; equal ones by id."""
+    return findings.orderBy(T.severity_rank(F.col("severity")).desc(), "title", "id")
+
+
 def sorted_signals(signals: DataFrame) -> DataFrame:
     return signals.orderBy(T.severity_rank(F.col("severity")).desc(), "rule_id", "path", "id")
 
@@ -34,12 +44,12 @@ def consumed(signals: DataFrame, paths: DataFrame) -> DataFrame:
 
 def merged(signals: DataFrame, paths: DataFrame) -> DataFrame:
     """Findings by fingerprint: the first one's fields, all signal ids in order. Paths come before signals."""
-    from_paths = paths.select("fingerprint", "title", "severity", "evidence_level", "signal_ids", F.col("id").alias("attack_path_id"), F.lit(0).alias("kind"), "ord")
+    from_paths = paths.select("fingerprint", "title", "severity", "evidence_level", "signal_ids", F.col("id").alias("attack_path_id"), F.lit(0).alias("kind"), "place", "ord")
     alone = signals.join(consumed(signals, paths), "id", "left_anti")
-    from_signals = alone.select("fingerprint", "title", "severity", "evidence_level", F.array("id").alias("signal_ids"), F.lit(None).cast("string").alias("attack_path_id"), F.lit(1).alias("kind"), "ord")
+    from_signals = alone.select("fingerprint", "title", "severity", "evidence_level", F.array("id").alias("signal_ids"), F.lit(None).cast("string").alias("attack_path_id"), F.lit(1).alias("kind"), F.lit(0).alias("place"), "ord")
     rows = from_paths.unionByName(from_signals)
-    first = F.min_by(F.struct("title", "severity", "evidence_level", "attack_path_id"), F.struct("kind", "ord")).alias("first")
-    ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kind", "ord", "signal_ids"))), lambda x: x["signal_ids"]))).alias("signal_ids")
+    first = F.min_by(F.struct("title", "severity", "evidence_level", "attack_path_id"), F.struct("kind", "place", "ord")).alias("first")
+    ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kind", "place", "ord", "signal_ids"))), lambda x: x["signal_ids"]))).alias("signal_ids")
     got = rows.groupBy("fingerprint").agg(first, ids)
     return got.select(F.concat(F.lit("finding_"), F.col("fingerprint").substr(1, 16)).alias("id"), "fingerprint", "first.title", "first.severity", "first.evidence_level", F.lit("open").alias("status"), "signal_ids", "first.attack_path_id")
 

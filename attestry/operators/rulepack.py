@@ -5,12 +5,16 @@ Rules are at most 256 (MAX_RULES is checked), so they are broadcast; files and l
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 
 MAX_PACKS, MAX_RULES = 8, 256
+#: Files of a walk whose costs one task adds up; shown pairs of all rules together.
+WALK_BLOCK, MAX_SHOWN = 100_000, 2000
 #: Shared budgets of a scan: rule and file pairs, bytes, bytes times literals, lines.
 BUDGETS = {"pairs": 1_000_000, "bytes": 256 << 20, "literal_bytes": 256 << 20, "lines": 2_000_000}
 
@@ -23,6 +27,11 @@ def checked(rules: DataFrame) -> DataFrame:
     return rules
 
 
+def numbered(rules: DataFrame) -> DataFrame:
+    """rules with rule_no, their place in the order of packs and rules."""
+    return rules.withColumn("rule_no", F.row_number().over(Window.orderBy("pack_id", "rule_id")) - 1)  # at most MAX_RULES rows
+
+
 def extension(path: Column) -> Column:
     """The last extension of a path's last part, lower case; a leading dot starts none."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]*)$", 1))
@@ -71,12 +80,12 @@ def absent(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _signals(hits: DataFrame) -> DataFrame:
     fp = T.fingerprint(F.lit("rule-pack"), F.col("rule_id"), F.col("relative_path"), F.col("snippet"))
-    return hits.withColumn("fingerprint", fp).select(T.signal_id(F.col("fingerprint"), F.col("line_no")).alias("id"), "fingerprint", F.lit("rule-pack").alias("engine"), "rule_id", "title", "severity", "evidence_level", F.col("relative_path").alias("path"), F.col("line_no").alias("line"), "snippet", "pack_id", F.coalesce("emit_when", F.lit("present")).alias("emit_when"))
+    return hits.withColumn("fingerprint", fp).select(T.signal_id(F.col("fingerprint"), F.col("line_no")).alias("id"), "fingerprint", F.lit("rule-pack").alias("engine"), "rule_id", "title", "severity", "evidence_level", F.col("relative_path").alias("path"), F.col("line_no").alias("line"), "snippet", "pack_id", F.coalesce("emit_when", F.lit("present")).alias("emit_when"), *(["walk_pos", "rule_no", "confidence"] if "rule_no" in hits.columns else []))
 
 
 def coverage(files: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for each pack: partial if an absent rule of its selects no file."""
-    counts = rules.select("pack_id", "rule_id", F.coalesce("emit_when", F.lit("present")).alias("emit_when")).join(pairs(files, rules).groupBy("rule_id").agg(F.count("*").alias("n_files")), "rule_id", "left")
+    counts = rules.select("pack_id", "rule_id", F.coalesce("emit_when", F.lit("present")).alias("emit_when")).join(pairs(files.drop("content"), rules).groupBy("rule_id").agg(F.count("*").alias("n_files")), "rule_id", "left")
     idle = F.array_sort(F.collect_list(F.when((F.col("emit_when") == "absent") & F.col("n_files").isNull(), F.col("rule_id"))))
     got = counts.groupBy("pack_id").agg(idle.alias("idle"))
     more = F.when(F.size("idle") > 1, F.concat(F.lit("; "), (F.size("idle") - 1).cast("string"), F.lit(" additional absent rule(s) also selected no files"))).otherwise("")
@@ -84,28 +93,34 @@ def coverage(files: DataFrame, rules: DataFrame) -> DataFrame:
     return got.select(F.concat(F.lit("rule-pack:"), "pack_id").alias("domain"), F.lit("rule-pack").alias("engine"), F.when(F.size("idle") > 0, "partial").otherwise("complete").alias("status"), F.lit(True).alias("required"), reason.alias("reason"))
 
 
-def preview(files: DataFrame, rules: DataFrame, per_rule: int = 100) -> DataFrame:
-    """Which files each rule selects, without reading their text: how many, the first ones, how many more."""
-    chosen = pairs(files.drop("content"), rules).select("pack_id", "rule_id", "relative_path")
+def preview(files: DataFrame, rules: DataFrame, per_rule: int = 100, total: int = MAX_SHOWN) -> DataFrame:
+    """Which files each rule selects, without reading their text: how many, the first ones in the order of the walk (per_rule of a rule and total of all), how many more."""
+    chosen = pairs(files.drop("content"), rules).select("pack_id", "rule_id", "relative_path", "walk_pos")
     n = chosen.groupBy("pack_id", "rule_id").agg(F.count("*").cast("long").alias("n_files"))
-    first = chosen.withColumn("_rn", F.row_number().over(Window.partitionBy("pack_id", "rule_id").orderBy("relative_path"))).where(F.col("_rn") <= per_rule)
-    first = first.groupBy("pack_id", "rule_id").agg(F.array_sort(F.collect_list("relative_path")).alias("paths"))  # at most per_rule of each
-    got = n.join(first, ["pack_id", "rule_id"])
-    out = rules.select("pack_id", "rule_id").join(got, ["pack_id", "rule_id"], "left")
-    return out.select("pack_id", "rule_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.slice(F.coalesce("paths", F.array().cast("array<string>")), 1, per_rule).alias("paths"), F.greatest(F.coalesce("n_files", F.lit(0)) - per_rule, F.lit(0)).alias("omitted"))
+    out = rules.select("pack_id", "rule_id").join(n, ["pack_id", "rule_id"], "left").select("pack_id", "rule_id", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    before = Window.orderBy("pack_id", "rule_id").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_RULES rows
+    left = F.greatest(F.lit(total) - F.coalesce(F.sum(F.least("n_files", F.lit(per_rule))).over(before), F.lit(0)), F.lit(0))
+    room = out.withColumn("room", F.least(left, F.lit(per_rule)))
+    first = chosen.withColumn("_rn", F.row_number().over(Window.partitionBy("pack_id", "rule_id").orderBy("walk_pos"))).where(F.col("_rn") <= per_rule)
+    first = first.groupBy("pack_id", "rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "relative_path"))), lambda x: x["relative_path"]).alias("paths"))  # at most per_rule of each
+    got = room.join(first, ["pack_id", "rule_id"], "left").withColumn("paths", F.slice(F.coalesce("paths", F.array().cast("array<string>")), F.lit(1), F.col("room").cast("int")))
+    return got.select("pack_id", "rule_id", "n_files", "paths", (F.col("n_files") - F.size("paths")).alias("omitted"))
 
 
 def within_budgets(selected_pairs: DataFrame, budgets: dict[str, int] = BUDGETS) -> DataFrame:
-    """The pairs before the first that exceeds a budget, in the order of packs, rules and files.
+    """relative_path, size, walk_pos, pack_id and rule_id of the pairs before the first that exceeds a budget, in the order of packs, rules and files.
 
-    Running sums go in two steps, by rule and then over the few rules, so that no task holds all pairs.
+    Running sums go in two steps, by blocks of a rule's walk and then over the blocks, so that no task holds a rule's
+    pairs; texts are measured where they are and not shuffled.
     """
     literals = F.greatest(sum((F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) for c in ("contains_any", "contains_all", "excludes")), F.lit(0)), F.lit(1))
-    cost = selected_pairs.withColumn("_bytes", F.col("size")).withColumn("_literal", F.col("size") * literals).withColumn("_lines", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("long"))
-    by_rule = cost.groupBy("pack_id", "rule_id").agg(*(F.sum(c).alias(f"t{c}") for c in ("_bytes", "_literal", "_lines")))
-    before = Window.orderBy("pack_id", "rule_id").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_RULES rows
-    base = by_rule.select("pack_id", "rule_id", *(F.coalesce(F.sum(f"t{c}").over(before), F.lit(0)).alias(f"b{c}") for c in ("_bytes", "_literal", "_lines")))
-    own = Window.partitionBy("pack_id", "rule_id").orderBy("walk_pos").rowsBetween(Window.unboundedPreceding, 0)
-    run = cost.join(F.broadcast(base), ["pack_id", "rule_id"])
-    over = (F.sum("_bytes").over(own) + F.col("b_bytes") > budgets["bytes"]) | (F.sum("_literal").over(own) + F.col("b_literal") > budgets["literal_bytes"]) | (F.sum("_lines").over(own) + F.col("b_lines") > budgets["lines"])
-    return run.withColumn("over", over).where("NOT over").drop("over", *(f"{k}{c}" for k in ("", "b") for c in ("_bytes", "_literal", "_lines")))
+    lines = (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    cost = selected_pairs.select("relative_path", "size", "walk_pos", "pack_id", "rule_id", F.lit(1).cast("long").alias("pairs"), F.col("size").alias("bytes"), (F.col("size") * literals).alias("literal_bytes"), lines.alias("lines"), F.floor(F.col("walk_pos") / WALK_BLOCK).alias("_block"))
+    limits = {k: v for k, v in (BUDGETS | budgets).items()}
+    by_block = cost.groupBy("pack_id", "rule_id", "_block").agg(*(F.sum(c).alias(f"_t_{c}") for c in limits))
+    before = Window.orderBy("pack_id", "rule_id", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for WALK_BLOCK files of a rule
+    base = by_block.select("pack_id", "rule_id", "_block", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in limits))
+    own = Window.partitionBy("pack_id", "rule_id", "_block").orderBy("walk_pos").rowsBetween(Window.unboundedPreceding, 0)
+    run = cost.join(base, ["pack_id", "rule_id", "_block"])
+    over = reduce(lambda a, b: a | b, (F.sum(c).over(own) + F.col(f"_b_{c}") > limits[c] for c in limits))
+    return run.withColumn("over", over).where("NOT over").select("relative_path", "size", "walk_pos", "pack_id", "rule_id")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry import relations as R
+from attestry.durable import kept
 from attestry.operators import findings as fi
 from attestry.operators import rulepack as rp
+from attestry.operators import scan as sc
 from attestry.plans.common import FILES, files, fingerprint_sql, rank_sql, rows, signal_id_sql, snippet_sql, values
 
 RULES = [
@@ -49,22 +51,15 @@ _ABSENT = _OUT.format(id=signal_id_sql("fingerprint", "line_no")) + f"(SELECT *,
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, r = files(spark, sf_dir), _rules(spark)
-    return rp.present(f, r).unionByName(rp.absent(f, r))
+    return sc.pack_signals(files(spark, sf_dir), _rules(spark))
 
 
-_SIGNALS = f"{_CHAIN}, signals AS ({_PRESENT} UNION ALL {_ABSENT})"
-
-
-def _with_order(found: DataFrame) -> DataFrame:
-    """Signals in the order of rule, path and line, as one number that sorts like them."""
-    return found.withColumn("ord", F.xxhash64("rule_id", "path", F.coalesce("line", F.lit(0))))
+_SIGNALS = f"{_CHAIN}, unordered AS ({_PRESENT} UNION ALL {_ABSENT}), signals AS (SELECT u.*, (rule_id, f.walk_pos, coalesce(line, 0)) AS ord, (pack_id, rule_id, f.walk_pos, coalesce(line, 0)) AS full_ord FROM unordered u JOIN files f ON u.path = f.relative_path)"
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = fi.distinct_signals(_with_order(signals(spark, sf_dir)))
-    none = rows(spark, [], R.ATTACK_PATHS)
-    return fi.suppressed(fi.merged(found, none), rows(spark, SUPPRESSIONS, R.SUPPRESSIONS + ", ord long"), AS_OF), found
+    found = kept(fi.distinct_signals(signals(spark, sf_dir)), "signals")
+    return fi.suppressed(fi.merged(found, fi.no_paths(found)), rows(spark, SUPPRESSIONS, R.SUPPRESSIONS + ", ord long"), AS_OF), found
 
 
 def rulepack_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,17 +90,16 @@ def rulepack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = signals(spark, sf_dir).where("rule_id = 'house.licence-line'")
-    return fi.distinct_signals(_with_order(one.unionByName(one))).select("id", "fingerprint", "path", "line")
+    return fi.distinct_signals(one.unionByName(one)).select("id", "fingerprint", "path", "line")
 
 
 def signal_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signals(spark, sf_dir).withColumn("ord", F.struct("path", F.coalesce("line", F.lit(0))))
-    return fi.capped(found, 20, "rule_id").groupBy("rule_id").agg(F.count("*").alias("n"), F.bool_or("partial").alias("partial"), F.max("path").alias("last_path"))
+    return fi.capped(signals(spark, sf_dir), 20, "rule_id").groupBy("rule_id").agg(F.count("*").alias("n"), F.bool_or("partial").alias("partial"), F.max_by("path", "ord").alias("last_path"))
 
 
 def finding_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = _findings(spark, sf_dir)
-    return found.select("id", "fingerprint", "title", "severity", "evidence_level", "status", F.size("signal_ids").cast("long").alias("n_signals"), F.array_join(F.array_sort("signal_ids"), ",").alias("signal_ids"))
+    return found.select("id", "fingerprint", "title", "severity", "evidence_level", "status", F.size("signal_ids").cast("long").alias("n_signals"), F.array_join("signal_ids", ",").alias("signal_ids"))
 
 
 def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +116,7 @@ def decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COVERAGE = """coverage AS (SELECT pack_id, list_sort(list(rule_id) FILTER (emit_when = 'absent' AND n = 0)) AS idle FROM
   (SELECT r.pack_id, r.rule_id, coalesce(r.emit_when, 'present') AS emit_when, (SELECT count(*) FROM pairs p WHERE p.rule_id = r.rule_id) AS n FROM rules r) GROUP BY pack_id)"""
-_FINDINGS = "findings AS (SELECT fingerprint, min(title) AS title, min(severity) AS severity, min(evidence_level) AS evidence_level, list_sort(list(DISTINCT id)) AS ids FROM signals GROUP BY fingerprint)"
+_FINDINGS = "findings AS (SELECT fingerprint, arg_min(title, full_ord) AS title, arg_min(severity, full_ord) AS severity, arg_min(evidence_level, full_ord) AS evidence_level, list(id ORDER BY full_ord) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY full_ord) AS rn FROM signals) WHERE rn = 1 GROUP BY fingerprint)"
 _LIMITED = "(SELECT *, sum(size) OVER w AS b, sum(size * greatest(1, coalesce(len(contains_any), 0) + coalesce(len(contains_all), 0) + coalesce(len(excludes), 0))) OVER w AS lb, sum(len(string_split(content, chr(10)))) OVER w AS n FROM pairs WINDOW w AS (ORDER BY pack_id, rule_id, walk_pos ROWS UNBOUNDED PRECEDING))"
 
 QUERIES = {f.__name__: f for f in (rulepack_select, rulepack_present, rulepack_absent, rulepack_coverage, rulepack_preview, rulepack_budget, signal_dedup, signal_cap, finding_merge, finding_summary, decision)}
@@ -134,11 +128,11 @@ SQL = {
 SELECT 'rule-pack:' || pack_id AS domain, 'rule-pack' AS engine, CASE WHEN len(idle) > 0 THEN 'partial' ELSE 'complete' END AS status, true AS required,
   CASE WHEN len(idle) > 0 THEN 'custom absent rule ' || idle[1] || ' selected no files' || CASE WHEN len(idle) > 1 THEN '; ' || (len(idle) - 1) || ' additional absent rule(s) also selected no files' ELSE '' END END AS reason FROM coverage""",
     "rulepack_preview": f"""WITH {FILES}, {RULES_SQL}, {_PAIRS} SELECT r.pack_id, r.rule_id, count(p.relative_path) AS n_files,
-  coalesce(array_to_string(list_slice(list_sort(list(p.relative_path) FILTER (p.relative_path IS NOT NULL)), 1, 20), ','), '') AS paths, greatest(count(p.relative_path) - 20, 0) AS omitted
+  coalesce(array_to_string(list_slice(list(p.relative_path ORDER BY p.walk_pos) FILTER (p.relative_path IS NOT NULL), 1, 20), ','), '') AS paths, greatest(count(p.relative_path) - 20, 0) AS omitted
   FROM rules r LEFT JOIN pairs p ON r.rule_id = p.rule_id GROUP BY ALL""",
     "rulepack_budget": f"WITH {FILES}, {RULES_SQL}, {_PAIRS} SELECT rule_id, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM {_LIMITED} WHERE b <= 3000000 AND lb <= 5000000 AND n <= 20000 GROUP BY rule_id",
     "signal_dedup": f"WITH {_SIGNALS} SELECT DISTINCT id, fingerprint, path, line FROM signals WHERE rule_id = 'house.licence-line'",
-    "signal_cap": f"WITH {_SIGNALS}, n AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY path, coalesce(line, 0)) AS rn, count(*) OVER (PARTITION BY rule_id) AS c FROM signals) SELECT rule_id, count(*) AS n, bool_or(c > 20) AS partial, max(path) AS last_path FROM n WHERE rn <= 20 GROUP BY rule_id",
+    "signal_cap": f"WITH {_SIGNALS}, n AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY full_ord) AS rn, count(*) OVER (PARTITION BY rule_id) AS c FROM signals) SELECT rule_id, count(*) AS n, bool_or(c > 20) AS partial, arg_max(path, full_ord) AS last_path FROM n WHERE rn <= 20 GROUP BY rule_id",
     "finding_merge": f"WITH {_SIGNALS}, {_FINDINGS} SELECT 'finding_' || substr(fingerprint, 1, 16) AS id, fingerprint, title, severity, evidence_level, 'open' AS status, len(ids) AS n_signals, array_to_string(ids, ',') AS signal_ids FROM findings",
     "finding_summary": f"""WITH {_SIGNALS}, {_FINDINGS} SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium,
   count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, 0 AS suppressed, 0 AS attack_paths FROM findings""",

@@ -12,12 +12,12 @@ RULES = (
 )
 SIGNALS = (
     "id string, fingerprint string, engine string, rule_id string, title string, description string, severity string, evidence_level string, confidence string, "
-    "path string, line int, column int, end_line int, snippet string, cwe array<string>, tags array<string>, remediation string, metadata map<string,string>, routes array<string>, ord long"
+    "path string, line int, column int, end_line int, snippet string, cwe array<string>, owasp array<string>, tags array<string>, remediation string, metadata map<string,string>, routes array<string>, ord long"
 )
 FINDINGS = "id string, fingerprint string, title string, severity string, evidence_level string, status string, signal_ids array<string>, attack_path_id string, reason string, expires string"
 COVERAGE = "domain string, engine string, status string, required boolean, version string, reason string"
 SUPPRESSIONS = "fingerprint string, reason string, expires string"
-ATTACK_PATHS = "id string, fingerprint string, title string, summary string, severity string, evidence_level string, signal_ids array<string>, ord long"
+ATTACK_PATHS = "id string, fingerprint string, title string, summary string, severity string, evidence_level string, signal_ids array<string>, place int, ord long"
 RESPONSES = "case_id string, account string, url string, status int, headers map<string,string>, set_cookie array<string>, body string"
 
 
