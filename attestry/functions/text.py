@@ -186,3 +186,10 @@ def has_name(expression: Column, name: Column) -> Column:
 def marker_words(value: Column) -> Column:
     """camelCase, kebab-case and paths as lower-case words."""
     return F.filter(F.split(F.lower(F.regexp_replace(value, r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+"), lambda w: w != "")
+
+
+def first_reasons(reasons: Column, most: int = 50) -> Column:
+    """Distinct reasons, the first ones, and how many more there are."""
+    each = F.array_distinct(reasons)
+    more = F.when(F.size(each) > most, F.concat(F.lit("; "), (F.size(each) - most).cast("string"), F.lit(" more"))).otherwise("")
+    return F.concat(F.array_join(F.slice(each, 1, most), "; "), more)

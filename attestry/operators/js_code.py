@@ -2,7 +2,7 @@
 
 No parser of the language is at hand, so the reader works on text in which comments and strings are blanked, and its
 coverage is always partial: values that are computed, wrapped or imported under another name are not followed. What it
-reads are rows; mounts are followed by a bounded loop of joins, and middleware guards the routes that stand after it in
+reads are rows; mounts are followed by a loop of joins that no router enters twice, and middleware guards the routes that stand after it in
 its file under its prefix (a join on receiver and order).
 """
 
@@ -19,7 +19,6 @@ from attestry.durable import kept
 from attestry.functions import text as T
 from attestry.operators.parsing import closing, line_at, masked, rows_of, split_top
 
-MAX_MOUNTS = 8
 _SOURCE = r"\.(?:js|jsx|ts|tsx|mjs|cjs|mts|cts)$"
 _NOT_RUNTIME = r"(?:^|/)(?:tests?|__tests__|fixtures?|examples?|scripts?|e2e|docs?)/|\.(?:test|spec|d)\.[cm]?[jt]sx?$"
 #: Names of guards, owner and role checks, and of object access.
@@ -92,7 +91,7 @@ def read_express(path: str, content: str) -> Iterator[dict]:
                 if handler and (f := re.search(rf"(?:function\s+{re.escape(handler)}|(?:const|let)\s+{re.escape(handler)}\s*=)[^{{]*\{{", shape)):
                     stop = closing(shape, f.end() - 1)
                     body = content[f.start() : stop] if stop else body
-                yield {"kind": "route", **base, "b": method.upper(), "d": place, "e": handler or "", "flag": bool(GUARD.search(before) or re.search(r"(?i)\b(?:requireAuth|verifyToken)\s*\(", body)), "items": [k for k, p in (("owner", OWNER), ("role", ROLE)) if p.search(before + body)] + (["object"] if OBJECT_ID.search(place + body) and ACCESS.search(body) else [])}
+                yield {"kind": "route", **base, "b": method.upper(), "d": place, "e": handler or "", "flag": bool(GUARD.search(before) or re.search(r"(?i)\b(?:requireAuth|verifyToken)\s*\(", body)), "items": [k for k, p in (("owner", OWNER), ("role", ROLE)) if p.search(before + body)] + (["object"] if OBJECT_ID.search(f"{place} {body}") and ACCESS.search(body) else [])}
 
 
 def read_nest(path: str, content: str) -> Iterator[dict]:
@@ -123,7 +122,7 @@ def read_nest(path: str, content: str) -> Iterator[dict]:
             place = (_string(own[0][0]) if own[0] else "") or ""
             yield {
                 "kind": "nest", "a": start[1], "b": r[1].upper(), "c": prefix, "d": place, "e": f[1], "n": r.start(), "m": line_at(content, r.start()), "flag": not public and bool(re.search(r"@UseGuards\([^)]*(?:Auth|Jwt)", above + text)),
-                "items": [k for k, p in (("owner", OWNER), ("role", ROLE)) if p.search(above + text)] + (["object"] if OBJECT_ID.search(place + text) and ACCESS.search(text) else []),
+                "items": [k for k, p in (("owner", OWNER), ("role", ROLE)) if p.search(above + text)] + (["object"] if OBJECT_ID.search(f"{place} {text}") and ACCESS.search(text) else []),
             }
 
 
@@ -187,14 +186,15 @@ def mounted(rows: DataFrame) -> DataFrame:
     m = m.select("parent", F.coalesce(F.nullif("child", F.lit("")), "exported").alias("child"), "at", "prefix", "shielded").where("child IS NOT NULL")
     before = m.join(guards, "parent").where("guard_at < at AND (guard_path = '' OR startswith(prefix, guard_path))").select("parent", "child", "at").distinct().withColumn("guard", F.lit(True))
     m = kept(m.join(before, ["parent", "child", "at"], "left").select("parent", "child", "prefix", (F.col("shielded") | F.coalesce("guard", F.lit(False))).alias("guard")), "mounts")
-    front = rows.where("kind = 'receiver' AND flag").select(F.col("a").alias("receiver"), F.lit("").alias("path"), F.lit(False).alias("guarded"))
+    front = rows.where("kind = 'receiver' AND flag").select(F.col("a").alias("receiver"), F.lit("").alias("path"), F.lit(False).alias("guarded"), F.array("a").alias("through"))
     found = front
-    for _ in range(MAX_MOUNTS):
-        front = kept(front.join(m, front["receiver"] == m["parent"]).select(F.col("child").alias("receiver"), F.concat("path", "prefix").alias("path"), (F.col("guarded") | F.col("guard")).alias("guarded")).distinct(), "mounts")
+    while True:
+        down = front.join(m, front["receiver"] == m["parent"]).where(~F.array_contains("through", F.col("child")))
+        front = kept(down.select(F.col("child").alias("receiver"), F.concat("path", "prefix").alias("path"), (F.col("guarded") | F.col("guard")).alias("guarded"), F.concat("through", F.array("child")).alias("through")).distinct(), "mounts")
         if front.isEmpty():
             break
         found = found.unionByName(front)
-    return found.distinct()
+    return found.drop("through").distinct()
 
 
 def routes(rows: DataFrame) -> DataFrame:
@@ -208,17 +208,25 @@ def routes(rows: DataFrame) -> DataFrame:
     return express.unionByName(nest).distinct()
 
 
-PUBLIC_PATH = r"(?i)^/$|(?:^|/)(?:health\w*|ready|live|login|logout|register|signup|token|refresh|public|docs|webhooks?|favicon[^/]*|static)(?:/|$)"
-SENSITIVE_PATH = r"(?i)(?:^|/)(?:admin|users?|accounts?|orders?|payments?|billing|reports?|files?|documents?|internal|manage|settings|keys?|export|download)(?:/|$)"
-PRIVILEGED_PATH = r"(?i)(?:^|/)(?:admin|internal|manage|roles?|permissions?)(?:/|$)"
+#: Paths that are public by design, log-in paths, paths that are sensitive or privileged, and those of a caller's own session.
+PUBLIC_PATH = r"(?i)(?:^|/)(?:login|log-in|register|sign-up|signup|health|healthz|ready|readiness|live|liveness|favicon\.ico|docs|openapi(?:\.json)?|swagger)/?$"
+LOGIN_PATH = r"(?i)(?:^|/)(?:login|log-in|sign-in)/?$"
+SENSITIVE_PATH = (
+    r"(?i)(?:^|/)(?:admin|internal|manage|users?|permissions?|roles?|projects?|documents?|reports?|chapters?|templates?|knowledge|signatures?|chat|generate|review|"
+    r"uploads?|downloads?|tokens?|sessions?|billing|payments?)(?:/|$)"
+)
+PRIVILEGED_PATH = r"(?i)(?:^|/)(?:admin|internal|manage|management|permissions?|roles?)(?:/|$)"
+SESSION_PATH = r"(?i)(?:^|/)(?:login|logout|token|session/current|me|profile)(?:/|$)"
 
 
 def route_findings(found: DataFrame) -> DataFrame:
     has = lambda k: F.array_contains("items", k)
-    sensitive: Column = ~F.col("path").rlike(PUBLIC_PATH) & (F.col("method").isin("POST", "PUT", "PATCH", "DELETE") | F.col("path").rlike(SENSITIVE_PATH))
+    path = F.col("path")
+    plain = ~path.rlike(PUBLIC_PATH) & (F.col("method").isin("POST", "PUT", "PATCH", "DELETE", "ALL") | path.rlike(SENSITIVE_PATH))
+    sensitive: Column = F.when(path.rlike(PRIVILEGED_PATH), ~path.rlike(LOGIN_PATH)).otherwise(plain)
     rules = (
         ("auth.sensitive-route-without-guard", sensitive & ~F.col("guarded")),
-        ("authorization.object-without-ownership-check", F.col("guarded") & has("object") & ~has("owner") & ~has("role")),
+        ("authorization.object-without-ownership-check", F.col("guarded") & has("object") & ~has("owner") & ~has("role") & ~path.rlike(SESSION_PATH)),
         ("authorization.privileged-operation-without-role-check", F.col("guarded") & F.col("path").rlike(PRIVILEGED_PATH) & ~has("role")),
     )
     each = F.explode(F.filter(F.array(*(F.when(c, F.lit(r)) for r, c in rules)), lambda x: x.isNotNull()))

@@ -2,7 +2,7 @@
 
 Each file is parsed where it is with the standard library's ast; a file that doesn't parse gives one row of kind
 'unparsed', which makes the coverage partial. Everything across functions and files is joins: routes inherit what
-their routers' mounts add (a bounded loop of joins from the applications down), and tainted variables spread over
+their routers' mounts add (a loop of joins from the applications down, which no router enters twice), and tainted variables spread over
 the edges of assignments and calls until nothing new is reached.
 """
 
@@ -20,11 +20,10 @@ from attestry.durable import kept
 from attestry.functions import text as T
 from attestry.operators.parsing import rows_of
 
-MAX_MOUNTS, MAX_CALLS = 16, 14
 _NOT_RUNTIME = r"(?:^|/)(?:tests?|fixtures?|examples?|scripts?|docs?|migrations)/|(?:^|/)(?:test_[^/]*|[^/]*_test)\.py$"
 _VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 #: Names that tell a guard, an owner check, a sanitiser and a dependency that no client controls.
-GUARD = re.compile(r"(?i)(?:get_current_user|current_user|require_auth|require_user|verify_token|verify_api_key|get_user|authenticate|oauth2|httpbearer|api_key_header|login_required|auth)")
+GUARD = re.compile(r"(?i)(?:get_current_user|current_user|require_auth|require_user|verify_token|verify_api_key|get_user|authenticate|oauth2|httpbearer|api_key_header|login_required|\w*auth(?:enticated|orized)?\w*_?user|auth_(?:required|dependency|guard|user))")
 OWNERSHIP = re.compile(r"(?i)(?:owner_id|user_id\s*==|\.user_id|tenant_id|created_by|is_admin|is_superuser|require_role|check_permission|has_permission|ensure_owner|check_owner)")
 SANITISER = re.compile(r"(?i)(?:sanitize|validate_url|is_safe_url|allowlist|whitelist|basename|secure_filename|ensure_public)\w*\s*\(")
 DEPENDENCY = re.compile(r"(?i)\b(?:Depends|Security|Session|AsyncSession|BackgroundTasks|Response)\b|^(?:self|cls|db|session)$")
@@ -216,15 +215,15 @@ def routers(rows: DataFrame) -> DataFrame:
     known = _of(rows, "router", ("a", "module"), ("b", "name"), ("c", "own_prefix"), ("flag", "own_guard"), ("m", "is_app")).withColumn("router", F.concat_ws(":", "module", "name")).select("router", "own_prefix", "own_guard", "is_app")
     mounts = _of(rows, "mount", ("a", "parent"), ("b", "child"), ("c", "prefix"), ("flag", "guard")).drop("relative_path")
     shielded = _of(rows, "middleware", ("a", "router")).select("router").distinct().withColumn("shield", F.lit(True))
-    front = known.where("is_app = 1").join(shielded, "router", "left").select("router", F.col("own_prefix").alias("path"), F.coalesce("shield", F.lit(False)).alias("middleware"), F.col("own_guard").alias("guarded"))
+    front = known.where("is_app = 1").join(shielded, "router", "left").select("router", F.col("own_prefix").alias("path"), F.coalesce("shield", F.lit(False)).alias("middleware"), F.col("own_guard").alias("guarded"), F.array("router").alias("through"))
     found = front
-    for _ in range(MAX_MOUNTS):
-        down = front.withColumnRenamed("router", "parent").join(mounts, "parent").join(known.withColumnRenamed("router", "child"), "child")
-        front = kept(down.select(F.col("child").alias("router"), F.concat("path", "prefix", "own_prefix").alias("path"), "middleware", (F.col("guarded") | F.col("guard") | F.col("own_guard")).alias("guarded")).distinct(), "mounts")
+    while True:
+        down = front.withColumnRenamed("router", "parent").join(mounts, "parent").join(known.withColumnRenamed("router", "child"), "child").where(~F.array_contains("through", F.col("child")))
+        front = kept(down.select(F.col("child").alias("router"), F.concat("path", "prefix", "own_prefix").alias("path"), "middleware", (F.col("guarded") | F.col("guard") | F.col("own_guard")).alias("guarded"), F.concat("through", F.array("child")).alias("through")).distinct(), "mounts")
         if front.isEmpty():
             break
         found = found.unionByName(front)
-    return found.distinct()
+    return found.drop("through").distinct()
 
 
 def unresolved_mounts(rows: DataFrame) -> DataFrame:
@@ -244,9 +243,12 @@ def routes(rows: DataFrame) -> DataFrame:
     return got.join(first, "path", "left")
 
 
-#: Paths that are public by design and paths that are sensitive for reading too.
-PUBLIC_PATH = r"(?i)^/?$|(?:^|/)(?:health\w*|ready\w*|live\w*|docs|redoc|openapi[^/]*|metrics|login|logout|register|signup|token|refresh|public|favicon[^/]*|static)(?:/|$)"
-SENSITIVE_PATH = r"(?i)(?:^|/)(?:admin|users?|accounts?|orders?|payments?|billing|reports?|files?|documents?|internal|manage|config|settings|secrets?|keys?|export|download|reviews?|generate)(?:/|$)"
+#: Paths that are public by design, and paths that are sensitive for reading too.
+PUBLIC_PATH = r"(?i)(?:^|/)(?:login|log-in|register|sign-up|signup|health|healthz|ready|readiness|live|liveness|favicon\.ico|docs|redoc|openapi\.json)/?$"
+SENSITIVE_PATH = (
+    r"(?i)(?:^|/)(?:admin|internal|manage|users?|permissions?|roles?|projects?|documents?|reports?|chapters?|templates?|knowledge|signatures?|chat|generate|review|"
+    r"uploads?|downloads?|tokens?|sessions?|billing|payments?)(?:/|$)"
+)
 
 
 def _sensitive(path: Column, method: Column) -> Column:
@@ -291,16 +293,24 @@ def enclosing(rows: DataFrame) -> DataFrame:
 def tainted(rows: DataFrame) -> DataFrame:
     """fid and name of every variable that client data reaches.
 
-    Edges are assignments within a function and arguments into parameters of functions called by name or import.
-    The set grows by a join with the edges from what was new, at most MAX_CALLS times through calls and as often as a function is long.
+    Edges are assignments within a function and arguments into parameters of the functions that calls name, in the same
+    module or the one that an import names. The set grows by a join with the edges from what was new until nothing is.
     """
     parameters = _of(rows, "parameter", ("a", "fid"), ("b", "name"), ("n", "at"), ("flag", "source")).drop("relative_path")
     functions = _of(rows, "function", ("a", "fid"), ("b", "fname"), ("c", "module")).drop("relative_path")
-    imports = _of(rows, "import", ("a", "local"), ("c", "original")).where("original <> ''")
-    calls = _of(rows, "call", ("a", "fid"), ("b", "callee"), ("n", "call"))
-    named = calls.join(imports, (calls["relative_path"] == imports["relative_path"]) & (calls["callee"] == imports["local"]), "left").select("fid", "call", F.coalesce("original", "callee").alias("fname"))
+    imports = _of(rows, "import", ("a", "local"), ("b", "module"), ("c", "original")).where("original <> ''")
+    calls = _of(rows, "call", ("a", "fid"), ("b", "callee"), ("c", "dotted"), ("n", "call"))
+    homes = _of(rows, "function", ("c", "module")).distinct()  # a module for each file
+    named = calls.join(imports, (calls["relative_path"] == imports["relative_path"]) & (calls["callee"] == imports["local"]), "left").select("fid", "call", calls["relative_path"], "module", F.coalesce("original", "callee").alias("fname"), "dotted", "callee")
+    whole = _of(rows, "import", ("a", "head"), ("b", "head_module"), ("c", "head_name"))
+    head = F.substring_index("dotted", ".", 1)
+    named = named.join(whole.withColumnRenamed("relative_path", "p"), (F.col("relative_path") == F.col("p")) & (head == F.col("head")) & F.col("dotted").contains("."), "left").drop("p")
+    own = homes.withColumnRenamed("module", "own_module")
+    through = F.when(F.col("head_module").isNotNull(), F.when(F.col("head_name") == "", F.col("head_module")).otherwise(F.concat_ws(".", "head_module", "head_name")))
+    named = named.join(own, "relative_path", "left").select("fid", "call", "fname", F.coalesce("module", through, "own_module").alias("fmodule"))
     arguments = _of(rows, "argument", ("a", "fid"), ("n", "call"), ("m", "pos"), ("b", "keyword"), ("items", "names")).drop("relative_path").select("fid", "call", "pos", "keyword", F.explode("names").alias("src"))
-    into = named.join(functions.select(F.col("fid").alias("to_fid"), "fname"), "fname").join(arguments, ["fid", "call"])
+    defined = functions.select(F.col("fid").alias("to_fid"), "fname", F.col("module").alias("fmodule"))
+    into = named.join(defined, ["fname", "fmodule"]).join(arguments, ["fid", "call"])
     target = parameters.select(F.col("fid").alias("to_fid"), F.col("name").alias("dst"), "at")
     by_place = into.where("pos >= 0").join(target, (into["to_fid"] == target["to_fid"]) & (into["pos"] == target["at"])).select("fid", "src", target["to_fid"], "dst")
     by_name = into.where("pos < 0").join(target, (into["to_fid"] == target["to_fid"]) & (into["keyword"] == target["dst"])).select("fid", "src", target["to_fid"], "dst")
@@ -308,7 +318,7 @@ def tainted(rows: DataFrame) -> DataFrame:
     edges = kept(local.unionByName(by_place).unionByName(by_name).distinct(), "edges")
     new = kept(parameters.where("source").select("fid", "name").distinct(), "tainted")
     found = new
-    for _ in range(8 * MAX_CALLS):
+    while True:
         step = new.join(edges, (new["fid"] == edges["fid"]) & (new["name"] == edges["src"])).select(F.col("to_fid").alias("fid"), F.col("dst").alias("name")).distinct()
         new = kept(step.join(found, ["fid", "name"], "left_anti"), "tainted")
         if new.isEmpty():

@@ -93,8 +93,10 @@ def shown(files: DataFrame) -> DataFrame:
         seen(python).alias("python"),
         seen(python & F.col("content").rlike(r"\bFastAPI\b|\bAPIRouter\b")).alias("fastapi"),
         seen(path.rlike(r"\.[cm]?[jt]sx?$") & F.col("content").rlike(r"express\s*\(|@Controller\s*\(|\bRouter\s*\(")).alias("routed"),
+        seen(path.rlike(r"\.[cm]?[jt]sx?$")).alias("script"),
+        seen(path.rlike(r"\.(?:sql|rules)$")).alias("stores"),
     )
-    return found.crossJoin(uses).select((F.col("mobile_file") | F.col("native")).alias("mobile"), (F.col("node") | F.col("routed")).alias("node"), "fastapi", "python")  # one row each
+    return found.crossJoin(uses).select((F.col("mobile_file") | F.col("native")).alias("mobile"), (F.col("node") | F.col("routed")).alias("node"), "fastapi", "python", "script", "stores")  # one row each
 
 
 def _like_signals(rows: DataFrame) -> DataFrame:
@@ -117,20 +119,34 @@ def _coded(found: DataFrame, files: DataFrame) -> DataFrame:
     return _like_signals(got.withColumn("ord", rules.order(F.col("detector"), F.col("walk_pos"), F.col("rule"), F.col("line"))))
 
 
-def code_signals(files: DataFrame) -> DataFrame:
-    """Signals of the readers of migrations, access rules, Python, JavaScript and compose files."""
-    text = lambda c: F.col(c).cast("string")
-    meta = lambda **kv: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kv)), F.array(*kv.values())), lambda k, v: v.isNotNull())
-    python = kept(python_code.code_rows(files), "python")
-    script = kept(js_code.code_rows(files), "script")
-    routes, node = kept(python_code.routes(python), "routes"), js_code.routes(script)
-    guards = python_code.route_findings(routes).unionByName(js_code.route_findings(node)).withColumn("metadata", meta(route=text("route"), handler=text("handler"))).withColumn("snippet", F.col("route"))
-    flows = python_code.taint_findings(python, python_code.tainted(python)).withColumn("metadata", meta(function=text("function"), sink=text("sink"))).withColumn("snippet", F.concat_ws(" ", "function", "sink"))
-    services = python_code.published(files, routes).withColumn("line", F.lit(1)).withColumn("metadata", meta(service=text("service"))).withColumn("snippet", F.concat_ws(" ", "service", F.array_join("ports", ",")))
-    errors = python_code.exception_findings(python, routes).withColumn("snippet", F.col("handler"))
-    stores = baas.findings(files).withColumn("snippet", F.col("name"))
-    parts = (stores, js_code.flow_findings(script), guards, flows, errors, python_code.config_findings(python), services)
-    return reduce(DataFrame.unionByName, (_coded(p, files) for p in parts))
+def _meta(**values: Column) -> Column:
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*(v.cast("string") for v in values.values()))), lambda k, v: v.isNotNull())
+
+
+def _guards(found: DataFrame) -> DataFrame:
+    return found.withColumn("metadata", _meta(route=F.col("route"), handler=F.col("handler"))).withColumn("snippet", F.col("route"))
+
+
+def python_signals(files: DataFrame) -> list[DataFrame]:
+    code = kept(python_code.code_rows(files), "python")
+    routes = kept(python_code.routes(code), "routes")
+    flows = python_code.taint_findings(code, python_code.tainted(code)).withColumn("metadata", _meta(function=F.col("function"), sink=F.col("sink"))).withColumn("snippet", F.concat_ws(" ", "function", "sink"))
+    services = python_code.published(files, routes).withColumn("line", F.lit(1)).withColumn("metadata", _meta(service=F.col("service"))).withColumn("snippet", F.concat_ws(" ", "service", F.array_join("ports", ",")))
+    errors = python_code.exception_findings(code, routes).withColumn("snippet", F.col("handler"))
+    return [_guards(python_code.route_findings(routes)), flows, errors, python_code.config_findings(code), services]
+
+
+def script_signals(files: DataFrame) -> list[DataFrame]:
+    code = kept(js_code.code_rows(files), "script")
+    return [js_code.flow_findings(code), _guards(js_code.route_findings(js_code.routes(code)))]
+
+
+def code_signals(files: DataFrame, has: dict[str, bool]) -> list[DataFrame]:
+    """Signals of the readers of migrations, access rules, Python, JavaScript and compose files, of those that the tree has."""
+    parts = [baas.findings(files).withColumn("snippet", F.col("name"))] if has["stores"] else []
+    parts += script_signals(files) if has["script"] else []
+    parts += python_signals(files) if has["python"] else []
+    return [_coded(p, files) for p in parts]
 
 
 def pack_signals(files: DataFrame, packs: DataFrame) -> DataFrame:
@@ -180,10 +196,9 @@ def scanned(files: DataFrame, packs: DataFrame | None = None, tools: list[DataFr
     """All of a scan. files are those that the inventory takes; more_coverage has rows for tools, packages and the inventory."""
     spark: SparkSession = files.sparkSession
     gates = kept(shown(files), "gates")
-    parts = [_like_signals(rules.signals(files)), code_signals(files)]
-    gate = gates.select("mobile").first()["mobile"]  # one row
-    if not gate:
-        parts[0] = parts[0].where(_source() != rules.DETECTORS.index("mobile-source-config"))
+    has = gates.first().asDict()  # one row of flags
+    own = tuple(r for r in rules.RULES if has["mobile"] or rules.DETECTORS[r.detector] != "mobile-source-config")
+    parts = [_like_signals(rules.signals(files, own)), *code_signals(files, has)]
     parts += [tool_signals(*tools)] if tools else []
     parts += [package_signals(packages)] if packages is not None else []
     parts += [pack_signals(files, packs)] if packs is not None else []

@@ -122,14 +122,14 @@ class ModelClient:
         return requests.post(self.base_url, headers={"Authorization": f"Bearer {self.api_key}"})
 """,
     "guarded/main.py": """from fastapi import FastAPI
-PUBLIC_PATHS = ["/admin/list", "/files/*"]
+PUBLIC_PATHS = ["/admin/list", "/reports/*"]
 app = FastAPI()
 app.add_middleware(AuthMiddleware)
 
 @app.get("/admin/list")
 def listing(): ...
 
-@app.get("/files/all")
+@app.get("/reports/all")
 def files(): ...
 
 @app.get("/admin/other")

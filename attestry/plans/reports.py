@@ -199,7 +199,14 @@ RESPONSES = [
     {"case_id": "c4", "account": "b", "url": "https://x.test/4b", "status": 200, "headers": {}, "set_cookie": [], "body": '{"o":{"m":"else"}}'},
 ]
 CASES = [{"case_id": f"c{i}", "owner": "a", "other": "b", "marker_path": "o.m", "marker": f"k{i}"} for i in range(1, 6)]
-_CASE = "case_id string, owner string, other string, marker_path string, marker string"
+CASES += [
+    {"case_id": "t1", "owner": "a", "other": "b", "marker_path": "id", "marker": "7"},
+    {"case_id": "t2", "owner": "a", "other": "b", "marker_path": "id", "marker": "7", "match": "ownerIdentity"},
+    {"case_id": "t3", "owner": "a", "other": "b", "marker_path": "o.id", "marker": "x"},
+]
+RESPONSES += [{"case_id": c, "account": a, "url": "http://x", "status": 200, "headers": {}, "set_cookie": [], "body": b} for c in ("t1", "t2") for a, b in (("a", '{"id": 7}'), ("b", '{"id": "7"}'))]
+RESPONSES += [{"case_id": "t3", "account": a, "url": "http://x", "status": 200, "headers": {}, "set_cookie": [], "body": b} for a, b in (("a", '{"o": {"id": "x"}}'), ("b", '{"o": {"id": true}}'))]
+_CASE = "case_id string, owner string, other string, marker_path string, marker string, match string"
 API = [{"method": m, "path": p, "handler": h} for m, p, h in (("GET", "/orders/{id}", "readOrder"), ("POST", "/orders", "createOrder"), ("GET", "/orders/{id}/cancel", None), ("GET", "/health", "ping"), ("GET", "/files/list", "downloadAll"), ("GET", "/orders/{id}", "getOrder"))]
 _API = "method string, path string, handler string"
 
@@ -289,10 +296,11 @@ compared AS (SELECT coalesce(n.fingerprint, o.fingerprint) AS fingerprint, CASE
 _R, _K, _A = values("responses", RESPONSES, R.RESPONSES), values("cases", CASES, _CASE), values("api", API, _API)
 _VERDICTS = f"""{_R}, {_K}, verdicts AS (SELECT c.case_id, CASE WHEN NOT coalesce(bool_or(account = owner AND status BETWEEN 200 AND 299 AND m), false) THEN 'inconclusive' WHEN coalesce(bool_or(account = other AND status BETWEEN 200 AND 299 AND m), false) THEN 'vulnerable'
   WHEN coalesce(bool_or(account = other AND status IN (401, 403, 404)), false) THEN 'protected' ELSE 'inconclusive' END AS verdict
-  FROM cases c LEFT JOIN (SELECT r.*, CASE WHEN json_valid(body) THEN coalesce(json_extract_string(body, '$.o.m') = 'k' || substr(r.case_id, 2), false) ELSE false END AS m FROM responses r) r ON c.case_id = r.case_id GROUP BY c.case_id)"""
+  FROM cases c LEFT JOIN (SELECT r.*, k.case_id AS own, CASE WHEN json_valid(body) THEN coalesce(json_extract_string(body, '$.' || marker_path) = marker AND (json_type(body, '$.' || marker_path) = 'VARCHAR' OR (match = 'ownerIdentity' AND json_type(body, '$.' || marker_path) IN ('BIGINT', 'UBIGINT', 'DOUBLE'))), false) ELSE false END AS m
+    FROM responses r JOIN cases k ON r.case_id = k.case_id) r ON c.case_id = r.case_id GROUP BY c.case_id)"""
 _WORDS = lambda xs: "len(list_intersect(ws, [" + ", ".join(map(quoted, xs)) + "])) > 0"
-_KINDS = f"""{_A}, worded AS (SELECT *, string_split_regex(lower(regexp_replace(path || ' ' || coalesce(handler, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') AS ws FROM api),
-kinds AS (SELECT method, path, handler, CASE WHEN method NOT IN ('GET', 'HEAD') THEN 'mutating' WHEN {_WORDS(web.MUTATING)} THEN 'unclear' WHEN {_WORDS(web.READING)} OR regexp_matches(path, '[:{{]') THEN 'read' ELSE 'unclear' END AS kind FROM worded)"""
+_KINDS = f"""{_A}, worded AS (SELECT *, string_split_regex(lower(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') AS ws FROM api),
+kinds AS (SELECT method, path, handler, CASE WHEN {_WORDS(web.MUTATING)} OR upper(method) NOT IN ('GET', 'POST') THEN 'mutation_excluded' WHEN upper(method) = 'GET' OR {_WORDS(web.READING)} THEN 'read_candidate' ELSE 'manual_review' END AS kind FROM worded)"""
 _SCORED = values("expected", EXPECTED, "category string, case_id string, rule_id string") + ", " + values("actual", ACTUAL, "case_id string, rule_id string")
 
 QUERIES = {
@@ -359,8 +367,8 @@ SELECT * FROM l WHERE lacks <> ''""",
     "bola_evaluate": f"WITH {_VERDICTS} SELECT case_id, verdict FROM verdicts",
     "bola_coverage": f"WITH {_VERDICTS} SELECT count(*) FILTER (verdict = 'vulnerable') AS vulnerable, count(*) FILTER (verdict = 'protected') AS protected, count(*) FILTER (verdict = 'inconclusive') AS inconclusive, CASE WHEN count(*) FILTER (verdict = 'inconclusive') > 0 THEN 'partial' ELSE 'complete' END AS status FROM verdicts",
     "bola_classify": f"WITH {_KINDS} SELECT method, path, handler, kind FROM kinds",
-    "bola_draft": f"""WITH {_KINDS} SELECT regexp_replace(regexp_replace(lower(method || '-' || path), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS case_id, method, path, handler, kind FROM kinds
-  QUALIFY row_number() OVER (PARTITION BY method, path ORDER BY CASE kind WHEN 'read' THEN 0 WHEN 'unclear' THEN 1 ELSE 2 END, coalesce(handler, '')) = 1""",
+    "bola_draft": f"""WITH {_KINDS}, firsts AS (SELECT * FROM kinds QUALIFY row_number() OVER (PARTITION BY method, path ORDER BY coalesce(handler, '')) = 1)
+  SELECT CAST(row_number() OVER (ORDER BY kind, path, method) AS INTEGER) AS place, regexp_replace(regexp_replace(lower(method || '-' || path), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS case_id, method, path, handler, kind FROM firsts""",
     "benchmark_scores": f"""WITH {_SCORED}, e AS (SELECT DISTINCT * FROM expected WHERE rule_id IS NOT NULL), a AS (SELECT DISTINCT c.category, a.case_id, a.rule_id FROM actual a JOIN (SELECT DISTINCT category, case_id FROM expected) c USING (case_id)),
 n AS (SELECT coalesce(e.category, a.category) AS category, count(*) FILTER (e.rule_id IS NOT NULL AND a.rule_id IS NOT NULL) AS tp, count(*) FILTER (e.rule_id IS NULL) AS fp, count(*) FILTER (a.rule_id IS NULL) AS fn FROM e FULL JOIN a ON e.category = a.category AND e.case_id = a.case_id AND e.rule_id = a.rule_id GROUP BY 1),
 t AS (SELECT * FROM n UNION ALL SELECT 'all', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM n), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM t)

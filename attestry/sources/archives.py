@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import io
 import plistlib
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.functions import text as T
+
 MAX_ENTRIES, SELECTED, ENTRY_BYTES, INPUT_BYTES = 200_000, 25, 8 << 20, 16 << 20
 UNSAFE = r"^/|^[A-Za-z]:/|(?:^|/)\.\.(?:/|$)|\\|\x00"
 #: Which entries are read, whether they are binary, and in which order.
@@ -45,38 +49,64 @@ def plist_text(data: bytes) -> bytes:
         return data
 
 
+def _wanted(names: list[str]) -> tuple[list[tuple[int, str, bool, int]], list[str]]:
+    """Place, name, binary and priority of the entries of an archive that are read, from its directory alone, and why some may be lacking."""
+    if any(re.search(UNSAFE, n) for n in names):
+        return [], ["unsafe entry name"]
+    reasons = [f"more than {MAX_ENTRIES} entries"] if len(names) > MAX_ENTRIES else []
+    found = []
+    for i, n in enumerate(names[:MAX_ENTRIES]):
+        kind = next(((binary, priority) for pattern, binary, priority in KINDS if re.search(pattern, n)), None)
+        if kind:
+            found.append((kind[1], i, n, kind[0]))
+    if len(found) > SELECTED:
+        reasons.append(f"only {SELECTED} of {len(found)} entries were read")
+    return [(i, n, binary, priority) for priority, i, n, binary in sorted(found)[:SELECTED]], reasons
+
+
 def entries(archives: DataFrame) -> DataFrame:
-    """artifact, idx and name of every entry, with the bytes (at most ENTRY_BYTES) of those a table of kinds may want.
+    """artifact, idx, name, binary, priority and bytes of the entries that are read, and for each archive a row without idx whose reason, if any, says what is lacking.
 
-    archives: artifact string, content binary; an archive is one row, read where it is.
+    archives: artifact string, content binary; an archive is one row, read where it is. Which entries are read is told
+    by the directory; only these are inflated, at most ENTRY_BYTES of each and INPUT_BYTES of all.
     """
-    schema = pa.schema([("artifact", pa.string()), ("idx", pa.int32()), ("name", pa.string()), ("bytes", pa.binary())])
+    schema = pa.schema([("artifact", pa.string()), ("idx", pa.int32()), ("name", pa.string()), ("binary", pa.bool_()), ("priority", pa.int32()), ("bytes", pa.binary()), ("reason", pa.string())])
+
+    def read(content: bytes) -> tuple[list[dict], list[str]]:
+        out, size = [], 0
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+            infos = archive.infolist()
+            wanted, reasons = _wanted([x.filename for x in infos])
+        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, ValueError):
+            return [], ["archive cannot be read"]
+        for i, name, binary, priority in wanted:
+            if size >= INPUT_BYTES:
+                reasons.append(f"entries after {INPUT_BYTES} bytes were not read")
+                break
+            try:
+                with archive.open(infos[i]) as f:
+                    data = f.read(ENTRY_BYTES + 1)
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, OSError, EOFError):
+                reasons.append(f"entry {i} cannot be read")
+                continue
+            if len(data) > ENTRY_BYTES:
+                data = data[:ENTRY_BYTES]
+                reasons.append(f"entry {i} was cut at {ENTRY_BYTES} bytes")
+            size += len(data)
+            out.append({"idx": i, "name": name, "binary": binary, "priority": priority, "bytes": plist_text(data) if data[:8] == b"bplist00" else data})
+        return out, reasons
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 artifact = batch.column(0)[k].as_py()
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(batch.column(1)[k].as_py()))
-                    for i, info in enumerate(archive.infolist()[: MAX_ENTRIES + 1]):
-                        with archive.open(info) as f:
-                            data = f.read(ENTRY_BYTES)
-                        data = plist_text(data) if data[:8] == b"bplist00" else data
-                        yield pa.RecordBatch.from_pylist([{"artifact": artifact, "idx": i, "name": info.filename, "bytes": data}], schema)
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError):
-                    yield pa.RecordBatch.from_pylist([{"artifact": artifact, "idx": -1, "name": None, "bytes": None}], schema)
-
-    return archives.select("artifact", "content").mapInArrow(run, "artifact string, idx int, name string, bytes binary")
+                found, reasons = read(batch.column(1)[k].as_py())
+                for row in found:
+                    yield pa.RecordBatch.from_pylist([{"artifact": artifact, "reason": None, **row}], schema)
+                yield pa.RecordBatch.from_pylist([{"artifact": artifact, "reason": "; ".join(reasons) or None}], schema)
 
-
-def selected(rows: DataFrame) -> DataFrame:
-    """The first entries of each safe archive by priority and place, while their bytes stay within the input budget."""
-    bad = rows.groupBy("artifact").agg(F.bool_or(F.coalesce(F.col("name").rlike(UNSAFE), F.lit(True))).alias("unsafe"))
-    own = rows.withColumn("k", entry_kind(F.col("name"))).where("k IS NOT NULL").join(bad.where("NOT unsafe").select("artifact"), "artifact", "left_semi")
-    w = Window.partitionBy("artifact").orderBy("k.priority", "idx")
-    kept = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SELECTED)
-    run = kept.withColumn("before", F.coalesce(F.sum(F.length("bytes")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return run.where(F.col("before") < INPUT_BYTES).select("artifact", "idx", "name", "k.binary", "k.priority", "bytes")
+    return archives.select("artifact", "content").mapInArrow(run, "artifact string, idx int, name string, binary boolean, priority int, bytes binary, reason string")
 
 
 def entry_text(data: Column, binary: Column) -> Column:
@@ -91,7 +121,22 @@ def entry_text(data: Column, binary: Column) -> Column:
 
 
 def corpus(archives: DataFrame) -> DataFrame:
-    """Entries' text as files, named by archive and entry, for the rules over packaged applications."""
+    """Entries' text as files, named by archive and entry, for the rules over packaged applications; archives in the order of their names."""
+    return corpus_of(entries(archives))
+
+
+def corpus_of(rows: DataFrame) -> DataFrame:
     text = entry_text(F.col("bytes"), F.col("binary"))
-    rows = selected(entries(archives))
-    return rows.select(F.concat_ws("!", "artifact", "name").alias("relative_path"), F.length("bytes").cast("long").alias("size"), text.alias("content"), (F.col("priority") * 1_000_000 + F.col("idx")).cast("long").alias("walk_pos"))
+    number = rows.select("artifact").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("artifact")))  # a row for each archive
+    got = rows.where("idx IS NOT NULL").join(F.broadcast(number), "artifact")
+    return got.select(F.concat_ws("!", "artifact", "name").alias("relative_path"), F.length("bytes").cast("long").alias("size"), text.alias("content"), (F.col("n") * 1_000_000_000 + F.col("priority") * 1_000_000 + F.col("idx")).cast("long").alias("walk_pos"))
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """One row of entries(): partial with the reasons of the first 50 archives that lack something, complete, or not_run without any archive."""
+    said = F.concat_ws(": ", "artifact", "reason")
+    got = rows.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), said))).alias("reasons"))
+    return got.select(
+        F.lit("mobile-artifact-static").alias("domain"), F.lit("artifact").alias("engine"), F.when(F.col("n") == 0, "not_run").when(F.size("reasons") > 0, "partial").otherwise("complete").alias("status"),
+        (F.col("n") > 0).alias("required"), F.lit(None).cast("string").alias("version"), F.when(F.col("n") == 0, "No APK or IPA was given").otherwise(F.nullif(T.first_reasons(F.col("reasons")), F.lit(""))).alias("reason"),
+    )

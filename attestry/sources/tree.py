@@ -32,13 +32,18 @@ def is_excluded(path: Column, excluded: tuple[str, ...] = EXCLUDED) -> Column:
     return F.arrays_overlap(folders, F.array(*map(F.lit, excluded)))
 
 
+def walked(path: Column) -> Column:
+    """What paths are sorted by in a walk that sorts each folder's names and goes down at once: their parts, by Unicode collation."""
+    return F.split(path, "/").cast("array<string collate UNICODE>")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, size, content and walk_pos of the text files below a folder; its order is that of paths."""
+    """relative_path, size, content and walk_pos of the text files below a folder. Paths alone are sorted and numbered, contents are not."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1].rstrip("/") + "/", -1)
     rows = listed.select(path.alias("relative_path"), F.col("length").alias("size"), "content").where(is_text(F.col("relative_path")))
-    placed = rows.select("relative_path", "size", F.decode("content", "UTF-8").alias("content")).orderBy("relative_path").withColumn("walk_pos", F.monotonically_increasing_id())
-    return kept(placed, "tree")  # written, so that places stay as they are
+    placed = kept(rows.select("relative_path").orderBy(walked(F.col("relative_path"))).withColumn("walk_pos", F.monotonically_increasing_id()), "walk")  # written, so that places stay as they are
+    return kept(rows.withColumn("content", F.decode("content", "UTF-8")).join(placed, "relative_path"), "tree")
 
 
 def running_before(rows: DataFrame, value: Column, width: int = 100_000) -> DataFrame:
@@ -51,22 +56,28 @@ def running_before(rows: DataFrame, value: Column, width: int = 100_000) -> Data
 
 
 def judged(files: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """files with skip: null if a file is taken, else why not. Budgets cut the walk at the first file beyond them."""
-    path = F.col("relative_path")
+    """files with skip: null if a file is taken, else why not. Budgets cut the walk at the first file beyond them.
+
+    Entries are counted by files, five for each that may be taken: folders of their own are not listed. Where budgets cut
+    is found on places and sizes alone, so that no content is shuffled.
+    """
+    path, entries = F.col("relative_path"), min(100_000, 5 * limits["max_files"])
     plain = (
         F.when(is_excluded(path), "excluded_directory")
         .when(F.size(F.split(path, "/")) > limits["max_depth"], "depth_limit")
         .when(~is_text(path), "not_text")
         .when(F.col("size") > limits["max_file_bytes"], "oversized_file")
     )
-    rows = files.withColumn("skip", plain).withColumn("_read", F.col("skip").isNull())
-    rows = running_before(rows, F.when(F.col("_read"), F.col("size")).otherwise(0)).withColumnRenamed("before", "_bytes")
-    rows = running_before(rows, F.when(F.col("_read") & (F.instr("content", "\0") == 0), 1).otherwise(0)).withColumnRenamed("before", "_files")
-    first = rows.where(F.col("_read")).agg(F.min(F.when(F.col("_bytes") + F.col("size") > limits["max_total_bytes"], F.col("walk_pos"))).alias("_cut"), F.min(F.when(F.col("_files") >= limits["max_files"], F.col("walk_pos"))).alias("_full"))
-    rows = rows.crossJoin(F.broadcast(first))  # one row
-    late = F.when(F.col("walk_pos") >= F.col("_full"), "file_limit").when(F.col("walk_pos") >= F.col("_cut"), "total_byte_limit")
-    skip = F.when(F.col("_read"), F.coalesce(late, F.when(F.instr("content", "\0") > 0, "binary"))).otherwise(F.col("skip"))
-    return rows.withColumn("skip", skip).drop("_read", "_bytes", "_files", "_cut", "_full")
+    slim = files.select("walk_pos", "size", plain.isNull().alias("_read"), (F.instr("content", "\0") > 0).alias("_nul"))
+    slim = running_before(slim, F.lit(1)).withColumnRenamed("before", "_seen")
+    slim = running_before(slim, F.when(F.col("_read"), F.col("size")).otherwise(0)).withColumnRenamed("before", "_bytes")
+    slim = running_before(slim, F.when(F.col("_read") & ~F.col("_nul"), 1).otherwise(0)).withColumnRenamed("before", "_files")
+    at = lambda beyond: F.min(F.when(beyond, F.col("walk_pos")))
+    first = slim.agg(at(F.col("_seen") >= entries).alias("_last"), at(F.col("_read") & (F.col("_bytes") + F.col("size") > limits["max_total_bytes"])).alias("_cut"), at(F.col("_read") & (F.col("_files") >= limits["max_files"])).alias("_full"))
+    rows = files.crossJoin(F.broadcast(first))  # one row
+    late = F.when(F.col("walk_pos") >= F.col("_last"), "entry_limit").when(F.col("walk_pos") >= F.col("_full"), "file_limit").when(F.col("walk_pos") >= F.col("_cut"), "total_byte_limit")
+    skip = F.when(plain.isNull(), F.coalesce(late, F.when(F.instr("content", "\0") > 0, "binary"))).otherwise(plain)
+    return rows.withColumn("skip", skip).drop("_last", "_cut", "_full")
 
 
 def skip_counts(files: DataFrame) -> DataFrame:

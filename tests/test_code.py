@@ -11,7 +11,7 @@ EXPECTED = {
     "fastapi_findings": {
         ("fastapi.auth.sensitive-route-without-guard", "POST /reports", "create", "app/routers/open_area.py", 8),
         ("fastapi.auth.whitelisted-sensitive-route", "GET /admin/list", "listing", "guarded/main.py", 7),
-        ("fastapi.auth.whitelisted-sensitive-route", "GET /files/all", "files", "guarded/main.py", 10),
+        ("fastapi.auth.whitelisted-sensitive-route", "GET /reports/all", "files", "guarded/main.py", 10),
         ("fastapi.authorization.object-without-ownership-check", "GET /v1/orders/{order_id}", "read_order", "app/routers/orders.py", 6),
     },
     "enclosing_interval": {("__init__", "ModelClient"), ("send", "ModelClient")},
@@ -32,6 +32,32 @@ EXPECTED = {
         ("nestjs.auth.sensitive-route-without-guard", "POST /users", "src/notes.controller.ts"),
         ("nestjs.authorization.object-without-ownership-check", "GET /notes/:id", "src/notes.controller.ts"),
     },
+    "whitelist_prefix": {
+        ("DELETE", "/v1/orders/{order_id}", "remove", True, False, None, None),
+        ("GET", "/admin/list", "listing", False, True, "/admin/list", "exact"),
+        ("GET", "/admin/other", "other", False, True, None, None),
+        ("GET", "/reports/all", "files", False, True, "/reports/", "prefix"),
+        ("GET", "/health", "health", False, False, None, None),
+        ("GET", "/v1/orders/{order_id}", "read_order", True, False, None, None),
+        ("POST", "/reports", "create", False, False, None, None),
+    },
+    "fastapi_exceptions": {
+        ("fastapi.config.route-raw-exception-response", "app/routers/open_area.py", 17, "create", "POST /reports", "str", "detail"),
+        ("fastapi.config.wildcard-cors-with-credentials", "app/main.py", 6, None, None, None, None),
+        ("fastapi.config.raw-exception-response", "app/main.py", 15, None, None, None, None),
+    },
+    "middleware_asof": {
+        ("express", "GET", "/health", False, ""),
+        ("express", "GET", "/users", False, ""),
+        ("express", "GET", "/admin/stats", True, ""),
+        ("express", "GET", "/v1/orders/:id", True, "object"),
+        ("express", "POST", "/v1/orders", True, ""),
+        ("express", "GET", "/v1/orders", True, ""),
+        ("express", "GET", "/v1/mine/:id", True, "owner,object"),
+        ("nestjs", "GET", "/notes/:id", True, "object"),
+        ("nestjs", "GET", "/notes/open/users", False, ""),
+        ("nestjs", "POST", "/users", False, ""),
+    },
     "js_flows": {("ai.model-output-dangerous-sink", "src/flows.ts", 9), ("dataflow.dom-xss", "src/flows.ts", 5), ("dataflow.sql-injection", "src/flows.ts", 2), ("dataflow.ssrf", "src/flows.ts", 7)},
 }
 
