@@ -34,7 +34,7 @@ from attestry.llm.common import in_batches, table, text_slices, texts, written
 
 BLOCK, PERCENTILE = 128, 0.9
 END_ID = 1
-SEGMENT_IDS, CACHED_WORDS, CACHED_BYTES = 1 << 20, 200_000, 64
+SEGMENT_IDS, CACHED_WORDS, CACHED_BYTES = 1 << 20, 500_000, 64
 _SEPARATOR, _MAGIC = "<|endoftext|>", b"PFR1"
 _PUNCTUATION = string.punctuation.encode()
 
