@@ -42,6 +42,29 @@ def rule_checks(rules: DataFrame) -> DataFrame:
     )
 
 
+def preview_checks(packs: DataFrame, rules: DataFrame) -> DataFrame:
+    """What a preview of rule packs must hold to; safe paths are checked where they are made.
+
+    packs: pack_id, rule_count, status, reasons, inventory_status, file_count; rules: pack_id, rule_id, emit_when, evaluated,
+    selected, shown (paths), omitted, status, reasons.
+    """
+    partial = lambda df: f"({df}status = 'partial')"
+    of_packs = rules.groupBy("pack_id").agg(F.count("*").alias("n"), F.bool_or(F.expr(partial(""))).alias("any_partial"))
+    whole = packs.join(of_packs, "pack_id", "left").fillna({"n": 0, "any_partial": False})
+    sized = rules.join(packs.select("pack_id", "file_count").distinct(), "pack_id")
+    return _checks(
+        ("pack_unique", packs.groupBy("pack_id").count().where("count > 1")),
+        ("rule_unique", rules.groupBy("rule_id").count().where("count > 1")),
+        ("rule_count", whole.where("rule_count <> n")),
+        ("rule_prefix", rules.where("NOT startswith(rule_id, concat('custom.', pack_id, '.'))")),
+        ("file_counts", sized.where("evaluated > file_count OR selected > evaluated")),
+        ("selected_counts", rules.where("size(shown) + omitted <> selected")),
+        ("rule_status", rules.where(f"{partial('')} <> (size(reasons) > 0)")),
+        ("absent_partial", rules.where("emit_when = 'absent' AND selected = 0 AND status <> 'partial'")),
+        ("pack_status", whole.where(f"{partial('')} <> ({partial('inventory_')} OR any_partial) OR {partial('')} <> (size(reasons) > 0)")),
+    )
+
+
 def policy_checks(required: DataFrame, blocking: DataFrame, catalog: DataFrame) -> DataFrame:
     """Tables of rule_id: what a policy names must be known, and what blocks must be required."""
     return _checks(

@@ -255,6 +255,35 @@ def policy_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.policy_checks(ids("a", "b", "x"), ids("b", "c", "y"), ids("a", "b", "c"))
 
 
+_PREVIEW_PACK = "pack_id string, rule_count int, status string, reasons array<string>, inventory_status string, file_count int"
+_PREVIEW_RULE = "pack_id string, rule_id string, emit_when string, evaluated int, selected int, shown array<string>, omitted int, status string, reasons array<string>"
+PREVIEW_PACKS = [
+    {"pack_id": "house", "rule_count": 3, "status": "complete", "reasons": [], "inventory_status": "complete", "file_count": 5},
+    {"pack_id": "yard", "rule_count": 2, "status": "partial", "reasons": ["budget"], "inventory_status": "complete", "file_count": 5},
+    {"pack_id": "empty", "rule_count": 1, "status": "partial", "reasons": ["walk"], "inventory_status": "partial", "file_count": 2},
+    {"pack_id": "calm", "rule_count": 0, "status": "partial", "reasons": [], "inventory_status": "complete", "file_count": 2},
+]
+
+
+def _preview_rule(pack: str, name: str, emit: str, evaluated: int, shown: int, omitted: int, selected: int, status: str, *reasons: str) -> dict:
+    paths = [f"src/{i}.ts" for i in range(shown)]
+    return {"pack_id": pack, "rule_id": name, "emit_when": emit, "evaluated": evaluated, "selected": selected, "shown": paths, "omitted": omitted, "status": status, "reasons": list(reasons)}
+
+
+PREVIEW_RULES = [
+    _preview_rule("house", "custom.house.a", "present", 5, 2, 1, 3, "complete"),
+    _preview_rule("house", "custom.house.a", "absent", 5, 0, 0, 0, "complete"),
+    _preview_rule("house", "custom.yard.b", "present", 6, 1, 0, 2, "complete"),
+    _preview_rule("yard", "custom.yard.c", "present", 4, 5, 0, 5, "partial", "budget"),
+    _preview_rule("yard", "custom.yard.d", "absent", 4, 0, 0, 0, "partial"),
+]
+
+
+def preview_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a preview breaks each of its rules."""
+    return co.preview_checks(rows(spark, PREVIEW_PACKS, _PREVIEW_PACK), rows(spark, PREVIEW_RULES, _PREVIEW_RULE))
+
+
 _S, _C, _SUP, _B = values("signals", SIGNALS, R.SIGNALS), values("coverage", COVERAGE, R.COVERAGE), values("suppressions", SUPPRESSIONS, R.SUPPRESSIONS + ", ord long"), values("baseline", BASELINE, R.SIGNALS)
 _LIVE = f"(SELECT lower(fingerprint) AS fingerprint, arg_min(reason, ord) AS reason, arg_min(expires, ord) AS expires FROM suppressions WHERE CASE WHEN regexp_matches(expires, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN expires::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND ELSE replace(expires, 'Z', '')::TIMESTAMP END > TIMESTAMP '2026-06-01' GROUP BY 1)"
 _PLAIN = f"plain AS (SELECT 'finding_' || substr(s.fingerprint, 1, 16) AS id, s.fingerprint, title, severity, evidence_level, CASE WHEN l.reason IS NULL THEN 'open' ELSE 'suppressed' END AS status, s.id AS signal_id, l.reason, l.expires FROM signals s LEFT JOIN {_LIVE} l ON s.fingerprint = l.fingerprint)"
@@ -307,7 +336,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         attack_paths, evidence_lattice, finding_suppress, finding_paths, decision_ladder, compare_reports, finding_groups, group_members, route_cards, deployment_contexts, ci_top_annotations, coverage_gaps, sarif_join, fix_contracts, report_constraints,
-        tool_json_flatten, tool_coverage, database_freshness, header_missing, cookie_flags, bola_evaluate, bola_coverage, bola_classify, bola_draft, benchmark_scores, catalog_fk, policy_constraints,
+        tool_json_flatten, tool_coverage, database_freshness, header_missing, cookie_flags, bola_evaluate, bola_coverage, bola_classify, bola_draft, benchmark_scores, catalog_fk, policy_constraints, preview_constraints,
     )
 }
 SQL = {
@@ -374,5 +403,17 @@ n AS (SELECT coalesce(e.category, a.category) AS category, count(*) FILTER (e.ru
 t AS (SELECT * FROM n UNION ALL SELECT 'all', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM n), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM t)
 SELECT category, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM r""",
     "catalog_fk": "SELECT * FROM (VALUES ('rule_id_unique', 1), ('profile_known', 1), ('has_profile', 1)) t(check_id, violations)",
+    "preview_constraints": f"WITH {values('packs', PREVIEW_PACKS, _PREVIEW_PACK)}, {values('rules', PREVIEW_RULES, _PREVIEW_RULE)}, w AS (SELECT p.*, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id) AS n, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id AND r.status = 'partial') AS k FROM packs p) "
+    + _CHECK(
+        ("pack_unique", "SELECT pack_id FROM packs GROUP BY 1 HAVING count(*) > 1"),
+        ("rule_unique", "SELECT rule_id FROM rules GROUP BY 1 HAVING count(*) > 1"),
+        ("rule_count", "SELECT 1 FROM w WHERE rule_count <> n"),
+        ("rule_prefix", "SELECT 1 FROM rules WHERE NOT starts_with(rule_id, 'custom.' || pack_id || '.')"),
+        ("file_counts", "SELECT 1 FROM rules r JOIN packs p USING (pack_id) WHERE r.evaluated > p.file_count OR r.selected > r.evaluated"),
+        ("selected_counts", "SELECT 1 FROM rules WHERE len(shown) + omitted <> selected"),
+        ("rule_status", "SELECT 1 FROM rules WHERE (status = 'partial') <> (len(reasons) > 0)"),
+        ("absent_partial", "SELECT 1 FROM rules WHERE emit_when = 'absent' AND selected = 0 AND status <> 'partial'"),
+        ("pack_status", "SELECT 1 FROM w WHERE (status = 'partial') <> (inventory_status = 'partial' OR k > 0) OR (status = 'partial') <> (len(reasons) > 0)"),
+    ),
     "policy_constraints": "WITH req(r) AS (VALUES ('a'), ('b'), ('x')), blk(r) AS (VALUES ('b'), ('c'), ('y')), cat(r) AS (VALUES ('a'), ('b'), ('c')) " + _CHECK(("required_known", "SELECT r FROM req EXCEPT SELECT r FROM cat"), ("blocking_known", "SELECT r FROM blk EXCEPT SELECT r FROM cat"), ("blocking_required", "SELECT r FROM blk EXCEPT SELECT r FROM req")),
 }
