@@ -1,8 +1,8 @@
 """All queries of the reference part, with their SQL."""
 
-from attestry.plans import code, packs, reports, scans, trees
+from attestry.plans import code, contracts, packs, reports, scans, trees
 
-_PARTS = (packs, trees, reports, code, scans)
+_PARTS = (packs, trees, reports, code, scans, contracts)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 flagship = scans.scan_decision
