@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import plistlib
+import re
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry import relations as R
 from attestry.operators import baas, js_code, python_code, rules
-from attestry.plans.common import rows
+from attestry.plans.common import quoted, rows, values
 from attestry.sources import archives
 
 
@@ -271,5 +273,60 @@ def package_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (rls_anti, store_rules, router_closure, whitelist_prefix, fastapi_findings, fastapi_exceptions, enclosing_interval, taint_fixpoint, python_flows, published_services, middleware_asof, node_findings, js_flows, package_rules)}
-#: Source text is no table for SQL; tests hold these against what a reader of the inline files expects.
-SQL: dict[str, str] = {}
+
+
+def _parsed(files: list[dict], due: Callable[[str], bool], *readers: Callable) -> str:
+    """What the readers yield for the inline files as a common table: SQL takes over where source text has become rows."""
+    found = [{"relative_path": f["relative_path"]} | row for f in files if due(f["relative_path"]) for read in readers for row in read(f["relative_path"], f["content"])]
+    return values("parsed", found, f"relative_path string, {python_code._DDL}")
+
+
+def _of(kind: str, **columns: str) -> str:
+    return f"(SELECT relative_path, {', '.join(f'{c} AS {n}' for n, c in columns.items())} FROM parsed WHERE kind = '{kind}')"
+
+
+_PY = _parsed(PYTHON, lambda p: p.endswith(".py") and not re.search(python_code._NOT_RUNTIME, p), python_code.read_python)
+_JS = _parsed(JS, lambda p: bool(re.search(js_code._SOURCE, p)) and not re.search(js_code._NOT_RUNTIME, p), js_code.read_express, js_code.read_nest, js_code.read_flows)
+_JOINED = lambda x: f"(CASE WHEN trim({x}, '/') = '' THEN '/' ELSE regexp_replace(regexp_replace('/' || {x}, '/{{2,}}', '/', 'g'), '/$', '') END)"
+_MOUNTED = f"""WITH RECURSIVE {_PY}, r AS (SELECT module || ':' || name AS router, own_prefix, own_guard, is_app FROM {_of("router", module="a", name="b", own_prefix="c", own_guard="flag", is_app="m")}), mnt AS {_of("mount", parent="a", child="b", prefix="c", guard="flag")},
+walk AS (SELECT router, own_prefix AS path, EXISTS (SELECT 1 FROM parsed p WHERE p.kind = 'middleware' AND p.a = router) AS middleware, own_guard AS guarded, [router] AS through FROM r WHERE is_app = 1
+  UNION ALL SELECT child, path || prefix || own_prefix, middleware, guarded OR guard OR own_guard, list_append(through, child) FROM walk JOIN mnt ON parent = walk.router JOIN r ON r.router = child WHERE NOT list_contains(through, child)),
+mounted AS (SELECT DISTINCT router, path, middleware, guarded FROM walk)"""
+_ROUTES = f"""{_MOUNTED}, plain AS (SELECT DISTINCT relative_path, method, {_JOINED("path || place")} AS path, fid, handler, line, own_guard OR guarded AS guarded, middleware, owned = 1 AS owned, ids
+  FROM {_of("route", router="a", method="b", place="c", fid="d", handler="e", own_guard="flag", line="n", owned="m", ids="items")} JOIN mounted USING (router)),
+routes AS (SELECT p.*, entry, entry_kind FROM plain p LEFT JOIN (SELECT path AS listed, arg_min(w.e, (w.l, w.e)) AS entry, arg_min(w.k, (w.l, w.e)) AS entry_kind FROM (SELECT DISTINCT path FROM plain)
+  JOIN {_of("whitelist", e="a", k="b", l="n")} w ON CASE WHEN w.k = 'exact' THEN path = w.e ELSE starts_with(path, w.e) END GROUP BY path) ON path = listed)"""
+_SESSION = r"(?i)(?:^|/)(?:login|logout|token|session/current|me|profile)(?:/|$)"
+_SENSITIVE = f"NOT regexp_matches(path, {quoted(python_code.PUBLIC_PATH)}) AND (method IN ('POST', 'PUT', 'PATCH', 'DELETE') OR regexp_matches(path, {quoted(python_code.SENSITIVE_PATH)}))"
+_ROUTE = "method || ' ' || path AS route, handler, relative_path, line FROM routes WHERE"
+_EDGES = f"""WITH RECURSIVE {_PY}, f AS {_of("function", fid="a", fname="b", module="c")}, i AS {_of("import", l="a", module="b", original="c")}, home AS (SELECT DISTINCT relative_path, module FROM f), args AS {_of("argument", fid="a", call="n", pos="m", keyword="b", src="unnest(items)")},
+called AS (SELECT c.fid, c.call, coalesce(i.original, c.callee) AS fname, coalesce(i.module, CASE WHEN h.module IS NOT NULL THEN h.module || CASE WHEN h.original = '' THEN '' ELSE '.' || h.original END END, home.module) AS module
+  FROM {_of("call", fid="a", callee="b", dotted="c", call="n")} c LEFT JOIN i ON i.original <> '' AND c.relative_path = i.relative_path AND c.callee = i.l LEFT JOIN i h ON contains(c.dotted, '.') AND c.relative_path = h.relative_path AND string_split(c.dotted, '.')[1] = h.l LEFT JOIN home ON home.relative_path = c.relative_path),
+edges AS (SELECT a AS fid, b AS src, a AS to_fid, c AS dst FROM parsed WHERE kind = 'flow' UNION SELECT called.fid, src, f.fid, p.name FROM called JOIN f USING (fname, module) JOIN args ON args.fid = called.fid AND args.call = called.call
+  JOIN {_of("parameter", fid="a", name="b", spot="n")} p ON p.fid = f.fid AND CASE WHEN pos >= 0 THEN pos = spot ELSE keyword = p.name END),
+reach AS (SELECT a AS fid, b AS name FROM parsed WHERE kind = 'parameter' AND flag UNION SELECT to_fid, dst FROM reach JOIN edges ON reach.fid = edges.fid AND src = name)"""
+_NODE = f"""WITH RECURSIVE {_JS}, g AS {_of("middleware", receiver="a", guard_at="n", guard_path="d")}, m AS (SELECT m.receiver AS parent, coalesce(nullif(m.child, ''), x.b) AS child, prefix, coalesce(shielded, false) OR EXISTS (SELECT 1 FROM g WHERE g.receiver = m.receiver AND guard_at < m.ord AND (guard_path = '' OR starts_with(prefix, guard_path))) AS guard
+  FROM {_of("mount", receiver="a", child="b", module="c", ord="n", prefix="d", shielded="flag")} m LEFT JOIN (SELECT a, b FROM parsed WHERE kind = 'export') x ON x.a = m.module),
+walk AS (SELECT a AS receiver, '' AS above, false AS guarded, [a] AS through FROM parsed WHERE kind = 'receiver' AND flag UNION ALL SELECT child, above || prefix, guarded OR guard, list_append(through, child) FROM walk JOIN m ON parent = receiver WHERE child IS NOT NULL AND NOT list_contains(through, child)),
+routes AS (SELECT DISTINCT 'express' AS framework, o.relative_path, method, {_JOINED("above || place")} AS path, handler, line, own_guard OR guarded OR EXISTS (SELECT 1 FROM g WHERE g.receiver = o.receiver AND guard_at < o.ord AND (guard_path = '' OR starts_with(place, guard_path))) AS guarded, kinds
+  FROM {_of("route", receiver="a", method="b", place="d", handler="e", ord="n", line="m", own_guard="flag", kinds="items")} o JOIN walk USING (receiver)
+  UNION SELECT 'nestjs', relative_path, b, {_JOINED("concat_ws('/', c, d)")}, e, m, flag, items FROM parsed WHERE kind = 'nest')"""
+_IS = lambda p: f"regexp_matches(path, {quoted(p)})"
+_LOOSE = f"CASE WHEN {_IS(js_code.PRIVILEGED_PATH)} THEN NOT {_IS(js_code.LOGIN_PATH)} ELSE NOT {_IS(js_code.PUBLIC_PATH)} AND (method IN ('POST', 'PUT', 'PATCH', 'DELETE', 'ALL') OR {_IS(js_code.SENSITIVE_PATH)}) END"
+_NODE_ROUTE = "method || ' ' || path AS route, relative_path FROM routes WHERE"
+#: Source text is no table for SQL, so the readers' rows stand in it; tests hold all of these queries against what a person finds in the inline files.
+SQL: dict[str, str] = {
+    "router_closure": f"{_MOUNTED} SELECT router, path, middleware, guarded FROM mounted",
+    "whitelist_prefix": f"{_ROUTES} SELECT method, path, handler, guarded, middleware, entry, entry_kind FROM routes",
+    "fastapi_findings": f"""{_ROUTES} SELECT 'fastapi.auth.whitelisted-sensitive-route' AS rule_id, {_ROUTE} {_SENSITIVE} AND NOT guarded AND middleware AND entry IS NOT NULL
+UNION ALL SELECT 'fastapi.auth.sensitive-route-without-guard', {_ROUTE} {_SENSITIVE} AND NOT guarded AND NOT middleware
+UNION ALL SELECT 'fastapi.authorization.object-without-ownership-check', {_ROUTE} (guarded OR (middleware AND entry IS NULL)) AND NOT owned AND len(ids) > 0 AND NOT regexp_matches(path, {quoted(_SESSION)})""",
+    "fastapi_exceptions": f"""{_ROUTES}, raw AS {_of("raw_route", fid="a", serialization="b", sink="c", line="n")} SELECT 'fastapi.config.route-raw-exception-response' AS rule_id, raw.relative_path, raw.line, handler, string_agg(DISTINCT method || ' ' || path, ',' ORDER BY method || ' ' || path) AS routes, serialization, sink FROM raw JOIN routes USING (fid) GROUP BY ALL
+UNION ALL SELECT CASE kind WHEN 'cors' THEN 'fastapi.config.wildcard-cors-with-credentials' ELSE 'fastapi.config.raw-exception-response' END, relative_path, min(n), NULL, NULL, NULL, NULL FROM parsed WHERE kind IN ('cors', 'raw_handler') GROUP BY kind, relative_path""",
+    "enclosing_interval": f"WITH {_PY} SELECT f.b AS name, arg_max(c.a, c.n) AS class_name FROM parsed f JOIN parsed c ON f.kind = 'function' AND c.kind = 'class' AND f.relative_path = c.relative_path AND c.n < f.n AND f.m <= c.m GROUP BY f.a, f.b",
+    "taint_fixpoint": f"{_EDGES} SELECT regexp_extract(fid, '#([^@]+)@', 1) AS function, name FROM reach",
+    "middleware_asof": f"{_NODE} SELECT framework, method, path, guarded, array_to_string(kinds, ',') AS items FROM routes",
+    "node_findings": f"""{_NODE} SELECT framework || '.auth.sensitive-route-without-guard' AS rule_id, {_NODE_ROUTE} {_LOOSE} AND NOT guarded
+UNION ALL SELECT framework || '.authorization.object-without-ownership-check', {_NODE_ROUTE} guarded AND list_contains(kinds, 'object') AND NOT list_has_any(kinds, ['owner', 'role']) AND NOT {_IS(js_code.SESSION_PATH)}
+UNION ALL SELECT framework || '.authorization.privileged-operation-without-role-check', {_NODE_ROUTE} guarded AND {_IS(js_code.PRIVILEGED_PATH)} AND NOT list_contains(kinds, 'role')""",
+}
