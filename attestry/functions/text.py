@@ -95,7 +95,7 @@ def expiry(value: Column) -> Column:
     return F.try_to_timestamp(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(value, F.lit("T23:59:59.999Z"))).otherwise(value))
 
 
-def single_line(value: Column, most: int, fallback: str = "not recorded") -> Column:
+def single_line(value: Column, most: int, fallback: str | Column = "not recorded") -> Column:
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x1f\x7f]", " "), r"\s+", " "))
     source = F.when(flat == "", fallback).otherwise(flat)
     return F.when(F.length(source) <= most, source).otherwise(F.concat(source.substr(1, most - 1), F.lit("…")))

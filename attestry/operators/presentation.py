@@ -132,3 +132,11 @@ def sarif_results(findings: DataFrame, signals: DataFrame) -> DataFrame:
     first = own.groupBy("signal_id").agg(F.min_by(F.struct("finding_id", "finding_status"), F.struct(-F.col("rank"), "title", "finding_id")).alias("f"))
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     return signals.join(first, signals["id"] == first["signal_id"], "left").select("id", "rule_id", level.alias("level"), "fingerprint", T.sarif_uri(F.col("path")).alias("uri"), "line", F.col("f.finding_id").alias("finding_id"), F.coalesce("f.finding_status", F.lit("none")).alias("finding_status"))
+
+
+def sarif_rules(signals: DataFrame) -> DataFrame:
+    """A row for each rule, from its first signal: rule_id, short text, help and tags; nearly all of a hot rule's rows end before the shuffle."""
+    first = signals.groupBy("rule_id").agg(F.min_by(F.struct("title", "description", "remediation", "tags", "cwe"), F.struct(F.col("ord").isNull(), "ord", "id")).alias("s"))
+    none = F.array().cast("array<string>")
+    advice = T.single_line(F.coalesce("s.remediation", "s.description"), 4000, "Review the evidence and apply a constrained fix.")
+    return first.select("rule_id", T.single_line(F.col("s.title"), 500, F.col("rule_id")).alias("short_text"), advice.alias("help"), F.array_distinct(F.concat(F.coalesce("s.tags", none), F.coalesce("s.cwe", none))).alias("tags"))

@@ -147,6 +147,10 @@ def sarif_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.sarif_results(_findings(spark), _signals(spark))
 
 
+def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.sarif_rules(_signals(spark)).withColumn("tags", F.array_join("tags", ","))
+
+
 def fix_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _signals(spark)
     paths = cr.attack_paths(s).withColumn("summary", F.concat(F.lit("Path: "), "title"))
@@ -317,6 +321,7 @@ _MEMBERS = """members AS (SELECT p.id AS finding_id, status, p.severity, s.rule_
   nullif(concat_ws(' → ', s.metadata['exceptionSerialization'], s.metadata['responseSink']), '') AS pattern, list_sort(list_distinct(coalesce(s.routes, CASE WHEN s.metadata['route'] IS NOT NULL THEN [s.metadata['route']] ELSE [] END))) AS routes
   FROM plain p JOIN signals s ON p.signal_id = s.id WHERE s.metadata['findingGroup'] IS NOT NULL)"""
 _CARDS = "dim(rule_id, framework, category, o) AS (VALUES " + ", ".join(f"('{k}', '{f}', '{c}', {pr.CATEGORIES.index(c)})" for k, (f, c) in pr.ROUTE_RULES.items()) + ")"
+_FLAT = "trim(regexp_replace(regexp_replace(coalesce({0}, ''), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _CHECK = lambda *each: " UNION ALL ".join(f"SELECT '{n}' AS check_id, count(*) AS violations FROM ({q})" for n, q in each)
 _COMPARED = f"""now AS (SELECT DISTINCT fingerprint FROM plain WHERE status = 'open'), complete AS (SELECT domain FROM coverage WHERE status = 'complete'),
 old AS (SELECT fingerprint, CASE engine WHEN 'trivy' THEN 'dependencies-iac' WHEN 'gitleaks' THEN 'secrets-history' WHEN 'opengrep' THEN 'sast-general' WHEN 'artifact' THEN 'mobile-artifact-static' WHEN 'typescript' THEN 'js-ts-dataflow' WHEN 'rule-pack' THEN 'rule-pack:' || metadata['rulePackId']
@@ -335,7 +340,7 @@ _SCORED = values("expected", EXPECTED, "category string, case_id string, rule_id
 QUERIES = {
     f.__name__: f
     for f in (
-        attack_paths, evidence_lattice, finding_suppress, finding_paths, decision_ladder, compare_reports, finding_groups, group_members, route_cards, deployment_contexts, ci_top_annotations, coverage_gaps, sarif_join, fix_contracts, report_constraints,
+        attack_paths, evidence_lattice, finding_suppress, finding_paths, decision_ladder, compare_reports, finding_groups, group_members, route_cards, deployment_contexts, ci_top_annotations, coverage_gaps, sarif_join, sarif_rules, fix_contracts, report_constraints,
         tool_json_flatten, tool_coverage, database_freshness, header_missing, cookie_flags, bola_evaluate, bola_coverage, bola_classify, bola_draft, benchmark_scores, catalog_fk, policy_constraints, preview_constraints,
     )
 }
@@ -367,6 +372,9 @@ FROM a WHERE status = 'open' OR b ORDER BY b DESC, coalesce(state, '') = 'new' D
     "coverage_gaps": f"WITH {_C} SELECT count(*) AS total, count(*) FILTER (status = 'complete') AS complete, string_agg(domain || ' ' || engine || ' ' || status, '; ' ORDER BY domain) FILTER (status <> 'complete') AS gaps FROM coverage WHERE required",
     "sarif_join": f"""WITH {_CORRELATED}, each_ AS (SELECT id AS fid, status, title, {rank_sql('severity')} AS r, unnest(string_split(signal_ids, ',')) AS sid FROM findings), f AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY sid ORDER BY r DESC, title, fid) = 1)
 SELECT s.id, rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, fingerprint, CASE WHEN NOT contains(path, '..') THEN replace(path, ' ', '%20') END AS uri, line, fid AS finding_id, coalesce(f.status, 'none') AS finding_status FROM signals s LEFT JOIN f ON f.sid = s.id""",
+    "sarif_rules": f"""WITH {_S}, f AS (SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ord NULLS LAST, id) = 1)
+SELECT rule_id, CASE WHEN {_FLAT.format('title')} = '' THEN rule_id ELSE {_FLAT.format('title')} END AS short_text, CASE WHEN {_FLAT.format('coalesce(remediation, description)')} = '' THEN 'Review the evidence and apply a constrained fix.' ELSE {_FLAT.format('coalesce(remediation, description)')} END AS help,
+  coalesce((SELECT string_agg(t, ',' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(list_concat(coalesce(tags, []), coalesce(cwe, []))) AS t, generate_subscripts(list_concat(coalesce(tags, []), coalesce(cwe, [])), 1) AS i) GROUP BY t)), '') AS tags FROM f""",
     "fix_contracts": f"""WITH {_CORRELATED}, e AS (SELECT f.id, f.title, f.severity, attack_path_id, unnest(string_split(signal_ids, ',')) AS sid, generate_subscripts(string_split(signal_ids, ','), 1) AS pos FROM findings f)
 SELECT e.title, e.severity, string_agg(s.rule_id || ' at ' || s.path || ':' || s.line, '; ' ORDER BY pos) AS evidence, CASE WHEN attack_path_id IS NULL THEN '' ELSE 'Path: ' || e.title END AS summary FROM e JOIN signals s ON s.id = e.sid GROUP BY e.id, e.title, e.severity, attack_path_id""",
     "report_constraints": f"WITH {_C}, {_SUP}, {_S}, {_PLAIN} " + _CHECK(("signal_id_unique", "SELECT 1 WHERE true"), ("finding_fingerprint_unique", "SELECT fingerprint FROM plain GROUP BY 1 HAVING count(*) > 1"), ("finding_signals_exist", "SELECT 1 FROM plain WHERE signal_id = 'sig_19'"), ("finding_has_signals", "SELECT 1 FROM plain WHERE signal_id IS NULL"), ("finding_id_of_fingerprint", "SELECT 1 FROM plain WHERE id <> 'finding_' || substr(fingerprint, 1, 16)"), ("suppressed_has_reason", "SELECT 1 FROM plain WHERE status = 'suppressed' AND reason IS NULL"), ("gap_has_reason", "SELECT 1 FROM coverage WHERE status <> 'complete' AND coalesce(reason, '') = ''")),

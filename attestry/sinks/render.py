@@ -38,8 +38,11 @@ def sarif(findings: DataFrame, signals: DataFrame) -> str:
     place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation")))
     result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.when(F.col("uri").isNotNull(), place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"), F.struct(F.col("finding_id").alias("findingId"), F.col("finding_status").alias("findingStatus")).alias("properties")))
     results = [json.loads(r["r"]) for r in rows.orderBy("rule_id", "id").select(result.alias("r")).toLocalIterator()]
-    rules = [r["rule_id"] for r in signals.select("rule_id").distinct().orderBy("rule_id").collect()]  # as many as there are rules
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "attestry", "rules": [{"id": r} for r in rules]}}, "results": results}]}, ensure_ascii=False)
+    rules = [
+        {"id": r["rule_id"], "name": r["rule_id"], "shortDescription": {"text": r["short_text"]}, "help": {"text": r["help"]}, "properties": {"tags": r["tags"]}}
+        for r in pr.sarif_rules(signals).orderBy("rule_id").collect()  # as many as there are rules
+    ]
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "attestry", "rules": rules}}, "results": results}]}, ensure_ascii=False)
 
 
 def ci_report(decision: DataFrame, findings: DataFrame, signals: DataFrame, coverage: DataFrame, comparison: DataFrame) -> dict:
