@@ -87,15 +87,16 @@ def transformed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of docs, all columns, with the text as it is told; a null text stays null."""
-    at, number = docs.columns.index(text_col), docs.columns.index(id_col)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    names = docs.columns
+    at, number = names.index(text_col), names.index(id_col)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = batch.column(0).flatten()
             out = [None if t.as_py() is None else told(i.as_py(), t.as_py(), **options).output for i, t in zip(fields[number], fields[at], strict=True)]
             fields[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(fields, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(fields, names=names)
 
     return in_batches(rows, run, docs.schema)
 
