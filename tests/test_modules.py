@@ -1,7 +1,5 @@
 """Module relations against what a person finds: near misses of visibility, graphs, star exports and router trees."""
 
-import pytest
-
 from attestry.operators import js_modules, modules
 from attestry.relations import rows
 
@@ -45,23 +43,23 @@ def test_star_exports(spark):
     assert found["i.ts", "u"] == (None, None)
 
 
-@pytest.mark.parametrize(("n", "whole"), [(8, True), (9, False)])
-def test_walk_depth(spark, n, whole):
-    line = edges(spark, *((f"m{i}", f"m{i + 1}") for i in range(n)))
-    assert {r["whole"] for r in modules.walks(line, frame(spark, "start string", ("m0",))).collect()} == {whole}
+def whole(spark, cases, **limits):
+    """For each case (its edges), whether the walk from m is whole; all cases in one run."""
+    graph = edges(spark, *((f"{i}{a}", f"{i}{b}") for i, pairs in enumerate(cases) for a, b in pairs))
+    found = modules.walks(graph, frame(spark, "start string", *((f"{i}m",) for i in range(len(cases)))), **limits)
+    return [{r["whole"] for r in rows} for rows in ([r for r in found.collect() if r["start"] == f"{i}m"] for i in range(len(cases)))]
 
 
-def test_walk_entries(spark):
-    for n, whole in ((4, True), (5, False)):
-        star = edges(spark, *(("m", f"m{i}") for i in range(n)))
-        assert {r["whole"] for r in modules.walks(star, frame(spark, "start string", ("m",)), entries=5).collect()} == {whole}
+def test_walk_depth(spark):
+    line = [("m" if i == 0 else f"m{i}", f"m{i + 1}") for i in range(9)]
+    assert whole(spark, [line[:8], line]) == [{True}, {False}]
 
 
-def test_walk_at_its_depth(spark):
+def test_walk_entries_and_last_distance(spark):
     """At the last distance only nodes that stand earlier in the walk may follow."""
-    for pair, whole in ((("a", "b"), False), (("b", "a"), True), (("a", "a"), True), (("b", "m"), True)):
-        graph = edges(spark, ("m", "a"), ("m", "b"), pair)
-        assert {r["whole"] for r in modules.walks(graph, frame(spark, "start string", ("m",)), depth=1).collect()} == {whole}
+    star = [("m", f"m{i}") for i in range(5)]
+    last = [[("m", "a"), ("m", "b"), pair] for pair in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "m"))]
+    assert whole(spark, [star[:4], star, *last], depth=1, entries=5) == [{True}, {False}, {False}, {True}, {True}, {True}]
 
 
 def test_in_every_graph(spark):
@@ -84,12 +82,16 @@ def test_one_broken_root_leaves_no_graphs(spark):
 PROVIDER = "module string, token string, signature string, implementation string, alias string"
 
 
-def visible(spark, asked, graph, exports=(), registrations=(), reexports=(), everywhere=(), **limits):
-    pairs = lambda data, a, b: frame(spark, f"{a} string, {b} string", *data)
-    found = modules.visible_providers(
-        pairs(asked, "module", "token"), edges(spark, *graph), pairs(reexports, "src", "dst"), pairs(exports, "module", "token"), modules.registered(frame(spark, PROVIDER, *registrations)), pairs(everywhere, "module", "property"), **limits,
-    )
-    return {(r["module"], r["token"]): r["implementation"] and f"{r['implementation']}@{r['provider_module']}" for r in found.collect()}
+def visible(spark, cases, **limits):
+    """What module m of each case sees under token t; all cases in one run, their modules told apart by the case's number."""
+    of = lambda key: [(i, row) for i, (c, _) in enumerate(cases) for row in c.get(key, ())]
+    pairs = lambda key, a, b, second=True: frame(spark, f"{a} string, {b} string", *((f"{i}{r[0]}", f"{i}{r[1]}" if second else r[1]) for i, r in of(key)))
+    graph = edges(spark, *((f"{i}{a}", f"{i}{b}") for i, (a, b) in of("graph")))
+    registered = modules.registered(frame(spark, PROVIDER, *((f"{i}{r[0]}", *r[1:]) for i, r in of("given"))))
+    asked = frame(spark, "module string, token string", *((f"{i}m", "t") for i in range(len(cases))))
+    found = modules.visible_providers(asked, graph, pairs("again", "src", "dst"), pairs("told", "module", "token", False), registered, pairs("everywhere", "module", "property"), **limits)
+    seen = {r["module"]: r["implementation"] and f"{r['implementation']}@{r['provider_module'].lstrip('0123456789')}" for r in found.collect()}
+    assert [seen[f"{i}m"] for i in range(len(cases))] == [expected for _, expected in cases]
 
 
 def a_class(module, token, name):
@@ -106,48 +108,53 @@ def test_registered_twice(spark):
 
 
 def test_visible(spark):
-    asked = [("m", "t")]
-    assert visible(spark, asked, [("m", "a")], [("a", "t")], [a_class("a", "t", "A")]) == {("m", "t"): "A@a"}
-    assert visible(spark, asked, [("m", "a")], [], [a_class("a", "t", "A")]) == {("m", "t"): None}  # provided, not exported
     two = [a_class("a", "t", "A"), a_class("b", "t", "B")]
-    assert visible(spark, asked, [("m", "a"), ("m", "b")], [("a", "t"), ("b", "t")], two) == {("m", "t"): None}
-    assert visible(spark, asked, [("m", "a"), ("m", "b")], [("a", "t"), ("b", "t")], [*two, a_class("b", "t", "C")]) == {("m", "t"): "A@a"}  # an ambiguous export tells nothing
-    assert visible(spark, asked, [("m", "a")], [("a", "t")], [a_class("a", "t", "A"), a_class("m", "t", "A"), a_class("m", "t", "B")]) == {("m", "t"): None}  # own ambiguity hides imports
-    assert visible(spark, asked, [("m", "a"), ("m", "b"), ("a", "c"), ("b", "c")], [("c", "t")], [a_class("c", "t", "A")], reexports=[("a", "c"), ("b", "c")]) == {("m", "t"): "A@c"}  # one thing on two ways
-    assert visible(spark, asked, [("m", "a")], [("c", "t")], [a_class("c", "t", "A")], reexports=[("a", "c")]) == {("m", "t"): None}  # re-exported, not imported
-    assert visible(spark, asked, [("m", "a")], [("g", "t")], [a_class("g", "t", "A")], everywhere=[("m", "g"), ("m", "m")]) == {("m", "t"): "A@g"}
-
-
-def test_visible_aliases_and_cycles(spark):
-    asked = [("m", "t")]
-    assert visible(spark, asked, [("m", "a")], [("a", "u")], [an_alias("m", "t", "u"), a_class("a", "u", "A")]) == {("m", "t"): "A@a"}
-    assert visible(spark, asked, [], [], [an_alias("m", "t", "u"), an_alias("m", "u", "t")]) == {("m", "t"): None}
-    assert visible(spark, asked, [("m", "a"), ("a", "m"), ("a", "b")], [("m", "t"), ("a", "t"), ("b", "t")], [a_class("b", "t", "B")]) == {("m", "t"): "B@b"}
+    a, both, told = [("m", "a")], [("m", "a"), ("m", "b")], [("a", "t"), ("b", "t")]
     long = [(f"m{i}" if i else "m", f"m{i + 1}") for i in range(9)]
-    for n, found in ((8, "A@m8"), (9, None)):
-        assert visible(spark, asked, long[:n], [(f"m{n}", "t")], [a_class(f"m{n}", "t", "A")], reexports=long[1:n]) == {("m", "t"): found}
     steps = [an_alias("m", f"t{i}" if i else "t", f"t{i + 1}") for i in range(9)]
-    for n, found in ((8, "A@m"), (9, None)):
-        assert visible(spark, asked, [], [], [*steps[:n], a_class("m", f"t{n}", "A")]) == {("m", "t"): found}
-    assert visible(spark, asked, [("m", "a"), ("m", "b")], [("a", "t")], [a_class("a", "t", "A")], entries=2) == {("m", "t"): None}
-
-
-def prefixes(spark, tree, **limits):
-    graphs = frame(spark, "root string, node string", *(("r", m) for m in ("h", "h2", "a", "b")), ("s", "a"))
-    found = modules.module_prefixes(frame(spark, "site string, host string, id string, parent string, path string, module string", *tree), graphs, **limits)
-    return {(r["root"], r["module"]): r["prefix"] if r["resolved"] else None for r in found.collect()}
+    far = lambda n: {"graph": long[:n], "told": [(f"m{n}", "t")], "given": [a_class(f"m{n}", "t", "A")], "again": long[1:n]}
+    visible(spark, [
+        ({"graph": a, "told": told, "given": [a_class("a", "t", "A")]}, "A@a"),
+        ({"graph": a, "given": [a_class("a", "t", "A")]}, None),  # provided, not exported
+        ({"graph": both, "told": told, "given": two}, None),
+        ({"graph": both, "told": told, "given": [*two, a_class("b", "t", "C")]}, "A@a"),  # an ambiguous export tells nothing
+        ({"graph": a, "told": told, "given": [a_class("a", "t", "A"), a_class("m", "t", "A"), a_class("m", "t", "B")]}, None),  # own ambiguity hides imports
+        ({"graph": [*both, ("a", "c"), ("b", "c")], "told": [("c", "t")], "given": [a_class("c", "t", "A")], "again": [("a", "c"), ("b", "c")]}, "A@c"),  # one thing on two ways
+        ({"graph": a, "told": [("c", "t")], "given": [a_class("c", "t", "A")], "again": [("a", "c")]}, None),  # re-exported, not imported
+        ({"graph": a, "told": [("g", "t")], "given": [a_class("g", "t", "A")], "everywhere": [("m", "g"), ("m", "m")]}, "A@g"),
+        ({"graph": a, "told": [("a", "u")], "given": [an_alias("m", "t", "u"), a_class("a", "u", "A")]}, "A@a"),
+        ({"given": [an_alias("m", "t", "u"), an_alias("m", "u", "t")]}, None),
+        ({"graph": [("m", "a"), ("a", "m"), ("a", "b")], "told": [("m", "t"), *told], "given": [a_class("b", "t", "B")]}, "B@b"),
+        (far(8), "A@m8"),
+        (far(9), None),
+        ({"given": [*steps[:8], a_class("m", "t8", "A")]}, "A@m"),
+        ({"given": [*steps, a_class("m", "t9", "A")]}, None),
+    ])
+
+
+def test_visible_beyond_entries(spark):
+    given = {"told": [("a", "t")], "given": [a_class("a", "t", "A")]}
+    visible(spark, [({"graph": [("m", "a"), ("m", "b")], **given}, None), ({"graph": [("m", "a")], **given}, "A@a")], entries=2)
+
+
+def prefixes(spark, trees, **limits):
+    """By tree, {(root, module): prefix, None where unresolved}; all trees in one run."""
+    graphs = frame(spark, "root string, node string", *((f"{i}{r}", f"{i}{m}") for i in range(len(trees)) for r, m in (("r", "h"), ("r", "h2"), ("r", "a"), ("r", "b"), ("s", "a"))))
+    data = [(f"{i}{site}", f"{i}{host}", x, parent, path, module and f"{i}{module}") for i, tree in enumerate(trees) for site, host, x, parent, path, module in tree]
+    found = modules.module_prefixes(frame(spark, "site string, host string, id string, parent string, path string, module string", *data), graphs, **limits).collect()
+    return [{(r["root"][1:], r["module"][1:]): r["prefix"] if r["resolved"] else None for r in found if r["root"][0] == str(i)} for i in range(len(trees))]
 
 
 def test_router_prefixes(spark):
     tree = [("1", "h", "x", None, "api//", None), ("1", "h", "y", "x", "v1/", "a"), ("1", "h", "z", "y", None, "b")]
-    assert prefixes(spark, tree) == {("r", "h"): "", ("r", "h2"): "", ("r", "a"): "/api/v1", ("r", "b"): "/api/v1", ("s", "a"): ""}
-    torn = prefixes(spark, [*tree, ("2", "h2", "q", None, "other", "a")])
+    bad = (("1", "h", "q", "x", "v2", "a"), ("1", "h", "q", "x", "idle", None), ("1", "h", "q", None, None, "b"))
+    plain, torn, same, *broken = prefixes(spark, [tree, [*tree, ("2", "h2", "q", None, "other", "a")], [*tree, ("2", "h2", "q", None, "/api/v1", "a")], *([*tree, b] for b in bad)])
+    assert plain == {("r", "h"): "", ("r", "h2"): "", ("r", "a"): "/api/v1", ("r", "b"): "/api/v1", ("s", "a"): ""}
     assert torn["r", "a"] is None and torn["r", "b"] == "/api/v1" and torn["s", "a"] == ""  # two sites disagree about one module alone
-    same = prefixes(spark, [*tree, ("2", "h2", "q", None, "/api/v1", "a")])
-    assert same["r", "a"] == "/api/v1"
-    for bad in (("1", "h", "q", "x", "v2", "a"), ("1", "h", "q", "x", "idle", None), ("1", "h", "q", None, None, "b")):
-        assert set(prefixes(spark, [*tree, bad]).values()) == {None, ""} and prefixes(spark, [*tree, bad])["s", "a"] == ""
-    assert prefixes(spark, tree, depth=1)["r", "a"] is None and prefixes(spark, tree, entries=2)["r", "h"] is None
+    assert same == plain
+    for found in broken:
+        assert found == {("r", "h"): None, ("r", "h2"): None, ("r", "a"): None, ("r", "b"): None, ("s", "a"): ""}
+    assert prefixes(spark, [tree], depth=1)[0]["r", "a"] is None and prefixes(spark, [tree], entries=2)[0]["r", "h"] is None
 
 
 SOURCES = {
