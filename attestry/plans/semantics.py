@@ -6,6 +6,8 @@ relations are SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from attestry.operators import semantics
@@ -37,9 +39,9 @@ RELATIONS = {
     "seeds": "SELECT DISTINCT k AS callable, 'n' || (p % 3) AS name FROM {lines} WHERE l = 1 AND f <> 'N'",
     "proofs": "SELECT DISTINCT k AS callable, 'n' || (s % 3) AS name, CASE p % 3 WHEN 0 THEN 'binding' WHEN 1 THEN 'filter' ELSE 'predicate' END AS kind FROM {lines} WHERE p % 5 = 0",
     "roots": "SELECT k AS root FROM {keys} WHERE k % 2 = 0",
-    "applications": "SELECT user_id AS app, min(event_id) + 400 AS bound FROM {events} GROUP BY user_id",
-    "settings_read": """SELECT user_id AS app, event_id AS at, CASE WHEN event_id % 31 = 0 THEN 'close' WHEN event_id % 3 = 0 THEN 'prefix' WHEN event_id % 3 = 1 THEN 'versions' ELSE 'guards' END AS op, value < 60 OR event_id % 4 > 0 AS scoped,
-  CASE WHEN event_id % 19 = 0 THEN 'unresolved' WHEN event_id % 23 = 0 THEN 'partial' ELSE 'resolved' END AS outcome, event_type || (event_id % 11) AS value FROM {events} WHERE event_id % 2 = 0 OR event_type = 'error'""",
+    "applications": "SELECT user_id AS app, min(event_id) + CASE WHEN user_id % 3 = 0 THEN 400 ELSE -1 END AS bound FROM {events} GROUP BY user_id",
+    "settings_read": """SELECT user_id AS app, event_id AS at, CASE WHEN event_id % 81 = 0 THEN 'close' WHEN event_id % 30 = 0 THEN 'prefix' WHEN event_id % 60 = 1 THEN 'versions' ELSE 'guards' END AS op, event_id % 47 > 0 OR value < 20 AS scoped,
+  CASE WHEN event_id % 19 = 0 THEN 'unresolved' WHEN event_id % 23 = 0 THEN 'partial' ELSE 'resolved' END AS outcome, event_type || (event_id % 11) AS value FROM {events} WHERE event_id % 2 = 0 OR event_type = 'error' OR event_id % 60 = 1""",
     "routes": "SELECT o_orderkey AS route, o_custkey AS app, CASE o_orderstatus WHEN 'F' THEN 'GET' WHEN 'O' THEN 'ALL' ELSE 'POST' END AS method, 'o//' || (o_orderkey % 7) || '/' AS path FROM {orders}",
     "config": "SELECT c_custkey AS app, CASE WHEN c_custkey % 4 > 0 THEN '/api' ELSE '' END AS prefix, CASE WHEN c_nationkey % 3 = 0 THEN 'n' || c_nationkey ELSE '' END AS module_prefix, c_custkey % 3 > 0 AS versioned, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'v' END AS version_prefix FROM {customer}",
     "versions": "SELECT DISTINCT k AS route, CASE WHEN p % 5 > 0 THEN cast(s % 4 AS string) END AS version FROM {lines} WHERE f = 'A' AND l < 5",
@@ -155,7 +157,7 @@ def _calls() -> str:
     """The call search level by level, as one common table after another."""
     key = "callable, carried, enforced, forwarded, filtered"
     out = [
-        _with("roots", "callables", "calls", "arguments", "bindings", "seeds", "proofs"),
+        re.sub(r"\b(\w+_) AS \(", r"\1 AS MATERIALIZED (", _with("roots", "callables", "calls", "arguments", "bindings", "seeds", "proofs")),
         "begun AS (SELECT DISTINCT c.callee AS callable, a.parameter AS start, a.parameter AS name FROM calls_ c JOIN arguments_ a USING (call) UNION SELECT callable, '', name FROM seeds_)",
         "reach AS (SELECT * FROM begun UNION SELECT r.callable, r.start, b.target FROM reach r JOIN bindings_ b ON b.callable = r.callable AND b.root = r.name)",
         "s0 AS (SELECT root, root AS callable, '' AS carried, false AS enforced, 0 AS forwarded, false AS filtered, 1 AS rank FROM roots_)",
@@ -163,22 +165,25 @@ def _calls() -> str:
     ]
     for k in range(1, semantics.CALL_DEPTH + 1):
         out += [
-            f"k{k} AS (SELECT DISTINCT s.root, s.callable, s.carried, s.enforced, s.forwarded, s.filtered, r.name FROM s{k - 1} s JOIN reach r ON r.callable = s.callable AND (r.start = '' OR list_contains(string_split(s.carried, ','), r.start)))",
-            f"""p{k} AS (SELECT s.root, s.callable, s.carried, s.enforced, s.forwarded, s.filtered, s.rank, c.call, c.place, c.callee, c.denied, c.returned, c.filters,
-  (SELECT string_agg(DISTINCT a.parameter, ',' ORDER BY a.parameter) FROM arguments_ a JOIN k{k} n ON n.name = a.name WHERE a.call = c.call AND n.root = s.root AND n.callable = s.callable AND n.carried = s.carried AND n.enforced = s.enforced AND n.forwarded = s.forwarded AND n.filtered = s.filtered) AS passed
-  FROM s{k - 1} s JOIN calls_ c ON c.callable = s.callable)""",
-            f"""n{k} AS (SELECT root, {key}, min(via) AS via FROM (SELECT root, (rank, place, call) AS via, callee AS callable, coalesce(passed, '') AS carried, denied OR (enforced AND returned AND forwarded < {semantics.FORWARDS}) AS enforced,
-  CASE WHEN NOT denied AND enforced AND returned AND forwarded < {semantics.FORWARDS} THEN forwarded + 1 ELSE 0 END AS forwarded, filters AS filtered FROM p{k}) x GROUP BY ALL)""",
-            f"""r{k} AS (SELECT root, {key}, (SELECT count(*) FROM seen{k - 1} e WHERE e.root = n.root) + row_number() OVER (PARTITION BY root ORDER BY via, {key}) AS rank FROM n{k} n
-  WHERE NOT EXISTS (SELECT 1 FROM seen{k - 1} e WHERE e.root = n.root AND e.callable = n.callable AND e.carried = n.carried AND e.enforced = n.enforced AND e.forwarded = n.forwarded AND e.filtered = n.filtered))""",
+            f"k{k} AS (SELECT DISTINCT s.root, s.rank, r.name FROM (SELECT root, rank, callable, unnest(string_split(carried, ',')) AS start FROM s{k - 1} UNION SELECT root, rank, callable, '' FROM s{k - 1}) s JOIN reach r ON r.callable = s.callable AND r.start = s.start)",
+            f"c{k} AS (SELECT s.root, s.rank, s.enforced, s.forwarded, c.call, c.place, c.callee, c.denied, c.returned, c.filters FROM s{k - 1} s JOIN calls_ c ON c.callable = s.callable)",
+            f"a{k} AS (SELECT c.root, c.rank, c.call, a.parameter, a.name FROM c{k} c JOIN arguments_ a ON a.call = c.call)",
+            f"g{k} AS (SELECT a.root, a.rank, a.call, string_agg(DISTINCT a.parameter, ',' ORDER BY a.parameter) AS passed FROM a{k} a JOIN k{k} n ON n.root = a.root AND n.rank = a.rank AND n.name = a.name GROUP BY ALL)",
+            f"""n{k} AS (SELECT root, {key}, min(via) AS via FROM (SELECT c.root, (c.rank, place, c.call) AS via, callee AS callable, coalesce(passed, '') AS carried, denied OR (enforced AND returned AND forwarded < {semantics.FORWARDS}) AS enforced,
+  CASE WHEN NOT denied AND enforced AND returned AND forwarded < {semantics.FORWARDS} THEN forwarded + 1 ELSE 0 END AS forwarded, filters AS filtered FROM c{k} c LEFT JOIN g{k} g ON g.root = c.root AND g.rank = c.rank AND g.call = c.call) x GROUP BY ALL)""",
+            f"h{k} AS (SELECT root, count(*) AS had FROM seen{k - 1} GROUP BY root)",
+            f"m{k} AS (SELECT n.* FROM n{k} n ANTI JOIN seen{k - 1} e USING (root, {key}))",
+            f"r{k} AS (SELECT m.root, {key}, had + row_number() OVER (PARTITION BY m.root ORDER BY via, {key}) AS rank FROM m{k} m JOIN h{k} h ON h.root = m.root)",
             f"s{k} AS (SELECT * FROM r{k} WHERE rank <= {semantics.CALLABLES})",
             f"seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT * FROM s{k})",
         ]
     last = semantics.CALL_DEPTH
     over = " UNION ".join(f"SELECT root FROM r{k} WHERE rank > {semantics.CALLABLES}" for k in range(1, last + 1))
-    return f"""WITH RECURSIVE {", ".join(out)}, proved AS (SELECT DISTINCT s.root FROM seen{last} s JOIN reach r ON r.callable = s.callable AND (r.start = '' OR list_contains(string_split(s.carried, ','), r.start)) JOIN proofs_ p ON p.callable = s.callable AND p.name = r.name
-  WHERE p.kind = 'binding' OR (p.kind = 'filter' AND s.filtered) OR (p.kind = 'predicate' AND s.enforced))
-SELECT s.root, bool_or(c.guards) OR s.root IN (SELECT root FROM proved) AS owned, bool_or(c.roles) AS roles, bool_or(c.object) AS object, count(*) AS n, s.root NOT IN ({over}) AS whole FROM seen{last} s JOIN callables_ c ON c.callable = s.callable GROUP BY s.root"""
+    held = ", ".join(x if x.startswith("reach ") or " AS MATERIALIZED (" in x else x.replace(" AS (", " AS MATERIALIZED (", 1) for x in out)
+    return f"""WITH RECURSIVE {held}, proved AS (SELECT DISTINCT s.root FROM (SELECT *, unnest(list_append(string_split(carried, ','), '')) AS start FROM seen{last}) s JOIN reach r ON r.callable = s.callable AND r.start = s.start JOIN proofs_ p ON p.callable = s.callable AND p.name = r.name
+  WHERE p.kind = 'binding' OR (p.kind = 'filter' AND s.filtered) OR (p.kind = 'predicate' AND s.enforced)),
+facts AS (SELECT s.root, bool_or(c.guards) AS guards, bool_or(c.roles) AS roles, bool_or(c.object) AS object, count(*) AS n FROM seen{last} s JOIN callables_ c ON c.callable = s.callable GROUP BY s.root)
+SELECT f.root, guards OR p.root IS NOT NULL AS owned, roles, object, n, o.root IS NULL AS whole FROM facts f LEFT JOIN proved p ON p.root = f.root LEFT JOIN ({over}) o ON o.root = f.root"""
 
 
 _SLASHED = "'/' || regexp_replace(regexp_replace({0}, '/+', '/', 'g'), '^/|/$', '', 'g')"
