@@ -20,9 +20,21 @@ from attestry.functions import text as T
 from attestry.operators.parsing import closing, line_at, masked, rows_of, split_top
 
 _SOURCE = r"\.(?:js|jsx|ts|tsx|mjs|cjs|mts|cts)$"
-_NOT_RUNTIME = r"(?:^|/)(?:tests?|__tests__|fixtures?|examples?|scripts?|e2e|docs?)/|\.(?:test|spec|d)\.[cm]?[jt]sx?$"
-#: Names of guards, owner and role checks, and of object access.
-GUARD = re.compile(r"(?i)\b(?:\w*(?:requireAuth|isAuthenticated|authenticate|authMiddleware|verifyToken|ensureAuth|requireUser|requireLogin|jwtAuth)\w*|AuthGuard|JwtAuthGuard|passport\.authenticate|auth)\b")
+#: Paths that aren't part of a running application; names of guards that authenticate, control access or check roles, on a guard's own expression.
+_NOT_RUNTIME = r"(?i)(?:^|/)(?:test|tests|fixtures|examples?|scripts|mocks?|__tests__|old-archive)(?:/|$)|(?:^|/)(?:debug|test|example)[^/]*\.(?:[cm]?[jt]sx?)$"
+AUTH_GUARD = re.compile(
+    r"(?i)(?:^|[._])(?:auth(?:Middleware|Guard)?|authenticate|authenticated|authentication(?:Middleware)?|requireAuth|requireUser|ensureAuthenticated|isAuthenticated|verifyToken|verifySession|jwtAuth(?:Guard)?|jwtGuard|"
+    r"sessionAuth(?:Guard)?|bearerAuth|protect|passport\.authenticate)(?:$|[.(])"
+)
+ACCESS_GUARD = re.compile(
+    r"(?i)(?:^|[._])(?:require|verify|check|ensure|authorize|assert|can)[A-Za-z0-9_]*(?:access|owner|ownership|permission|policy|role|admin|tenant)|"
+    r"(?:owner|ownership|permission|policy|ability|role|admin|tenant)[A-Za-z0-9_]*(?:guard|check)(?:$|[.(])"
+)
+ROLE_GUARD = re.compile(
+    r"(?i)(?:^|[._])(?:require|verify|check|ensure|authorize|assert|can)[A-Za-z0-9_]*(?:permission|policy|role|admin)|(?:permission|policy|ability|role|admin)[A-Za-z0-9_]*(?:guard|check|only|middleware)(?:$|[.(])"
+)
+NEST_GUARD = re.compile(r"(?i)(?:auth|jwt|session|identity|loggedIn|signedIn|user|role|permission|policy|ability|access|owner|admin)")
+#: Our own: what in a handler's text stands for an owner check, a role check and access to an object, where no call is followed.
 OWNER = re.compile(r"(?i)\b(?:owner(?:Id)?|userId|tenantId|createdBy)\b\s*(?:[:=!]==?|:)|\b(?:req\.user|user)\.(?:id|sub)\b|checkOwner\w*|canAccess\w*|ensureOwner\w*")
 ROLE = re.compile(r"(?i)\b(?:\w*(?:requireRole|requireAdmin|isAdmin|hasRole|checkPermission|hasPermission|RolesGuard)\w*|Roles)\b")
 OBJECT_ID = re.compile(r"(?i):(?:\w*id|uuid)\b|\b(?:params|body|query)\s*\.\s*(?:\w*Id|id|uuid)\b|@Param\(")
@@ -30,6 +42,11 @@ ACCESS = re.compile(r"(?i)\.(?:find\w*|get\w*|delete\w*|remove\w*|update\w*|save
 _VERBS = "get|post|put|patch|delete|all"
 
 
+def guards(expressions: list[str], names: re.Pattern = AUTH_GUARD) -> bool:
+    """Whether one of some middleware expressions, or of arrays of them, is a guard by its name."""
+    return any(names.search(x.strip()) for e in expressions for x in (e.strip()[1:-1].split(",") if e.strip().startswith("[") else [e]))
+
+
 def _string(text: str) -> str | None:
     m = re.fullmatch(r"\s*(['\"`])(.*)\1\s*", text, re.S)
     return m[2] if m and "${" not in m[2] else None
@@ -81,9 +98,9 @@ def read_express(path: str, content: str) -> Iterator[dict]:
             if method == "use":
                 for i, h in enumerate(handlers):
                     if h in names or h in imports:
-                        shielded = any(GUARD.search(x) for x in handlers[:i])
+                        shielded = guards(handlers[:i])
                         yield {"kind": "mount", **base, "flag": shielded, "b": f"{path}:{h}" if h in names else "", "c": imports.get(h, ""), "d": place or ""}
-                    elif GUARD.search(h):
+                    elif guards([h]):
                         yield {"kind": "middleware", **base, "d": place or ""}
             elif place is not None and handlers:
                 body, before = handlers[-1], " ".join(handlers[:-1])
@@ -91,7 +108,7 @@ def read_express(path: str, content: str) -> Iterator[dict]:
                 if handler and (f := re.search(rf"(?:function\s+{re.escape(handler)}|(?:const|let)\s+{re.escape(handler)}\s*=)[^{{]*\{{", shape)):
                     stop = closing(shape, f.end() - 1)
                     body = content[f.start() : stop] if stop else body
-                yield {"kind": "route", **base, "b": method.upper(), "d": place, "e": handler or "", "flag": bool(GUARD.search(before) or re.search(r"(?i)\b(?:requireAuth|verifyToken)\s*\(", body)), "items": [k for k, p in (("owner", OWNER), ("role", ROLE)) if p.search(before + body)] + (["object"] if OBJECT_ID.search(f"{place} {body}") and ACCESS.search(body) else [])}
+                yield {"kind": "route", **base, "b": method.upper(), "d": place, "e": handler or "", "flag": bool(guards(handlers[:-1]) or re.search(r"(?i)\b(?:requireAuth|verifyToken)\s*\(", body)), "items": [k for k, p, named in (("owner", OWNER, ACCESS_GUARD), ("role", ROLE, ROLE_GUARD)) if p.search(before + body) or guards(handlers[:-1], named)] + (["object"] if OBJECT_ID.search(f"{place} {body}") and ACCESS.search(body) else [])}
 
 
 def read_nest(path: str, content: str) -> Iterator[dict]:
@@ -121,7 +138,7 @@ def read_nest(path: str, content: str) -> Iterator[dict]:
             public = bool(re.search(r"@(?:Public|AllowAnonymous)\s*\(", text))
             place = (_string(own[0][0]) if own[0] else "") or ""
             yield {
-                "kind": "nest", "a": start[1], "b": r[1].upper(), "c": prefix, "d": place, "e": f[1], "n": r.start(), "m": line_at(content, r.start()), "flag": not public and bool(re.search(r"@UseGuards\([^)]*(?:Auth|Jwt)", above + text)),
+                "kind": "nest", "a": start[1], "b": r[1].upper(), "c": prefix, "d": place, "e": f[1], "n": r.start(), "m": line_at(content, r.start()), "flag": not public and any(NEST_GUARD.search(g) for g in re.findall(r"@UseGuards\(([^)]*)", above + text)),
                 "items": [k for k, p in (("owner", OWNER), ("role", ROLE)) if p.search(above + text)] + (["object"] if OBJECT_ID.search(f"{place} {text}") and ACCESS.search(text) else []),
             }
 
@@ -169,10 +186,11 @@ _KINDS = [*((k, pa.string()) for k in ("kind", "a", "b", "c", "d", "e")), ("n",
 
 def code_rows(files: DataFrame) -> DataFrame:
     path = F.col("relative_path")
-    due = files.where(path.rlike(_SOURCE) & ~path.rlike(_NOT_RUNTIME))
+    due = files.where(path.rlike(_SOURCE))
 
     def read(where: str, content: str) -> Iterator[dict]:
-        for reader in (read_express, read_nest, read_flows):
+        """Routes of files that run; flows of all."""
+        for reader in (read_flows,) if re.search(_NOT_RUNTIME, where) else (read_express, read_nest, read_flows):
             yield from reader(where, content)
 
     return rows_of(due, read, _DDL, _KINDS)

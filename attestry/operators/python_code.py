@@ -20,9 +20,10 @@ from attestry.durable import kept
 from attestry.functions import text as T
 from attestry.operators.parsing import rows_of
 
-_NOT_RUNTIME = r"(?:^|/)(?:tests?|fixtures?|examples?|scripts?|docs?|migrations)/|(?:^|/)(?:test_[^/]*|[^/]*_test)\.py$"
+#: Fixed value: paths that aren't part of a running application.
+_NOT_RUNTIME = r"(?i)(?:^|/)(?:test|tests|fixtures|examples?|scripts|old-archive)(?:/|$)|(?:^|/)(?:debug|test|example)[^/]*\.py$"
 _VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
-#: Names that tell a guard, an owner check, a sanitiser and a dependency that no client controls.
+#: Our own: names that tell a guard, an owner check, a sanitiser and a dependency that no client controls.
 GUARD = re.compile(r"(?i)(?:get_current_user|current_user|require_auth|require_user|verify_token|verify_api_key|get_user|authenticate|oauth2|httpbearer|api_key_header|login_required|\w*auth(?:enticated|orized)?\w*_?user|auth_(?:required|dependency|guard|user))")
 OWNERSHIP = re.compile(r"(?i)(?:owner_id|user_id\s*==|\.user_id|tenant_id|created_by|is_admin|is_superuser|require_role|check_permission|has_permission|ensure_owner|check_owner)")
 SANITISER = re.compile(r"(?i)(?:sanitize|validate_url|is_safe_url|allowlist|whitelist|basename|secure_filename|ensure_public)\w*\s*\(")

@@ -1,8 +1,10 @@
 """What readers of sources and packages find in the inline files, against what a person finds there."""
 
+import re
+
 import pytest
 
-from attestry.operators import baas, parsing
+from attestry.operators import baas, js_code, parsing, python_code
 from attestry.plans import code
 
 EXPECTED = {
@@ -58,7 +60,7 @@ EXPECTED = {
         ("nestjs", "GET", "/notes/open/users", False, ""),
         ("nestjs", "POST", "/users", False, ""),
     },
-    "js_flows": {("ai.model-output-dangerous-sink", "src/flows.ts", 9), ("dataflow.dom-xss", "src/flows.ts", 5), ("dataflow.sql-injection", "src/flows.ts", 2), ("dataflow.ssrf", "src/flows.ts", 7)},
+    "js_flows": {("dataflow.command-injection", "src/flows.test.ts", 1), ("ai.model-output-dangerous-sink", "src/flows.ts", 9), ("dataflow.dom-xss", "src/flows.ts", 5), ("dataflow.sql-injection", "src/flows.ts", 2), ("dataflow.ssrf", "src/flows.ts", 7)},
 }
 
 
@@ -92,3 +94,15 @@ def test_masking_keeps_places():
     text = "a -- b;\n'x;y' /* c\nd */ e"
     out = parsing.masked(text, "sql")
     assert len(out) == len(text) and ";" not in out and out.count("\n") == text.count("\n")
+
+
+def test_guard_names_and_paths():
+    for name in ("requireAuth", "auth", "passport.authenticate('jwt')", "sessionAuthGuard", "jwtGuard({a: 1})", "middleware.protect", "[limit, verifyToken]", "my_auth"):
+        assert js_code.guards([name])
+    for name in ("author", "authorize", "unauth", "requireAuthor", "limit", "jwtGuardian"):
+        assert not js_code.guards([name])
+    skipped = lambda p, pattern: bool(re.search(pattern, p))
+    assert not any(skipped(p, js_code._NOT_RUNTIME) for p in ("docs/server.ts", "e2e/api.ts", "src/testing.d/x.ts", "a/latest.ts"))
+    assert all(skipped(p, js_code._NOT_RUNTIME) for p in ("old-archive/a.ts", "mocks/a.ts", "src/debug-server.ts", "src/exampleApp.mjs", "Tests/a.js"))
+    assert not any(skipped(p, python_code._NOT_RUNTIME) for p in ("docs/api/main.py", "migrations/env_api.py", "mocks/a.py"))
+    assert all(skipped(p, python_code._NOT_RUNTIME) for p in ("old-archive/a.py", "src/debug_main.py", "scripts/a.py"))
