@@ -207,6 +207,26 @@ def call_semantics(roots: DataFrame, callables: DataFrame, calls: DataFrame, arg
     return facts.join(proved, "root", "left").join(more, "root", "left").select("root", (F.col("guards") | F.col("proved").isNotNull()).alias("owned"), "roles", "object", "n", F.col("more").isNull().alias("whole"))
 
 
+def receivers(known: DataFrame, passes: DataFrame) -> DataFrame:
+    """key and receiver of names that stand for an application or router: the known ones, and parameters that were given one.
+
+    known: key, receiver; passes: ord (long, the call's place among all), argument, parameter (keys). Calls are gone through in order, again and again, until nothing is new; the first
+    receiver that comes to a parameter stays. So each key is labelled with the round and place at which it got its receiver:
+    a call later in that round passes it on in the same round, an earlier one in the next. A round here extends the labels that became smaller.
+    """
+    best = kept(known.groupBy("key").agg(F.min(F.struct(F.lit(1).alias("turn"), F.lit(-1).cast("long").alias("ord"), "receiver")).alias("label")), "receivers")
+    fresh = best
+    while not fresh.isEmpty():
+        given = fresh.withColumnRenamed("key", "argument").join(passes, "argument")
+        turn = F.when(F.col("ord") > F.col("label.ord"), F.col("label.turn")).otherwise(F.col("label.turn") + 1)
+        new = given.groupBy(F.col("parameter").alias("key")).agg(F.min(F.struct(turn.alias("turn"), F.col("ord").alias("ord"), F.col("label.receiver").alias("receiver"))).alias("label"))
+        old = best.select("key", F.col("label").alias("old"))
+        nearer = "old IS NULL OR (label.turn, label.ord) < (old.turn, old.ord) OR ((label.turn, label.ord) = (old.turn, old.ord) AND label.receiver <> old.receiver)"  # one call, whose argument got another label
+        fresh = kept(new.join(old, "key", "left").where(nearer).drop("old"), "receivers")
+        best = kept(best.join(fresh, "key", "left_anti").unionByName(fresh), "receivers")
+    return best.select("key", "label.receiver")
+
+
 # -- settings of an application and versions of a route
 
 

@@ -39,6 +39,9 @@ RELATIONS = {
     "seeds": "SELECT DISTINCT k AS callable, 'n' || (p % 3) AS name FROM {lines} WHERE l = 1 AND f <> 'N'",
     "proofs": "SELECT DISTINCT k AS callable, 'n' || (s % 3) AS name, CASE p % 3 WHEN 0 THEN 'binding' WHEN 1 THEN 'filter' ELSE 'predicate' END AS kind FROM {lines} WHERE p % 5 = 0",
     "roots": "SELECT k AS root FROM {keys} WHERE k % 2 = 0",
+    "known": "SELECT 'k' || k AS key, 'app' || k AS receiver FROM {keys} WHERE k % 4 = 0",
+    "passes": """SELECT cast(n.p AS bigint) * 1000000000 + a.k * 10 + n.l AS ord, 'k' || a.k AS argument, 'k' || b.k AS parameter FROM {m} a JOIN {lines} n ON n.k = a.k JOIN {m} b ON b.c = a.c AND floor((b.rn - 1) / 6) = floor((a.rn - 1) / 6)
+  WHERE (n.l <= 2 AND b.rn = a.rn + 1 + n.p % 2) OR (n.l = 3 AND b.rn = a.rn - 1)""",
     "applications": "SELECT user_id AS app, min(event_id) + CASE WHEN user_id % 3 = 0 THEN 400 ELSE -1 END AS bound FROM {events} GROUP BY user_id",
     "settings_read": """SELECT user_id AS app, event_id AS at, CASE WHEN event_id % 81 = 0 THEN 'close' WHEN event_id % 30 = 0 THEN 'prefix' WHEN event_id % 60 = 1 THEN 'versions' ELSE 'guards' END AS op, event_id % 47 > 0 OR value < 20 AS scoped,
   CASE WHEN event_id % 19 = 0 THEN 'unresolved' WHEN event_id % 23 = 0 THEN 'partial' ELSE 'resolved' END AS outcome, event_type || (event_id % 11) AS value FROM {events} WHERE event_id % 2 = 0 OR event_type = 'error' OR event_id % 60 = 1""",
@@ -108,6 +111,11 @@ def call_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.call_semantics(*(t[n] for n in ("roots", "callables", "calls", "arguments", "bindings", "seeds", "proofs")))
 
 
+def receiver_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return semantics.receivers(t["known"], t["passes"])
+
+
 def application_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return semantics.settings(t["applications"], t["settings_read"])
@@ -118,7 +126,7 @@ def versioned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.versioned_paths(*(t[n] for n in ("routes", "config", "versions", "defaults", "exclusions")))
 
 
-QUERIES = {f.__name__: f for f in (strict_predicates, static_route_tables, route_expansion, expansion_sites, denial_paths, enforced_comparisons, identity_aliases, call_semantics, application_settings, versioned_paths)}
+QUERIES = {f.__name__: f for f in (strict_predicates, static_route_tables, route_expansion, expansion_sites, denial_paths, enforced_comparisons, identity_aliases, call_semantics, receiver_propagation, application_settings, versioned_paths)}
 
 
 def _with(*names: str) -> str:
@@ -198,6 +206,9 @@ SELECT 'o' || k AS "table", element FROM one WHERE k NOT IN (SELECT k FROM bad)
     "enforced_comparisons": f"{_DENIES} SELECT callable, node FROM comparisons_ c WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.callable = c.callable AND b.denies AND b.role = CASE WHEN (equal AND negated) OR NOT (equal OR negated) THEN 'then' ELSE 'else' END)",
     "identity_aliases": f"WITH RECURSIVE {_with('lines', 'seeds')}, r AS (SELECT callable, name AS start, name FROM seeds_ UNION SELECT callable, start, 'n' || (s % 7) FROM r JOIN lines_ ON k = callable AND 'n' || (p % 7) = name) SELECT callable, start, name FROM r",
     "call_semantics": _calls(),
+    "receiver_propagation": f"""WITH RECURSIVE {_with("known", "passes")}, w AS (SELECT key, receiver, 1 AS turn, cast(-1 AS BIGINT) AS ord, [key] AS through, [(1, cast(-1 AS BIGINT))] AS labels FROM known_
+  UNION ALL SELECT parameter, receiver, CASE WHEN p.ord > w.ord THEN turn ELSE turn + 1 END, p.ord, list_append(through, parameter), list_prepend((CASE WHEN p.ord > w.ord THEN turn ELSE turn + 1 END, p.ord), labels) FROM w JOIN passes_ p ON argument = key WHERE NOT list_contains(through, parameter))
+SELECT key, arg_min(receiver, labels) AS receiver FROM w GROUP BY key""",
     "application_settings": f"""WITH {_with("applications", "settings_read")}, due AS (SELECT e.* FROM settings_read_ e JOIN applications_ a ON a.app = e.app WHERE e.scoped AND e.at > a.bound)
 SELECT app, coalesce({_SETTING.format("prefix")}, '') AS prefix, {_SETTING.format("versions")} IS NOT NULL AS versioned, coalesce({_SETTING.format("versions")}, 'v') AS version_prefix, EXISTS (SELECT 1 FROM due e WHERE e.app = a.app AND e.op = 'close') AS closed,
   (SELECT count(*) FROM due e WHERE e.app = a.app AND e.op = 'guards') AS guards, NOT EXISTS (SELECT 1 FROM settings_read_ e WHERE e.app = a.app AND e.op <> 'close' AND (NOT e.scoped OR e.at <= a.bound OR (e.op <> 'guards' AND e.outcome <> 'resolved'))) AS resolved FROM applications_ a""",

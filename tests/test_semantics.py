@@ -116,6 +116,13 @@ def test_calls(spark):
     assert {r: v["whole"] for r, v in seen.items() if not v["whole"]} == {"w": False} and seen["w"]["n"] == seen["v"]["n"] == 32 and seen["v"]["object"]
 
 
+def test_receivers(spark):
+    """A later call of a round passes on what an earlier one gave, and comes before all calls of the next round."""
+    known, passed = [("app", "A"), ("router", "R")], [(1, "p", "q"), (2, "router", "q2"), (3, "app", "p"), (4, "p", "q2"), (5, "p", "s"), (6, "router", "s"), (7, "q", "app"), (8, "lost", "t"), (9, "x", "y"), (10, "y", "x")]
+    found = semantics.receivers(frame(spark, "key string, receiver string", *known), frame(spark, "ord long, argument string, parameter string", *passed))
+    assert got(found, "key", "receiver") == [("app", "A"), ("p", "A"), ("q", "A"), ("q2", "R"), ("router", "R"), ("s", "A")]
+
+
 def test_settings(spark):
     apps = frame(spark, "app string, bound long", *((a, 10) for a in "abcde"))
     events = [
