@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from attestry.durable import kept
 from attestry.functions import text as T
-from attestry.operators.parsing import closing, line_at, masked, rows_of, split_top
+from attestry.operators.parsing import SENSITIVE_PATH, SESSION_PATH, closing, line_at, masked, rows_of, split_top
 
 _SOURCE = r"\.(?:js|jsx|ts|tsx|mjs|cjs|mts|cts)$"
 #: Paths that aren't part of a running application; names of guards that authenticate, control access or check roles, on a guard's own expression.
@@ -226,15 +226,10 @@ def routes(rows: DataFrame) -> DataFrame:
     return express.unionByName(nest).distinct()
 
 
-#: Paths that are public by design, log-in paths, paths that are sensitive or privileged, and those of a caller's own session.
+#: Paths that are public by design, log-in paths, and privileged ones.
 PUBLIC_PATH = r"(?i)(?:^|/)(?:login|log-in|register|sign-up|signup|health|healthz|ready|readiness|live|liveness|favicon\.ico|docs|openapi(?:\.json)?|swagger)/?$"
 LOGIN_PATH = r"(?i)(?:^|/)(?:login|log-in|sign-in)/?$"
-SENSITIVE_PATH = (
-    r"(?i)(?:^|/)(?:admin|internal|manage|users?|permissions?|roles?|projects?|documents?|reports?|chapters?|templates?|knowledge|signatures?|chat|generate|review|"
-    r"uploads?|downloads?|tokens?|sessions?|billing|payments?)(?:/|$)"
-)
 PRIVILEGED_PATH = r"(?i)(?:^|/)(?:admin|internal|manage|management|permissions?|roles?)(?:/|$)"
-SESSION_PATH = r"(?i)(?:^|/)(?:login|logout|token|session/current|me|profile)(?:/|$)"
 
 
 def route_findings(found: DataFrame) -> DataFrame:

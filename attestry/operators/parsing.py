@@ -13,6 +13,10 @@ _QUIET = {
     "c": re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S),
 }
 
+#: Paths that are sensitive, and those of a caller's own session.
+SENSITIVE_PATH = r"(?i)(?:^|/)(?:admin|internal|manage|users?|permissions?|roles?|projects?|documents?|reports?|chapters?|templates?|knowledge|signatures?|chat|generate|review|uploads?|downloads?|tokens?|sessions?|billing|payments?)(?:/|$)"
+SESSION_PATH = r"(?i)(?:^|/)(?:login|logout|token|session/current|me|profile)(?:/|$)"
+
 
 def masked(text: str, kind: str, strings: bool = True) -> str:
     """text with comments, and strings if asked, as blanks; every other character stays in its place."""

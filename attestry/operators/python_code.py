@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from attestry.durable import kept
 from attestry.functions import text as T
-from attestry.operators.parsing import rows_of
+from attestry.operators.parsing import SENSITIVE_PATH, SESSION_PATH, rows_of
 
 #: Fixed value: paths that aren't part of a running application.
 _NOT_RUNTIME = r"(?i)(?:^|/)(?:test|tests|fixtures|examples?|scripts|old-archive)(?:/|$)|(?:^|/)(?:debug|test|example)[^/]*\.py$"
@@ -244,12 +244,8 @@ def routes(rows: DataFrame) -> DataFrame:
     return got.join(first, "path", "left")
 
 
-#: Paths that are public by design, and paths that are sensitive for reading too.
+#: Paths that are public by design.
 PUBLIC_PATH = r"(?i)(?:^|/)(?:login|log-in|register|sign-up|signup|health|healthz|ready|readiness|live|liveness|favicon\.ico|docs|redoc|openapi\.json)/?$"
-SENSITIVE_PATH = (
-    r"(?i)(?:^|/)(?:admin|internal|manage|users?|permissions?|roles?|projects?|documents?|reports?|chapters?|templates?|knowledge|signatures?|chat|generate|review|"
-    r"uploads?|downloads?|tokens?|sessions?|billing|payments?)(?:/|$)"
-)
 
 
 def _sensitive(path: Column, method: Column) -> Column:
@@ -260,7 +256,7 @@ def route_findings(found: DataFrame) -> DataFrame:
     """rule_id, route, handler and place of routes that lack a guard, or an owner check on the object they name."""
     shield = F.col("guarded") | (F.col("middleware") & F.col("whitelist").isNull())
     sensitive = _sensitive(F.col("path"), F.col("method"))
-    session = F.col("path").rlike(r"(?i)(?:^|/)(?:login|logout|token|session/current|me|profile)(?:/|$)")
+    session = F.col("path").rlike(SESSION_PATH)
     rules = (
         ("fastapi.auth.whitelisted-sensitive-route", sensitive & ~F.col("guarded") & F.col("middleware") & F.col("whitelist").isNotNull()),
         ("fastapi.auth.sensitive-route-without-guard", sensitive & ~F.col("guarded") & ~F.col("middleware")),

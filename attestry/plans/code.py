@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry import relations as R
-from attestry.operators import baas, js_code, python_code, rules
+from attestry.operators import baas, js_code, parsing, python_code, rules
+from attestry.operators.parsing import SESSION_PATH
 from attestry.plans.common import quoted, rows, values
 from attestry.sources import archives
 
@@ -296,8 +297,8 @@ _ROUTES = f"""{_MOUNTED}, plain AS (SELECT DISTINCT relative_path, method, {_JOI
   FROM {_of("route", router="a", method="b", place="c", fid="d", handler="e", own_guard="flag", line="n", owned="m", ids="items")} JOIN mounted USING (router)),
 routes AS (SELECT p.*, entry, entry_kind FROM plain p LEFT JOIN (SELECT path AS listed, arg_min(w.e, (w.l, w.e)) AS entry, arg_min(w.k, (w.l, w.e)) AS entry_kind FROM (SELECT DISTINCT path FROM plain)
   JOIN {_of("whitelist", e="a", k="b", l="n")} w ON CASE WHEN w.k = 'exact' THEN path = w.e ELSE starts_with(path, w.e) END GROUP BY path) ON path = listed)"""
-_SESSION = r"(?i)(?:^|/)(?:login|logout|token|session/current|me|profile)(?:/|$)"
-_SENSITIVE = f"NOT regexp_matches(path, {quoted(python_code.PUBLIC_PATH)}) AND (method IN ('POST', 'PUT', 'PATCH', 'DELETE') OR regexp_matches(path, {quoted(python_code.SENSITIVE_PATH)}))"
+_SESSION = SESSION_PATH
+_SENSITIVE = f"NOT regexp_matches(path, {quoted(python_code.PUBLIC_PATH)}) AND (method IN ('POST', 'PUT', 'PATCH', 'DELETE') OR regexp_matches(path, {quoted(parsing.SENSITIVE_PATH)}))"
 _ROUTE = "method || ' ' || path AS route, handler, relative_path, line FROM routes WHERE"
 _EDGES = f"""WITH RECURSIVE {_PY}, f AS {_of("function", fid="a", fname="b", module="c")}, i AS {_of("import", l="a", module="b", original="c")}, home AS (SELECT DISTINCT relative_path, module FROM f), args AS {_of("argument", fid="a", call="n", pos="m", keyword="b", src="unnest(items)")},
 called AS (SELECT c.fid, c.call, coalesce(i.original, c.callee) AS fname, coalesce(i.module, CASE WHEN h.module IS NOT NULL THEN h.module || CASE WHEN h.original = '' THEN '' ELSE '.' || h.original END END, home.module) AS module
@@ -312,7 +313,7 @@ routes AS (SELECT DISTINCT 'express' AS framework, o.relative_path, method, {_JO
   FROM {_of("route", receiver="a", method="b", place="d", handler="e", ord="n", line="m", own_guard="flag", kinds="items")} o JOIN walk USING (receiver)
   UNION SELECT 'nestjs', relative_path, b, {_JOINED("concat_ws('/', c, d)")}, e, m, flag, items FROM parsed WHERE kind = 'nest')"""
 _IS = lambda p: f"regexp_matches(path, {quoted(p)})"
-_LOOSE = f"CASE WHEN {_IS(js_code.PRIVILEGED_PATH)} THEN NOT {_IS(js_code.LOGIN_PATH)} ELSE NOT {_IS(js_code.PUBLIC_PATH)} AND (method IN ('POST', 'PUT', 'PATCH', 'DELETE', 'ALL') OR {_IS(js_code.SENSITIVE_PATH)}) END"
+_LOOSE = f"CASE WHEN {_IS(js_code.PRIVILEGED_PATH)} THEN NOT {_IS(js_code.LOGIN_PATH)} ELSE NOT {_IS(js_code.PUBLIC_PATH)} AND (method IN ('POST', 'PUT', 'PATCH', 'DELETE', 'ALL') OR {_IS(parsing.SENSITIVE_PATH)}) END"
 _NODE_ROUTE = "method || ' ' || path AS route, relative_path FROM routes WHERE"
 #: Source text is no table for SQL, so the readers' rows stand in it; tests hold all of these queries against what a person finds in the inline files.
 SQL: dict[str, str] = {
@@ -327,6 +328,6 @@ UNION ALL SELECT CASE kind WHEN 'cors' THEN 'fastapi.config.wildcard-cors-with-c
     "taint_fixpoint": f"{_EDGES} SELECT regexp_extract(fid, '#([^@]+)@', 1) AS function, name FROM reach",
     "middleware_asof": f"{_NODE} SELECT framework, method, path, guarded, array_to_string(kinds, ',') AS items FROM routes",
     "node_findings": f"""{_NODE} SELECT framework || '.auth.sensitive-route-without-guard' AS rule_id, {_NODE_ROUTE} {_LOOSE} AND NOT guarded
-UNION ALL SELECT framework || '.authorization.object-without-ownership-check', {_NODE_ROUTE} guarded AND list_contains(kinds, 'object') AND NOT list_has_any(kinds, ['owner', 'role']) AND NOT {_IS(js_code.SESSION_PATH)}
+UNION ALL SELECT framework || '.authorization.object-without-ownership-check', {_NODE_ROUTE} guarded AND list_contains(kinds, 'object') AND NOT list_has_any(kinds, ['owner', 'role']) AND NOT {_IS(SESSION_PATH)}
 UNION ALL SELECT framework || '.authorization.privileged-operation-without-role-check', {_NODE_ROUTE} guarded AND {_IS(js_code.PRIVILEGED_PATH)} AND NOT list_contains(kinds, 'role')""",
 }
