@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import plistlib
 import re
 import zipfile
 import zlib
@@ -13,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.durable import kept
 from attestry.functions import text as T
+from attestry.sources import property_lists
 
 MAX_ENTRIES, SELECTED, ENTRY_BYTES, INPUT_BYTES = 200_000, 25, 8 << 20, 16 << 20
 UNSAFE = r"^/|^[A-Za-z]:/|(?:^|/)\.\.(?:/|$)|\\|\x00"
@@ -41,14 +42,6 @@ def entry_kind(name: Column) -> Column:
     return out
 
 
-def plist_text(data: bytes) -> bytes:
-    """A binary property list as XML, or the bytes as they are where it can't be read."""
-    try:
-        return plistlib.dumps(plistlib.loads(data), fmt=plistlib.FMT_XML)
-    except Exception:  # what plistlib raises on hostile input is not documented
-        return data
-
-
 def _wanted(names: list[str]) -> tuple[list[tuple[int, str, bool, int]], list[str]]:
     """Place, name, binary and priority of the entries of an archive that are read, from its directory alone, and why some may be lacking."""
     if any(re.search(UNSAFE, n) for n in names):
@@ -94,7 +87,7 @@ def entries(archives: DataFrame) -> DataFrame:
                 data = data[:ENTRY_BYTES]
                 reasons.append(f"entry {i} was cut at {ENTRY_BYTES} bytes")
             size += len(data)
-            out.append({"idx": i, "name": name, "binary": binary, "priority": priority, "bytes": plist_text(data) if data[:8] == b"bplist00" else data})
+            out.append({"idx": i, "name": name, "binary": binary, "priority": priority, "bytes": data})
         return out, reasons
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,20 +113,34 @@ def entry_text(data: Column, binary: Column) -> Column:
     return F.when(binary | (F.instr(wide, "\0") > 0), printable).otherwise(data.cast("string"))
 
 
+def opened(archives: DataFrame) -> DataFrame:
+    """entries(), with the text of binary property lists as list_text. Where one can't be read, its entry has a reason, and its printable runs are its text."""
+    rows = kept(entries(archives), "entries")
+    key = F.concat_ws("!", F.col("idx").cast("string"), "artifact")
+    lists = rows.where("idx IS NOT NULL").where(property_lists.is_binary(F.col("bytes"))).select(key.alias("artifact"), "bytes")
+    if lists.isEmpty():
+        return rows.withColumn("list_text", F.lit(None).cast("string"))
+    cut = F.when(F.col("truncated"), F.lit(f"text was cut at {INPUT_BYTES} bytes"))
+    got = property_lists.decoded(lists, INPUT_BYTES).select(F.col("artifact").alias("key"), F.col("text").alias("list_text"), F.coalesce("reason", cut).alias("why"))
+    told = F.coalesce("reason", F.when(F.col("why").isNotNull(), F.concat(F.lit("property list in entry "), F.col("idx").cast("string"), F.lit(": "), F.col("why"))))
+    return rows.join(got, key == F.col("key"), "left").withColumn("reason", told).drop("key", "why")
+
+
 def corpus(archives: DataFrame) -> DataFrame:
     """Entries' text as files, named by archive and entry, for the rules over packaged applications; archives in the order of their names."""
-    return corpus_of(entries(archives))
+    return corpus_of(opened(archives))
 
 
 def corpus_of(rows: DataFrame) -> DataFrame:
-    text = entry_text(F.col("bytes"), F.col("binary"))
+    listed = property_lists.is_binary(F.col("bytes"))
+    text = F.when(listed, F.coalesce("list_text", entry_text(F.col("bytes"), F.lit(True)))).otherwise(entry_text(F.col("bytes"), F.col("binary")))
     number = rows.select("artifact").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("artifact")))  # a row for each archive
     got = rows.where("idx IS NOT NULL").join(F.broadcast(number), "artifact")
     return got.select(F.concat_ws("!", "artifact", "name").alias("relative_path"), F.length("bytes").cast("long").alias("size"), text.alias("content"), (F.col("n") * 1_000_000_000 + F.col("priority") * 1_000_000 + F.col("idx")).cast("long").alias("walk_pos"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
-    """One row of entries(): partial with the reasons of the first 50 archives that lack something, complete, or not_run without any archive."""
+    """One row of opened(): partial with the reasons of the first 50 archives that lack something, complete, or not_run without any archive."""
     said = F.concat_ws(": ", "artifact", "reason")
     got = rows.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), said))).alias("reasons"))
     return got.select(

@@ -55,11 +55,9 @@ def _real(data: Column, at: Column, n: Column) -> Column:
 
 def _wide_text(data: Column, at: Column, n: Column) -> Column:
     """UTF-16, big end first; null where surrogates don't pair."""
-    half = lambda i: F.when((i >= 0) & (i * 2 < n), F.conv(_hex(data, at + i * 2, F.lit(1)), 16, 10).cast("int")).otherwise(0)
-    high, low = lambda i: half(i).between(0xD8, 0xDB), lambda i: half(i).between(0xDC, 0xDF)
-    units = F.sequence(F.lit(-1), (n / 2 - 1).cast("int"))
-    paired = ~F.exists(units, lambda i: high(i) != low(i + 1))
-    return F.when(n == 0, "").when(paired, F.decode(F.substring(data, (at + 1).cast("int"), n.cast("int")), "UTF-16BE"))
+    raw = F.substring(data, (at + 1).cast("int"), n.cast("int"))
+    paired = r"(?s)\G(?:[^\xD8-\xDF].|[\xD8-\xDB].[\xDC-\xDF].)"
+    return F.when(F.regexp_replace(F.decode(raw, "ISO-8859-1"), paired, "") == "", F.decode(raw, "UTF-16BE"))
 
 
 def headers(lists: DataFrame) -> DataFrame:
