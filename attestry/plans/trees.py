@@ -1,4 +1,8 @@
-"""Inventory, profile, text functions and pattern rules, over documents, pages and inline files."""
+"""Inventory, profile, text functions and pattern rules, over documents and pages.
+
+Documents are prose, so each takes the form of one of some file, path, snippet or route shapes by its id, and keeps its
+own text in it: trees, code and strings grow with the documents, and near misses stand among them.
+"""
 
 from __future__ import annotations
 
@@ -61,30 +65,59 @@ APP = [
         ("rules/firestore.rules", "x"),
     ])
 ]
-APP_ROUTES = [{"route": r, "ord": i} for i, r in enumerate(("GET /a", "POST /a", "GET /a"))]
+_DECLARED = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'GET /' ELSE 'POST /' END || coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS route FROM {}"
 URLS = [{"url": s} for s in ("http://api.shop.test:80/x", "http://localhost/", "http://127.0.0.1/", "http://u:p@[::1]:8/x", "http://www.w3.org/1999", "http://a.example.com", "http://badexample.com", "http://10.0.2.2:1")]
 ROUTES = [{"s": s} for s in ("GET /a/b", "  POST   /x/:id ", "get /a", "GET a", "PATCH /with space", "ALL /", "TRACE /" + "a" * 481)]
 
 
-def _inventory(spark: SparkSession) -> DataFrame:
-    return tree.judged(rows(spark, TREE, R.FILES), {"max_files": 6, "max_file_bytes": 2 << 20, "max_total_bytes": 64 << 20, "max_depth": 64})
+#: A document (doc_id, text, source, lang) in a shape t, as SQL that Spark and DuckDB read alike.
+_CONTENT = """CASE WHEN t.relative_path LIKE '%package.json' THEN replace(t.content, '"dependencies": {', '"dependencies": {"' || coalesce(source, 'none') || '": "1", ') ELSE t.content || chr(10) || coalesce(text, '') END"""
+_FILE = f"SELECT 'p' || doc_id || '/' || t.relative_path AS relative_path, coalesce(t.size, length({_CONTENT})) AS size, {_CONTENT} AS content, doc_id AS walk_pos FROM"
+_NAMED = "t.s || '/' || coalesce(source, 'none') || '/' || doc_id || '.' || coalesce(lang, 'none')"
+_TEXT = "t.s || ' ' || coalesce(text, '')"
+_SHAPE = "k int, relative_path string, size long, content string"
+LIMITS = {"max_files": 60, "max_file_bytes": 2 << 20, "max_total_bytes": 60_000, "max_depth": 64}
+
+
+def _shapes(data: list[dict]) -> list[dict]:
+    """Shapes numbered from 0; a file has a size of its own only where that isn't its content's."""
+    return [{**d, "k": k, "size": d["size"] if d.get("size", 0) != len(d.get("content", "")) else None} for k, d in enumerate(data)]
+
+
+def _shaped(spark: SparkSession, sf_dir: str, select: str, data: list[dict], ddl: str) -> DataFrame:
+    """Each document in the shape that its id names."""
+    shapes = F.broadcast(rows(spark, _shapes(data), ddl))  # a few inline rows
+    select = select.replace("{", "{{").replace("}", "}}")  # braces of its own
+    return spark.sql(f"{select} {{documents}} d JOIN {{shapes}} t ON t.k = d.doc_id % {len(data)}", documents=table(spark, sf_dir, "documents"), shapes=shapes)
+
+
+def shaped_files(spark: SparkSession, sf_dir: str, data: list[dict]) -> DataFrame:
+    return _shaped(spark, sf_dir, _FILE, data, _SHAPE)
+
+
+def _strings(spark: SparkSession, sf_dir: str, form: str, data: list[dict]) -> DataFrame:
+    return _shaped(spark, sf_dir, f"SELECT doc_id, {form} AS s FROM", data, "k int, s string")
+
+
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.judged(shaped_files(spark, sf_dir, TREE), LIMITS)
 
 
 def inventory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("relative_path")
-    return rows(spark, TREE, R.FILES).select("relative_path", tree.is_text(p).alias("is_text"), tree.is_excluded(p).alias("is_excluded"))
+    return shaped_files(spark, sf_dir, TREE).select("relative_path", tree.is_text(p).alias("is_text"), tree.is_excluded(p).alias("is_excluded"))
 
 
 def inventory_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inventory(spark).select("relative_path", F.coalesce("skip", F.lit("taken")).alias("skip"))
+    return _inventory(spark, sf_dir).select("relative_path", F.coalesce("skip", F.lit("taken")).alias("skip"))
 
 
 def inventory_skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.skip_counts(_inventory(spark))
+    return tree.skip_counts(_inventory(spark, sf_dir))
 
 
 def inventory_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.inventory_coverage(tree.skip_counts(_inventory(spark)))
+    return tree.inventory_coverage(tree.skip_counts(_inventory(spark, sf_dir)))
 
 
 def inventory_size_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,20 +128,25 @@ def inventory_size_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.dependencies(rows(spark, TREE, R.FILES))
+    return tree.dependencies(shaped_files(spark, sf_dir, TREE))
 
 
 def profile_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = tree.profile(rows(spark, TREE, R.FILES))
+    got = tree.profile(shaped_files(spark, sf_dir, TREE))
     return got.select(F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), "package_manager", "file_count")
 
 
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of the documents' languages and sources, most of them declared many times."""
+    return spark.sql(_DECLARED.format("{documents}"), documents=table(spark, sf_dir, "documents"))
+
+
 def asset_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets.graph(assets.facts(rows(spark, APP, R.FILES), rows(spark, APP_ROUTES, "route string, ord int")), "shop")[0]
+    return assets.graph(assets.facts(shaped_files(spark, sf_dir, APP), _declared(spark, sf_dir)), "shop")[0]
 
 
 def asset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets.graph(assets.facts(rows(spark, APP, R.FILES), rows(spark, APP_ROUTES, "route string, ord int")), "shop")[1]
+    return assets.graph(assets.facts(shaped_files(spark, sf_dir, APP), _declared(spark, sf_dir)), "shop")[1]
 
 
 def last_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +156,7 @@ def last_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inline_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.inline_suppressions(rows(spark, TREE, R.FILES))
+    return tools.inline_suppressions(shaped_files(spark, sf_dir, TREE))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,27 +181,27 @@ def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SNIPPETS, "s string").select("s", T.redact_snippet(F.col("s")).alias("redacted"), T.semantic(F.col("s")).alias("semantic"))
+    return _strings(spark, sf_dir, _TEXT, SNIPPETS).select("doc_id", T.redact_snippet(F.col("s")).alias("redacted"), T.semantic(F.col("s")).alias("semantic"))
 
 
 def safe_relative_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, PATHS, "s string").select("s", T.safe_relative_path(F.col("s")).alias("safe"))
+    return _strings(spark, sf_dir, _NAMED, PATHS).select("doc_id", T.safe_relative_path(F.col("s")).alias("safe"))
 
 
 def sarif_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, PATHS, "s string").select("s", T.sarif_uri(F.col("s")).alias("uri"))
+    return _strings(spark, sf_dir, _NAMED, PATHS).select("doc_id", T.sarif_uri(F.col("s")).alias("uri"))
 
 
 def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SHOWN, "s string").select("s", T.markdown_text(F.col("s"), 40).alias("markdown"), T.html_text(F.col("s")).alias("html"), T.table_cell(F.col("s")).alias("cell"))
+    return _strings(spark, sf_dir, _TEXT, SHOWN).select("doc_id", T.markdown_text(F.col("s"), 40).alias("markdown"), T.html_text(F.col("s")).alias("html"), T.table_cell(F.col("s")).alias("cell"))
 
 
 def github_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SHOWN, "s string").select("s", T.github_property(F.col("s")).alias("property"), T.github_data(F.col("s")).alias("data"))
+    return _strings(spark, sf_dir, _TEXT, SHOWN).select("doc_id", T.github_property(F.col("s")).alias("property"), T.github_data(F.col("s")).alias("data"))
 
 
 def route_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, ROUTES, "s string").select("s", T.normalized_route(F.col("s")).alias("route"))
+    return _strings(spark, sf_dir, _NAMED, ROUTES).select("doc_id", T.normalized_route(F.col("s")).alias("route"))
 
 
 def severity_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,41 +214,41 @@ def cleartext_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.groupBy(T.url_host(F.col("url")).alias("host"), T.ignored_endpoint(F.col("url")).alias("ignored")).agg(F.count("*").alias("n"))
 
 
-def _code_signals(spark: SparkSession, pattern: str) -> DataFrame:
-    got = ru.signals(rows(spark, CODE, R.FILES)).where(F.col("rule_id").rlike(pattern))
+def _code_signals(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    got = ru.signals(shaped_files(spark, sf_dir, CODE)).where(F.col("rule_id").rlike(pattern))
     return got.select("id", "fingerprint", "rule_id", "severity", "evidence_level", "path", "line", "snippet")
 
 
 def android_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^android")
+    return _code_signals(spark, sf_dir, "^android")
 
 
 def mobile_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^(react-native|flutter)")
+    return _code_signals(spark, sf_dir, "^(react-native|flutter)")
 
 
 def mobile_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^(mobile|ios)")
+    return _code_signals(spark, sf_dir, "^(mobile|ios)")
 
 
 def ci_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^ci")
+    return _code_signals(spark, sf_dir, "^ci")
 
 
 def sensitive_logging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^privacy")
+    return _code_signals(spark, sf_dir, "^privacy")
 
 
 def route_without_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^auth")
+    return _code_signals(spark, sf_dir, "^auth")
 
 
 def jwt_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^jwt")
+    return _code_signals(spark, sf_dir, "^jwt")
 
 
 def sast_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code_signals(spark, "^sast")
+    return _code_signals(spark, sf_dir, "^sast")
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,19 +258,31 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("fingerprint").alias("n_distinct"))
 
 
-_TREE = values("tree", TREE, R.FILES)
+
+
+def _files_sql(name: str, data: list[dict]) -> str:
+    return f"{values(f'{name}_shapes', _shapes(data), _SHAPE)}, {name} AS ({_FILE} documents d JOIN {name}_shapes t ON t.k = d.doc_id % {len(data)})"
+
+
+def _strings_sql(form: str, data: list[dict]) -> str:
+    return f"{values('shapes', _shapes(data), 'k int, s string')}, t AS (SELECT doc_id, {form} AS s FROM documents d JOIN shapes t ON t.k = d.doc_id % {len(data)})"
+
+
+_TREE = _files_sql("tree", TREE)
 _EXT = "lower(regexp_extract(relative_path, '[^/](\\.[^./]*)$', 1))"
 _NAME = "list_last(string_split(relative_path, '/'))"
 _IN = lambda xs: "(" + ", ".join(map(quoted, xs)) + ")"
 _IS_TEXT = f"({_NAME} IN {_IN(tree.MANIFESTS)} OR starts_with({_NAME}, '.env') OR starts_with({_NAME}, 'Dockerfile') OR {_EXT} IN {_IN(tree.EXTENSIONS)})"
 _IS_EXCLUDED = f"len(list_intersect(list_slice(string_split(relative_path, '/'), 1, -2), [{', '.join(map(quoted, tree.EXCLUDED))}])) > 0"
 _WALK = f"""{_TREE}, plain AS (SELECT *, CASE WHEN {_IS_EXCLUDED} THEN 'excluded_directory' WHEN NOT {_IS_TEXT} THEN 'not_text' WHEN size > 2097152 THEN 'oversized_file' END AS p FROM tree),
-run AS (SELECT *, coalesce(count(*) FILTER (p IS NULL AND NOT contains(content, chr(0))) OVER (ORDER BY walk_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM plain),
-walk AS (SELECT relative_path, coalesce(p, CASE WHEN walk_pos >= (SELECT min(walk_pos) FROM run WHERE p IS NULL AND taken >= 6) THEN 'file_limit' WHEN contains(content, chr(0)) THEN 'binary' END) AS skip FROM run)"""
-_SNIPPETS, _PATHS, _SHOWN, _ROUTES, _CODE = values("t", SNIPPETS, "s string"), values("t", PATHS, "s string"), values("t", SHOWN, "s string"), values("t", ROUTES, "s string"), values("code", CODE, R.FILES)
+run AS (SELECT *, row_number() OVER o - 1 AS seen, coalesce(sum(size) FILTER (p IS NULL) OVER b, 0) AS bytes, count(*) FILTER (p IS NULL AND NOT contains(content, chr(0))) OVER b AS taken FROM plain
+  WINDOW o AS (ORDER BY walk_pos), b AS (ORDER BY walk_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cuts AS (SELECT min(walk_pos) FILTER (seen >= {5 * LIMITS["max_files"]}) AS last, min(walk_pos) FILTER (p IS NULL AND taken >= {LIMITS["max_files"]}) AS full, min(walk_pos) FILTER (p IS NULL AND bytes + size > {LIMITS["max_total_bytes"]}) AS cut FROM run),
+walk AS (SELECT relative_path, coalesce(p, CASE WHEN walk_pos >= cuts.last THEN 'entry_limit' WHEN walk_pos >= cuts.full THEN 'file_limit' WHEN walk_pos >= cuts.cut THEN 'total_byte_limit' WHEN contains(content, chr(0)) THEN 'binary' END) AS skip FROM run, cuts)"""
+_SNIPPETS, _PATHS, _SHOWN, _ROUTES, _CODE = _strings_sql(_TEXT, SNIPPETS), _strings_sql(_NAMED, PATHS), _strings_sql(_TEXT, SHOWN), _strings_sql(_NAMED, ROUTES), _files_sql("code", CODE)
 _SAFE = """CASE WHEN NOT regexp_matches(s, '[\\x00-\\x1f\\x7f]') AND NOT regexp_matches(replace(s, '\\', '/'), '^(?:/|[A-Za-z][A-Za-z0-9+.-]*:)')
   AND len(list_filter(ps, lambda p: p = '..' OR regexp_matches(p, '(?i)%(?:2e|2f|5c)'))) = 0 AND len(ps) > 0 AND len(array_to_string(ps, '/')) <= 1024 THEN array_to_string(ps, '/') END"""
-_PARTS = "(SELECT s, list_filter(string_split(replace(s, '\\', '/'), '/'), lambda p: p <> '' AND p <> '.') AS ps FROM t)"
+_PARTS = "(SELECT doc_id, s, list_filter(string_split(replace(s, '\\', '/'), '/'), lambda p: p <> '' AND p <> '.') AS ps FROM t)"
 
 
 def _single(x: str, most: int) -> str:
@@ -269,8 +319,8 @@ def _rules_sql(pattern: str) -> str:
 
 
 _ID = lambda k, x: f"'asset_' || substr(sha256({k} || chr(0) || {x}), 1, 16)"
-_ASSETS = f"""{values("app", APP, R.FILES)}, {values("declared", APP_ROUTES, "route string, ord int")}, shown(place, kind, label, relation, deps, pattern) AS (VALUES {", ".join(f"({i}, {quoted(k)}, {quoted(label)}, {quoted(r)}, [{', '.join(map(quoted, d))}]::VARCHAR[], {quoted(p) if p else 'NULL'})" for i, (k, label, r, d, p) in enumerate(assets.SHOWN_BY))}),
-deps AS (SELECT unnest(json_keys(content::JSON -> '$.dependencies')) AS name FROM app WHERE relative_path = 'package.json'),
+_ASSETS = f"""{_files_sql("app", APP)}, declared AS ({_DECLARED.format("documents")}), shown(place, kind, label, relation, deps, pattern) AS (VALUES {", ".join(f"({i}, {quoted(k)}, {quoted(label)}, {quoted(r)}, [{', '.join(map(quoted, d))}]::VARCHAR[], {quoted(p) if p else 'NULL'})" for i, (k, label, r, d, p) in enumerate(assets.SHOWN_BY))}),
+deps AS (SELECT unnest(json_keys(content::JSON -> '$.dependencies')) AS name FROM app WHERE {_NAME} = 'package.json'),
 hits AS (SELECT * FROM shown s WHERE EXISTS (SELECT 1 FROM deps WHERE list_contains(s.deps, name)) OR EXISTS (SELECT 1 FROM app WHERE regexp_matches(relative_path, s.pattern))),
 facts AS (SELECT kind, label, relation FROM hits WHERE kind NOT IN ('mobile_app', 'llm') UNION ALL SELECT 'auth', label || ' Auth', relation FROM hits WHERE kind = 'database'
   UNION ALL SELECT kind, string_agg(label, ' + ' ORDER BY place), relation FROM hits WHERE kind IN ('mobile_app', 'llm') GROUP BY kind, relation UNION ALL SELECT DISTINCT 'api_route', route, 'exposes' FROM declared)"""
@@ -305,12 +355,12 @@ SELECT (SELECT string_agg(DISTINCT language, ',' ORDER BY language) FROM tree JO
     "line_number": f"WITH {FILES} SELECT relative_path, len(string_split(substr(content, 1, instr(content, ' the ') - 1), chr(10))) AS line FROM files WHERE instr(content, ' the ') > 0",
     "signal_fingerprint": f"WITH {FILES}, s AS (SELECT relative_path, {fingerprint_sql(quoted('native'), quoted('doc.head'), 'relative_path', snippet_sql('content'))} AS fingerprint FROM files) SELECT *, {signal_id_sql('fingerprint', '1')} AS id FROM s",
     "stable_id": f"SELECT page_id, 'page_' || substr(sha256({joined_sql('url', 'page_id')}), 1, 16) AS id FROM pages",
-    "redact_snippet": f"WITH {_SNIPPETS} SELECT s, {redacted_sql('s')} AS redacted, {semantic_sql('s')} AS semantic FROM t",
-    "safe_relative_path": f"WITH {_PATHS} SELECT s, {_SAFE} AS safe FROM {_PARTS}",
-    "sarif_uri": f"WITH {_PATHS}, safe AS (SELECT s, {_SAFE} AS p FROM {_PARTS}) SELECT s, CASE WHEN p IS NOT NULL THEN array_to_string(list_transform(string_split(p, '/'), lambda x: url_encode(x)), '/') END AS uri FROM safe",
-    "markdown_escape": f"WITH {_SHOWN} SELECT s, {_MARKDOWN} AS markdown, replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html, regexp_replace(replace(s, '|', '\\|'), '\\r?\\n', ' ', 'g') AS cell FROM t",
-    "github_escape": f"WITH {_SHOWN} SELECT s, replace(replace({_DATA}, ':', '%3A'), ',', '%2C') AS property, {_DATA} AS data FROM t",
-    "route_normalize": f"WITH {_ROUTES} SELECT s, CASE WHEN regexp_matches(trim(s), '{_VERB}') THEN regexp_extract(trim(s), '{_VERB}', 1) || ' ' || regexp_extract(trim(s), '{_VERB}', 2) END AS route FROM t",
+    "redact_snippet": f"WITH {_SNIPPETS} SELECT doc_id, {redacted_sql('s')} AS redacted, {semantic_sql('s')} AS semantic FROM t",
+    "safe_relative_path": f"WITH {_PATHS} SELECT doc_id, {_SAFE} AS safe FROM {_PARTS}",
+    "sarif_uri": f"WITH {_PATHS}, safe AS (SELECT doc_id, s, {_SAFE} AS p FROM {_PARTS}) SELECT doc_id, CASE WHEN p IS NOT NULL THEN array_to_string(list_transform(string_split(p, '/'), lambda x: url_encode(x)), '/') END AS uri FROM safe",
+    "markdown_escape": f"WITH {_SHOWN} SELECT doc_id, {_MARKDOWN} AS markdown, replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html, regexp_replace(replace(s, '|', '\\|'), '\\r?\\n', ' ', 'g') AS cell FROM t",
+    "github_escape": f"WITH {_SHOWN} SELECT doc_id, replace(replace({_DATA}, ':', '%3A'), ',', '%2C') AS property, {_DATA} AS data FROM t",
+    "route_normalize": f"WITH {_ROUTES} SELECT doc_id, CASE WHEN regexp_matches(trim(s), '{_VERB}') THEN regexp_extract(trim(s), '{_VERB}', 1) || ' ' || regexp_extract(trim(s), '{_VERB}', 2) END AS route FROM t",
     "severity_normalize": r"SELECT CASE WHEN w IN ('critical') THEN 'critical' WHEN w IN ('error', 'high') THEN 'high' WHEN w IN ('low', 'note') THEN 'low' WHEN w IN ('info', 'informational') THEN 'info' ELSE 'medium' END AS severity, count(*) AS n FROM (SELECT lower(regexp_extract(o_orderpriority, '-\s*(\w+)', 1)) AS w FROM orders) GROUP BY 1",
     "cleartext_urls": f"WITH {values('inline', URLS, 'url string')}, h AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^:/?#\\s]*)', 1)) AS host FROM (SELECT url FROM pages UNION ALL SELECT url FROM inline) WHERE starts_with(url, 'http://')) SELECT host, NOT (contains(host, '.') OR contains(host, ':')) OR starts_with(host, '127.') OR host = '10.0.2.2' OR regexp_matches(host, '(^|\\.)example\\.(com|org|net)$') OR host IN {_IN(T.PLAIN_HOSTS)} AS ignored, count(*) AS n FROM h GROUP BY ALL",
     **{k: _rules_sql(p) for k, p in (("android_manifest", "^android"), ("mobile_storage", "^(react-native|flutter)"), ("mobile_network", "^(mobile|ios)"), ("ci_injection", "^ci"), ("sensitive_logging", "^privacy"), ("route_without_guard", "^auth"), ("jwt_config", "^jwt"), ("sast_general", "^sast"))},
