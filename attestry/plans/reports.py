@@ -1,7 +1,13 @@
-"""Findings, attack paths, comparison, presentation, tool reports, captured responses and constraints over inline relations."""
+"""Findings, attack paths, comparison, presentation, tool reports, captured responses and constraints.
+
+Each document stands for one signal, one endpoint or one checked object, in one of the inline shapes by its id; the tests
+take the shapes alone as a small scan.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,22 +65,73 @@ AS_OF = "2026-06-01T00:00:00Z"
 BASELINE = [{**s, "ord": i} for i, s in enumerate([SIGNALS[16], SIGNALS[17], SIGNALS[18], SIGNALS[19], SIGNALS[1], _sig(30, "native", "privacy.sensitive-logging", "medium", "inferred", tags=("privacy",)), _sig(31, "python", "python.dataflow.ssrf", "high", "static_confirmed"), _sig(32, "trivy", "CVE-0", "high", "static_confirmed"), _sig(33, "gitleaks", "generic", "critical", "static_confirmed"), _sig(34, "rule-pack", "house.y", "low", "inferred", rulePackId="house")])]
 
 
-def _signals(spark: SparkSession) -> DataFrame:
-    return rows(spark, SIGNALS, R.SIGNALS)
+#: Documents in the shapes t, as SQL that Spark and DuckDB read alike but for the names of the digest and of columns left out.
+_FP = "{sha}(CAST({x} AS {string}){more})"
+_DIALECT = {True: {"sha": "sha2", "string": "string", "more": ", 256"}, False: {"sha": "sha256", "string": "VARCHAR", "more": ""}}
+_OWN = {"id": "'sig_' || doc_id", "fingerprint": "<doc_id>", "path": "coalesce(source, 'none') || '/' || t.path", "line": "CAST(t.line + doc_id % 50 AS int)", "ord": "doc_id"}
+SUPPRESSED = 11
+_SUPPRESSION = "k int, " + R.SUPPRESSIONS
 
 
-def _findings(spark: SparkSession) -> DataFrame:
-    s = _signals(spark)
-    return fi.suppressed(fi.merged(s, cr.attack_paths(s)), rows(spark, SUPPRESSIONS, R.SUPPRESSIONS + ", ord long"), AS_OF)
+def _digested(sql: str, spark: bool) -> str:
+    own = re.sub(r"<([^<>]+)>", lambda m: _FP.format(x=m[1], **_DIALECT[spark]), sql)
+    return own if spark else own.replace("* EXCEPT (", "* EXCLUDE (")
+
+
+def _columns(ddl: str) -> list[str]:
+    return [c.split(" ")[0] for c in ddl.split(", ")]
+
+
+_SIGNAL = "SELECT " + ", ".join(f"{_OWN.get(c, f't.{c}')} AS {c}" for c in _columns(R.SIGNALS)) + f" FROM {{documents}} d JOIN {{shapes}} t ON t.k = d.doc_id % {len(SIGNALS)}"
+_SUPPRESS = f"SELECT upper(<doc_id>) AS fingerprint, t.reason || doc_id AS reason, t.expires, doc_id AS ord FROM {{documents}} d JOIN {{shapes}} t ON t.k = d.doc_id % {SUPPRESSED}"
+_BEFORE = "SELECT * EXCEPT (id, fingerprint), id, fingerprint FROM {signals} WHERE ord % 3 > 0 UNION ALL SELECT * EXCEPT (id, fingerprint), 'gone_' || ord, <'gone' || ord> FROM {signals} WHERE ord % 5 = 0"
+
+
+def _numbered(data: list[dict]) -> list[dict]:
+    return [{**d, "k": k} for k, d in enumerate(data)]
+
+
+def _shaped(spark: SparkSession, sf_dir: str, sql: str, **shapes: DataFrame) -> DataFrame:
+    return spark.sql(_digested(sql, True), documents=table(spark, sf_dir, "documents"), **{k: F.broadcast(v) for k, v in shapes.items()})  # shapes are a few inline rows
+
+
+def _signals(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """A signal of each document, or the shapes as they are."""
+    if sf_dir is None:
+        return rows(spark, SIGNALS, R.SIGNALS)
+    return _shaped(spark, sf_dir, _SIGNAL, shapes=rows(spark, _numbered(SIGNALS), f"k int, {R.SIGNALS}"))
+
+
+def _suppressions(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    if sf_dir is None:
+        return rows(spark, SUPPRESSIONS, R.SUPPRESSIONS + ", ord long")
+    return _shaped(spark, sf_dir, _SUPPRESS, shapes=rows(spark, _numbered(SUPPRESSIONS), _SUPPRESSION))
 
 
-def _plain(spark: SparkSession) -> DataFrame:
+def _baseline(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """Two thirds of the signals, and ones that are gone since."""
+    if sf_dir is None:
+        return rows(spark, BASELINE, R.SIGNALS)
+    return spark.sql(_digested(_BEFORE, True), signals=_signals(spark, sf_dir))
+
+
+def _findings(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    s = _signals(spark, sf_dir)
+    return fi.suppressed(fi.merged(s, cr.attack_paths(s)), _suppressions(spark, sf_dir), AS_OF)
+
+
+def _plain(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """Findings without correlation, as presentation gets them from most scans."""
-    return fi.suppressed(fi.merged(_signals(spark), rows(spark, [], R.ATTACK_PATHS)), rows(spark, SUPPRESSIONS, R.SUPPRESSIONS + ", ord long"), AS_OF)
+    return fi.suppressed(fi.merged(_signals(spark, sf_dir), rows(spark, [], R.ATTACK_PATHS)), _suppressions(spark, sf_dir), AS_OF)
+
+
+def compared(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    before = _baseline(spark, sf_dir)
+    return fi.compared(_plain(spark, sf_dir), rows(spark, COVERAGE, R.COVERAGE), fi.merged(before, rows(spark, [], R.ATTACK_PATHS)), before)
 
 
 def attack_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cr.attack_paths(_signals(spark)).select("id", "fingerprint", "title", "severity", "evidence_level", F.array_join("signal_ids", ",").alias("signal_ids"))
+    return cr.attack_paths(_signals(spark, sf_dir)).select("id", "fingerprint", "title", "severity", "evidence_level", F.array_join("signal_ids", ",").alias("signal_ids"))
 
 
 def evidence_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,17 +141,17 @@ def evidence_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finding_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(spark).select("fingerprint", "status", "reason", "expires")
+    return _plain(spark, sf_dir).select("fingerprint", "status", "reason", "expires")
 
 
 def finding_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings after correlation: what paths stand for is gone, what is stronger stays."""
-    return _findings(spark).select("title", "severity", "evidence_level", "status", F.array_join("signal_ids", ",").alias("signal_ids"))
+    return _findings(spark, sf_dir).select("title", "severity", "evidence_level", "status", F.array_join("signal_ids", ",").alias("signal_ids"))
 
 
 def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision of five policies over the same findings."""
-    f, s, c = _plain(spark), _signals(spark), rows(spark, COVERAGE, R.COVERAGE)
+    f, s, c = _plain(spark, sf_dir), _signals(spark, sf_dir), rows(spark, COVERAGE, R.COVERAGE)
     weak = f.where(T.severity_rank(F.col("severity")) <= 2)
     calm = rows(spark, [COVERAGE[0]], R.COVERAGE)
     cases = [
@@ -113,29 +170,28 @@ def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = rows(spark, BASELINE, R.SIGNALS)
-    return fi.compared(_plain(spark), rows(spark, COVERAGE, R.COVERAGE), fi.merged(before, rows(spark, [], R.ATTACK_PATHS)), before)
+    return compared(spark, sf_dir)
 
 
 def finding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pr.groups(_plain(spark), _signals(spark))
+    got = pr.groups(_plain(spark, sf_dir), _signals(spark, sf_dir))
     return got.select("group_id", "status", "severity", "rule_id", "path", "n_members", "n_findings", *(F.array_join(c, ",").alias(c) for c in ("handlers", "routes", "patterns")))
 
 
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.top_members(_plain(spark), _signals(spark), 2).select("finding_id", "group_id", "path", "line", F.col("rank").cast("long").alias("rank"))
+    return pr.top_members(_plain(spark, sf_dir), _signals(spark, sf_dir), 2).select("finding_id", "group_id", "path", "line", F.col("rank").cast("long").alias("rank"))
 
 
 def route_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.cards(_plain(spark), _signals(spark)).withColumn("categories", F.array_join("categories", ","))
+    return pr.cards(_plain(spark, sf_dir), _signals(spark, sf_dir)).withColumn("categories", F.array_join("categories", ","))
 
 
 def deployment_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.deployments(_plain(spark), _signals(spark))
+    return pr.deployments(_plain(spark, sf_dir), _signals(spark, sf_dir))
 
 
 def ci_top_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pr.annotated(_plain(spark), _signals(spark), compare_reports(spark, sf_dir), blocking_rules=("CVE-1",))
+    got = pr.annotated(_plain(spark, sf_dir), _signals(spark, sf_dir), compare_reports(spark, sf_dir), blocking_rules=("CVE-1",))
     return pr.top_annotations(got, 12).select("id", "level", "title", "message", "path", "start_line", "blocks_release", "baseline_state")
 
 
@@ -144,17 +200,17 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.sarif_results(_findings(spark), _signals(spark))
+    return pr.sarif_results(_findings(spark, sf_dir), _signals(spark, sf_dir))
 
 
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.sarif_rules(_signals(spark)).withColumn("tags", F.array_join("tags", ","))
+    return pr.sarif_rules(_signals(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
 
 
 def fix_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark)
+    s = _signals(spark, sf_dir)
     paths = cr.attack_paths(s).withColumn("summary", F.concat(F.lit("Path: "), "title"))
-    return co.fix_contract(_findings(spark), s, paths).select("title", "severity", F.array_join("evidence", "; ").alias("evidence"), "summary")
+    return co.fix_contract(_findings(spark, sf_dir), s, paths).select("title", "severity", F.array_join("evidence", "; ").alias("evidence"), "summary")
 
 
 def report_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,16 +271,35 @@ API = [{"method": m, "path": p, "handler": h} for m, p, h in (("GET", "/orders/{
 _API = "method string, path string, handler string"
 
 
+_CHECKED = f"FROM {{documents}} d JOIN {{cases}} t ON t.k = d.doc_id % {len(CASES)}"
+_CASES = "SELECT t.case_id || '_' || doc_id AS case_id, t.owner, t.other, t.marker_path, t.marker, t.match " + _CHECKED
+_RESPONSES = "SELECT r.case_id || '_' || doc_id AS case_id, r.account, r.url || '/' || doc_id AS url, r.status, r.headers, r.set_cookie, r.body " + _CHECKED + " JOIN {responses} r ON r.case_id = t.case_id"
+_ENDPOINTS = f"SELECT t.method, '/' || coalesce(source, 'none') || t.path || CASE WHEN doc_id % 2 = 0 THEN '/' || doc_id ELSE '' END AS path, t.handler FROM {{documents}} d JOIN {{api}} t ON t.k = d.doc_id % {len(API)}"
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two accounts got for the object that each document stands for."""
+    return _shaped(spark, sf_dir, _RESPONSES, cases=rows(spark, _numbered(CASES), f"k int, {_CASE}"), responses=rows(spark, RESPONSES, R.RESPONSES))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shaped(spark, sf_dir, _CASES, cases=rows(spark, _numbered(CASES), f"k int, {_CASE}"))
+
+
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shaped(spark, sf_dir, _ENDPOINTS, api=rows(spark, _numbered(API), f"k int, {_API}"))
+
+
 def header_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.headers_missing(rows(spark, RESPONSES, R.RESPONSES))
+    return web.headers_missing(responses(spark, sf_dir))
 
 
 def cookie_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.weak_cookies(rows(spark, RESPONSES, R.RESPONSES))
+    return web.weak_cookies(responses(spark, sf_dir))
 
 
 def bola_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.object_access(rows(spark, CASES, _CASE), rows(spark, RESPONSES, R.RESPONSES))
+    return web.object_access(_checked(spark, sf_dir), responses(spark, sf_dir))
 
 
 def bola_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,11 +307,11 @@ def bola_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bola_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.route_kinds(rows(spark, API, _API))
+    return web.route_kinds(endpoints(spark, sf_dir))
 
 
 def bola_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.drafted(web.route_kinds(rows(spark, API, _API)))
+    return web.drafted(web.route_kinds(endpoints(spark, sf_dir)))
 
 
 EXPECTED = [{"category": c, "case_id": i, "rule_id": r} for c, i, r in (("secrets", "s1", "secret.openai"), ("secrets", "s1", "secret.private-key"), ("secrets", "s2", None), ("mobile", "m1", "android.backup-enabled"), ("mobile", "m2", None), ("empty", "e1", None))]
@@ -288,7 +363,10 @@ def preview_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.preview_checks(rows(spark, PREVIEW_PACKS, _PREVIEW_PACK), rows(spark, PREVIEW_RULES, _PREVIEW_RULE))
 
 
-_S, _C, _SUP, _B = values("signals", SIGNALS, R.SIGNALS), values("coverage", COVERAGE, R.COVERAGE), values("suppressions", SUPPRESSIONS, R.SUPPRESSIONS + ", ord long"), values("baseline", BASELINE, R.SIGNALS)
+_DOCS = {"documents": "documents"}
+_S = f"{values('signal_shapes', _numbered(SIGNALS), f'k int, {R.SIGNALS}')}, signals AS ({_digested(_SIGNAL, False).format(shapes='signal_shapes', **_DOCS)})"
+_SUP = f"{values('suppression_shapes', _numbered(SUPPRESSIONS), _SUPPRESSION)}, suppressions AS ({_digested(_SUPPRESS, False).format(shapes='suppression_shapes', **_DOCS)})"
+_C, _B = values("coverage", COVERAGE, R.COVERAGE), f"baseline AS ({_digested(_BEFORE, False).format(signals='signals')})"
 _LIVE = f"(SELECT lower(fingerprint) AS fingerprint, arg_min(reason, ord) AS reason, arg_min(expires, ord) AS expires FROM suppressions WHERE CASE WHEN regexp_matches(expires, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN expires::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND ELSE replace(expires, 'Z', '')::TIMESTAMP END > TIMESTAMP '2026-06-01' GROUP BY 1)"
 _PLAIN = f"plain AS (SELECT 'finding_' || substr(s.fingerprint, 1, 16) AS id, s.fingerprint, title, severity, evidence_level, CASE WHEN l.reason IS NULL THEN 'open' ELSE 'suppressed' END AS status, s.id AS signal_id, l.reason, l.expires FROM signals s LEFT JOIN {_LIVE} l ON s.fingerprint = l.fingerprint)"
 
@@ -327,7 +405,10 @@ _COMPARED = f"""now AS (SELECT DISTINCT fingerprint FROM plain WHERE status = 'o
 old AS (SELECT fingerprint, CASE engine WHEN 'trivy' THEN 'dependencies-iac' WHEN 'gitleaks' THEN 'secrets-history' WHEN 'opengrep' THEN 'sast-general' WHEN 'artifact' THEN 'mobile-artifact-static' WHEN 'typescript' THEN 'js-ts-dataflow' WHEN 'rule-pack' THEN 'rule-pack:' || metadata['rulePackId']
   WHEN 'native' THEN CASE WHEN list_has_any(tags, ['supabase', 'firebase', 'baas']) THEN 'baas-authorization' WHEN list_has_any(tags, ['mobile', 'android', 'ios', 'flutter', 'react-native']) THEN 'mobile-source-config' WHEN list_contains(tags, 'secret') AND starts_with(rule_id, 'secret.') THEN 'secrets' ELSE 'application-config' END END AS domain FROM baseline),
 compared AS (SELECT coalesce(n.fingerprint, o.fingerprint) AS fingerprint, CASE WHEN o.fingerprint IS NULL THEN 'new' WHEN n.fingerprint IS NOT NULL THEN 'remaining' WHEN o.domain IS NULL OR o.domain NOT IN (SELECT domain FROM complete) THEN 'not_rechecked' ELSE 'resolved' END AS state FROM now n FULL JOIN old o ON n.fingerprint = o.fingerprint)"""
-_R, _K, _A = values("responses", RESPONSES, R.RESPONSES), values("cases", CASES, _CASE), values("api", API, _API)
+_SHAPES = f"{values('case_shapes', _numbered(CASES), f'k int, {_CASE}')}, {values('response_shapes', RESPONSES, R.RESPONSES)}"
+_R = f"{_SHAPES}, responses AS ({_RESPONSES.format(cases='case_shapes', responses='response_shapes', **_DOCS)})"
+_K = f"cases AS ({_CASES.format(cases='case_shapes', **_DOCS)})"
+_A = f"{values('api_shapes', _numbered(API), f'k int, {_API}')}, api AS ({_ENDPOINTS.format(api='api_shapes', **_DOCS)})"
 _VERDICTS = f"""{_R}, {_K}, verdicts AS (SELECT c.case_id, CASE WHEN NOT coalesce(bool_or(account = owner AND status BETWEEN 200 AND 299 AND m), false) THEN 'inconclusive' WHEN coalesce(bool_or(account = other AND status BETWEEN 200 AND 299 AND m), false) THEN 'vulnerable'
   WHEN coalesce(bool_or(account = other AND status IN (401, 403, 404)), false) THEN 'protected' ELSE 'inconclusive' END AS verdict
   FROM cases c LEFT JOIN (SELECT r.*, k.case_id AS own, CASE WHEN json_valid(body) THEN coalesce(json_extract_string(body, '$.' || marker_path) = marker AND (json_type(body, '$.' || marker_path) = 'VARCHAR' OR (match = 'ownerIdentity' AND json_type(body, '$.' || marker_path) IN ('BIGINT', 'UBIGINT', 'DOUBLE'))), false) ELSE false END AS m
@@ -358,7 +439,7 @@ UNION ALL SELECT 'inferred', 'block', {_GATE.format(2, 'true')} || ' finding(s)
 UNION ALL SELECT 'review', 'review', {_GATE.format(2, 'true')} || ' medium-risk or inferred finding(s) require review' FROM {_WEAK}""",
     "compare_reports": f"WITH {_S}, {_SUP}, {_C}, {_B}, {_PLAIN}, {_COMPARED} SELECT fingerprint, state FROM compared",
     "finding_groups": f"""WITH {_S}, {_SUP}, {_PLAIN}, {_MEMBERS} SELECT group_id, status, severity, rule_id, path, count(*) AS n_members, count(DISTINCT finding_id) AS n_findings, string_agg(DISTINCT handler, ',' ORDER BY handler) AS handlers,
-  array_to_string(list_sort(list_distinct(flatten(list(routes)))), ',') AS routes, string_agg(DISTINCT pattern, ',' ORDER BY pattern) AS patterns FROM members GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1""",
+  array_to_string(list_sort(list_distinct(flatten(list(routes)))), ',') AS routes, coalesce(string_agg(DISTINCT pattern, ',' ORDER BY pattern), '') AS patterns FROM members GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1""",
     "group_members": f"WITH {_S}, {_SUP}, {_PLAIN}, {_MEMBERS} SELECT * FROM (SELECT finding_id, group_id, path, line, row_number() OVER (PARTITION BY group_id, status, severity, rule_id, path ORDER BY line, handler, finding_id) AS rank FROM members) WHERE rank <= 2",
     "route_cards": f"""WITH {_S}, {_SUP}, {_PLAIN}, {_CARDS}, each_ AS (SELECT s.id AS sid, framework, category, o, unnest(list_distinct(list_prepend(s.metadata['route'], coalesce(s.routes, [])))) AS route FROM signals s JOIN dim USING (rule_id)),
 a AS (SELECT e.*, p.id AS fid, status, {rank_sql('severity')} AS r FROM each_ e JOIN plain p ON p.signal_id = e.sid WHERE route IS NOT NULL)

@@ -21,7 +21,7 @@ def _parts(spark):
 
 def test_ci_report_and_renderings(spark, sf_dir):
     found, signals, coverage = _parts(spark)
-    comparison = reports.compare_reports(spark, sf_dir)
+    comparison = reports.compared(spark)
     report = render.ci_report(fi.decided(found, coverage, signals), found, signals, coverage, comparison)
     assert report["decision"] == "block" and report["exit_code"] == 1
     assert report["required_coverage"]["total"] == 5
