@@ -58,6 +58,23 @@ def rows(spark: SparkSession, data: list[dict], ddl: str) -> DataFrame:
     return R.rows(spark, data, ddl)
 
 
+def _keyed(ddl: str, key: str, n: int) -> str:
+    """Each document with the rows of one key, whose name gets the document's number; SQL that Spark and DuckDB read alike."""
+    columns = [c.rsplit(" ", 1)[0] for c in re.split(r", ", ddl)]
+    return "SELECT " + ", ".join(f"t.{c} || '_' || doc_id AS {c}" if c == key else f"t.{c}" for c in columns) + f" FROM {{documents}} d JOIN {{shapes}} t ON t.k = d.doc_id % {n}"
+
+
+def keyed(spark: SparkSession, sf_dir: str, data: list[dict], ddl: str, key: str, keys: list[str]) -> DataFrame:
+    """Inline rows for each document: those whose key stands at the document's number, modulo the number of keys."""
+    shapes = rows(spark, [{**d, "k": keys.index(d[key])} for d in data], f"k int, {ddl}")
+    return spark.sql(_keyed(ddl, key, len(keys)), documents=table(spark, sf_dir, "documents"), shapes=F.broadcast(shapes))  # a few inline rows
+
+
+def keyed_sql(name: str, data: list[dict], ddl: str, key: str, keys: list[str]) -> str:
+    shapes = values(f"{name}_shapes", [{**d, "k": keys.index(d[key])} for d in data], f"k int, {ddl}")
+    return f"{shapes}, {name} AS ({_keyed(ddl, key, len(keys)).format(documents='documents', shapes=f'{name}_shapes')})"
+
+
 def redacted_sql(x: str) -> str:
     def one(sql: str, rule: tuple[str, str]) -> str:
         pattern, to = rule

@@ -1,4 +1,4 @@
-"""Queries over manifests, options, baselines, CI reports and a corpus manifest, with their SQL."""
+"""Queries over manifests, options, baselines, CI reports and a corpus manifest, one of each document in the inline shapes, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import manifests as M
 from attestry.operators.web import MUTATING, READING
-from attestry.plans.common import TYPES, quoted, rows, values
+from attestry.plans.common import TYPES, keyed, keyed_sql, quoted, rows, values
 
 TYPES["array<int>"] = "INTEGER[]"
 
@@ -68,6 +68,21 @@ CORPUS = [dict(zip(("case_id", "category", "framework", "variant", "path", "arti
 _CATALOG = "rule_id string, category string"
 CATALOG = [{"rule_id": "r1", "category": "auth"}, {"rule_id": "r2", "category": "data"}, {"rule_id": "r3", "category": "data"}]
 
+_keys = lambda data, key: list(dict.fromkeys(d[key] for d in data))
+_BY = {
+    "targets": (TARGETS, M.TARGETS, "manifest_id", _keys(TARGETS, "manifest_id")), **{n: (d, ddl, "manifest_id", _keys(PLANS, "manifest_id")) for n, d, ddl in (("plans", PLANS, M.PLANS), ("accounts", ACCOUNTS, M.ACCOUNTS), ("cases", CASES, M.CASES))},
+    "options": (OPTIONS, M.OPTIONS, "scan_id", _keys(OPTIONS, "scan_id")), **{n: (d, ddl, "scan_id", _keys([*POLICIES, *PACKS], "scan_id")) for n, d, ddl in (("policies", POLICIES, _POLICY), ("packs", PACKS, _PACK))},
+    **{n: (d, ddl, "report_id", _keys(REPORTS, "report_id")) for n, d, ddl in (("reports", REPORTS, M.CI), ("notes", ANNOTATIONS, M.ANNOTATIONS))}, "corpus": (CORPUS, M.CORPUS, "case_id", _keys(CORPUS, "case_id")),
+}
+
+
+def _given(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [keyed(spark, sf_dir, *_BY[n]) for n in names]
+
+
+def _given_sql(*names: str) -> str:
+    return ", ".join(keyed_sql(n, *_BY[n]) for n in names)
+
 
 def address_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPv4 addresses made of each document's number by whether requests may reach them."""
@@ -79,35 +94,31 @@ def address_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.target_faults(rows(spark, TARGETS, M.TARGETS))
-
-
-def _plans(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return rows(spark, PLANS, M.PLANS), rows(spark, ACCOUNTS, M.ACCOUNTS), rows(spark, CASES, M.CASES)
+    return M.target_faults(*_given(spark, sf_dir, "targets"))
 
 
 def plan_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.plan_faults(*_plans(spark))
+    return M.plan_faults(*_given(spark, sf_dir, "plans", "accounts", "cases"))
 
 
 def case_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.case_faults(*_plans(spark)).distinct()
+    return M.case_faults(*_given(spark, sf_dir, "plans", "accounts", "cases")).distinct()
 
 
 def option_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.option_faults(rows(spark, OPTIONS, M.OPTIONS))
+    return M.option_faults(*_given(spark, sf_dir, "options"))
 
 
 def baseline_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.baseline_faults(rows(spark, POLICIES, _POLICY), rows(spark, PACKS, _PACK))
+    return M.baseline_faults(*_given(spark, sf_dir, "policies", "packs"))
 
 
 def ci_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.ci_faults(rows(spark, REPORTS, M.CI), rows(spark, ANNOTATIONS, M.ANNOTATIONS))
+    return M.ci_faults(*_given(spark, sf_dir, "reports", "notes"))
 
 
 def corpus_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.corpus_faults(rows(spark, CORPUS, M.CORPUS), rows(spark, CATALOG, _CATALOG))
+    return M.corpus_faults(*_given(spark, sf_dir, "corpus"), rows(spark, CATALOG, _CATALOG))
 
 
 def _each(key: str, of: str, *conditions: tuple[str, str]) -> str:
@@ -118,12 +129,12 @@ _NETS = lambda name, nets: f"{name}(lo, hi) AS (VALUES " + ", ".join(f"({lo}::BI
 _WORDS = lambda x: f"list_filter(string_split_regex(lower(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
 _ANY = lambda x, of: f"list_has_any({x}, [{', '.join(map(quoted, of))}])"
 _DECODED = lambda x: f"(CASE WHEN NOT contains(url_decode({x}), '%') THEN url_decode({x}) END)"
-_MANIFESTS = ", ".join((values("plans", PLANS, M.PLANS), values("accounts", ACCOUNTS, M.ACCOUNTS), values("cases", CASES, M.CASES)))
+_MANIFESTS = _given_sql("plans", "accounts", "cases")
 _FINDING = "kind = 'finding' AND "
 SQL = {
     "address_class": f"""WITH {_NETS("bad", M.UNSAFE_NETWORKS)}, {_NETS("own", M.LOCAL_NETWORKS)}, d AS (SELECT doc_id, (doc_id::BIGINT * 7919 * 65537) % 4294967296 AS n FROM documents)
 SELECT doc_id, concat_ws('.', n // 16777216, n // 65536 % 256, n // 256 % 256, n % 256) AS address, EXISTS (SELECT 1 FROM bad WHERE n BETWEEN lo AND hi) AS "unsafe", EXISTS (SELECT 1 FROM own WHERE n BETWEEN lo AND hi) AS "local" FROM d""",
-    "target_constraints": f"""WITH {values("targets", TARGETS, M.TARGETS)}, p AS (SELECT *, lower(regexp_extract(target, {quoted(M.URL)}, 1)) AS scheme, regexp_extract(target, {quoted(M.URL)}, 2) AS who, lower(regexp_replace(regexp_extract(target, {quoted(M.URL)}, 3), '^\\[|\\]$', '', 'g')) AS host, regexp_extract(target, {quoted(M.URL)}, 5) AS hash FROM targets),
+    "target_constraints": f"""WITH {_given_sql("targets")}, p AS (SELECT *, lower(regexp_extract(target, {quoted(M.URL)}, 1)) AS scheme, regexp_extract(target, {quoted(M.URL)}, 2) AS who, lower(regexp_replace(regexp_extract(target, {quoted(M.URL)}, 3), '^\\[|\\]$', '', 'g')) AS host, regexp_extract(target, {quoted(M.URL)}, 5) AS hash FROM targets),
 q AS (SELECT *, regexp_matches(host, '^(10|127|192\\.168|172\\.(1[6-9]|2[0-9]|3[01]))\\.[0-9.]+$') AS priv FROM p) """
     + _each(
         "manifest_id", "q", ("scheme", "scheme NOT IN ('http', 'https')"), ("host_not_listed", "NOT coalesce(list_contains(list_transform(allowed_hosts, lambda h: lower(h)), host), false)"),
@@ -146,15 +157,15 @@ w AS (SELECT *, {_WORDS("d")} AS ws, {_WORDS("array_to_string(ss, ' ')")} AS bs,
         ("marker_sent", "match <> 'ownerIdentity' AND (contains(lower(d), lower(expected)) OR len(list_filter(texts, lambda x: contains(x, lower(expected)))) > 0)"),
         ("owner_sent", "match = 'ownerIdentity' AND (regexp_matches(lower(path), '[?&]' || f || '(=|&|$)') OR list_contains(keys, f))"),
     ),
-    "option_constraints": f"WITH {values('options', OPTIONS, M.OPTIONS)} "
+    "option_constraints": f"WITH {_given_sql('options')} "
     + _each(
         "scan_id", "options", ("profile", "profile NOT IN ('predeploy', 'native')"), *((f"{k}_bound", f"{k} NOT BETWEEN 1 AND {v}") for k, v in M.HARD_LIMITS.items()), ("artifacts", "list_contains(list_transform(artifacts, lambda x: trim(x)), '')"), ("artifacts_count", "len(artifacts) > 10"),
         ("rule_packs", "list_contains(list_transform(rule_packs, lambda x: trim(x)), '')"), ("rule_packs_count", "len(rule_packs) > 8"), ("policy_path", "trim(policy_path) = ''"),
     ),
-    "baseline_constraints": f"WITH {values('policies', POLICIES, _POLICY)}, {values('packs', PACKS, _PACK)} "
+    "baseline_constraints": f"WITH {_given_sql('policies', 'packs')} "
     + _each("scan_id", "policies", ("policy_missing", "base_source = 'operator' AND source IS DISTINCT FROM 'operator'"), ("policy_changed", "base_source = 'operator' AND source = 'operator' AND digest IS DISTINCT FROM base_digest"), ("policy_added", "source = 'operator' AND base_source IS DISTINCT FROM 'operator'"))
     + " UNION SELECT scan_id, 'rule_packs' FROM (SELECT coalesce(a.scan_id, b.scan_id) AS scan_id, a.side AS x, b.side AS y FROM (FROM packs WHERE side = 'now') a FULL JOIN (FROM packs WHERE side = 'base') b ON a.scan_id = b.scan_id AND a.pack_id = b.pack_id AND a.digest = b.digest AND a.rule_count = b.rule_count) WHERE x IS NULL OR y IS NULL",
-    "ci_constraints": f"""WITH {values("reports", REPORTS, M.CI)}, {values("notes", ANNOTATIONS, M.ANNOTATIONS)}, k AS (SELECT r.*, count(*) FILTER (kind = 'decision') AS ds, max(level) FILTER (kind = 'decision') AS dl, count(*) FILTER (kind = 'coverage') AS cs, count(*) FILTER (kind = 'coverage' AND level <> 'error') AS cm,
+    "ci_constraints": f"""WITH {_given_sql("reports", "notes")}, k AS (SELECT r.*, count(*) FILTER (kind = 'decision') AS ds, max(level) FILTER (kind = 'decision') AS dl, count(*) FILTER (kind = 'coverage') AS cs, count(*) FILTER (kind = 'coverage' AND level <> 'error') AS cm,
 count(*) FILTER (kind = 'finding') AS fs, count(*) FILTER (kind = 'finding' AND blocks) AS bs, count(*) FILTER (baseline_state = 'new') AS news, count(*) FILTER (baseline_state = 'unchanged') AS olds FROM reports r LEFT JOIN notes USING (report_id) GROUP BY ALL), e AS (SELECT n.*, compared FROM notes n JOIN reports USING (report_id)) """
     + _each(
         "report_id", "k", ("exit_code", "exit_code <> CASE decision WHEN 'block' THEN 1 WHEN 'incomplete' THEN 2 ELSE 0 END"), ("open_total", "n_open <> list_sum(by_severity)"), ("coverage_total", "total <> complete + gaps"), ("incomplete_without_gap", "decision = 'incomplete' AND gaps = 0"),
@@ -167,7 +178,7 @@ count(*) FILTER (kind = 'finding') AS fs, count(*) FILTER (kind = 'finding' AND
         ("place_without_finding", "kind <> 'finding' AND coalesce(path, fingerprint, status, baseline_state, start_line::VARCHAR, blocks::VARCHAR) IS NOT NULL"), ("state_without_baseline", _FINDING + "NOT compared AND baseline_state IS NOT NULL"), ("finding_level", _FINDING + "(level = 'error') <> coalesce(blocks, false)"), ("suppressed_shown", _FINDING + "status = 'suppressed' AND NOT coalesce(blocks, false)"),
     )
     + " UNION SELECT report_id, 'finding_twice' FROM notes WHERE kind = 'finding' GROUP BY report_id, fingerprint HAVING count(*) > 1",
-    "corpus_constraints": f"""WITH {values("cases", CORPUS, M.CORPUS)}, {values("rules", CATALOG, _CATALOG)}, u AS (SELECT case_id, category, 'positive' AS k, unnest(expected) AS rule_id FROM cases UNION ALL SELECT case_id, category, 'near_miss', unnest(near) FROM cases) """
+    "corpus_constraints": f"""WITH {_given_sql("corpus")}, cases AS (FROM corpus), {values("rules", CATALOG, _CATALOG)}, u AS (SELECT case_id, category, 'positive' AS k, unnest(expected) AS rule_id FROM cases UNION ALL SELECT case_id, category, 'near_miss', unnest(near) FROM cases) """
     + _each(
         "case_id AS subject", "cases", ("metadata", "coalesce(category, '') = '' OR coalesce(framework, '') = '' OR variant NOT IN ('positive', 'near_miss')"), ("one_source", "(coalesce(path, '') = '') = (coalesce(artifact, '') = '')"),
         ("positive_expects_none", "variant = 'positive' AND coalesce(len(expected), 0) = 0"), ("near_miss_incomplete", "variant = 'near_miss' AND (len(expected) > 0 OR coalesce(len(near), 0) = 0)"),
