@@ -18,7 +18,8 @@ from attestry.operators import correlate as cr
 from attestry.operators import findings as fi
 from attestry.operators import presentation as pr
 from attestry.operators import web
-from attestry.plans.common import fingerprint_sql, quoted, rank_sql, redacted_sql, rows, table, values
+from attestry.plans import scans
+from attestry.plans.common import fingerprint_sql, keyed, keyed_sql, quoted, rank_sql, redacted_sql, rows, table, values
 from attestry.sources import tools
 
 
@@ -196,7 +197,8 @@ def ci_top_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.coverage_gaps(rows(spark, COVERAGE, R.COVERAGE))
+    """Gaps of a scan of the documents."""
+    return pr.coverage_gaps(scans.scan_coverage(spark, sf_dir))
 
 
 def sarif_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,19 +235,31 @@ RUNS = [
 _RUN = "engine string, installed boolean, exit_code int, timed_out boolean, json string"
 
 
+#: A third of the documents gives a report of each tool; places and names of its first finding have the document's number.
+REPORTERS = (GITLEAKS, OPENGREP, TRIVY)
+_REPORTS = "SELECT replace(replace(replace({}, 'a/b.txt', 'a/' || doc_id || '.txt'), '\"a.py\"', '\"a' || doc_id || '.py\"'), '\"p\"', '\"p' || doc_id || '\"') AS json FROM {documents} WHERE doc_id % 3 = {k}"
+
+
 def tool_json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda text: rows(spark, [{"json": text}], "json string")
+    of = lambda text: spark.sql(_REPORTS.format(quoted(text).replace("{", "{{").replace("}", "}}").replace("\\", "\\\\"), k=REPORTERS.index(text), documents="{documents}"), documents=table(spark, sf_dir, "documents"))
     got = tools.gitleaks(of(GITLEAKS)).unionByName(tools.opengrep(of(OPENGREP))).unionByName(tools.trivy(of(TRIVY)))
     return got.select("engine", "rule_id", "title", "severity", "path", "line", "snippet", F.array_join(F.coalesce("cwe", F.array().cast("array<string>")), ",").alias("cwe"), F.array_join("tags", ",").alias("tags"))
 
 
+_RUNS = ([{**r, "run": f"r{i}"} for i, r in enumerate(RUNS)], f"{_RUN}, run string", "run", [f"r{i}" for i in range(len(RUNS))])
+
+
 def tool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.coverage(rows(spark, RUNS, _RUN))
+    """A tool's run of each document."""
+    return tools.coverage(keyed(spark, sf_dir, *_RUNS))
+
+
+DATABASES = [{"name": n, "json": j, "size": s} for n, j, s in (("a", None, 0), ("b", '{"Version":2,"NextUpdate":"2026-07-01T00:00:00Z"}', 5), ("c", '{"Version":2,"NextUpdate":"2026-05-01T00:00:00Z"}', 5), ("d", '{"Version":1,"NextUpdate":"2026-07-01T00:00:00Z"}', 5), ("e", '{"Version":2,"NextUpdate":"soon"}', 5), ("f", '{"Version":2,"NextUpdate":"2026-07-01T00:00:00Z"}', 0))]
+_DATABASE = "name string, json string, size long"
 
 
 def database_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = [{"name": n, "json": j, "size": s} for n, j, s in (("a", None, 0), ("b", '{"Version":2,"NextUpdate":"2026-07-01T00:00:00Z"}', 5), ("c", '{"Version":2,"NextUpdate":"2026-05-01T00:00:00Z"}', 5), ("d", '{"Version":1,"NextUpdate":"2026-07-01T00:00:00Z"}', 5), ("e", '{"Version":2,"NextUpdate":"soon"}', 5), ("f", '{"Version":2,"NextUpdate":"2026-07-01T00:00:00Z"}', 0))]
-    return tools.database_state(rows(spark, data, "name string, json string, size long"), AS_OF)
+    return tools.database_state(keyed(spark, sf_dir, DATABASES, _DATABASE, "name", [d["name"] for d in DATABASES]), AS_OF)
 
 
 RESPONSES = [
@@ -318,20 +332,33 @@ EXPECTED = [{"category": c, "case_id": i, "rule_id": r} for c, i, r in (("secret
 ACTUAL = [{"case_id": i, "rule_id": r} for i, r in (("s1", "secret.openai"), ("s2", "secret.openai"), ("m1", "android.backup-enabled"), ("m1", "android.backup-enabled"), ("zz", "secret.openai"))]
 
 
+_CASE_IDS = list(dict.fromkeys(x["case_id"] for x in (*EXPECTED, *ACTUAL)))
+_EXPECTED = (EXPECTED, "category string, case_id string, rule_id string", "case_id", _CASE_IDS)
+_ACTUAL = (ACTUAL, "case_id string, rule_id string", "case_id", _CASE_IDS)
+
+
 def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.scored(rows(spark, EXPECTED, "category string, case_id string, rule_id string"), rows(spark, ACTUAL, "case_id string, rule_id string"))
+    """Scores of the cases that the documents stand for."""
+    return co.scored(keyed(spark, sf_dir, *_EXPECTED), keyed(spark, sf_dir, *_ACTUAL))
 
 
 CATALOG = [{"rule_id": "a.one", "profiles": ["p1", "p2"]}, {"rule_id": "a.two", "profiles": ["p9"]}, {"rule_id": "a.two", "profiles": []}]
 
 
+_CATALOG = (CATALOG, "rule_id string, profiles array<string>", "rule_id", ["a.one", "a.two"])
+
+
 def catalog_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.catalog_checks(rows(spark, CATALOG, "rule_id string, profiles array<string>"), rows(spark, [{"profile_id": "p1"}, {"profile_id": "p2"}], "profile_id string"))
+    return co.catalog_checks(keyed(spark, sf_dir, *_CATALOG), rows(spark, [{"profile_id": "p1"}, {"profile_id": "p2"}], "profile_id string"))
+
+
+#: Rules that a policy requires, rules that block, and rules that there are.
+POLICY_RULES = ("abx", "bcy", "abc")
+_ids = lambda xs: ([{"rule_id": x} for x in xs], "rule_id string", "rule_id", sorted(set("".join(POLICY_RULES))))
 
 
 def policy_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = lambda *xs: rows(spark, [{"rule_id": x} for x in xs], "rule_id string")
-    return co.policy_checks(ids("a", "b", "x"), ids("b", "c", "y"), ids("a", "b", "c"))
+    return co.policy_checks(*(keyed(spark, sf_dir, *_ids(xs)) for xs in POLICY_RULES))
 
 
 _PREVIEW_PACK = "pack_id string, rule_count int, status string, reasons array<string>, inventory_status string, file_count int"
@@ -416,7 +443,7 @@ _VERDICTS = f"""{_R}, {_K}, verdicts AS (SELECT c.case_id, CASE WHEN NOT coalesc
 _WORDS = lambda xs: "len(list_intersect(ws, [" + ", ".join(map(quoted, xs)) + "])) > 0"
 _KINDS = f"""{_A}, worded AS (SELECT *, string_split_regex(lower(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') AS ws FROM api),
 kinds AS (SELECT method, path, handler, CASE WHEN {_WORDS(web.MUTATING)} OR upper(method) NOT IN ('GET', 'POST') THEN 'mutation_excluded' WHEN upper(method) = 'GET' OR {_WORDS(web.READING)} THEN 'read_candidate' ELSE 'manual_review' END AS kind FROM worded)"""
-_SCORED = values("expected", EXPECTED, "category string, case_id string, rule_id string") + ", " + values("actual", ACTUAL, "case_id string, rule_id string")
+_SCORED = f"{keyed_sql('expected', *_EXPECTED)}, {keyed_sql('actual', *_ACTUAL)}"
 
 QUERIES = {
     f.__name__: f
@@ -450,7 +477,7 @@ SELECT framework, route, ['info', 'low', 'medium', 'high', 'critical'][coalesce(
 SELECT id, CASE WHEN b THEN 'error' WHEN {rank_sql('severity')} >= 2 THEN 'warning' ELSE 'notice' END AS level, title, severity || '/' || evidence_level || '/' || status || ' · ' || rule_id || ' · ' || description AS message,
   CASE WHEN NOT contains(p0, '..') THEN p0 END AS path, CASE WHEN NOT contains(p0, '..') THEN line END AS start_line, b AS blocks_release, CASE state WHEN 'new' THEN 'new' WHEN 'remaining' THEN 'unchanged' END AS baseline_state
 FROM a WHERE status = 'open' OR b ORDER BY b DESC, coalesce(state, '') = 'new' DESC, {rank_sql('severity')} DESC, title, id LIMIT 12""",
-    "coverage_gaps": f"WITH {_C} SELECT count(*) AS total, count(*) FILTER (status = 'complete') AS complete, string_agg(domain || ' ' || engine || ' ' || status, '; ' ORDER BY domain) FILTER (status <> 'complete') AS gaps FROM coverage WHERE required",
+    "coverage_gaps": f"WITH {scans._SIGNALS}, {scans._COVERAGE} SELECT count(*) AS total, count(*) FILTER (status = 'complete') AS complete, string_agg(domain || ' ' || engine || ' ' || status, '; ' ORDER BY domain) FILTER (status <> 'complete') AS gaps FROM scan_coverage WHERE required",
     "sarif_join": f"""WITH {_CORRELATED}, each_ AS (SELECT id AS fid, status, title, {rank_sql('severity')} AS r, unnest(string_split(signal_ids, ',')) AS sid FROM findings), f AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY sid ORDER BY r DESC, title, fid) = 1)
 SELECT s.id, rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, fingerprint, CASE WHEN NOT contains(path, '..') THEN replace(path, ' ', '%20') END AS uri, line, fid AS finding_id, coalesce(f.status, 'none') AS finding_status FROM signals s LEFT JOIN f ON f.sid = s.id""",
     "sarif_rules": f"""WITH {_S}, f AS (SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ord NULLS LAST, id) = 1)
@@ -459,9 +486,9 @@ SELECT rule_id, CASE WHEN {_FLAT.format('title')} = '' THEN rule_id ELSE {_FLAT.
     "fix_contracts": f"""WITH {_CORRELATED}, e AS (SELECT f.id, f.title, f.severity, attack_path_id, unnest(string_split(signal_ids, ',')) AS sid, generate_subscripts(string_split(signal_ids, ','), 1) AS pos FROM findings f)
 SELECT e.title, e.severity, string_agg(s.rule_id || ' at ' || s.path || ':' || s.line, '; ' ORDER BY pos) AS evidence, CASE WHEN attack_path_id IS NULL THEN '' ELSE 'Path: ' || e.title END AS summary FROM e JOIN signals s ON s.id = e.sid GROUP BY e.id, e.title, e.severity, attack_path_id""",
     "report_constraints": f"WITH {_C}, {_SUP}, {_S}, {_PLAIN} " + _CHECK(("signal_id_unique", "SELECT 1 WHERE true"), ("finding_fingerprint_unique", "SELECT fingerprint FROM plain GROUP BY 1 HAVING count(*) > 1"), ("finding_signals_exist", "SELECT 1 FROM plain WHERE signal_id = 'sig_19'"), ("finding_has_signals", "SELECT 1 FROM plain WHERE signal_id IS NULL"), ("finding_id_of_fingerprint", "SELECT 1 FROM plain WHERE id <> 'finding_' || substr(fingerprint, 1, 16)"), ("suppressed_has_reason", "SELECT 1 FROM plain WHERE status = 'suppressed' AND reason IS NULL"), ("gap_has_reason", "SELECT 1 FROM coverage WHERE status <> 'complete' AND coalesce(reason, '') = ''")),
-    "tool_json_flatten": f"""WITH g AS (SELECT unnest(from_json({quoted(GITLEAKS)}, '[{{"Description":"VARCHAR","StartLine":"INTEGER","File":"VARCHAR","RuleID":"VARCHAR","Match":"VARCHAR","Commit":"VARCHAR"}}]')) AS f),
-o AS (SELECT unnest(CAST({quoted(OPENGREP)}::JSON -> '$.results' AS JSON[])) AS f),
-t AS (SELECT coalesce(nullif(r ->> '$.Target', ''), '.') AS path, r FROM (SELECT unnest(CAST({quoted(TRIVY)}::JSON -> '$.Results' AS JSON[])) AS r)),
+    "tool_json_flatten": f"""WITH g AS (SELECT unnest(from_json(json, '[{{"Description":"VARCHAR","StartLine":"INTEGER","File":"VARCHAR","RuleID":"VARCHAR","Match":"VARCHAR","Commit":"VARCHAR"}}]')) AS f FROM ({_REPORTS.format(quoted(GITLEAKS), k=0, documents='documents')})),
+o AS (SELECT unnest(CAST(json::JSON -> '$.results' AS JSON[])) AS f FROM ({_REPORTS.format(quoted(OPENGREP), k=1, documents='documents')})),
+t AS (SELECT coalesce(nullif(r ->> '$.Target', ''), '.') AS path, r FROM (SELECT unnest(CAST(json::JSON -> '$.Results' AS JSON[])) AS r FROM ({_REPORTS.format(quoted(TRIVY), k=2, documents='documents')}))),
 v AS (SELECT path, unnest(CAST(r -> '$.Vulnerabilities' AS JSON[])) AS f FROM t), m AS (SELECT path, unnest(CAST(r -> '$.Misconfigurations' AS JSON[])) AS f FROM t), s AS (SELECT path, unnest(CAST(r -> '$.Secrets' AS JSON[])) AS f FROM t)
 SELECT 'gitleaks' AS engine, coalesce(f.RuleID, 'gitleaks.secret') AS rule_id, coalesce(f.Description, 'Secret detected by Gitleaks') AS title, 'critical' AS severity, coalesce(nullif(f.File, ''), '.') AS path, f.StartLine AS line,
   CASE WHEN coalesce(f.Match, '') <> '' THEN {redacted_sql('f.Match')} ELSE '[REDACTED]' END AS snippet, 'CWE-798' AS cwe, 'secret,gitleaks,' || CASE WHEN f.Commit IS NOT NULL THEN 'git-history' ELSE 'working-tree' END AS tags FROM g
@@ -471,11 +498,11 @@ UNION ALL SELECT 'opengrep', CASE WHEN f ->> '$.check_id' IS NULL THEN 'opengrep
 UNION ALL SELECT 'trivy', coalesce(f ->> '$.VulnerabilityID', 'trivy.vulnerability'), coalesce(f ->> '$.VulnerabilityID', 'Vulnerability') || ' in ' || (f ->> '$.PkgName'), CASE lower(f ->> '$.Severity') WHEN 'high' THEN 'high' ELSE 'medium' END, path, NULL, NULL, '', 'sca,dependency,' || (f ->> '$.PkgName') FROM v
 UNION ALL SELECT 'trivy', f ->> '$.ID', f ->> '$.ID', lower(f ->> '$.Severity'), path, CAST(f ->> '$.CauseMetadata.StartLine' AS INTEGER), array_to_string(list_transform(CAST(f -> '$.CauseMetadata.Code.Lines' AS JSON[]), lambda x: x ->> '$.Content'), chr(10)), '', 'iac,misconfiguration' FROM m
 UNION ALL SELECT 'trivy', f ->> '$.RuleID', 'Secret detected by Trivy', 'high', path, CAST(f ->> '$.StartLine' AS INTEGER), {redacted_sql("(f ->> '$.Match')")}, 'CWE-798', 'secret,trivy' FROM s""",
-    "tool_coverage": f"""WITH {values('runs', RUNS, _RUN)}, j AS (SELECT *, coalesce(json_valid(json) AND CASE engine WHEN 'gitleaks' THEN starts_with(json, '[') ELSE starts_with(json, '{{') END, false) AND CASE WHEN engine = 'trivy' AND json_valid(json) THEN coalesce(json ->> '$.SchemaVersion', '') = '2' ELSE true END AS good,
+    "tool_coverage": f"""WITH {keyed_sql('runs', *_RUNS)}, j AS (SELECT *, coalesce(json_valid(json) AND CASE engine WHEN 'gitleaks' THEN starts_with(json, '[') ELSE starts_with(json, '{{') END, false) AND CASE WHEN engine = 'trivy' AND json_valid(json) THEN coalesce(json ->> '$.SchemaVersion', '') = '2' ELSE true END AS good,
   CASE WHEN engine = 'opengrep' AND json_valid(json) THEN coalesce(json_array_length(json -> '$.errors'), 0) ELSE 0 END AS errors FROM runs),
 r AS (SELECT *, CASE WHEN NOT installed THEN engine || ' executable not installed' WHEN timed_out THEN engine || ' timed out' WHEN exit_code <> 0 AND NOT (engine = 'gitleaks' AND exit_code = 1) THEN engine || ' exited ' || exit_code WHEN NOT good THEN engine || ' returned an unexpected report' WHEN errors > 0 THEN errors || ' parse or scan errors' END AS reason FROM j)
 SELECT CASE engine WHEN 'gitleaks' THEN 'secrets-history' WHEN 'opengrep' THEN 'sast-general' ELSE 'dependencies-iac' END AS domain, engine, CASE WHEN NOT installed THEN 'not_run' WHEN reason IS NULL THEN 'complete' WHEN ends_with(reason, 'parse or scan errors') THEN 'partial' ELSE 'failed' END AS status, true AS required, reason FROM r""",
-    "database_freshness": "SELECT * FROM (VALUES ('a', 'missing'), ('b', 'ready'), ('c', 'stale'), ('d', 'invalid'), ('e', 'invalid'), ('f', 'invalid')) t(name, state)",
+    "database_freshness": "SELECT name || '_' || doc_id AS name, state FROM documents JOIN (VALUES (0, 'a', 'missing'), (1, 'b', 'ready'), (2, 'c', 'stale'), (3, 'd', 'invalid'), (4, 'e', 'invalid'), (5, 'f', 'invalid')) t(k, name, state) ON k = doc_id % 6",
     "header_missing": f"""WITH {_R}, h AS (SELECT url, list_transform(map_keys(headers), lambda k: lower(k)) AS ks, map_values(headers) AS vs FROM responses)
 SELECT url, 'web.missing-csp' AS rule_id, 'medium' AS severity FROM h WHERE NOT list_contains(ks, 'content-security-policy')
 UNION ALL SELECT url, 'web.missing-nosniff', 'medium' FROM h WHERE coalesce(lower(vs[list_position(ks, 'x-content-type-options')]), '') <> 'nosniff'
@@ -491,7 +518,7 @@ SELECT * FROM l WHERE lacks <> ''""",
 n AS (SELECT coalesce(e.category, a.category) AS category, count(*) FILTER (e.rule_id IS NOT NULL AND a.rule_id IS NOT NULL) AS tp, count(*) FILTER (e.rule_id IS NULL) AS fp, count(*) FILTER (a.rule_id IS NULL) AS fn FROM e FULL JOIN a ON e.category = a.category AND e.case_id = a.case_id AND e.rule_id = a.rule_id GROUP BY 1),
 t AS (SELECT * FROM n UNION ALL SELECT 'all', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM n), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM t)
 SELECT category, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM r""",
-    "catalog_fk": "SELECT * FROM (VALUES ('rule_id_unique', 1), ('profile_known', 1), ('has_profile', 1)) t(check_id, violations)",
+    "catalog_fk": "SELECT check_id, (SELECT count(*) FROM documents WHERE doc_id % 2 = 1) AS violations FROM (VALUES ('rule_id_unique'), ('profile_known'), ('has_profile')) t(check_id)",
     "preview_constraints": f"WITH {values('packs', PREVIEW_PACKS, _PREVIEW_PACK)}, {values('rules', PREVIEW_RULES, _PREVIEW_RULE)}, w AS (SELECT p.*, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id) AS n, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id AND r.status = 'partial') AS k FROM packs p) "
     + _CHECK(
         ("pack_unique", "SELECT pack_id FROM packs GROUP BY 1 HAVING count(*) > 1"),
@@ -504,5 +531,5 @@ SELECT category, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, ro
         ("absent_partial", "SELECT 1 FROM rules WHERE emit_when = 'absent' AND selected = 0 AND status <> 'partial'"),
         ("pack_status", "SELECT 1 FROM w WHERE (status = 'partial') <> (inventory_status = 'partial' OR k > 0) OR (status = 'partial') <> (len(reasons) > 0)"),
     ),
-    "policy_constraints": "WITH req(r) AS (VALUES ('a'), ('b'), ('x')), blk(r) AS (VALUES ('b'), ('c'), ('y')), cat(r) AS (VALUES ('a'), ('b'), ('c')) " + _CHECK(("required_known", "SELECT r FROM req EXCEPT SELECT r FROM cat"), ("blocking_known", "SELECT r FROM blk EXCEPT SELECT r FROM cat"), ("blocking_required", "SELECT r FROM blk EXCEPT SELECT r FROM req")),
+    "policy_constraints": f"WITH {', '.join(keyed_sql(n, *_ids(xs)) for n, xs in zip(('req', 'blk', 'cat'), POLICY_RULES, strict=True))} " + _CHECK(("required_known", "SELECT rule_id FROM req EXCEPT SELECT rule_id FROM cat"), ("blocking_known", "SELECT rule_id FROM blk EXCEPT SELECT rule_id FROM cat"), ("blocking_required", "SELECT rule_id FROM blk EXCEPT SELECT rule_id FROM req")),
 }
