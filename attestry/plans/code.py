@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry import relations as R
+from attestry.durable import kept
 from attestry.operators import baas, js_code, parsing, python_code, rules
 from attestry.operators.parsing import SESSION_PATH
-from attestry.plans.common import quoted, rows, values
+from attestry.plans.common import quoted, rows, table, values
 from attestry.sources import archives
 
 
@@ -195,6 +196,14 @@ def _rows(spark: SparkSession, files: list[dict]) -> DataFrame:
     return rows(spark, files, R.FILES)
 
 
+def projects(spark: SparkSession, sf_dir: str, files: list[dict]) -> DataFrame:
+    """A project of each document: the inline files in a folder of its own, the document's text as a comment at the end of each."""
+    said = F.concat(F.lit("\n// "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    each = F.array(*(F.struct(F.lit(f["relative_path"]).alias("path"), F.lit(f["content"]).alias("content"), F.lit(f["walk_pos"]).alias("place")) for f in files))
+    got = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"), F.explode(each).alias("f")).withColumn("content", F.concat("f.content", "said"))
+    return got.select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/"), F.col("f.path")).alias("relative_path"), F.length("content").cast("long").alias("size"), "content", (F.col("doc_id") * len(files) + F.col("f.place")).alias("walk_pos"))
+
+
 def rls_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baas.bare_tables(baas.sql_rows(_rows(spark, STORES))).select("relative_path", "name", "line")
 
@@ -241,16 +250,21 @@ def published_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_code.published(files, python_code.routes(python_code.code_rows(files))).withColumn("ports", F.array_join("ports", ","))
 
 
+def _js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the readers find, written once: routes, mounts, guards and exports all come from it."""
+    return kept(js_code.code_rows(projects(spark, sf_dir, JS)), "code")
+
+
 def middleware_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return js_code.routes(js_code.code_rows(_rows(spark, JS))).select("framework", "method", "path", "guarded", F.array_join("items", ",").alias("items"))
+    return js_code.routes(_js(spark, sf_dir)).select("framework", "relative_path", "method", "path", "guarded", F.array_join("items", ",").alias("items"))
 
 
 def node_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return js_code.route_findings(js_code.routes(js_code.code_rows(_rows(spark, JS)))).select("rule_id", "route", "relative_path")
+    return js_code.route_findings(js_code.routes(_js(spark, sf_dir))).select("rule_id", "route", "relative_path")
 
 
 def js_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return js_code.flow_findings(js_code.code_rows(_rows(spark, JS))).select("rule_id", "relative_path", "line")
+    return js_code.flow_findings(_js(spark, sf_dir)).select("rule_id", "relative_path", "line")
 
 
 def packages() -> list[tuple[str, bytes]]:
@@ -287,7 +301,9 @@ def _of(kind: str, **columns: str) -> str:
 
 
 _PY = _parsed(PYTHON, lambda p: p.endswith(".py") and not re.search(python_code._NOT_RUNTIME, p), python_code.read_python)
-_JS = _parsed(JS, lambda p: bool(re.search(js_code._SOURCE, p)) and not re.search(js_code._NOT_RUNTIME, p), js_code.read_express, js_code.read_nest, js_code.read_flows)
+_JS_ROWS = _parsed(JS, lambda p: bool(re.search(js_code._SOURCE, p)) and not re.search(js_code._NOT_RUNTIME, p), js_code.read_express, js_code.read_nest, js_code.read_flows)
+_IN = "replace({0}, 'src/', 'p' || doc_id || '/src/') AS {0}"  # all files stand in src/
+_JS = f"{_JS_ROWS.replace('parsed(', 'parsed_shapes(', 1)}, parsed AS (SELECT {', '.join(_IN.format(c) for c in ('relative_path', 'a', 'b', 'c', 'd', 'e'))}, t.kind, t.n, t.m, t.flag, t.items FROM documents, parsed_shapes t)"
 _JOINED = lambda x: f"(CASE WHEN trim({x}, '/') = '' THEN '/' ELSE regexp_replace(regexp_replace('/' || {x}, '/{{2,}}', '/', 'g'), '/$', '') END)"
 _MOUNTED = f"""WITH RECURSIVE {_PY}, r AS (SELECT module || ':' || name AS router, own_prefix, own_guard, is_app FROM {_of("router", module="a", name="b", own_prefix="c", own_guard="flag", is_app="m")}), mnt AS {_of("mount", parent="a", child="b", prefix="c", guard="flag")},
 walk AS (SELECT router, own_prefix AS path, EXISTS (SELECT 1 FROM parsed p WHERE p.kind = 'middleware' AND p.a = router) AS middleware, own_guard AS guarded, [router] AS through FROM r WHERE is_app = 1
@@ -326,7 +342,7 @@ UNION ALL SELECT 'fastapi.authorization.object-without-ownership-check', {_ROUTE
 UNION ALL SELECT CASE kind WHEN 'cors' THEN 'fastapi.config.wildcard-cors-with-credentials' ELSE 'fastapi.config.raw-exception-response' END, relative_path, min(n), NULL, NULL, NULL, NULL FROM parsed WHERE kind IN ('cors', 'raw_handler') GROUP BY kind, relative_path""",
     "enclosing_interval": f"WITH {_PY} SELECT f.b AS name, arg_max(c.a, c.n) AS class_name FROM parsed f JOIN parsed c ON f.kind = 'function' AND c.kind = 'class' AND f.relative_path = c.relative_path AND c.n < f.n AND f.m <= c.m GROUP BY f.a, f.b",
     "taint_fixpoint": f"{_EDGES} SELECT regexp_extract(fid, '#([^@]+)@', 1) AS function, name FROM reach",
-    "middleware_asof": f"{_NODE} SELECT framework, method, path, guarded, array_to_string(kinds, ',') AS items FROM routes",
+    "middleware_asof": f"{_NODE} SELECT framework, relative_path, method, path, guarded, array_to_string(kinds, ',') AS items FROM routes",
     "node_findings": f"""{_NODE} SELECT framework || '.auth.sensitive-route-without-guard' AS rule_id, {_NODE_ROUTE} {_LOOSE} AND NOT guarded
 UNION ALL SELECT framework || '.authorization.object-without-ownership-check', {_NODE_ROUTE} guarded AND list_contains(kinds, 'object') AND NOT list_has_any(kinds, ['owner', 'role']) AND NOT {_IS(SESSION_PATH)}
 UNION ALL SELECT framework || '.authorization.privileged-operation-without-role-check', {_NODE_ROUTE} guarded AND {_IS(js_code.PRIVILEGED_PATH)} AND NOT list_contains(kinds, 'role')""",
