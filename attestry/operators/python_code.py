@@ -238,8 +238,10 @@ def routes(rows: DataFrame) -> DataFrame:
     got = own.join(routers(rows).withColumnRenamed("path", "above"), "router")
     got = got.select("relative_path", "method", T.joined_route(F.concat("above", "place")).alias("path"), "fid", "handler", "line", (F.col("own_guard") | F.col("guarded")).alias("guarded"), "middleware", (F.col("owned") == 1).alias("owned"), "ids").distinct()
     listed = _of(rows, "whitelist", ("a", "entry"), ("b", "entry_kind"), ("n", "entry_line")).drop("relative_path").distinct()
-    hit = F.when(F.col("entry_kind") == "exact", F.col("path") == F.col("entry")).otherwise(F.col("path").startswith(F.col("entry")))
-    paths = got.select("path").distinct().join(listed, hit)  # entries of a few lists against distinct paths
+    paths = got.select("path").distinct()
+    heads = paths.select("path", F.explode(F.expr("transform(sequence(0, length(path)), n -> substring(path, 1, n))")).alias("entry"))
+    whole = paths.withColumn("entry", F.col("path")).join(listed.where("entry_kind = 'exact'"), "entry")
+    paths = whole.unionByName(heads.join(listed.where("entry_kind <> 'exact'"), "entry"))
     first = paths.groupBy("path").agg(F.min_by(F.struct("entry", "entry_kind"), F.struct("entry_line", "entry")).alias("whitelist"))
     return got.join(first, "path", "left")
 

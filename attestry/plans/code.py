@@ -1,13 +1,15 @@
-"""Code queries over inline files: store rules, Python routes and taint, JavaScript routes and flows, packaged applications."""
+"""Code queries over documents in the shapes of inline files: store rules, Python routes and taint, JavaScript routes and flows, packaged applications."""
 
 from __future__ import annotations
 
 import io
+import json
 import plistlib
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,118 +194,172 @@ exec("ls");
 })
 
 
+#: What starts a comment, by the ending of the path.
+_COMMENT = {"py": "#", "yml": "#", "sql": "--"}
+
+
 def _rows(spark: SparkSession, files: list[dict]) -> DataFrame:
     return rows(spark, files, R.FILES)
 
 
 def projects(spark: SparkSession, sf_dir: str, files: list[dict]) -> DataFrame:
-    """A project of each document: the inline files in a folder of its own, the document's text as a comment at the end of each."""
-    said = F.concat(F.lit("\n// "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    each = F.array(*(F.struct(F.lit(f["relative_path"]).alias("path"), F.lit(f["content"]).alias("content"), F.lit(f["walk_pos"]).alias("place")) for f in files))
-    got = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"), F.explode(each).alias("f")).withColumn("content", F.concat("f.content", "said"))
-    return got.select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/"), F.col("f.path")).alias("relative_path"), F.length("content").cast("long").alias("size"), "content", (F.col("doc_id") * len(files) + F.col("f.place")).alias("walk_pos"))
+    """Documents as the inline files of projects p0, p1, ...: each is the file that its number names, with its text as a comment at the end."""
+    shapes = [{"k": k, "path": f["relative_path"], "code": f["content"], "mark": "\n" + _COMMENT.get(f["relative_path"].rpartition(".")[2], "//") + " "} for k, f in enumerate(files)]
+    folder = F.concat(F.lit("p"), F.floor(F.col("doc_id") / len(files)).cast("string"))
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\x00]+", " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", folder.alias("folder"), said.alias("said"), F.expr(f"CAST(doc_id % {len(files)} AS int)").alias("k"))
+    got = docs.join(F.broadcast(rows(spark, shapes, "k int, path string, code string, mark string")), "k")  # a few inline rows
+    own = F.replace("code", F.lit("from app."), F.concat(F.lit("from "), "folder", F.lit(".app.")))  # modules are named from the top
+    return got.select(F.concat_ws("/", "folder", "path").alias("relative_path"), F.concat(own, "mark", "said").alias("content"), F.col("doc_id").alias("walk_pos")).withColumn("size", F.octet_length("content").cast("long"))
+
 
+def rls_anti(files: DataFrame) -> DataFrame:
+    return baas.bare_tables(kept(baas.sql_rows(files), "code")).select("relative_path", "name", "line")
 
-def rls_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baas.bare_tables(baas.sql_rows(_rows(spark, STORES))).select("relative_path", "name", "line")
 
+def store_rules(files: DataFrame) -> DataFrame:
+    return baas.findings(files)
 
-def store_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baas.findings(_rows(spark, STORES))
 
+def _python(files: DataFrame) -> DataFrame:
+    """What the reader finds, written once: routers, routes, calls and flows all come from it."""
+    return kept(python_code.code_rows(files), "code")
 
-def router_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.routers(python_code.code_rows(_rows(spark, PYTHON)))
 
+def router_closure(files: DataFrame) -> DataFrame:
+    return python_code.routers(_python(files))
 
-def whitelist_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = python_code.routes(python_code.code_rows(_rows(spark, PYTHON)))
-    return got.select("method", "path", "handler", "guarded", "middleware", F.col("whitelist.entry").alias("entry"), F.col("whitelist.entry_kind").alias("entry_kind"))
 
+def whitelist_prefix(files: DataFrame) -> DataFrame:
+    got = python_code.routes(_python(files))
+    return got.select("method", "path", "handler", "guarded", "middleware", F.col("whitelist.entry").alias("entry"), F.col("whitelist.entry_kind").alias("entry_kind"), "relative_path")
 
-def fastapi_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.route_findings(python_code.routes(python_code.code_rows(_rows(spark, PYTHON))))
 
+def fastapi_findings(files: DataFrame) -> DataFrame:
+    return python_code.route_findings(python_code.routes(_python(files)))
 
-def fastapi_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = python_code.code_rows(_rows(spark, PYTHON))
+
+def fastapi_exceptions(files: DataFrame) -> DataFrame:
+    code = _python(files)
     got = python_code.exception_findings(code, python_code.routes(code)).withColumn("routes", F.array_join("routes", ","))
     more = python_code.config_findings(code)
     return got.unionByName(more, allowMissingColumns=True)
 
 
-def enclosing_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.enclosing(python_code.code_rows(_rows(spark, PYTHON))).select("name", "class_name")
+def enclosing_interval(files: DataFrame) -> DataFrame:
+    return python_code.enclosing(_python(files)).select("name", "class_name", F.substring_index("fid", "#", 1).alias("relative_path"))
 
 
-def taint_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.tainted(python_code.code_rows(_rows(spark, PYTHON))).select(F.regexp_extract("fid", "#([^@]+)@", 1).alias("function"), "name")
+def taint_fixpoint(files: DataFrame) -> DataFrame:
+    return python_code.tainted(_python(files)).select(F.regexp_extract("fid", "#([^@]+)@", 1).alias("function"), "name", F.substring_index("fid", "#", 1).alias("relative_path"))
 
 
-def python_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = python_code.code_rows(_rows(spark, PYTHON))
+def python_flows(files: DataFrame) -> DataFrame:
+    code = _python(files)
     return python_code.taint_findings(code, python_code.tainted(code))
 
 
-def published_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _rows(spark, PYTHON)
-    return python_code.published(files, python_code.routes(python_code.code_rows(files))).withColumn("ports", F.array_join("ports", ","))
+def published_services(files: DataFrame) -> DataFrame:
+    return python_code.published(files, python_code.routes(_python(files))).withColumn("ports", F.array_join("ports", ","))
 
 
-def _js(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _js(files: DataFrame) -> DataFrame:
     """What the readers find, written once: routes, mounts, guards and exports all come from it."""
-    return kept(js_code.code_rows(projects(spark, sf_dir, JS)), "code")
+    return kept(js_code.code_rows(files), "code")
 
 
-def middleware_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return js_code.routes(_js(spark, sf_dir)).select("framework", "relative_path", "method", "path", "guarded", F.array_join("items", ",").alias("items"))
+def middleware_asof(files: DataFrame) -> DataFrame:
+    return js_code.routes(_js(files)).select("framework", "method", "path", "guarded", F.array_join("items", ",").alias("items"), "relative_path")
 
 
-def node_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return js_code.route_findings(js_code.routes(_js(spark, sf_dir))).select("rule_id", "route", "relative_path")
+def node_findings(files: DataFrame) -> DataFrame:
+    return js_code.route_findings(js_code.routes(_js(files))).select("rule_id", "route", "relative_path")
 
 
-def js_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return js_code.flow_findings(_js(spark, sf_dir)).select("rule_id", "relative_path", "line")
+def js_flows(files: DataFrame) -> DataFrame:
+    return js_code.flow_findings(_js(files)).select("rule_id", "relative_path", "line")
 
 
-def packages() -> list[tuple[str, bytes]]:
-    """Two applications and one archive with an unsafe name, as bytes."""
+def _zipped(entries: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in entries.items():
+            z.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
 
-    def made(entries: dict[str, bytes]) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for name, data in entries.items():
-                z.writestr(zipfile.ZipInfo(name), data)
-        return out.getvalue()
 
+def packages(text: str = "") -> list[tuple[str, bytes]]:
+    """Two applications and one archive with an unsafe name, as bytes; text stands in an asset of each."""
     info = plistlib.dumps({"NSAppTransportSecurity": {"NSAllowsArbitraryLoads": True}}, fmt=plistlib.FMT_BINARY)
     dex = b"\x00\x01" + b"AKIA" + b"ABCDEFGHIJKLMNOP" + b"\x00" + "http://api.shop.test/v1".encode("utf-16-le") + b"\x00\x00ab\x00"
-    return [("a.apk", made({"classes.dex": dex, "assets/x.json": b'{"u": "http://localhost/a"}', "other.bin": b"zzzz"})), ("b.ipa", made({"Payload/App.app/Info.plist": info})), ("c.apk", made({"../evil.js": b"x", "classes.dex": dex}))]
+    asset = {"assets/x.json": json.dumps({"u": "http://localhost/a", "text": text}).encode()}
+    return [("a.apk", _zipped({"classes.dex": dex, "other.bin": b"zzzz"} | asset)), ("b.ipa", _zipped({"Payload/App.app/Info.plist": info} | asset)), ("c.apk", _zipped({"../evil.js": b"x", "classes.dex": dex} | asset))]
+
+
+def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of each document, in the shape that its number names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made = packages(text or "")
+                name, content = made[n % len(made)]
+                yield pa.RecordBatch.from_pylist([{"artifact": f"p{n}/{name}", "content": content}])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "artifact string, content binary")
 
 
 def package_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.createDataFrame(packages(), "artifact string, content binary")
+    return packages_found(packaged(spark, sf_dir))
+
+
+def packages_found(found: DataFrame) -> DataFrame:
     return rules.signals(archives.corpus(found), rules.ARTIFACT_RULES, "artifact").select("rule_id", "path", "line", "snippet")
 
 
-QUERIES = {f.__name__: f for f in (rls_anti, store_rules, router_closure, whitelist_prefix, fastapi_findings, fastapi_exceptions, enclosing_interval, taint_fixpoint, python_flows, published_services, middleware_asof, node_findings, js_flows, package_rules)}
+def _over(find: Callable[[DataFrame], DataFrame], files: list[dict]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: find(projects(spark, sf_dir, files))
+
+
+#: What is found in files, and the inline files whose shapes documents take for it.
+FOUND = {f: STORES for f in (rls_anti, store_rules)}
+FOUND |= {f: PYTHON for f in (router_closure, whitelist_prefix, fastapi_findings, fastapi_exceptions, enclosing_interval, taint_fixpoint, python_flows, published_services)}
+FOUND |= {f: JS for f in (middleware_asof, node_findings, js_flows)}
+QUERIES = {f.__name__: _over(f, files) for f, files in FOUND.items()} | {"package_rules": package_rules}
 
 
-def _parsed(files: list[dict], due: Callable[[str], bool], *readers: Callable) -> str:
-    """What the readers yield for the inline files as a common table: SQL takes over where source text has become rows."""
-    found = [{"relative_path": f["relative_path"]} | row for f in files if due(f["relative_path"]) for read in readers for row in read(f["relative_path"], f["content"])]
-    return values("parsed", found, f"relative_path string, {python_code._DDL}")
+def _parsed(files: list[dict], due: Callable[[str], bool], own: Callable[[str], str], ddl: str, *readers: Callable) -> str:
+    """What the readers yield for the inline files as a common table, for each document the rows of its file: SQL takes over where source text has become rows. own: a column with the project's name put in."""
+    found = [{"k": k, "relative_path": f["relative_path"]} | row for k, f in enumerate(files) if due(f["relative_path"]) for read in readers for row in read(f["relative_path"], f["content"])]
+    place = f"'p' || (doc_id // {len(files)})"
+    columns = [c.split(" ")[0] for c in ddl.split(", ")]
+    each = ", ".join(f"{own(c).format(place=place)} AS {c}" for c in columns)
+    shapes = values("parsed_shapes", found, f"k int, relative_path string, {ddl}")
+    return f"{shapes}, parsed AS (SELECT {place} || '/' || t.relative_path AS relative_path, {each} FROM documents JOIN parsed_shapes t ON t.k = doc_id % {len(files)})"
 
 
 def _of(kind: str, **columns: str) -> str:
     return f"(SELECT relative_path, {', '.join(f'{c} AS {n}' for n, c in columns.items())} FROM parsed WHERE kind = '{kind}')"
 
 
-_PY = _parsed(PYTHON, lambda p: p.endswith(".py") and not re.search(python_code._NOT_RUNTIME, p), python_code.read_python)
-_JS_ROWS = _parsed(JS, lambda p: bool(re.search(js_code._SOURCE, p)) and not re.search(js_code._NOT_RUNTIME, p), js_code.read_express, js_code.read_nest, js_code.read_flows)
-_IN = "replace({0}, 'src/', 'p' || doc_id || '/src/') AS {0}"  # all files stand in src/
-_JS = f"{_JS_ROWS.replace('parsed(', 'parsed_shapes(', 1)}, parsed AS (SELECT {', '.join(_IN.format(c) for c in ('relative_path', 'a', 'b', 'c', 'd', 'e'))}, t.kind, t.n, t.m, t.flag, t.items FROM documents, parsed_shapes t)"
+#: Columns that hold a module, a router or a function's id, by the kinds of rows where they do.
+_MODULES = {"a": "true", "b": "kind IN ('import', 'mount')", "c": "kind = 'function'", "d": "kind = 'route'"}
+_PY_OWN = lambda c: f"CASE WHEN {_MODULES[c]} THEN regexp_replace({c}, '^(app|guarded)([./:])', {{place}} || '\\2\\1\\2') ELSE {c} END" if c in _MODULES else c
+_PY = _parsed(PYTHON, lambda p: p.endswith(".py") and not re.search(python_code._NOT_RUNTIME, p), _PY_OWN, python_code._DDL, python_code.read_python)
+_JS_OWN = lambda c: f"replace({c}, 'src/', {{place}} || '/src/')" if c in "abcde" else c  # noqa: E731  all files stand in src/
+_JS = _parsed(JS, lambda p: bool(re.search(js_code._SOURCE, p)) and not re.search(js_code._NOT_RUNTIME, p), _JS_OWN, python_code._DDL, js_code.read_express, js_code.read_nest, js_code.read_flows)
+_STORE = _parsed(STORES, lambda p: True, lambda c: c, baas._DDL, lambda p, c: baas.read_sql(p, c) if p.endswith(".sql") else baas.read_rules(p, c))
+_BARE = """made AS (SELECT relative_path, name, line FROM parsed WHERE kind = 'table' AND NOT regexp_matches(name, '^(auth|storage)[.]')),
+protected AS (SELECT DISTINCT name FROM parsed WHERE kind = 'enabled'), bare AS (SELECT * FROM made WHERE name NOT IN (SELECT name FROM protected) AND regexp_extract(name, '[^.]*$') NOT IN (SELECT name FROM protected) AND 'public.' || name NOT IN (SELECT name FROM protected))"""
+_CLIENTS = "[" + ", ".join(map(quoted, baas.CLIENT_ROLES)) + "]"
+_STORE_RULES = "".join(f" UNION ALL SELECT {quoted(rule)}, relative_path, name, line FROM parsed WHERE kind = '{kind}' AND {test}" for rule, kind, test in (
+    ("supabase.permissive-rls-policy", "policy", f"list_has_any(roles, {_CLIENTS}) AND NOT restrictive AND list_contains(grants, 'unconditional')"),
+    ("supabase.authenticated-policy-without-row-filter", "policy", f"list_has_any(roles, {_CLIENTS}) AND NOT restrictive AND list_contains(grants, 'authentication_only')"),
+    ("supabase.user-metadata-authorization", "policy", f"list_has_any(roles, {_CLIENTS}) AND metadata"),
+    ("firebase.unconditional-access", "allow", "list_contains(grants, 'unconditional')"),
+    ("firebase.authenticated-access-without-resource-check", "allow", "list_contains(grants, 'authentication_only')"),
+    ("firebase.storage-upload-without-size-limit", "allow", "metadata"),
+))
 _JOINED = lambda x: f"(CASE WHEN trim({x}, '/') = '' THEN '/' ELSE regexp_replace(regexp_replace('/' || {x}, '/{{2,}}', '/', 'g'), '/$', '') END)"
 _MOUNTED = f"""WITH RECURSIVE {_PY}, r AS (SELECT module || ':' || name AS router, own_prefix, own_guard, is_app FROM {_of("router", module="a", name="b", own_prefix="c", own_guard="flag", is_app="m")}), mnt AS {_of("mount", parent="a", child="b", prefix="c", guard="flag")},
 walk AS (SELECT router, own_prefix AS path, EXISTS (SELECT 1 FROM parsed p WHERE p.kind = 'middleware' AND p.a = router) AS middleware, own_guard AS guarded, [router] AS through FROM r WHERE is_app = 1
@@ -334,14 +390,16 @@ _NODE_ROUTE = "method || ' ' || path AS route, relative_path FROM routes WHERE"
 #: Source text is no table for SQL, so the readers' rows stand in it; tests hold all of these queries against what a person finds in the inline files.
 SQL: dict[str, str] = {
     "router_closure": f"{_MOUNTED} SELECT router, path, middleware, guarded FROM mounted",
-    "whitelist_prefix": f"{_ROUTES} SELECT method, path, handler, guarded, middleware, entry, entry_kind FROM routes",
+    "whitelist_prefix": f"{_ROUTES} SELECT method, path, handler, guarded, middleware, entry, entry_kind, relative_path FROM routes",
     "fastapi_findings": f"""{_ROUTES} SELECT 'fastapi.auth.whitelisted-sensitive-route' AS rule_id, {_ROUTE} {_SENSITIVE} AND NOT guarded AND middleware AND entry IS NOT NULL
 UNION ALL SELECT 'fastapi.auth.sensitive-route-without-guard', {_ROUTE} {_SENSITIVE} AND NOT guarded AND NOT middleware
 UNION ALL SELECT 'fastapi.authorization.object-without-ownership-check', {_ROUTE} (guarded OR (middleware AND entry IS NULL)) AND NOT owned AND len(ids) > 0 AND NOT regexp_matches(path, {quoted(_SESSION)})""",
     "fastapi_exceptions": f"""{_ROUTES}, raw AS {_of("raw_route", fid="a", serialization="b", sink="c", line="n")} SELECT 'fastapi.config.route-raw-exception-response' AS rule_id, raw.relative_path, raw.line, handler, string_agg(DISTINCT method || ' ' || path, ',' ORDER BY method || ' ' || path) AS routes, serialization, sink FROM raw JOIN routes USING (fid) GROUP BY ALL
 UNION ALL SELECT CASE kind WHEN 'cors' THEN 'fastapi.config.wildcard-cors-with-credentials' ELSE 'fastapi.config.raw-exception-response' END, relative_path, min(n), NULL, NULL, NULL, NULL FROM parsed WHERE kind IN ('cors', 'raw_handler') GROUP BY kind, relative_path""",
-    "enclosing_interval": f"WITH {_PY} SELECT f.b AS name, arg_max(c.a, c.n) AS class_name FROM parsed f JOIN parsed c ON f.kind = 'function' AND c.kind = 'class' AND f.relative_path = c.relative_path AND c.n < f.n AND f.m <= c.m GROUP BY f.a, f.b",
-    "taint_fixpoint": f"{_EDGES} SELECT regexp_extract(fid, '#([^@]+)@', 1) AS function, name FROM reach",
+    "enclosing_interval": f"WITH {_PY} SELECT f.b AS name, arg_max(c.a, c.n) AS class_name, f.relative_path FROM parsed f JOIN parsed c ON f.kind = 'function' AND c.kind = 'class' AND f.relative_path = c.relative_path AND c.n < f.n AND f.m <= c.m GROUP BY f.a, f.b, f.relative_path",
+    "taint_fixpoint": f"{_EDGES} SELECT regexp_extract(fid, '#([^@]+)@', 1) AS function, name, regexp_extract(fid, '^[^#]*') AS relative_path FROM reach",
+    "rls_anti": f"WITH {_STORE}, {_BARE} SELECT * FROM bare",
+    "store_rules": f"WITH {_STORE}, {_BARE} SELECT 'supabase.table-without-rls' AS rule_id, * FROM bare{_STORE_RULES}",
     "middleware_asof": f"{_NODE} SELECT framework, relative_path, method, path, guarded, array_to_string(kinds, ',') AS items FROM routes",
     "node_findings": f"""{_NODE} SELECT framework || '.auth.sensitive-route-without-guard' AS rule_id, {_NODE_ROUTE} {_LOOSE} AND NOT guarded
 UNION ALL SELECT framework || '.authorization.object-without-ownership-check', {_NODE_ROUTE} guarded AND list_contains(kinds, 'object') AND NOT list_has_any(kinds, ['owner', 'role']) AND NOT {_IS(SESSION_PATH)}

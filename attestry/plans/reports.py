@@ -215,9 +215,13 @@ def fix_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.fix_contract(_findings(spark, sf_dir), s, paths).select("title", "severity", F.array_join("evidence", "; ").alias("evidence"), "summary")
 
 
+_LEFT, _TWICE = "ord % 7 <> 3", "ord % 11 = 5"
+
+
 def report_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark)
-    return co.report_checks(s.where("id <> 'sig_19'").unionByName(s.where("id = 'sig_01'")), _plain(spark), rows(spark, COVERAGE, R.COVERAGE))
+    """How often a report breaks each of its rules, where some signals are missing and some are there twice."""
+    s = _signals(spark, sf_dir)
+    return co.report_checks(s.where(_LEFT).unionByName(s.where(_TWICE)), _plain(spark, sf_dir), rows(spark, COVERAGE, R.COVERAGE))
 
 
 GITLEAKS = '[{"Description":"Key","StartLine":3,"File":"a/b.txt","RuleID":"generic-api-key","Match":"api_key = abcdefghijkl","Commit":"c1"},{"File":"","StartLine":1,"Match":""},{"RuleID":"x","File":"c.txt"}]'
@@ -385,9 +389,16 @@ PREVIEW_RULES = [
 ]
 
 
+_PREVIEW_IDS = [p["pack_id"] for p in PREVIEW_PACKS]
+#: A rule's id under its pack's id, which ends in the document's number.
+_OWN_RULE = "replace(rule_id, '.' || split_part(pack_id, '_', 1) || '.', '.' || pack_id || '.')"
+
+
 def preview_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a preview breaks each of its rules."""
-    return co.preview_checks(rows(spark, PREVIEW_PACKS, _PREVIEW_PACK), rows(spark, PREVIEW_RULES, _PREVIEW_RULE))
+    """How often the previews of documents' packs break each of their rules."""
+    packs = keyed(spark, sf_dir, PREVIEW_PACKS, _PREVIEW_PACK, "pack_id", _PREVIEW_IDS)
+    shown = keyed(spark, sf_dir, PREVIEW_RULES, _PREVIEW_RULE, "pack_id", _PREVIEW_IDS).withColumn("rule_id", F.expr(_OWN_RULE))
+    return co.preview_checks(packs, shown)
 
 
 _DOCS = {"documents": "documents"}
@@ -485,7 +496,7 @@ SELECT rule_id, CASE WHEN {_FLAT.format('title')} = '' THEN rule_id ELSE {_FLAT.
   coalesce((SELECT string_agg(t, ',' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(list_concat(coalesce(tags, []), coalesce(cwe, []))) AS t, generate_subscripts(list_concat(coalesce(tags, []), coalesce(cwe, [])), 1) AS i) GROUP BY t)), '') AS tags FROM f""",
     "fix_contracts": f"""WITH {_CORRELATED}, e AS (SELECT f.id, f.title, f.severity, attack_path_id, unnest(string_split(signal_ids, ',')) AS sid, generate_subscripts(string_split(signal_ids, ','), 1) AS pos FROM findings f)
 SELECT e.title, e.severity, string_agg(s.rule_id || ' at ' || s.path || ':' || s.line, '; ' ORDER BY pos) AS evidence, CASE WHEN attack_path_id IS NULL THEN '' ELSE 'Path: ' || e.title END AS summary FROM e JOIN signals s ON s.id = e.sid GROUP BY e.id, e.title, e.severity, attack_path_id""",
-    "report_constraints": f"WITH {_C}, {_SUP}, {_S}, {_PLAIN} " + _CHECK(("signal_id_unique", "SELECT 1 WHERE true"), ("finding_fingerprint_unique", "SELECT fingerprint FROM plain GROUP BY 1 HAVING count(*) > 1"), ("finding_signals_exist", "SELECT 1 FROM plain WHERE signal_id = 'sig_19'"), ("finding_has_signals", "SELECT 1 FROM plain WHERE signal_id IS NULL"), ("finding_id_of_fingerprint", "SELECT 1 FROM plain WHERE id <> 'finding_' || substr(fingerprint, 1, 16)"), ("suppressed_has_reason", "SELECT 1 FROM plain WHERE status = 'suppressed' AND reason IS NULL"), ("gap_has_reason", "SELECT 1 FROM coverage WHERE status <> 'complete' AND coalesce(reason, '') = ''")),
+    "report_constraints": f"WITH {_C}, {_SUP}, {_S}, {_PLAIN}, given AS (SELECT id FROM signals WHERE {_LEFT} UNION ALL SELECT id FROM signals WHERE {_TWICE}) " + _CHECK(("signal_id_unique", "SELECT id FROM given GROUP BY 1 HAVING count(*) > 1"), ("finding_fingerprint_unique", "SELECT fingerprint FROM plain GROUP BY 1 HAVING count(*) > 1"), ("finding_signals_exist", "SELECT 1 FROM plain WHERE signal_id NOT IN (SELECT id FROM given)"), ("finding_has_signals", "SELECT 1 FROM plain WHERE signal_id IS NULL"), ("finding_id_of_fingerprint", "SELECT 1 FROM plain WHERE id <> 'finding_' || substr(fingerprint, 1, 16)"), ("suppressed_has_reason", "SELECT 1 FROM plain WHERE status = 'suppressed' AND reason IS NULL"), ("gap_has_reason", "SELECT 1 FROM coverage WHERE status <> 'complete' AND coalesce(reason, '') = ''")),
     "tool_json_flatten": f"""WITH g AS (SELECT unnest(from_json(json, '[{{"Description":"VARCHAR","StartLine":"INTEGER","File":"VARCHAR","RuleID":"VARCHAR","Match":"VARCHAR","Commit":"VARCHAR"}}]')) AS f FROM ({_REPORTS.format(quoted(GITLEAKS), k=0, documents='documents')})),
 o AS (SELECT unnest(CAST(json::JSON -> '$.results' AS JSON[])) AS f FROM ({_REPORTS.format(quoted(OPENGREP), k=1, documents='documents')})),
 t AS (SELECT coalesce(nullif(r ->> '$.Target', ''), '.') AS path, r FROM (SELECT unnest(CAST(json::JSON -> '$.Results' AS JSON[])) AS r FROM ({_REPORTS.format(quoted(TRIVY), k=2, documents='documents')}))),
@@ -519,7 +530,7 @@ n AS (SELECT coalesce(e.category, a.category) AS category, count(*) FILTER (e.ru
 t AS (SELECT * FROM n UNION ALL SELECT 'all', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM n), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END AS r FROM t)
 SELECT category, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM r""",
     "catalog_fk": "SELECT check_id, (SELECT count(*) FROM documents WHERE doc_id % 2 = 1) AS violations FROM (VALUES ('rule_id_unique'), ('profile_known'), ('has_profile')) t(check_id)",
-    "preview_constraints": f"WITH {values('packs', PREVIEW_PACKS, _PREVIEW_PACK)}, {values('rules', PREVIEW_RULES, _PREVIEW_RULE)}, w AS (SELECT p.*, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id) AS n, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id AND r.status = 'partial') AS k FROM packs p) "
+    "preview_constraints": f"WITH {keyed_sql('packs', PREVIEW_PACKS, _PREVIEW_PACK, 'pack_id', _PREVIEW_IDS)}, {keyed_sql('given', PREVIEW_RULES, _PREVIEW_RULE, 'pack_id', _PREVIEW_IDS)}, rules AS (SELECT * REPLACE ({_OWN_RULE} AS rule_id) FROM given), w AS (SELECT p.*, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id) AS n, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id AND r.status = 'partial') AS k FROM packs p) "
     + _CHECK(
         ("pack_unique", "SELECT pack_id FROM packs GROUP BY 1 HAVING count(*) > 1"),
         ("rule_unique", "SELECT rule_id FROM rules GROUP BY 1 HAVING count(*) > 1"),

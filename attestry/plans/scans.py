@@ -43,25 +43,27 @@ def scan_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fi.decided(got.findings, got.coverage, got.signals).select("decision", F.array_join("reasons", "; ").alias("reasons"))
 
 
-def project(spark: SparkSession) -> DataFrame:
-    """All inline files as one project."""
-    every = [*trees.CODE, *code.STORES, *code.PYTHON, *code.JS, {"relative_path": "package.json", "content": '{"dependencies": {"express": "4", "@nestjs/core": "10", "react-native": "1"}}'}]
-    seen = {f["relative_path"]: f for f in every}
-    return rows(spark, [{"relative_path": p, "content": f["content"], "size": len(f["content"]), "walk_pos": i} for i, (p, f) in enumerate(sorted(seen.items()))], R.FILES)
+EVERY = list({f["relative_path"]: f for f in [*trees.CODE, *code.STORES, *code.PYTHON, *code.JS, {"relative_path": "package.json", "content": '{"dependencies": {"express": "4", "@nestjs/core": "10", "react-native": "1"}}'}]}.values())
 
 
-def project_scan(spark: SparkSession) -> sc.Scan:
-    packages = archives.corpus(spark.createDataFrame(code.packages(), "artifact string, content binary"))
-    return sc.scanned(project(spark), packs._rules(spark), packages=packages)
+def project_scan(spark: SparkSession, sf_dir: str | None = None) -> sc.Scan:
+    """All inline files as one project with three packages, or documents as such files and packages."""
+    if sf_dir is None:
+        listed = sorted(EVERY, key=lambda f: f["relative_path"])
+        files = rows(spark, [{**f, "size": len(f["content"]), "walk_pos": i} for i, f in enumerate(listed)], R.FILES)
+        found = spark.createDataFrame(code.packages(), "artifact string, content binary")
+    else:
+        files, found = code.projects(spark, sf_dir, EVERY), code.packaged(spark, sf_dir)
+    return sc.scanned(files, packs._rules(spark), packages=archives.corpus(found))
 
 
 def project_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What all detectors find in one inline project, in order; sources are no table for SQL, a test names what it expects."""
-    return _numbered(project_scan(spark).signals).select("n", "engine", "rule_id", "severity", "evidence_level", "confidence", "path", "line")
+    """What all detectors find in the documents' projects, in order; sources are no table for SQL, a test names what it expects of one."""
+    return _numbered(project_scan(spark, sf_dir).signals).select("n", "engine", "rule_id", "severity", "evidence_level", "confidence", "path", "line")
 
 
 def project_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = project_scan(spark)
+    got = project_scan(spark, sf_dir)
     return cr.steps(got.paths, got.signals).groupBy("path_id").agg(F.count("*").alias("n_steps"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
 
 

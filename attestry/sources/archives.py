@@ -131,12 +131,20 @@ def corpus(archives: DataFrame) -> DataFrame:
     return corpus_of(opened(archives))
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """artifact and n, its place in the order of names: first by ranges, then within each, so that no task sorts all."""
+    ranged = kept(names.repartitionByRange("artifact").withColumn("range", F.spark_partition_id()), "artifacts")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
+    base = sizes.select("range", F.sum("size").over(Window.orderBy("range")).alias("upto"), "size")  # a row for each range
+    place = F.row_number().over(Window.partitionBy("range").orderBy("artifact"))
+    return kept(ranged.withColumn("place", place).join(F.broadcast(base), "range").select("artifact", (F.col("upto") - F.col("size") + F.col("place")).alias("n")), "artifacts")
+
+
 def corpus_of(rows: DataFrame) -> DataFrame:
     listed = property_lists.is_binary(F.col("bytes"))
     text = F.when(listed, F.coalesce("list_text", entry_text(F.col("bytes"), F.lit(True)))).otherwise(entry_text(F.col("bytes"), F.col("binary")))
-    number = rows.select("artifact").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("artifact")))  # a row for each archive
-    got = rows.where("idx IS NOT NULL").join(F.broadcast(number), "artifact")
-    return got.select(F.concat_ws("!", "artifact", "name").alias("relative_path"), F.length("bytes").cast("long").alias("size"), text.alias("content"), (F.col("n") * 1_000_000_000 + F.col("priority") * 1_000_000 + F.col("idx")).cast("long").alias("walk_pos"))
+    got = rows.where("idx IS NOT NULL").join(_numbered(rows.select("artifact").distinct()), "artifact")
+    return got.select(F.concat_ws("!", "artifact", "name").alias("relative_path"), F.length("bytes").cast("long").alias("size"), text.alias("content"), (F.col("n") * F.lit(1_000_000_000).cast("long") + F.col("priority") * 1_000_000 + F.col("idx")).cast("long").alias("walk_pos"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
