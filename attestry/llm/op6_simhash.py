@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import in_batches, mix, table, text_slices, texts, written
+from attestry.llm.common import in_batches, joined_by, mix, table, text_slices, texts, written
 
 WORDS, RADIUS, SEED, CHUNK = 4, 4, 42, 4096
 #: Nodes of a graph that are held to be hot are as many at most, and have LEAST_HOT edges at least.
@@ -292,7 +292,8 @@ def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: in
     classes = written(fps.where("doc_id IS NOT NULL").groupBy(name).agg(F.min("doc_id").alias("rep"), *own), "classes")
     found = components(links(classes, radius, chunk, similarity, lambda members: with_shingles(members, docs, words, id_col, text_col)))
     named = classes.select(name, "rep").join(found, F.col("rep") == F.col("node"), "left").select(name, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, name, "left").select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    told = joined_by(fps.where("doc_id IS NOT NULL"), written(named, "components"), name)  # copies and empty texts share one
+    return told.unionByName(fps.where("doc_id IS NULL"), allowMissingColumns=True).select("doc_id", "h", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

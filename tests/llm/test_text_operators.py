@@ -483,6 +483,31 @@ def test_terms_far_from_their_entity_are_taken_out(spark):
     assert "Brunhilde" not in text[7] and "plaina plainb" in text[7] and "<EMAIL>" in text[7] and text[8] == texts[8]
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_an_address_of_most_documents(spark, monkeypatch, whole):
+    filler = " ".join(f"plain{'abcdefghij'[i % 10]}" for i in range(60))
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+    texts = [f"{filler} {word(i)} Quillfeather at bru@corp.test {filler}" for i in range(700)] + [f"Quillfeather {filler} bru@corp.test", filler, ""]
+    docs, met = spark.createDataFrame(rows(texts), DDL), []
+
+    def levels():
+        return {r["doc_id"]: r["levels"] for r in op10.with_terms(docs, whole=whole).collect()}
+
+    monkeypatch.setattr(op10, "joined_by", lambda a, b, key: met.append(a.groupBy(key).count().agg(F.max("count")).first()[0]) or joined_by(a, b, key))
+    split = levels()
+    monkeypatch.setattr(op10, "joined_by", lambda a, b, key: a.join(b, key))
+    assert split == levels() and max(met) > 512  # beyond what joined_by leaves in one task
+    assert split[0]["quillfeather"] >= 1 and bool(split[700]) == whole and split[701] is None
+
+
+def test_fingerprint_of_most_documents(spark, monkeypatch):
+    texts = ["one and the same text in all of these"] * 700 + [PROSE, "", None]
+    docs = spark.createDataFrame(rows(texts), DDL)
+    split = sorted(map(tuple, op6.grouped(docs).collect()))
+    monkeypatch.setattr(op6, "joined_by", lambda a, b, key: a.join(b, key))
+    assert split == sorted(map(tuple, op6.grouped(docs).collect())) and {r[3] for r in split if r[0] < 700} == {0}
+
+
 def test_many_matches_in_one_text(spark):
     """16,000 spans of one text, and spans of several kinds that overlap, against a plain rewriting; time in proportion."""
     crowd = " ".join(f"user{i}@mail{i % 50}.test and 10.0.{i % 250}.7" for i in range(8000))
