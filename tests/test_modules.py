@@ -135,6 +135,16 @@ def test_visible(spark):
 def test_visible_beyond_entries(spark):
     given = {"told": [("a", "t")], "given": [a_class("a", "t", "A")]}
     visible(spark, [({"graph": [("m", "a"), ("m", "b")], **given}, None), ({"graph": [("m", "a")], **given}, "A@a")], entries=2)
+    visible(spark, [({"graph": [("m", "a"), ("a", "b"), ("b", "c")], **given}, "A@a")], entries=2)  # near, but never asked
+
+
+def test_questions_that_tell_nothing_are_not_followed(spark, monkeypatch):
+    """Ways over five modules that all import and re-export each other, none of which provides what is asked: hundreds, which no round holds."""
+    rows = []
+    monkeypatch.setattr(modules, "kept", lambda df, tag, keep=modules.kept: (rows.append(keep(df, tag)), rows[-1])[1] if tag == "calls" else keep(df, tag))
+    ways = [(x, y) for x in "mabcd" for y in "mabcd" if x != y]
+    visible(spark, [({"graph": ways, "again": ways, "told": [(x, "t") for x in "abcd"], "given": [a_class("a", "u", "A")]}, None)])
+    assert sum(df.count() for df in rows) == 0
 
 
 def prefixes(spark, trees, **limits):
