@@ -79,6 +79,18 @@ def test_one_broken_root_leaves_no_graphs(spark):
     assert got(modules.application_graphs(every, line, frame(spark, "module string", ("m3",), ("x",)))[0], "module", "root") == [("m3", "m3"), ("x", "x")]
 
 
+def test_each_way_is_written_once(spark, monkeypatch):
+    """A name five star exports away: a row for each file on the way."""
+    rows = []
+    monkeypatch.setattr(modules, "kept", lambda df, tag, keep=modules.kept: (rows.append(keep(df, tag)), rows[-1])[1] if tag == "symbols" else keep(df, tag))
+    files = [f"f{i}.ts" for i in range(6)]
+    stars = frame(spark, "file string, place int, module string", *((a, 0, f"./{b}") for a, b in zip(files, files[1:])))
+    own = frame(spark, "file string, exported string, local string, module string, imported string", (files[-1], "x", "here", None, None))
+    found = modules.symbols(frame(spark, "file string", *((f,) for f in files)), own, stars, frame(spark, "file string, local string, module string, imported string"), frame(spark, "file string, name string", (files[0], "x")))
+    assert got(found, "file", "name", "target", "local") == [("f0.ts", "x", "f5.ts", "here")]
+    assert sum(df.count() for df in rows) == len(files)
+
+
 PROVIDER = "module string, token string, signature string, implementation string, alias string"
 
 
