@@ -148,3 +148,21 @@ def test_versioned_paths(spark):
     assert got(found, "route", "path") == [
         ("all", "/api/v1/m/z"), ("all", "/v1/m/z"), ("all2", "/v1/m/q"), ("app", "/api/v1/m/y"), ("off", "/x"), ("own", "/api/m/x"), ("own", "/api/v2/m/x"), ("own2", "/y"), ("post", "/api/v1/m/z"),
     ]
+
+
+def test_equal_cases_are_judged_once(spark, monkeypatch):
+    """As many leaves are written for 500 elements that give a predicate the same two cases as for two."""
+    rows, kept = {}, semantics.kept
+
+    def counted(df, tag):
+        out = kept(df, tag)
+        rows[tag] = rows.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(semantics, "kept", counted)
+    trees = frame(spark, TREE, ("p", 0, None, 0, "and", None), ("p", 1, 0, 0, "field", "on"), ("p", 2, 0, 1, "field", "also"))
+    elements = spark.range(500).selectExpr("'p' AS predicate", "concat('e', id) AS element")
+    values = spark.range(500).selectExpr("'p' AS predicate", "concat('e', id) AS element", "explode(map('on', 'b:true', 'also', if(id % 2 = 0, 'b:true', 'b:false'), 'other', concat('n:', id))) AS (field, value)")
+    found = semantics.strict(trees, elements, values)
+    assert found.groupBy("result").count().orderBy("result").collect() == [(False, 250), (True, 250)]
+    assert rows["predicate-leaves"] == 4
