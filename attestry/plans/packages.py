@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.durable import in_batches
 from attestry.plans.common import table
 from attestry.sources import property_lists as pl
 
@@ -28,7 +29,7 @@ def lists_of(pages: DataFrame) -> DataFrame:
                 made.append(plistlib.dumps(value, fmt=plistlib.FMT_BINARY, sort_keys=False))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(made, pa.binary())], names=["page_id", "bytes"])
 
-    packed = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, bytes binary")
+    packed = in_batches(pages.select("page_id", "url", "html"), run, "page_id long, bytes binary")
     return packed.select(F.col("page_id").cast("string").alias("artifact"), F.expr(f"CASE WHEN {BROKEN} THEN substr(bytes, 1, length(bytes) - 5) ELSE bytes END").alias("bytes"))
 
 

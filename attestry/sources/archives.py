@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.durable import kept
+from attestry.durable import in_batches, kept
 from attestry.functions import text as T
 from attestry.sources import property_lists
 
@@ -99,7 +99,7 @@ def entries(archives: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{"artifact": artifact, "reason": None, **row}], schema)
                 yield pa.RecordBatch.from_pylist([{"artifact": artifact, "reason": "; ".join(reasons) or None}], schema)
 
-    return archives.select("artifact", "content").mapInArrow(run, "artifact string, idx int, name string, binary boolean, priority int, bytes binary, reason string")
+    return in_batches(archives.select("artifact", "content"), run, "artifact string, idx int, name string, binary boolean, priority int, bytes binary, reason string")
 
 
 def entry_text(data: Column, binary: Column) -> Column:
