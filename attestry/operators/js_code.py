@@ -164,6 +164,8 @@ def read_flows(path: str, content: str) -> Iterator[dict]:
     at = 0
     for statement in re.split(r"(?<=[;\n{}])", shape):
         start, at = at, at + len(statement)
+        if not statement or statement.isspace():  # a comment
+            continue
         has = {k: bool(p.search(statement)) or any(re.search(rf"(?<![\w$.]){re.escape(n)}(?![\w$])", statement) for n in dirty[k]) for k, p in (("request", _REQUEST), ("model", _MODEL))}
         if _CLEAN.search(statement):
             has = dict.fromkeys(has, False)
@@ -184,13 +186,15 @@ _DDL = "kind string, a string, b string, c string, d string, e string, n int, m
 _KINDS = [*((k, pa.string()) for k in ("kind", "a", "b", "c", "d", "e")), ("n", pa.int32()), ("m", pa.int32()), ("flag", pa.bool_()), ("items", pa.list_(pa.string()))]
 
 
-def code_rows(files: DataFrame) -> DataFrame:
+def code_rows(files: DataFrame, routes: bool = True, flows: bool = True) -> DataFrame:
+    """What the readers of routes and of flows find; one who asks for one of them alone doesn't read for the other."""
     path = F.col("relative_path")
     due = files.where(path.rlike(_SOURCE))
 
     def read(where: str, content: str) -> Iterator[dict]:
         """Routes of files that run; flows of all."""
-        for reader in (read_flows,) if re.search(_NOT_RUNTIME, where) else (read_express, read_nest, read_flows):
+        readers = (read_express, read_nest) if routes and not re.search(_NOT_RUNTIME, where) else ()
+        for reader in (*readers, read_flows) if flows else readers:
             yield from reader(where, content)
 
     return rows_of(due, read, _DDL, _KINDS)

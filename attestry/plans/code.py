@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry import relations as R
-from attestry.durable import kept
+from attestry.durable import in_batches, kept
 from attestry.operators import baas, js_code, parsing, python_code, rules
 from attestry.operators.parsing import SESSION_PATH
 from attestry.plans.common import quoted, rows, table, values
@@ -264,8 +264,8 @@ def published_services(files: DataFrame) -> DataFrame:
 
 
 def _js(files: DataFrame) -> DataFrame:
-    """What the readers find, written once: routes, mounts, guards and exports all come from it."""
-    return kept(js_code.code_rows(files), "code")
+    """What the readers of routes find, written once: routes, mounts, guards and exports all come from it."""
+    return kept(js_code.code_rows(files, flows=False), "code")
 
 
 def middleware_asof(files: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def node_findings(files: DataFrame) -> DataFrame:
 
 
 def js_flows(files: DataFrame) -> DataFrame:
-    return js_code.flow_findings(_js(files)).select("rule_id", "relative_path", "line")
+    return js_code.flow_findings(js_code.code_rows(files, routes=False)).select("rule_id", "relative_path", "line")
 
 
 def _zipped(entries: dict[str, bytes]) -> bytes:
@@ -301,12 +301,12 @@ def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for n, text in ((n.as_py(), t.as_py()) for n, t in zip(batch.column(0), batch.column(1), strict=True)):
                 made = packages(text or "")
                 name, content = made[n % len(made)]
                 yield pa.RecordBatch.from_pylist([{"artifact": f"p{n}/{name}", "content": content}])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "artifact string, content binary")
+    return in_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), run, "artifact string, content binary")
 
 
 def package_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 
+from attestry import durable
 from attestry.operators import baas, js_code, parsing, python_code
 from attestry.plans import code
 
@@ -129,3 +131,28 @@ def test_guard_names_and_paths():
     assert all(skipped(p, js_code._NOT_RUNTIME) for p in ("old-archive/a.ts", "mocks/a.ts", "src/debug-server.ts", "src/exampleApp.mjs", "Tests/a.js"))
     assert not any(skipped(p, python_code._NOT_RUNTIME) for p in ("docs/api/main.py", "migrations/env_api.py", "mocks/a.py"))
     assert all(skipped(p, python_code._NOT_RUNTIME) for p in ("old-archive/a.py", "src/debug_main.py", "scripts/a.py"))
+
+
+def test_a_reader_is_run_once_for_what_is_asked(spark):
+    """Migrations are read once for all store rules; routes are read without flows and flows without routes, and both together give the same."""
+    files = code._rows(spark, code.STORES)
+    assert baas.findings(files)._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    files = code._rows(spark, code.JS)
+    listed = lambda rows: sorted(map(str, rows.collect()))
+    routes, flows = js_code.code_rows(files, flows=False), js_code.code_rows(files, routes=False)
+    assert {r["kind"] for r in flows.collect()} == {"flow"} and routes.where("kind = 'flow'").isEmpty()
+    assert sorted(listed(routes) + listed(flows)) == listed(js_code.code_rows(files))
+
+
+def test_whole_files_come_in_bounded_batches(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([{"n": batch.num_rows}])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        got = [r["n"] for r in durable.in_batches(spark.range(0, 3000, 1, 1), run, "n long").collect()]
+        assert sum(got) == 3000 and max(got) <= durable.BATCH_ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
