@@ -166,3 +166,10 @@ def test_equal_cases_are_judged_once(spark, monkeypatch):
     found = semantics.strict(trees, elements, values)
     assert found.groupBy("result").count().orderBy("result").collect() == [(False, 250), (True, 250)]
     assert rows["predicate-leaves"] == 4
+
+
+def test_passes_are_written_once(spark, monkeypatch):
+    tags, kept = [], semantics.kept
+    monkeypatch.setattr(semantics, "kept", lambda df, tag: tags.append(tag) or kept(df, tag))
+    found = semantics.receivers(frame(spark, "key string, receiver string", ("a", "A")), frame(spark, "ord long, argument string, parameter string", (1, "b", "c"), (2, "a", "b")))
+    assert got(found, "key", "receiver") == [("a", "A"), ("b", "A"), ("c", "A")] and tags.count("passes") == 1
