@@ -173,3 +173,24 @@ def test_passes_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(semantics, "kept", lambda df, tag: tags.append(tag) or kept(df, tag))
     found = semantics.receivers(frame(spark, "key string, receiver string", ("a", "A")), frame(spark, "ord long, argument string, parameter string", (1, "b", "c"), (2, "a", "b")))
     assert got(found, "key", "receiver") == [("a", "A"), ("b", "A"), ("c", "A")] and tags.count("passes") == 1
+
+
+def test_calls_are_packed_once(spark, monkeypatch):
+    """Names are closed for bindings alone and not for each seed and parameter, and a round of the search writes one table."""
+    rows, kept = {}, semantics.kept
+
+    def counted(df, tag):
+        out = kept(df, tag)
+        rows.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(semantics, "kept", counted)
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    calls = [(f"f{i}", f"c{i}", 0, f"g{i % 2}", True, False, False) for i in range(50)]
+    found = semantics.call_semantics(
+        frame(spark, "root string", *((f"f{i}",) for i in range(50))), none("callable string, guards boolean, roles boolean, object boolean"), frame(spark, "callable string, call string, place int, callee string, denied boolean, returned boolean, filters boolean", *calls),
+        frame(spark, "call string, name string, parameter string", *((f"c{i}", "user", "who") for i in range(50))), frame(spark, "callable string, root string, target string", ("g0", "who", "me")),
+        frame(spark, "callable string, name string", *((f"f{i}", "user") for i in range(50))), frame(spark, "callable string, name string, kind string", ("g0", "me", "predicate")),
+    )
+    assert found.groupBy("owned", "n").count().orderBy("owned").collect() == [(False, 2, 25), (True, 2, 25)]
+    assert sum(rows["aliases"]) == 2 and rows["states"] == [50, 100, 100] and set(rows) == {"aliases", "bindings", "states"}
