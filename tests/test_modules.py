@@ -201,3 +201,19 @@ def test_sources(spark):
     assert seen[app, "text:DB"] is None and seen[app, "text:X"] is None and seen[app, "app.module.ts#Own"] == "app.module.ts#Own"
     assert seen["users/users.module.ts#UsersModule", "users/auth.ts#Tokens"] == "users/auth.ts#Tokens"  # by a global module of its only application
     assert seen["users/auth.ts#AuthModule", "users/users.service.ts#Users"] is None
+
+
+def test_ended_walks_are_left_alone(spark, monkeypatch):
+    """Walks that came to nothing new are in no later round, and a round is one table."""
+    rows, kept = [], modules.kept
+
+    def counted(df, tag):
+        out = kept(df, tag)
+        rows.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(modules, "kept", counted)
+    edges = frame(spark, "src string, dst string, place int", *((f"m{i}", f"m{i + 1}", 0) for i in range(3)))
+    found = modules.walks(edges, frame(spark, "start string", ("m0",), *((f"x{i}",) for i in range(50))))
+    assert found.where("whole").count() == 54
+    assert rows == [("walk", 51), ("walk", 52), ("walk", 3), ("walk", 4), ("walk", 4)]
