@@ -66,7 +66,8 @@ def read_python(path: str, content: str) -> Iterator[dict]:
         return
     module, package = module_of(path), module_of(path) if path.endswith("__init__.py") else module_of(path).rpartition(".")[0]
     imports: dict[str, tuple[str, str]] = {}
-    for node in ast.walk(tree):
+    every = list(ast.walk(tree))
+    for node in every:
         if isinstance(node, ast.ImportFrom):
             base = ".".join(package.split(".")[: len(package.split(".")) - node.level + 1]) if node.level else ""
             source = ".".join(x for x in (base, node.module) if x)
@@ -94,7 +95,7 @@ def read_python(path: str, content: str) -> Iterator[dict]:
                 if text := _text(item):
                     prefix = text.endswith("*") or "prefix" in names[0].lower()
                     yield _row("whitelist", a=text.rstrip("*"), b="prefix" if prefix else "exact", n=item.lineno)
-    for node in ast.walk(tree):
+    for node in every:
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
             if node.func.attr == "include_router" and node.args:
                 child, guard = target(node.args[0]), _keyword(node, "dependencies")
@@ -148,7 +149,8 @@ def _function(path: str, module: str, content: str, name: str, node: ast.Functio
                 yield _row("route", a=":".join(target(d.func.value)), b=verb.upper(), c=place, d=fid, e=node.name, flag=guarded or bool(extra and GUARD.search(ast.unparse(extra))), n=node.lineno, m=int(owned), items=sorted({*ids}) if OBJECT_ACCESS.search(source) else [])
             if d.func.attr == "exception_handler" and d.args and _dotted(d.args[0]) == "Exception" and re.search(r"(?:content|detail|msg|message)[\"']?\s*[:=][\s\S]{0,160}(?:str\s*\(\s*(?:exc|e|error)\s*\)|\b(?:exc|error)\.args\b)", source):
                 yield _row("raw_handler", a=fid, n=node.lineno)
-    for t in (x for x in ast.walk(node) if isinstance(x, ast.Try)):
+    every = list(ast.walk(node))
+    for t in (x for x in every if isinstance(x, ast.Try)):
         for h in t.handlers:
             if h.name and (h.type is None or _dotted(h.type) in ("Exception", "BaseException")):
                 body = "\n".join(ast.unparse(s) for s in h.body)
@@ -165,8 +167,8 @@ def _function(path: str, module: str, content: str, name: str, node: ast.Functio
         yield _row("parameter", a=fid, b=arg.arg, n=-1 if arg.arg in ("self", "cls") else at, flag=free and (routed or raw_sql))
         at += arg.arg not in ("self", "cls")
     calls = 0
-    own = {id(x) for f in ast.walk(node) if f is not node and isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)) for x in ast.walk(f)}
-    for x in ast.walk(node):
+    own = {id(x) for f in every if f is not node and isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)) for x in ast.walk(f)}
+    for x in every:
         if id(x) in own:
             continue
         flows: list[tuple[ast.AST, list[str]]] = []

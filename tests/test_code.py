@@ -156,3 +156,14 @@ def test_whole_files_come_in_bounded_batches(spark):
         assert sum(got) == 3000 and max(got) <= durable.BATCH_ROWS
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_rows_of_many_files_share_a_batch():
+    import pyarrow as pa
+
+    from attestry.operators import parsing
+
+    files = [(pa.scalar(f"f{i}"), pa.scalar("ab" * i)) for i in range(100)]
+    found = list(parsing.row_batches(iter(files), lambda path, content: ({"a": c} for c in content), [("a", pa.string())], most=1000))
+    assert [b.num_rows for b in found] == [1000] * 9 + [900]
+    assert [r["relative_path"] for b in found for r in b.to_pylist()] == [f"f{i}" for i in range(100) for _ in range(2 * i)]
