@@ -194,3 +194,12 @@ def test_calls_are_packed_once(spark, monkeypatch):
     )
     assert found.groupBy("owned", "n").count().orderBy("owned").collect() == [(False, 2, 25), (True, 2, 25)]
     assert sum(rows["aliases"]) == 2 and rows["states"] == [50, 100, 100] and set(rows) == {"aliases", "bindings", "states"}
+
+
+def test_statements_are_ordered_once(spark, monkeypatch):
+    """What stands before a statement is found once, not again for each level of the trees."""
+    plans, kept = [], semantics.kept
+    monkeypatch.setattr(semantics, "kept", lambda df, tag: plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, tag))
+    data = [("f", 0, None, 0, "if", None, False, False), ("f", 1, 0, 0, "block", "then", False, False), ("f", 2, 1, 0, "throw", None, True, False), ("f", 3, 0, 1, "throw", "else", True, False)]
+    assert got(semantics.denials(frame(spark, STATEMENT, *data)), "node", "denies") == [(0, True), (1, True), (2, True), (3, True)]
+    assert [tag for tag, plan in plans if "Window" in plan] == ["statements"]
