@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from attestry.llm.common import NOT_SPACE, Words, in_batches, mix, powers, shared_dir, table, text_slices, texts, written
 
 WINDOW, PERIOD = 13, 7
-#: Bytes of text of a unit; a task holds some ten times as much. Larger ones make fewer and longer arrays.
-UNIT_BYTES = 16 << 20
+#: Bytes of text of a unit; a task holds some twenty times as much, and a worker keeps that while it waits for its next task.
+#: Larger ones make fewer and longer arrays; results don't depend on it.
+UNIT_BYTES = 4 << 20
 _KEEP = np.arange(256, dtype=np.uint8)
 _LAST = (1 << 63) - 1
 _SECOND = np.uint64(0xA0761D6478BD642F)

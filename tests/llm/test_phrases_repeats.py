@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +85,21 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert op11_repeats.repeated(none).collect() == []
 
 
+def test_a_unit_fits_beside_idle_workers():
+    """An executor keeps several workers of Python, each with what its largest unit took."""
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(50_000)}" for _ in range(2_000))
+    group = pa.table({"doc_id": pa.array(range(op11_repeats.UNIT_BYTES // len(text)), pa.int64()), "text": [text] * (op11_repeats.UNIT_BYTES // len(text))})
+    tracemalloc.start()
+    try:
+        unit = op11_repeats.Unit(group)
+        names = np.unique(unit.anchors(13, 7)[1])
+        op11_repeats._told(unit, unit.shared(np.ones(len(names), bool), 13, 7), 13)
+        assert tracemalloc.get_traced_memory()[1] < 160e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_repeats_spans(spark):
     found = {r["doc_id"]: r for r in op11_repeats.repeated(spark.createDataFrame(rows([PROSE, f"first {PROSE} last"]), DDL)).collect()}
     assert found[1]["spans"] == [(1, 1 + len(PROSE.split()))] and found[1]["kept"] == "first last" and found[0]["spans"] == []
