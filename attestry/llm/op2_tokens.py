@@ -7,7 +7,8 @@ any block is read alone. Segments are rows of a table in the shared folder with
 in it; the tasks' totals, one number each, give every document's place in the whole stream.
 
 Words are encoded once for as long as a worker's cache holds them, CACHED_WORDS of at most CACHED_BYTES bytes: the
-vocabulary's rules never cross ASCII white space, so a text's ids are its words' ids in a row.
+vocabulary's rules never cross ASCII white space, so a text's ids are its words' ids in a row. Each distinct word of a
+slice of texts is looked up once, a mark of punctuation behind a word as a word of its own; ids are then gathered by place.
 
 Edge cases: null and empty texts have the end id alone; a very long text, with or without spaces, is encoded alone and
 its long words are kept by no cache; a null doc_id sorts first; equal doc_ids are adjacent, in order
@@ -30,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import in_batches, table, text_slices, texts, written
+from attestry.llm.common import FOLD, NOT_SPACE, Slice, in_batches, mix, table, text_slices, texts, word_bounds, written
 
 BLOCK, PERCENTILE = 128, 0.9
 END_ID = 1
 SEGMENT_IDS, CACHED_WORDS, CACHED_BYTES = 1 << 20, 500_000, 64
+#: Bytes of text whose distinct words are looked up together.
+SLICE_BYTES = 1 << 21
 _SEPARATOR, _MAGIC = "<|endoftext|>", b"PFR1"
 _PUNCTUATION = string.punctuation.encode()
 
@@ -176,32 +179,100 @@ class WordEncoder:
         recent = self.recent
         recent.update((w, recent[core] + recent[tail]) for w, core, tail in closed)
 
-    def _words(self, text: bytes) -> list[bytes]:
+    def _spoken(self, part: Slice) -> np.ndarray:
+        """A slice's bytes as words are looked up: folded, but the name of a special token counts as it is written."""
         if not self.ending:
-            return text.split()
-        if b"<|" in text:  # the name of a special token counts as it is written
-            return [w if b"<|" in w else w.lower() for w in text.split()]
-        return text.lower().split()
+            return part.data
+        out = FOLD[part.data]
+        for at in np.flatnonzero((part.data[:-1] == 60) & (part.data[1:] == 124)).tolist() if len(part.data) else ():  # <|
+            lo, hi = part.bounds[np.searchsorted(part.bounds, at, "right") - 1 :][:2].tolist()
+            if at + 1 < hi:
+                space = ~NOT_SPACE[part.data[lo:hi]]
+                before, after = np.flatnonzero(space[: at - lo]), np.flatnonzero(space[at - lo :])
+                word = slice(lo + int(before[-1]) + 1 if len(before) else lo, at + int(after[0]) if len(after) else hi)
+                out[word] = part.data[word]
+        return out
 
-    def encode(self, texts_: list[bytes]) -> list[bytes]:
-        """The ids of each text, little-endian, with END_ID at its end."""
-        words = [self._words(t) for t in texts_]
+    def encode_slice(self, part: Slice) -> list[bytes]:
+        """The ids of each text, little-endian, with END_ID at its end. Each distinct word of a slice is looked up once."""
+        data = self._spoken(part)
+        start, end, doc = word_bounds(data, part.bounds, NOT_SPACE)
+        if self.ending and not ((data[:-1] == 60) & (data[1:] == 124)).any():  # <|
+            start, end, doc = _closing_apart(data, start, end, doc)
+        words, which = _distinct(data, start, end)
         if len(self.recent) > self.cached:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        new = {w for w in set().union(*words) if w not in recent}  # a set less a dict's keys would walk all of these
+        found = list(map(recent.get, words))
+        lacking = [k for k, ids in enumerate(found) if ids is None]
+        new = {words[k] for k in lacking}
         if older:
             again = [w for w in new if w in older]
             recent.update((w, older[w]) for w in again)
             new.difference_update(again)
         self._learn(new)
-        find, end = self.recent.__getitem__, END_ID.to_bytes(4, "little")
-        out = [b"".join(map(find, w)) + end for w in words]
+        for k in lacking:
+            found[k] = recent[words[k]]
         self.passing += [w for w in new if len(w) > CACHED_BYTES]
         for w in self.passing:
             self.recent.pop(w, None)
         self.passing.clear()
-        return out
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = (np.cumsum(size) - size)[which], size[which]
+        at = np.cumsum(n)
+        total = int(at[-1]) if len(at) else 0
+        n_docs = len(part.bounds) - 1
+        ends = np.cumsum(np.bincount(doc, n, n_docs).astype(np.int64) + 1)
+        ids, own = np.full(total + n_docs, END_ID, "<u4"), np.ones(total + n_docs, bool)
+        own[ends - 1] = False
+        ids[own] = np.frombuffer(b"".join(found), "<u4")[np.repeat(first - at + n, n) + np.arange(total)]
+        raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def encode(self, texts_: list[bytes]) -> list[bytes]:
+        """encode_slice() of texts at hand."""
+        bounds = np.cumsum([0, *map(len, texts_)])
+        return self.encode_slice(Slice(0, len(texts_), np.frombuffer(b"".join(texts_), np.uint8), bounds))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MARK, _PLAIN = (np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (string.punctuation, string.ascii_letters + string.digits))
+
+
+def _closing_apart(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with one mark of punctuation behind a letter or digit as two, as the vocabulary's rules take them."""
+    split = np.flatnonzero(_MARK[data[end - 1]] & _PLAIN[data[end - 2]] & (end - start > 1))
+    n = np.ones(len(start), np.int64)
+    n[split] = 2
+    at, mark = (np.cumsum(n) - n)[split], end[split] - 1
+    start, end, doc = np.repeat(start, n), np.repeat(end, n), np.repeat(doc, n)
+    end[at], start[at + 1] = mark, mark
+    return start, end, doc
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words from start to end (some maybe twice), and for each occurrence its place among them.
+
+    Words of up to 16 bytes are compared as two numbers and a length, ordered by a hash of these; others as bytes."""
+    size, text = end - start, data.tobytes()
+    padded = np.zeros(len(data) + 24, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 16,), "<u8", padded, strides=(1,))
+    one, two = eight[start] & _MASKS[np.minimum(size, 8)], eight[start + 8] & _MASKS[np.clip(size - 8, 0, 8)]
+    key = mix(mix(one) + two + (size.astype(np.uint64) << np.uint64(56)))
+    key[size > 16] = 0
+    order = np.argsort(key)
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    model = order[new]
+    of = model[which]
+    apart = np.flatnonzero((size > 16) | (one != one[of]) | (two != two[of]) | (size != size[of]))
+    words = [text[a:b] for a, b in zip(start[model].tolist(), end[model].tolist())]
+    more: dict[bytes, int] = {}
+    which[apart] = [more.setdefault(text[a:b], len(words) + len(more)) for a, b in zip(start[apart].tolist(), end[apart].tolist())]
+    return [*words, *more], which
 
 
 @lru_cache(maxsize=1)
@@ -232,9 +303,8 @@ def write(docs: DataFrame, tokenizer_json: str, segment_ids: int = SEGMENT_IDS,
 
         for batch in batches:
             names_in, size = batch.column(0).to_pylist(), 0
-            for part in text_slices(batch.column(1)):
-                data, bounds = part.data.tobytes(), part.bounds.tolist()
-                for name, own in zip(names_in[part.lo : part.hi], encoder.encode([data[a:b] for a, b in zip(bounds, bounds[1:])]), strict=True):
+            for part in text_slices(batch.column(1), SLICE_BYTES):
+                for name, own in zip(names_in[part.lo : part.hi], encoder.encode_slice(part), strict=True):
                     ids.append(own)
                     names.append(name)
                     size += len(own) // 4

@@ -49,6 +49,21 @@ def test_words_as_texts(parts):
     assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4")[:-1].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_each_distinct_word_is_looked_up_once(monkeypatch):
+    """Lookups are by the distinct words of a slice, with marks apart, and not by its occurrences."""
+    encoder, asked = op2.WordEncoder(op2.tokenizer_file()), []
+    distinct = op2._distinct
+    monkeypatch.setattr(op2, "_distinct", lambda *a: (out := distinct(*a), asked.extend(out[0]))[0])
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Owl", "owl", "owl,", "owl.", "tree", "tree!", "é,", "a.,", "sixteen_bytes_lg", "seventeen_bytes_l", "don't", "x\0", "x"]) for _ in range(500)) for _ in range(20)] + ["", " ", "a<", "|b <|EndOfText|> c,", "<|c,"]
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, op2.END_ID] for t in texts]
+    asked.clear()
+    got = encoder.encode([t.encode() for t in texts[:20]])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, op2.END_ID] for t in texts[:20]]
+    assert len(asked) <= 14 and b"owl," not in asked
+
+
 def test_long_words_are_not_kept():
     encoder = op2.WordEncoder(op2.tokenizer_file())
     rng = random.Random(1)
