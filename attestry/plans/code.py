@@ -288,12 +288,23 @@ def _zipped(entries: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+#: The names of the two applications and of the archive with an unsafe name.
+PACKAGES = ("a.apk", "b.ipa", "c.apk")
+
+
+def package(k: int, text: str = "") -> bytes:
+    """The archive that PACKAGES names at k; text stands in an asset of it."""
+    asset = {"assets/x.json": json.dumps({"u": "http://localhost/a", "text": text}).encode()}
+    if k == 1:
+        info = plistlib.dumps({"NSAppTransportSecurity": {"NSAllowsArbitraryLoads": True}}, fmt=plistlib.FMT_BINARY)
+        return _zipped({"Payload/App.app/Info.plist": info} | asset)
+    dex = b"\x00\x01" + b"AKIA" + b"ABCDEFGHIJKLMNOP" + b"\x00" + "http://api.shop.test/v1".encode("utf-16-le") + b"\x00\x00ab\x00"
+    return _zipped(({"classes.dex": dex, "other.bin": b"zzzz"} if k == 0 else {"../evil.js": b"x", "classes.dex": dex}) | asset)
+
+
 def packages(text: str = "") -> list[tuple[str, bytes]]:
     """Two applications and one archive with an unsafe name, as bytes; text stands in an asset of each."""
-    info = plistlib.dumps({"NSAppTransportSecurity": {"NSAllowsArbitraryLoads": True}}, fmt=plistlib.FMT_BINARY)
-    dex = b"\x00\x01" + b"AKIA" + b"ABCDEFGHIJKLMNOP" + b"\x00" + "http://api.shop.test/v1".encode("utf-16-le") + b"\x00\x00ab\x00"
-    asset = {"assets/x.json": json.dumps({"u": "http://localhost/a", "text": text}).encode()}
-    return [("a.apk", _zipped({"classes.dex": dex, "other.bin": b"zzzz"} | asset)), ("b.ipa", _zipped({"Payload/App.app/Info.plist": info} | asset)), ("c.apk", _zipped({"../evil.js": b"x", "classes.dex": dex} | asset))]
+    return [(name, package(k, text)) for k, name in enumerate(PACKAGES)]
 
 
 def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,9 +313,8 @@ def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, text in ((n.as_py(), t.as_py()) for n, t in zip(batch.column(0), batch.column(1), strict=True)):
-                made = packages(text or "")
-                name, content = made[n % len(made)]
-                yield pa.RecordBatch.from_pylist([{"artifact": f"p{n}/{name}", "content": content}])
+                k = n % len(PACKAGES)
+                yield pa.RecordBatch.from_pylist([{"artifact": f"p{n}/{PACKAGES[k]}", "content": package(k, text or "")}])
 
     return in_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), run, "artifact string, content binary")
 

@@ -167,3 +167,14 @@ def test_rows_of_many_files_share_a_batch():
     found = list(parsing.row_batches(iter(files), lambda path, content: ({"a": c} for c in content), [("a", pa.string())], most=1000))
     assert [b.num_rows for b in found] == [1000] * 9 + [900]
     assert [r["relative_path"] for b in found for r in b.to_pylist()] == [f"f{i}" for i in range(100) for _ in range(2 * i)]
+
+
+def test_one_archive_is_made_of_a_document(monkeypatch):
+    made, zipped = [], code._zipped
+    monkeypatch.setattr(code, "_zipped", lambda entries: (made.append(1), zipped(entries))[1])
+    every = code.packages("t")
+    made.clear()
+    assert [(code.PACKAGES[k], code.package(k, "t")) for k in range(3)] == every and len(made) == 3
+    made.clear()
+    code.package(1, "t")
+    assert len(made) == 1
