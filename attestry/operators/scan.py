@@ -1,6 +1,6 @@
 """A whole scan: detectors over a tree, scanners' reports, packages and rule packs become signals, paths, findings, coverage and a decision.
 
-Each detector runs if the tree shows what it is for; its signals are numbered in its own order and cut at MOST, and every
+Each detector runs if the tree shows what it is for; its signals are numbered in its own order and cut at MOST (gathered() alone can take all), and every
 detector leaves one row of coverage, whether it ran or not. Of equal signals the first in the order of detectors, tools,
 packages and packs stays. Signals are computed once and written, since findings, paths, blocking rules and coverage all
 read them.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from attestry import relations as R
-from attestry.durable import kept
+from attestry.durable import kept, sized_in_memory
 from attestry.functions import text as T
 from attestry.operators import baas, correlate, findings, js_code, python_code, rulepack, rules
 from attestry.sources import tree
@@ -173,10 +173,10 @@ def _source() -> Column:
     return F.col("ord.detector")
 
 
-def all_signals(parts: list[DataFrame], most: int = MOST) -> DataFrame:
-    """Signals of all sources, each cut at most, with partial where it was; of equal ids the first."""
+def all_signals(parts: list[DataFrame], most: int | None = MOST) -> DataFrame:
+    """Signals of all sources, each cut at most, with partial where it was; None cuts nothing. Of equal ids the first."""
     rows = reduce(DataFrame.unionByName, parts).withColumn("source", _source())
-    return findings.distinct_signals(findings.capped(rows, most, "source"))
+    return findings.distinct_signals(rows.withColumn("partial", F.lit(False)) if most is None else findings.capped(rows, most, "source"))
 
 
 def detector_coverage(gates: DataFrame, signals: DataFrame) -> DataFrame:
@@ -192,17 +192,23 @@ def detector_coverage(gates: DataFrame, signals: DataFrame) -> DataFrame:
     return got.select("domain", "engine", status.alias("status"), ran.alias("required"), F.lit(None).cast("string").alias("version"), F.when(~ran, F.col("missing")).otherwise(F.nullif(reasons, F.lit(""))).alias("reason"))
 
 
+def gathered(files: DataFrame, packs: DataFrame | None = None, tools: list[DataFrame] | None = None, packages: DataFrame | None = None, most: int | None = MOST) -> tuple[DataFrame, DataFrame]:
+    """shown() and all_signals() of a scan. files are those that the inventory takes."""
+    with sized_in_memory(files.sparkSession):
+        gates = kept(shown(files), "gates")
+        has = gates.first().asDict()  # one row of flags
+        own = tuple(r for r in rules.RULES if has["mobile"] or rules.DETECTORS[r.detector] != "mobile-source-config")
+        parts = [_like_signals(rules.signals(files, own)), *code_signals(files, has)]
+        parts += [tool_signals(*tools)] if tools else []
+        parts += [package_signals(packages)] if packages is not None else []
+        parts += [pack_signals(files, packs)] if packs is not None else []
+        return gates, kept(all_signals(parts, most), "signals")
+
+
 def scanned(files: DataFrame, packs: DataFrame | None = None, tools: list[DataFrame] | None = None, packages: DataFrame | None = None, suppressions: DataFrame | None = None, as_of: str = "1970-01-01T00:00:00Z", more_coverage: DataFrame | None = None) -> Scan:
     """All of a scan. files are those that the inventory takes; more_coverage has rows for tools, packages and the inventory."""
     spark: SparkSession = files.sparkSession
-    gates = kept(shown(files), "gates")
-    has = gates.first().asDict()  # one row of flags
-    own = tuple(r for r in rules.RULES if has["mobile"] or rules.DETECTORS[r.detector] != "mobile-source-config")
-    parts = [_like_signals(rules.signals(files, own)), *code_signals(files, has)]
-    parts += [tool_signals(*tools)] if tools else []
-    parts += [package_signals(packages)] if packages is not None else []
-    parts += [pack_signals(files, packs)] if packs is not None else []
-    signals = kept(all_signals(parts), "signals")
+    gates, signals = gathered(files, packs, tools, packages)
     coverage = detector_coverage(gates, signals)
     if more_coverage is not None:
         coverage = coverage.unionByName(more_coverage, allowMissingColumns=True)

@@ -4,6 +4,7 @@ import io
 import zipfile
 
 from attestry import relations as R
+from attestry.durable import numbered
 from attestry.operators import findings as fi
 from attestry.operators import scan as sc
 from attestry.plans import packs, scans
@@ -76,3 +77,12 @@ def test_entries_beyond_the_limit(spark):
     files[:12] = [{**f, "relative_path": f["relative_path"].replace(".ts", ".png")} for f in files[:12]]
     skips = {r["reason"]: r["n"] for r in tree.skip_counts(tree.judged(R.rows(spark, files, R.FILES), limits)).collect()}
     assert skips == {"not_text": 12, "entry_limit": 15}
+
+
+def test_signals_beyond_the_limit(spark):
+    keys = "\n".join(f"AKIA{i:016d}" for i in range(2100))
+    files = R.rows(spark, [{"relative_path": "a.txt", "content": keys, "size": len(keys), "walk_pos": 0}], R.FILES)
+    whole = sc.gathered(files, most=None)[1]
+    assert whole.count() == whole.where("NOT partial").count() == 2100
+    assert [r["line"] for r in numbered(whole, ["ord", "id"]).orderBy("n").collect()] == list(range(1, 2101))
+    assert sc.scanned(files).signals.where("partial").count() == sc.MOST  # a scan's SQL states the cut
