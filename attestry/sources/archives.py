@@ -9,10 +9,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.durable import in_batches, kept
+from attestry.durable import apart, in_batches, kept, numbered
 from attestry.functions import text as T
 from attestry.sources import property_lists
 
@@ -123,7 +123,7 @@ def opened(archives: DataFrame) -> DataFrame:
     cut = F.when(F.col("truncated"), F.lit(f"text was cut at {INPUT_BYTES} bytes"))
     got = property_lists.decoded(lists, INPUT_BYTES).select(F.col("artifact").alias("key"), F.col("text").alias("list_text"), F.coalesce("reason", cut).alias("why"))
     told = F.coalesce("reason", F.when(F.col("why").isNotNull(), F.concat(F.lit("property list in entry "), F.col("idx").cast("string"), F.lit(": "), F.col("why"))))
-    return rows.join(got, key == F.col("key"), "left").withColumn("reason", told).drop("key", "why")
+    return rows.join(apart(got), key == F.col("key"), "left").withColumn("reason", told).drop("key", "why")
 
 
 def corpus(archives: DataFrame) -> DataFrame:
@@ -131,19 +131,10 @@ def corpus(archives: DataFrame) -> DataFrame:
     return corpus_of(opened(archives))
 
 
-def _numbered(names: DataFrame) -> DataFrame:
-    """artifact and n, its place in the order of names: first by ranges, then within each, so that no task sorts all."""
-    ranged = kept(names.repartitionByRange("artifact").withColumn("range", F.spark_partition_id()), "artifacts")
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
-    base = sizes.select("range", F.sum("size").over(Window.orderBy("range")).alias("upto"), "size")  # a row for each range
-    place = F.row_number().over(Window.partitionBy("range").orderBy("artifact"))
-    return kept(ranged.withColumn("place", place).join(F.broadcast(base), "range").select("artifact", (F.col("upto") - F.col("size") + F.col("place")).alias("n")), "artifacts")
-
-
 def corpus_of(rows: DataFrame) -> DataFrame:
     listed = property_lists.is_binary(F.col("bytes"))
     text = F.when(listed, F.coalesce("list_text", entry_text(F.col("bytes"), F.lit(True)))).otherwise(entry_text(F.col("bytes"), F.col("binary")))
-    got = rows.where("idx IS NOT NULL").join(_numbered(rows.select("artifact").distinct()), "artifact")
+    got = rows.where("idx IS NOT NULL").join(apart(numbered(rows.select("artifact").distinct(), ["artifact"])), "artifact")
     return got.select(F.concat_ws("!", "artifact", "name").alias("relative_path"), F.length("bytes").cast("long").alias("size"), text.alias("content"), (F.col("n") * F.lit(1_000_000_000).cast("long") + F.col("priority") * 1_000_000 + F.col("idx")).cast("long").alias("walk_pos"))
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.durable import kept
+from attestry.durable import apart, kept
 
 #: Objects of a list, members of a collection, bytes of a string, and levels below the root.
 MAX_OBJECTS, MAX_ITEMS, MAX_STRING, MAX_DEPTH = 100_000, 10_000, 1 << 20, 32
@@ -134,7 +134,7 @@ def _levels(edges: DataFrame, roots: DataFrame) -> tuple[list[DataFrame], DataFr
     """Objects by their distance from the root, a set for each distance, and the lists that still go on below MAX_DEPTH: too deep, or in a cycle."""
     out = [roots.select(*KEY)]
     for _ in range(MAX_DEPTH + 1):
-        down = out[-1].join(edges.select("artifact", F.col("parent").alias("object"), F.explode(F.array("name", "child")).alias("below")), KEY).where("below IS NOT NULL")
+        down = apart(out[-1]).join(edges.select("artifact", F.col("parent").alias("object"), F.explode(F.array("name", "child")).alias("below")), KEY).where("below IS NOT NULL")
         out.append(kept(down.select("artifact", F.col("below").alias("object")).distinct(), "plist-level"))
         if out[-1].isEmpty():
             return out[:-1], out[-1].select("artifact")
@@ -157,40 +157,40 @@ def decoded(lists: DataFrame, most: int) -> DataFrame:
     edges = kept(edges, "plist-edges")
     levels, deep = _levels(edges.where("child < n AND (name IS NULL OR name < n)"), found.where("is_root"))
     reached = kept(reduce(DataFrame.unionByName, [x.withColumn("level", F.lit(i)) for i, x in enumerate(levels)]).groupBy(*KEY).agg(F.max("level").alias("level")), "plist-reached")
-    here = edges.join(reached.select("artifact", F.col("object").alias("parent"), "level"), ["artifact", "parent"])
-    named = here.join(found.select("artifact", F.col("object").alias("name"), F.col("kind").alias("name_kind"), F.col("text").alias("key")), ["artifact", "name"], "left")
+    here = edges.join(apart(reached).select("artifact", F.col("object").alias("parent"), "level"), ["artifact", "parent"])
+    named = here.join(apart(found).select("artifact", F.col("object").alias("name"), F.col("kind").alias("name_kind"), F.col("text").alias("key")), ["artifact", "name"], "left")
     named = named.withColumn("twice", F.count("*").over(Window.partitionBy("artifact", "parent", "name_kind", "key")) > 1)
     wrong_edge = (
         F.when(F.coalesce(F.col("child") >= F.col("n"), F.lit(True)) | ((F.col("kind") == "dictionary") & F.coalesce(F.col("name") >= F.col("n"), F.lit(True))), "a reference is invalid")
         .when((F.col("kind") == "dictionary") & ((F.col("name_kind") != "string") | F.col("twice")), "a key is invalid")
     )
-    bad = found.join(reached, KEY).where("reason IS NOT NULL").select("artifact", "reason").unionByName(named.select("artifact", wrong_edge.alias("reason")).where("reason IS NOT NULL"))
+    bad = found.join(apart(reached), KEY).where("reason IS NOT NULL").select("artifact", "reason").unionByName(named.select("artifact", wrong_edge.alias("reason")).where("reason IS NOT NULL"))
     bad = bad.unionByName(deep.select("artifact", F.lit("nesting exceeds the limit or holds itself").alias("reason")))
     bad = heads.where("reason IS NOT NULL").select("artifact", "reason").unionByName(bad).groupBy("artifact").agg(F.min("reason").alias("reason"))
     bad = kept(bad, "plist-bad")
     size = lambda text: F.when(text.isNotNull(), F.octet_length(text) + 1).otherwise(0).cast("bigint")
-    tidy = kept(named.join(bad, "artifact", "left_anti").select("artifact", "parent", "level", "place", "key", size(F.col("key")).alias("key_size"), "child"), "plist-named")
-    sizes = kept(found.join(reached, KEY).join(bad, "artifact", "left_anti").where("edges IS NULL").select(*KEY, size(F.col("text")).alias("size")), "plist-sizes")
+    tidy = kept(named.join(apart(bad), "artifact", "left_anti").select("artifact", "parent", "level", "place", "key", size(F.col("key")).alias("key_size"), "child"), "plist-named")
+    sizes = kept(found.join(apart(reached), KEY).join(apart(bad), "artifact", "left_anti").where("edges IS NULL").select(*KEY, size(F.col("text")).alias("size")), "plist-sizes")
     limit = most + 1
     for level in range(len(levels) - 1, -1, -1):
-        inner = tidy.where(F.col("level") == level).join(sizes.withColumnRenamed("object", "child"), ["artifact", "child"], "left")
+        inner = apart(tidy).where(F.col("level") == level).join(sizes.withColumnRenamed("object", "child"), ["artifact", "child"], "left")
         each = F.least(F.col("key_size") + F.coalesce("size", F.lit(0)), F.lit(limit))
         sums = inner.groupBy("artifact", F.col("parent").alias("object")).agg(F.least(F.sum(each), F.lit(limit)).alias("size"))
         sizes = kept(sizes.unionByName(sums), "plist-sizes")
-    members = tidy.join(sizes.withColumnRenamed("object", "child"), ["artifact", "child"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    members = apart(tidy).join(sizes.withColumnRenamed("object", "child"), ["artifact", "child"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
     before = F.coalesce(F.sum(F.least(F.col("key_size") + F.col("size"), F.lit(limit))).over(Window.partitionBy("artifact", "parent").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     members = kept(members.withColumn("before", before), "plist-members")
-    front = found.where("is_root").join(bad, "artifact", "left_anti").join(sizes, KEY, "left").select(*KEY, F.lit(0).cast("bigint").alias("start"), F.coalesce("size", F.lit(0)).alias("size"))
+    front = found.where("is_root").join(apart(bad), "artifact", "left_anti").join(apart(sizes), KEY, "left").select(*KEY, F.lit(0).cast("bigint").alias("start"), F.coalesce("size", F.lit(0)).alias("size"))
     whole = front.select("artifact", (F.col("size") > most).alias("truncated"))
     said = []
     own = found.where("edges IS NULL").select(*KEY, "text")
     for _ in levels:
-        said.append(front.join(own, KEY).select("artifact", "start", "text"))
-        below = front.select("artifact", F.col("object").alias("parent"), "start").join(members, ["artifact", "parent"])
+        said.append(front.join(apart(own), KEY).select("artifact", "start", "text"))
+        below = front.select("artifact", F.col("object").alias("parent"), "start").join(apart(members), ["artifact", "parent"])
         below = kept(below.select("artifact", "key", "key_size", F.col("child").alias("object"), (F.col("start") + F.col("before")).alias("at"), "size").where(F.col("at") < most), "plist-places")
         said.append(below.where("key IS NOT NULL").select("artifact", F.col("at").alias("start"), F.col("key").alias("text")))
         front = below.where("size > 0").select(*KEY, (F.col("at") + F.col("key_size")).alias("start"), "size").where(F.col("start") < most)
     lines = reduce(DataFrame.unionByName, said).where(F.col("start") + F.octet_length("text") + 1 <= most)
     text = lines.groupBy("artifact").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    good = whole.join(text, "artifact", "left").select("artifact", F.coalesce("text", F.lit("")).alias("text"), "truncated", F.lit(None).cast("string").alias("reason"))
+    good = whole.join(apart(text), "artifact", "left").select("artifact", F.coalesce("text", F.lit("")).alias("text"), "truncated", F.lit(None).cast("string").alias("reason"))
     return good.unionByName(bad.select("artifact", F.lit(None).cast("string").alias("text"), F.lit(False).alias("truncated"), "reason"))

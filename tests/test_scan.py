@@ -7,8 +7,8 @@ from attestry import relations as R
 from attestry.durable import numbered
 from attestry.operators import findings as fi
 from attestry.operators import scan as sc
-from attestry.plans import packs, scans
-from attestry.sources import archives, tree
+from attestry.plans import code, packs, scans
+from attestry.sources import archives, property_lists, tree
 
 
 def test_project_scan(spark):
@@ -86,3 +86,12 @@ def test_signals_beyond_the_limit(spark):
     assert whole.count() == whole.where("NOT partial").count() == 2100
     assert [r["line"] for r in numbered(whole, ["ord", "id"]).orderBy("n").collect()] == list(range(1, 2101))
     assert sc.scanned(files).signals.where("partial").count() == sc.MOST  # a scan's SQL states the cut
+
+
+def test_joins_that_grow_stay_off_the_driver(spark):
+    found = archives.opened(spark.createDataFrame(code.packages(), "artifact string, content binary"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0]
+    assert plan(found).count("BroadcastHashJoin") == 0
+    assert plan(archives.corpus_of(found)).count("BroadcastHashJoin") == 1  # the ranges of names, a row for each
+    lists = found.where("idx IS NOT NULL").select("artifact", "bytes")
+    assert "BroadcastHashJoin" not in plan(property_lists.decoded(lists, 1000))
