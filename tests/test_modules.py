@@ -217,3 +217,11 @@ def test_ended_walks_are_left_alone(spark, monkeypatch):
     found = modules.walks(edges, frame(spark, "start string", ("m0",), *((f"x{i}",) for i in range(50))))
     assert found.where("whole").count() == 54
     assert rows == [("walk", 51), ("walk", 52), ("walk", 3), ("walk", 4), ("walk", 4)]
+
+
+def test_targets_try_no_name_against_all_files(spark):
+    files = ["a/x.ts", "a/x.js", "a/x/index.ts", "a/y.ts.js", "a/y.ts", "a/z.TS", "a/index/index.js", "a/w/index.jsx", "a/q.css"]
+    wanted = {"./x": "a/x.js", "./x.ts": "a/x.ts", "./x.mjs": "a/x.js", "./y.ts.js": "a/y.ts.js", "./y.ts.mjs": "a/y.ts", "./z.TS": "a/z.TS", "./z": None, "./index": "a/index/index.js", "./w": "a/w/index.jsx", "./q.css": "a/q.css", "x": None, "../a/./w/": "a/w/index.jsx"}
+    got = modules.targets(frame(spark, "file string", *((f,) for f in files)), frame(spark, "file string, module string", *(("a/b.ts", m) for m in wanted)))
+    assert {r["module"]: r["target"] for r in got.collect()} == {m: t for m, t in wanted.items() if t}
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # 18 rows for each name before
