@@ -9,11 +9,12 @@ can match it. Shards of more than CHUNK fingerprints are split, and every two pa
 the 15 x 2^22 shards have 4096 members each at some 10^10 distinct fingerprints, beyond which that grows with the square.
 
 Texts that share four fifths of their shingles differ in more bits than blocks can answer for. For these (similarity
-set, as in the pipeline) shards are bands of MinHash values, of which such texts share one but for a chance of
-1 in 2 million or less. Members that agree in `similarity` of SKETCH MinHash values less SLACK standard errors are
-candidates, and the Jaccard index of their sets of 64-bit shingle hashes decides: no pair below `similarity` is linked.
-Fingerprints decide nothing here, since shingles that repeat move them. Of shards with the same members one is kept,
-and only members of shards carry their shingles, which are made once more from their texts.
+set, as in the pipeline) shards are shingle hashes, and the search is exact: in any one order of all hashes, two sets of
+that Jaccard index share a hash among the first n - ceil(similarity n) + 1 of each. The order puts last what stands in
+many texts, as told by counts of 2^16 ranges of hashes, so that common passages make no shards where rarer hashes do.
+Members whose sizes, and whose numbers of hashes in 256 ranges, leave the index possible are compared, and the Jaccard
+index of their sets of 64-bit shingle hashes decides. Fingerprints decide nothing here, since shingles that repeat move
+them. Of shards with the same members one is kept, and its members carry their texts, from which shingles are made once more.
 
 Only distinct fingerprints are sharded (distinct word sequences with similarity), a shard gives a spanning forest and not its pairs, and the forest's components
 are found by alternating large-star and small-star joins, each round written to the shared folder. A node with more than
@@ -33,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.common import in_batches, joined_by, mix, table, text_slices, texts, written
@@ -43,8 +44,10 @@ WORDS, RADIUS, SEED, CHUNK = 4, 4, 42, 4096
 MOST_HOT, LEAST_HOT = 1000, 256
 #: First bit and width of six blocks of the 64 bits.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: MinHash values, those that make a band, bands, and the standard errors that candidates may lack.
-SKETCH, BAND, BANDS, SLACK = 256, 4, 28, 5
+#: Ranges of hashes whose numbers in a set bound what two sets share, and bits of those that tell which hashes are common.
+SKETCH, HEAT_BITS = 256, 16
+#: What a number of hashes in a range is cut at; larger sets are compared whatever their sketches.
+FULL = 65535
 #: The radius that goes with a similarity: all 64 bits, so that fingerprints exclude nothing.
 WIDE_RADIUS = 64
 
@@ -72,42 +75,63 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return majority(shingle_hashes(found, words)) if found else 0
 
 
-_FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+def distinct_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """The sorted distinct hashes of shingles, none without words."""
+    return np.unique(mix(shingle_hashes(found, words).astype(np.uint64))) if found else np.zeros(0, np.uint64)
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH minima of the shingles' hashes, each under another factor."""
-    least = np.full(SKETCH, np.iinfo(np.uint64).max)
-    own = mix(hashes.astype(np.uint64))
-    for i in range(0, len(own), 512):
-        least = np.minimum(least, (own[i : i + 512, None] * _FACTORS).min(0))
-    return mix(least)
+def heat(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The place of each range of hashes in the order of how often texts hold one of its hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << HEAT_BITS, np.int64)
+        for batch in batches:
+            for part in text_slices(batch.column(1)):
+                data, bounds = part.data.tobytes(), part.bounds.tolist()
+                sets = [distinct_hashes(data[a:b].lower().split(), words) for a, b in zip(bounds, bounds[1:])]
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - HEAT_BITS)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+
+    told = in_batches(texts(docs, id_col, text_col), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # 2^16 rows at most
+    counts = np.zeros(1 << HEAT_BITS, np.int64)
+    counts[[r["at"] for r in told]] = [r["n"] for r in told]
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    return place
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
-    """doc_id, h (the text's own hash) and fp of every row; if sketched also words_key, bands and sketch."""
+def prefix(hashes: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's sorted hashes in the order of places, of which sets as similar share one at least."""
+    n = len(hashes)
+    first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    return hashes[np.argsort(place[(hashes >> np.uint64(64 - HEAT_BITS)).astype(np.int64)], kind="stable")[:first]]
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """doc_id, h (the text's own hash) and fp of every row; with a similarity also words_key and prefix."""
+    place = None if similarity is None else heat(docs, words, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, bands, sketches = [], [], [], []
+            fps, keys, firsts = [], [], []
             for part in text_slices(batch.column(1)):
                 data, bounds = part.data.tobytes(), part.bounds.tolist()
                 for a, b in zip(bounds, bounds[1:]):
                     found = data[a:b].lower().split()
                     hashes = shingle_hashes(found, words) if found else np.zeros(0, ">u8")
                     fps.append(majority(hashes) if found else 0)
-                    if sketched:
-                        m = minhashes(hashes)
+                    if place is not None:
+                        own = distinct_hashes(found, words)
                         keys.append(xxhash.xxh128_digest(b" ".join(found)))
-                        bands.append(mix((m[: BANDS * BAND].reshape(BANDS, BAND) * _FACTORS[:BAND]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                        sketches.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
+                        firsts.append(prefix(own, place, similarity).view(np.int64))
             more = {}
-            if sketched:
-                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *bands]))
-                more = {"words_key": pa.array(keys, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat), "sketch": pa.array(sketches, pa.binary())}
+            if place is not None:
+                flat, ends = pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])), np.cumsum([0, *map(len, firsts)])
+                more = {"words_key": pa.array(keys, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)}
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64()), *more.values()], names=["doc_id", "h", "fp", *more])
 
-    schema = "doc_id long, h long, fp long" + (", words_key binary, bands array<long>, sketch binary" if sketched else "")
+    schema = "doc_id long, h long, fp long" + (", words_key binary, prefix array<long>" if place is not None else "")
     return in_batches(texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")), run, schema)
 
 
@@ -170,41 +194,33 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def alike(sketches: np.ndarray, shingles: list[bytes], reps: np.ndarray, first: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """(rep, smallest rep) of what a shard links by similarity. first: the members that the others are compared with; if all are, all are."""
-    least = SKETCH * (similarity - SLACK * float(np.sqrt(similarity * (1 - similarity) / SKETCH)))
-    label, whole, sets = np.arange(len(reps)), bool(first.all()), [np.frombuffer(x, np.uint64) for x in shingles]
-    others = np.flatnonzero(first)
+def alike(sets: list[np.ndarray], reps: np.ndarray, first: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(rep, smallest rep) of what a shard links by similarity. sets: sorted distinct hashes; first: the members that the others are compared with; if all are, all are."""
+    label, whole = np.arange(len(reps)), bool(first.all())
+    sketches = np.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=SKETCH).clip(max=FULL) for x in sets], np.uint16)
+    others, size = np.flatnonzero(first), np.array([len(x) for x in sets])
+    least, slack = similarity / (1 + similarity), 1e-6
     for i in range(len(reps)) if whole else np.flatnonzero(~first):
         near = others[:i] if whole else others
-        near = near[label[near] != label[i]]
-        agree = np.count_nonzero(sketches[near] == sketches[i], axis=1)
-        order = np.argsort(-agree, kind="stable")
-        for j in near[order[: np.count_nonzero(agree >= least)]]:
+        near = near[(label[near] != label[i]) & (size[near] >= similarity * size[i] - slack) & (size[i] >= similarity * size[near] - slack)]
+        both = np.minimum(sketches[near], sketches[i]).sum(axis=1, dtype=np.int64)
+        able = (both >= least * (size[near] + size[i]) - slack) | (size[i] >= FULL)
+        near = near[able][np.argsort(-both[able], kind="stable")]
+        for j in near:
             if label[i] != label[j] and jaccard(sets[i], sets[j]) >= similarity:
                 a, b = sorted((label[i], label[j]), key=lambda x: reps[x])
                 label[label == b] = a
     return [(int(reps[i]), int(reps[t])) for i, t in enumerate(label) if t != i]
 
 
-def with_shingles(members: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """rep, sketch and shingles (the sorted distinct hashes) of members: rep, sketch and the doc_id and h of a text that they stand for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for text in batch.column(2).to_pylist():
-                found = text.encode().lower().split()
-                sets.append(np.unique(shingle_hashes(found, words).astype(np.uint64)).tobytes() if found else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "sketch", "shingles"])
-
-    rows = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).join(members, ["doc_id", "h"])
-    sets = in_batches(rows.select("rep", "sketch", "text"), run, "rep long, sketch binary, shingles binary")
-    return sets.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
+def with_texts(met: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """met with the text of its doc_id and h."""
+    each = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text").where("doc_id IS NOT NULL")
+    return met.join(each.groupBy("doc_id", "h").agg(F.first("text").alias("text")), ["doc_id", "h"])
 
 
-def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similarity: float | None = None, shingled: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(u, v) with v < u that join the linked classes: fp, rep, and first, bands and sketch if a similarity is set; then shingled gives members their shingles."""
+def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similarity: float | None = None, words: int = WORDS, texted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(u, v) with v < u that join the linked classes: fp, rep, and first and prefix if a similarity is set; then texted gives members their texts, of whose words shingles are made."""
     count = F.count("*").alias("n")
     if similarity is None:
         assert radius <= 4, "two of six blocks agree only within 4 bits"
@@ -213,26 +229,30 @@ def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similari
         keyed = classes.select("fp", "rep", F.explode(F.expr(f"array({', '.join(keys)})")).alias("shard"))
         sizes = keyed.groupBy("shard").agg(count).where("n > 1")
     else:
-        keyed = classes.select("fp", "rep", F.explode("bands").alias("shard"))
+        keyed = classes.select("rep", F.size("prefix").alias("width"), F.explode("prefix").alias("shard"))
+        keyed = keyed.join(keyed.groupBy("shard").agg(count).where("n > 1").select("shard"), "shard")
+        # of a shard's members by size, one whose neighbours are too small and too large links none; sizes follow from widths to within a few
+        by_width = Window.partitionBy("shard").orderBy("width")
+        near = (F.lag("width").over(by_width) >= similarity * (F.col("width") - 1) - 1e-6) | (F.col("width") >= similarity * (F.lead("width").over(by_width) - 1) - 1e-6)
+        keyed = written(keyed.withColumn("near", near).where("near").select("rep", "shard"), "shard-members")
         marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
-        sizes = keyed.groupBy("shard").agg(count, *marks).where("n > 1").groupBy("n", "mark0", "mark1").agg(F.min("shard").alias("shard")).select("shard", "n")
-    more = [] if similarity is None else ["sketch", "shingles"]
+        sizes = keyed.groupBy("shard").agg(count, *marks).groupBy("n", "mark0", "mark1").agg(F.min("shard").alias("shard")).select("shard", "n")
+    more = [] if similarity is None else ["text"]
     met = keyed.join(sizes, "shard")
     if similarity is not None:
-        met = written(met, "shards")
-        members = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch", "first.doc_id", "first.h")
-        met = met.join(written(shingled(members), "shingles"), "rep")
+        met = met.withColumn("fp", F.col("rep")).join(classes.select("rep", "first.doc_id", "first.h"), "rep")
     parts = F.ceil(F.col("n") / chunk).cast("int")
     met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    met = met.select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "rep", *more)
+    met = met.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    met = (met if similarity is None else texted(met)).select("shard", "a", "b", "own", "fp", "rep", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
 
         def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
             out = [c.to_numpy() for c in batch.columns[:6]]
-            return [*out, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH), batch.column(7).to_numpy(False)] if more else out
+            return [*out, batch.column(6).to_numpy(False)] if more else out
 
         def out(rows: list[np.ndarray], ended: bool) -> tuple[list[np.ndarray] | None, list[tuple[int, int]]]:
             shard, a, b, own, fp, rep = rows[:6]
@@ -243,7 +263,7 @@ def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, similari
             for i in np.flatnonzero(np.diff(cut[: last + 1]) > 1):
                 x = slice(cut[i], cut[i + 1])
                 if more:
-                    edges += alike(rows[6][x], rows[7][x].tolist(), rep[x], own[x] == a[x], similarity)
+                    edges += alike([distinct_hashes(t.encode().lower().split(), words) for t in rows[6][x]], rep[x], own[x] == a[x], similarity)
                 else:
                     edges += forest(fp[x].view(np.uint64).tolist(), rep[x].tolist(), (own[x] == a[x]).tolist(), radius)
             return ([r[cut[last] :] for r in rows] if not ended else None), edges
@@ -287,10 +307,10 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """doc_id, h, fp and component_id of every row."""
     name = "fp" if similarity is None else "words_key"
-    fps = written(fingerprints(docs, words, id_col, text_col, similarity is not None), "fingerprints")
-    own = [] if similarity is None else [F.min(F.struct("doc_id", "h")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "bands", "sketch"))]
+    fps = written(fingerprints(docs, words, id_col, text_col, similarity), "fingerprints")
+    own = [] if similarity is None else [F.min(F.struct("doc_id", "h")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "prefix"))]
     classes = written(fps.where("doc_id IS NOT NULL").groupBy(name).agg(F.min("doc_id").alias("rep"), *own), "classes")
-    found = components(links(classes, radius, chunk, similarity, lambda members: with_shingles(members, docs, words, id_col, text_col)))
+    found = components(links(classes, radius, chunk, similarity, words, lambda met: with_texts(met, docs, id_col, text_col)))
     named = classes.select(name, "rep").join(found, F.col("rep") == F.col("node"), "left").select(name, F.coalesce("component", "rep").alias("component_id"))
     told = joined_by(fps.where("doc_id IS NOT NULL"), written(named, "components"), name)  # copies and empty texts share one
     return told.unionByName(fps.where("doc_id IS NULL"), allowMissingColumns=True).select("doc_id", "h", "fp", "component_id")

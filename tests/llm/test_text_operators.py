@@ -533,3 +533,15 @@ def test_digest_of_no_spans(spark, sf_dir):
     got = op10.op10_pii(spark, sf_dir)
     empty = got.where("n_email + n_ip + n_card + n_phone = 0").first()
     assert empty["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_similar_sets_share_a_first_hash():
+    """Each pair at the similarity shares one of its first hashes, whatever the order; MinHash bands left that to chance."""
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 5, 9, 10, 45, 300):
+        for _ in range(50):
+            own, place = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)), rng.permutation(1 << op6.HEAT_BITS)
+            changed = int(len(own) / 9 + 1e-9)  # as many of n left out and put in give an index of 0.8
+            other = np.unique(np.concatenate([rng.permutation(own)[changed:], rng.integers(0, 1 << 63, changed, np.uint64) * np.uint64(2) + np.uint64(1)]))
+            assert op6.jaccard(own, other) >= 0.8 and np.intersect1d(op6.prefix(own, place, 0.8), op6.prefix(other, place, 0.8)).size
+            assert op6.alike([own, other], np.array([7, 5]), np.array([True, True]), 0.8) == [(7, 5)]
